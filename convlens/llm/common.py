@@ -90,6 +90,14 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return codes, offsets.astype(np.int64), words
 
 
+def bytes_of(texts: pa.Array) -> np.ndarray:
+    """The bytes of all texts in a row; no text may be null."""
+    _, offsets, data = texts.buffers()
+    edges = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(texts.type) else np.int32)
+    first, last = edges[texts.offset], edges[texts.offset + len(texts)]
+    return np.frombuffer(data, np.uint8)[first:last] if last > first else np.zeros(0, np.uint8)
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenation of ``arange(start, start + length)``."""
     total = int(lengths.sum())
