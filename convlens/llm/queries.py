@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlens.llm import jaccard, mixing, quality, tokens, toxicity
+from convlens.llm import decontamination, jaccard, mixing, quality, tokens, toxicity
 from convlens.llm.common import Scratch, crc_mod
 
 
@@ -67,8 +67,12 @@ FROM p
 """
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_store": op1_token_store, "op2_toxicity": op2_toxicity, "op3_ngram_jaccard": op3_ngram_jaccard, "op5_source_mix": op5_source_mix, "op7_quality": op7_quality}
+    return {"op1_token_store": op1_token_store, "op2_toxicity": op2_toxicity, "op3_ngram_jaccard": op3_ngram_jaccard, "op5_source_mix": op5_source_mix, "op7_quality": op7_quality, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
