@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlens.llm import decontamination, jaccard, mixing, quality, tokens, toxicity
+from convlens.llm import caps, decontamination, jaccard, mixing, quality, secrets, tokens, toxicity
 from convlens.llm.common import Scratch, crc_mod
 
 
@@ -32,6 +32,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
 
 
+def op6_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod("doc_id", 5) == 0
     scored = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn_from=~held_out)
@@ -67,12 +72,19 @@ FROM p
 """
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["kind"] != "guess")
+    counts = [secrets.counted(F.col("found"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("found")).alias("spans"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_store": op1_token_store, "op2_toxicity": op2_toxicity, "op3_ngram_jaccard": op3_ngram_jaccard, "op5_source_mix": op5_source_mix, "op7_quality": op7_quality, "op10_decontamination": op10_decontamination}
+    return {"op1_token_store": op1_token_store, "op2_toxicity": op2_toxicity, "op3_ngram_jaccard": op3_ngram_jaccard, "op5_source_mix": op5_source_mix, "op6_embedding_caps": op6_embedding_caps, "op7_quality": op7_quality, "op8_secrets": op8_secrets, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
