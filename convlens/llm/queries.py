@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlens.llm import caps, decontamination, jaccard, mixing, quality, secrets, tokens, toxicity
+from convlens.llm import caps, decontamination, jaccard, mixing, quality, sanitise, secrets, tokens, toxicity
 from convlens.llm.common import Scratch, crc_mod
 
 
@@ -79,12 +79,19 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("found")).alias("spans"))
 
 
+def op9_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 4)
+    counts = [sanitise.counted(F.col("spans"), k).alias(f"n_{name}") for k, name in enumerate(sanitise.KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(sanitise.named(base), 256).alias("base_sha256"), sanitise.named(F.col("spans")).alias("spans"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_store": op1_token_store, "op2_toxicity": op2_toxicity, "op3_ngram_jaccard": op3_ngram_jaccard, "op5_source_mix": op5_source_mix, "op6_embedding_caps": op6_embedding_caps, "op7_quality": op7_quality, "op8_secrets": op8_secrets, "op10_decontamination": op10_decontamination}
+    return {"op1_token_store": op1_token_store, "op2_toxicity": op2_toxicity, "op3_ngram_jaccard": op3_ngram_jaccard, "op5_source_mix": op5_source_mix, "op6_embedding_caps": op6_embedding_caps, "op7_quality": op7_quality, "op8_secrets": op8_secrets, "op9_private_terms": op9_private_terms, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
