@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlens.llm import caps, decontamination, jaccard, mixing, quality, sanitise, secrets, tokens, toxicity
+from convlens.llm import caps, decontamination, jaccard, mixing, quality, sanitise, secrets, tokens, toolcalls, toxicity
 from convlens.llm.common import Scratch, crc_mod
 
 
@@ -47,6 +47,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"))
 
 
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.from_turns(table(spark, sf_dir, "conversations"))
+    return toolcalls.link(calls, results, toolcalls.REPLY)
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -91,7 +96,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_store": op1_token_store, "op2_toxicity": op2_toxicity, "op3_ngram_jaccard": op3_ngram_jaccard, "op5_source_mix": op5_source_mix, "op6_embedding_caps": op6_embedding_caps, "op7_quality": op7_quality, "op8_secrets": op8_secrets, "op9_private_terms": op9_private_terms, "op10_decontamination": op10_decontamination}
+    return {"op1_token_store": op1_token_store, "op2_toxicity": op2_toxicity, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_tool_calls": op4_tool_calls, "op5_source_mix": op5_source_mix, "op6_embedding_caps": op6_embedding_caps, "op7_quality": op7_quality, "op8_secrets": op8_secrets, "op9_private_terms": op9_private_terms, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,6 +17,7 @@ import hashlib
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,8 @@ ODD = (
     r"[ \n\t\r\f\v][ \n\t\r\f\v]|[\t\r\f\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
     r"|^[ \n]|[ \n]$|<\|"
 )
-WORD = re.compile(r"( ?)([^\W\d_]+)([.,;:!?]*)")
+#: ASCII marks but the apostrophe: after letters a run of them is one piece.
+STOPS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 STAGED = "doc_id long, n_tokens long, digests array<binary>, sizes array<int>, chunks array<binary>"
 PACKED = "doc_id long, uid long, manifest boolean, pack int, offset long, n_tokens long, digests array<binary>, sizes array<int>, stored array<binary>, shared array<boolean>, root binary"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks int, n_stored int"
@@ -50,10 +52,10 @@ def merkle(digests: list[bytes]) -> bytes:
 class Encoder:
     """Texts to ids. Byte-level BPE is run word by word, over the distinct words of a batch, with a bounded cache."""
 
-    def __init__(self, path: str, cached: int = 600_000):
+    def __init__(self, path: str, cached: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cached, self.words, self.tokens = Tokenizer.from_file(path), cached, {}, {}
+        self.tokenizer, self.cached, self.cache = Tokenizer.from_file(path), cached, {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -62,27 +64,22 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
-        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.spelling = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def word(self, piece: str) -> bytes:
-        got = self.words.get(piece)
-        if got is None:
-            spelt = piece.encode().decode("latin-1").translate(self.letters)
-            got = self.words[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], self.dtype).tobytes()
-        return got
+    def letters_of(self, piece: str) -> bytes:
+        """Ids of one piece that the pre-tokenizer would not split."""
+        spelt = piece.encode().decode("latin-1").translate(self.spelling)
+        return array(self.dtype.char, [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
 
-    def token(self, token: str) -> bytes:
+    def stretch(self, stretch: str) -> bytes:
         """Ids of a stretch between blanks; \\x02 stands for no blank before it, a line feed for itself."""
-        lead, body = (b"", " " + token) if token[:1] not in ("\x02", "\n") else (self.word("\n") if token[0] == "\n" else b"", token[1:])
-        if not body:
-            return lead
-        found = WORD.fullmatch(body)
-        if found and found[2].isalpha():
-            return lead + self.word(found[1] + found[2]) + (self.word(found[3]) if found[3] else b"")
-        return lead + self.whole(body)
+        if stretch[:1] not in ("\x02", "\n"):
+            return self.letters_of(" " + stretch) if stretch.isalpha() else self.whole(" " + stretch)
+        lead, body = self.whole(stretch[0]) if stretch[0] == "\n" else b"", stretch[1:]
+        return lead + (self.letters_of(body) if body.isalpha() else self.whole(body) if body else b"")
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets by text)."""
@@ -106,22 +103,44 @@ class Encoder:
         lists = pc.split_pattern(marked, " ")
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         coded = pc.list_flatten(lists).dictionary_encode()
+        ids, lengths = self.distinct(coded.dictionary)
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        if len(self.words) > self.cached:
-            self.words.clear()
-        if len(self.tokens) > self.cached:
-            self.tokens.clear()
-        known, own = self.tokens, []
-        for t in coded.dictionary.to_pylist():
+        own = lengths[codes]
+        ends = np.concatenate(([0], np.cumsum(own)))
+        offsets = ends[np.concatenate(([0], np.cumsum(counts))).astype(np.int64)]
+        return ids[ranges((np.cumsum(lengths) - lengths)[codes], own)], offsets
+
+    def distinct(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, number of ids) of distinct stretches: letters from the cache, then stops that follow them."""
+        letters = pc.utf8_rtrim(stretches, STOPS)
+        split = pc.utf8_is_alpha(pc.utf8_ltrim(letters, "\x02\n"))
+        letters = pc.if_else(split, letters, stretches)
+        sizes = (pc.utf8_length(stretches).to_numpy(), pc.utf8_length(letters).to_numpy())
+        bases, known = letters.dictionary_encode(), self.cache
+        if len(known) > self.cached:
+            known.clear()
+        own = []
+        for t in bases.dictionary.to_pylist():
             got = known.get(t)
             if got is None:
-                got = known[t] = self.token(t)
+                got = known[t] = self.stretch(t)
             own.append(got)
-        ids, starts = self.joined(own)
-        lengths = np.diff(starts)[codes]
-        ends = np.concatenate(([0], np.cumsum(lengths)))
-        offsets = ends[np.concatenate(([0], np.cumsum(counts))).astype(np.int64)]
-        return ids[ranges(starts[:-1][codes], lengths)], offsets
+        base_ids, base_ends = self.joined(own)
+        base = bases.indices.to_numpy(zero_copy_only=False)
+        n_base = np.diff(base_ends)[base]
+        # The stops after letters make one piece, and there are few different ones.
+        some = np.flatnonzero(sizes[0] > sizes[1])
+        tail = pc.replace_substring_regex(stretches.take(pa.array(some)), "(?s)^.*?([" + re.escape(STOPS) + "]*)$", r"\1").dictionary_encode()
+        tail_ids, tail_ends = self.joined([self.whole(t) for t in tail.dictionary.to_pylist()])
+        of = tail.indices.to_numpy(zero_copy_only=False)
+        n_tail = np.zeros(len(stretches), np.int64)
+        n_tail[some] = np.diff(tail_ends)[of]
+        lengths = n_base + n_tail
+        starts = np.cumsum(lengths) - lengths
+        out = np.empty(int(lengths.sum()), self.dtype)
+        out[ranges(starts, n_base)] = base_ids[ranges(base_ends[:-1][base], n_base)]
+        out[ranges((starts + n_base)[some], n_tail[some])] = tail_ids[ranges(tail_ends[:-1][of], n_tail[some])]
+        return out, lengths
 
 
 def cut_points(ids: np.ndarray, gear: np.ndarray, bits: int) -> np.ndarray:
@@ -268,7 +287,8 @@ def starts_of_packs(store: DataFrame) -> DataFrame:
 
 def read_store(store: DataFrame, tokenizer_bytes: int = 2) -> DataFrame:
     """Rebuilds every document from the files and checks it: (doc_id, start, n_tokens, ids_crc32, n_chunks, n_stored)."""
-    rows = store.where("not manifest").join(starts_of_packs(store), "pack")
+    # Two numbers for each pack: as many rows as the store was written in partitions.
+    rows = store.where("not manifest").join(F.broadcast(starts_of_packs(store)), "pack")
     rows = rows.select("doc_id", "uid", (F.col("pack_start") + F.col("offset")).alias("start"), "n_tokens", "digests", "sizes", "stored", "root")
     lacks = F.exists("stored", lambda c: c.isNull())
     offered = store.where("not manifest").where(F.exists("shared", lambda s: s)).select(F.explode(F.arrays_zip("digests", "stored", "shared")).alias("c"))
