@@ -22,8 +22,14 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
+
+
+def _load() -> None:
+    from convlens.plans import conversations  # noqa: F401
