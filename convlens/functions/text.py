@@ -210,7 +210,8 @@ def cluster_radius(size: Column, level: Column) -> Column:
 def facet_number(answer: Column, low: int, high: int) -> Column:
     """A whole number, or the first digits in the answer, clamped; without any the middle."""
     whole, first = strip(answer).try_cast("int"), F.regexp_extract(answer, "([0-9]+)", 1).try_cast("int")
-    return F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(whole, first))), F.lit((low + high) // 2))
+    found = F.coalesce(whole, first)
+    return F.when(found.isNull(), (low + high) // 2).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), found)))
 
 
 def facet_text(answer: Column, prefill: str) -> Column:

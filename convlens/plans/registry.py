@@ -32,4 +32,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from convlens.plans import conversations, vectors  # noqa: F401
+    from convlens.plans import conversations, documents, events, sources, vectors  # noqa: F401
