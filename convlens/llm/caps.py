@@ -1,7 +1,7 @@
 """Near-duplicate vectors by spherical-cap filters from structured random product codes.
 
-A vector is cut into ``parts`` stretches; each stretch has a random code book of unit directions, and a filter is one
-direction from each book. A vector's score for a filter is the sum of its scores in the books, so all filters that it
+A vector is turned and cut into ``parts`` stretches; each stretch has a random code book of unit directions, and a
+filter is one direction from each book. Several such codes, each with its own turn, even out what one book lacks. A vector's score for a filter is the sum of its scores in the books, so all filters that it
 exceeds are listed by decoding from the sorted partial sums without visiting the rest. Vectors that exceed the same
 filter meet there and are verified in double precision. Equal vectors form a class first; the number of directions
 and the cap height follow the number of classes, so a filter holds about as many vectors at every size. A filter
@@ -29,34 +29,49 @@ from convlens.llm.common import Scratch, components
 
 
 class Code:
-    """Random product code over ``dim`` dimensions with ``parts`` books of ``size`` directions."""
+    """Random product codes over ``dim`` dimensions: ``codes`` of them, each with ``parts`` books of ``size`` directions."""
 
-    def __init__(self, dim: int, parts: int, size: int, height: float, seed: int):
+    def __init__(self, dim: int, codes: int, parts: int, size: int, height: float, least: int, seed: int):
         draw = np.random.default_rng(seed)
-        # A random rotation spreads whatever structure the dimensions have.
-        self.rotation = np.linalg.qr(draw.standard_normal((dim, dim)))[0]
+        parts = min(parts, dim)
         self.cuts = np.linspace(0, dim, parts + 1).astype(int)
-        self.books = []
-        for a, b in zip(self.cuts[:-1], self.cuts[1:]):
-            book = draw.standard_normal((size, max(b - a, 1)))
-            self.books.append(book[:, : b - a] / np.linalg.norm(book, axis=1, keepdims=True) * math.sqrt(max(b - a, 1)))
-        self.size, self.height = size, height
+        # Random rotations spread whatever structure the dimensions have.
+        self.rotations = [np.linalg.qr(draw.standard_normal((dim, dim)))[0] for _ in range(codes)]
+        self.books = [[self.book(draw, size, b - a) for a, b in zip(self.cuts[:-1], self.cuts[1:])] for _ in range(codes)]
+        self.size, self.height, self.least = size, height, least
+
+    @staticmethod
+    def book(draw: np.random.Generator, size: int, dim: int) -> np.ndarray:
+        x = draw.standard_normal((size, dim))
+        return x / np.linalg.norm(x, axis=1, keepdims=True) * math.sqrt(dim)
+
+    def scores(self, unit: np.ndarray, code: int) -> list[np.ndarray]:
+        turned = unit @ self.rotations[code].T
+        return [turned[:, a:b] @ book.T for (a, b), book in zip(zip(self.cuts[:-1], self.cuts[1:]), self.books[code])]
 
     def filters(self, unit: np.ndarray) -> list[np.ndarray]:
-        """For each unit vector the sorted numbers of all filters whose score reaches the height."""
-        turned = unit @ self.rotation.T
-        scores = [turned[:, a:b] @ book.T for (a, b), book in zip(zip(self.cuts[:-1], self.cuts[1:]), self.books)]
-        half = len(scores) // 2
-        out = []
-        for row in range(len(unit)):
-            left, right = self.sums([s[row] for s in scores[:half]]), self.sums([s[row] for s in scores[half:]])
-            lo, ro = np.argsort(-left), np.argsort(-right)
-            left, right = left[lo], right[ro]
-            fit = np.searchsorted(-right, left - self.height, side="right")
-            a = np.repeat(lo, fit)
-            b = ro[np.arange(fit.sum()) - np.repeat(np.cumsum(fit) - fit, fit)]
-            out.append(np.sort(a * len(right) + b))
-        return out
+        """For each unit vector the sorted numbers of the filters whose score reaches the height.
+
+        Where a code has fewer than ``least`` of these, the height is lowered for this vector to its ``least`` best.
+        """
+        out: list[list[np.ndarray]] = [[] for _ in range(len(unit))]
+        for code in range(len(self.books)):
+            scores = self.scores(unit, code)
+            half, offset = (len(scores) + 1) // 2, code * self.size ** len(scores)
+            for row in range(len(unit)):
+                left, right = self.sums([s[row] for s in scores[:half]]), self.sums([s[row] for s in scores[half:]])
+                lo, ro = np.argsort(-left), np.argsort(-right)
+                left, right = left[lo], right[ro]
+                height = self.height
+                fit = np.searchsorted(-right, left - height, side="right")
+                if fit.sum() < self.least:
+                    best = (left[: self.least, None] + right[None, : self.least]).ravel()
+                    height = np.partition(best, max(0, len(best) - self.least))[max(0, len(best) - self.least)]
+                    fit = np.searchsorted(-right, left - height + 1e-12, side="right")
+                a = np.repeat(lo, fit)
+                b = ro[np.arange(fit.sum()) - np.repeat(np.cumsum(fit) - fit, fit)]
+                out[row].append(offset + a * len(right) + b)
+        return [np.sort(np.concatenate(x)) for x in out]
 
     @staticmethod
     def sums(parts: list[np.ndarray]) -> np.ndarray:
@@ -74,10 +89,10 @@ def joint(height: float, cosine: float) -> float:
     return float(np.trapezoid(density * above, x))
 
 
-def plan(n: int, cosine: float, per_filter: float, wanted: float, parts: int) -> tuple[int, float]:
+def plan(n: int, cosine: float, per_filter: float, wanted: float, codes: int, parts: int) -> tuple[int, float]:
     """(directions a book, cap height): filters of about ``per_filter`` vectors, ``wanted`` of them shared by a pair."""
     height = NormalDist().inv_cdf(1 - min(0.05, per_filter / max(n, 1)))
-    return max(2, math.ceil((wanted / joint(height, cosine)) ** (1 / parts))), height
+    return max(2, math.ceil((wanted / codes / joint(height, cosine)) ** (1 / parts))), height
 
 
 def clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -132,7 +147,9 @@ def near_duplicates(
     cosine: float = 0.95,
     per_filter: float = 8.0,
     wanted: float = 9.0,
-    parts: int = 4,
+    least: int = 4,
+    codes: int = 4,
+    parts: int = 2,
     block: int = 512,
     seed: int = 6,
     id_col: str = "vec_id",
@@ -149,11 +166,11 @@ def near_duplicates(
     usable = F.coalesce(F.size("v") == length["d"], F.lit(False)) & F.col("key").isNotNull()
     classes = rows.where(usable).groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
     classes = scratch.put(classes, "classes")
-    size, height = plan(classes.count(), cosine, per_filter, wanted, parts)
+    size, height = plan(classes.count(), cosine, per_filter, wanted, codes, parts)
     dim = length["d"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Code(dim, parts, size, height, seed)
+        code = Code(dim, codes, parts, size, height, least, seed)
         for batch in batches:
             x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             x = x / np.abs(x).max(1, keepdims=True)
