@@ -165,7 +165,7 @@ def roots_of(linked: np.ndarray) -> np.ndarray:
 
 
 def verify(table: pa.Table, threshold: float) -> pa.Table:
-    """Of one task: weighted number of links of each class and the least class it is connected with in this task."""
+    """Of one task: weighted number of links of each class and one class that all it is connected with in this task share."""
     by: dict[bytes, list[int]] = {}
     for i, g in enumerate(table.column("group").to_pylist()):
         by.setdefault(g, []).append(i)
@@ -193,7 +193,7 @@ def verify(table: pa.Table, threshold: float) -> pa.Table:
             full[:m, m:], full[m:, :m] = linked, linked.T
             own, root = left + right, roots_of(full)
             counts = np.concatenate((linked @ wr, wl @ linked))
-            out += [(keys[i], int(c), min(keys[own[r]], keys[i])) for i, c, r in zip(own, counts, root)]
+            out += [(keys[i], int(c), keys[own[r]]) for i, c, r in zip(own, counts, root)]
     k, c, r = zip(*out) if out else ((), (), ())
     return pa.table({"key": pa.array(k, pa.binary()), "links": pa.array(c, pa.int64()), "root": pa.array(r, pa.binary())})
 
