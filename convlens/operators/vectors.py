@@ -178,7 +178,7 @@ def kmeans(df: DataFrame, k: int, *, seed: int = 42, starts: int = 10, iteration
     from pyspark.ml.functions import array_to_vector
 
     n = df.count()
-    if n == 0:
+    if min(k, n) <= 1:  # nothing to divide
         return df.select("id", F.lit(0).alias("label"))
     data = df.select("id", array_to_vector(V.doubles(F.col("v"))).alias("features")).persist()
     try:
