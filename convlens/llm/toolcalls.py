@@ -47,7 +47,8 @@ def faults(value: Any, schema: dict, at: str = "$") -> list[str]:
     kinds = schema.get("type")
     if kinds:
         wanted = [kinds] if isinstance(kinds, str) else kinds
-        fits = any(isinstance(value, TYPES[k]) and not (isinstance(value, bool) and k in ("number", "integer")) for k in wanted)
+        whole = isinstance(value, float) and value.is_integer()  # 1.0 is an integer in JSON
+        fits = any((isinstance(value, TYPES[k]) or k == "integer" and whole) and not (isinstance(value, bool) and k in ("number", "integer")) for k in wanted)
         if not fits:
             return [f"{at}: not of type {'/'.join(wanted)}"]
     out = []
