@@ -177,7 +177,7 @@ def stage(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, end_id
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
         gear = np.random.default_rng(7).integers(0, 1 << 63, 1 << (8 * encoder.dtype.itemsize if encoder.dtype.itemsize == 2 else 20), dtype=np.uint64)
-        packer = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True)
+        packer = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True)
         end = np.array([end_id], encoder.dtype)
         for whole in batches:
             for batch in pieces_of(whole, "text"):
@@ -207,7 +207,7 @@ def write_store(
     id_col: str = "doc_id",
     text_col: str = "text",
     end_id: int = 0,
-    bits: int = 9,
+    bits: int = 10,
     packs: int | None = None,
 ) -> DataFrame:
     """Writes the store into ``scratch`` and returns its rows as read back."""
