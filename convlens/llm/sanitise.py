@@ -32,28 +32,44 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){11}(?:[\x20-]?[0-9])*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WORD = r"\p{L}{4,}+"
 NEAR = 100
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; inside a lambda an expression would be computed for each element."""
+    return F.transform(F.array(value), body)[0]
 
 
 def prefix_sums(lengths: Column) -> Column:
-    """Exclusive running sums of an array, by blocks, so the work does not grow with the square of its size."""
+    """Exclusive running sums of an array variable, by blocks, so the work does not grow with the square of its size."""
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     block = 64
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / block).cast("int")), lambda b: total(F.slice(lengths, b * block + 1, F.lit(block))))
-    return F.transform(
-        F.sequence(F.lit(0), F.size(lengths) - 1),
-        lambda i: total(F.slice(blocks, F.lit(1), F.floor(i / block).cast("int"))) + total(F.slice(lengths, F.floor(i / block).cast("int") * block + 1, i % block)),
-    )
+    sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / block).cast("int")), lambda b: total(F.slice(lengths, b * block + 1, F.lit(block))))
+
+    def along(blocks: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.size(lengths) - 1),
+            lambda i: total(F.slice(blocks, F.lit(1), F.floor(i / block).cast("int"))) + total(F.slice(lengths, F.floor(i / block).cast("int") * block + 1, i % block)),
+        )
+
+    return let(sums, along)
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """All matches as an array of (value, start, end)."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(between, F.lit(1), F.size(values)), values, lambda g, v: F.length(g) + F.length(v))
-    ends = F.zip_with(prefix_sums(steps), steps, lambda a, b: a + b)
-    spans = F.zip_with(values, ends, lambda v, e: F.struct(v.alias("value"), (e - F.length(v)).cast("long").alias("start"), e.cast("long").alias("end")))
-    return F.when(F.size(values) > 0, spans).otherwise(F.array().cast("array<struct<value:string,start:bigint,end:bigint>>"))
+    """All matches as an array of (value, start, end); the pattern runs twice over the text, for matches and for gaps."""
+
+    def spans(values: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(values))
+        steps = F.zip_with(gaps, values, lambda g, v: F.length(g) + F.length(v))
+
+        def placed(steps: Column) -> Column:
+            ends = F.zip_with(prefix_sums(steps), steps, lambda a, b: a + b)
+            return F.zip_with(values, ends, lambda v, e: F.struct(v.alias("value"), (e - F.length(v)).cast("long").alias("start"), e.cast("long").alias("end")))
+
+        none = F.array().cast("array<struct<value:string,start:bigint,end:bigint>>")
+        return F.when(F.size(values) > 0, let(steps, placed)).otherwise(none)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
 
 
 def digits(value: Column) -> Column:
@@ -132,7 +148,12 @@ def find(
     close = held.select("doc_id", "hash", "entity", "context", F.explode("words").alias("term"))
     contexts = close.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("_contexts")).where(F.col("_contexts") >= support)
     together = close.select("doc_id", "hash", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("_both"))
-    pairs = scratch.put(contexts.join(together, ["entity", "term"]).join(entities, "entity"), "pairs")
+    # A term is in at least as many documents as hold it near some entity; where that alone leaves too little
+    # information, its documents need not be counted: the share asks for df <= both * (n / docs) ** (1 - disclosure).
+    least = close.select("doc_id", "hash", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("_least"))
+    most = F.col("_both") * F.pow(n / F.col("_docs"), F.lit(1 - disclosure)) * (1 + 1e-9)
+    pairs = contexts.join(together, ["entity", "term"]).join(entities, "entity").join(least, "term").where(F.col("_least") <= most)
+    pairs = scratch.put(pairs.drop("_least"), "pairs")
 
     # Only bucket numbers go out, at most BUCKETS of them; they keep most other words out of the shuffle.
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS))
