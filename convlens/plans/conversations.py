@@ -224,7 +224,7 @@ def result_json(spark, d):
 bool_or(regexp_matches(text, '[^\\x00-\\x7F]')) AS multilingual, CASE WHEN count(*) <= 3 THEN 'small' WHEN count(*) <= 6 THEN 'medium' ELSE 'large' END AS size FROM conversations WHERE turn < 20 GROUP BY conv_id""")
 def shape_flags(spark, d):
     t = F.col("text")
-    return messages(spark, d).where("turn < 20").groupBy("conv_id").agg(
+    return messages(spark, d).groupBy("conv_id").agg(
         F.bool_or(F.rlike(t, F.lit("```|def |class |function"))).alias("code"), F.bool_or(F.contains(F.lower(t), F.lit("and"))).alias("analytical"),
         F.bool_or(F.length(t) > 1000).alias("complex"), F.bool_or(F.rlike(t, F.lit(r"[^\x00-\x7F]"))).alias("multilingual"),
         F.when(F.count(F.lit(1)) <= 3, "small").when(F.count(F.lit(1)) <= 6, "medium").otherwise("large").alias("size"),
