@@ -375,29 +375,40 @@ def random_2d(df: DataFrame, seed: int = 27) -> DataFrame:
     return scaled_2d(df.select("id", x.alias("x"), y.alias("y")))
 
 
-def force_layout(df: DataFrame, *, neighbours: int = 15, rounds: int = 100, seed: int = 27, most: int = 2000) -> DataFrame:
-    """(id, x, y) by attraction along the neighbour graph and repulsion from random points; for tables up to ``most``."""
-    if df.count() > most:
-        return pca_2d(df)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, draw = pdf.sort_values("id"), np.random.default_rng(seed)
-        x, n = matrix(pdf["v"]), len(pdf)
-        at = draw.standard_normal((n, 2)) * 0.1
-        d = distances(x, x)
-        np.fill_diagonal(d, np.inf)
-        near = np.argsort(d, axis=1, kind="stable")[:, : min(neighbours, max(n - 1, 0))]
-        weight = np.exp(-np.take_along_axis(d, near, 1))
-        for r in range(rounds):
-            step = 0.5 * (1 - r / rounds)
-            pull = ((at[near] - at[:, None]) * weight[..., None]).mean(1) if near.shape[1] else 0
-            other = draw.integers(0, n, (n, min(20, n)))
-            away = at[:, None] - at[other]
-            push = (away / (0.01 + (away**2).sum(-1, keepdims=True))).mean(1) * 0.01
-            at = at + step * (pull + push)
-        return pd.DataFrame({"id": pdf["id"], "x": at[:, 0], "y": at[:, 1]})
-
-    return scaled_2d(df.select("id", "v").groupBy().applyInPandas(run, "id long, x double, y double"))
+def numbered(df: DataFrame) -> DataFrame:
+    """(id, n): rows numbered from 0 without gaps, block by block of ``blocks``."""
+    b = blocks(df.select("id"))
+    sizes = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_size"))  # one row a block
+    starts = sizes.select("_b", (F.sum("_size").over(Window.orderBy("_b")) - F.col("_size")).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy("id")) - 1
+    return b.join(starts, "_b").select("id", (F.col("_start") + place).alias("n"))
+
+
+def force_layout(df: DataFrame, checkpoint, *, neighbours: int = 15, rounds: int = 100, seed: int = 27) -> DataFrame:
+    """(id, x, y) by attraction along the neighbour graph and repulsion from random points, drawn anew each round.
+
+    One method at every size: each round joins the ends of all links and draws with their places; ``checkpoint`` cuts
+    the lineage of each round. Draws and first places are hashes of the number of the row.
+    """
+    rows = checkpoint(numbered(df))
+    total = rows.count()
+    end = lambda name, n: rows.select(F.col("id").alias(name), F.col("n").alias(n))
+    near = nearest(df, neighbours).select(F.col("id").alias("_id"), F.col("neighbour").alias("_other"), F.exp(-F.col("distance")).alias("w"))
+    links = checkpoint(near.join(end("_id", "n"), "_id").join(end("_other", "m"), "_other").select("n", "m", "w"))
+    part = lambda salt: (F.shiftrightunsigned(F.xxhash64("n", F.lit(seed), F.lit(salt)), 11) + 0.5) / float(1 << 53)
+    far, turn = 0.1 * F.sqrt(-2 * F.log(part("far"))), 2 * np.pi * part("turn")
+    at = checkpoint(rows.select("n", (far * F.cos(turn)).alias("x"), (far * F.sin(turn)).alias("y")))
+    for r in range(rounds):
+        other = F.pmod(F.xxhash64("n", "_draw", F.lit(seed), F.lit(r)), F.lit(total))
+        draws = rows.select("n", F.explode(F.sequence(F.lit(1), F.lit(min(20, total)))).alias("_draw")).select("n", other.alias("m"), F.lit(None).cast("double").alias("w"))
+        ends = at.select(F.col("n").alias("m"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+        both = links.unionByName(draws).join(ends, "m").join(at, "n")
+        dx, dy = F.col("_x") - F.col("x"), F.col("_y") - F.col("y")
+        push = lambda d: F.avg(F.when(F.col("w").isNull(), -d / (0.01 + dx * dx + dy * dy))) * 0.01
+        pull = lambda d: F.coalesce(F.avg(F.col("w") * d), F.lit(0.0))
+        moved = lambda c, d: (F.first(c) + 0.5 * (1 - r / rounds) * (pull(d) + push(d))).alias(c)
+        at = checkpoint(both.groupBy("n").agg(moved("x", dx), moved("y", dy)))
+    return scaled_2d(at.join(rows, "n").select("id", "x", "y"))
 
 
 def embed_text(texts: DataFrame, dim: int = 64, text: str = "text") -> DataFrame:

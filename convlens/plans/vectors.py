@@ -130,7 +130,7 @@ def random_2d(spark, d):
 
 @query("force_layout")
 def force_layout(spark, d):
-    return X.force_layout(vectors(spark, d), rounds=30)
+    return X.force_layout(vectors(spark, d), checkpointed, rounds=30)
 
 
 @query("map_points", "SELECT vec_id AS id, coalesce('Cluster ' || CASE WHEN label < 5 THEN label END, 'cluster_' || label) AS cluster FROM embeddings")

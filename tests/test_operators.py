@@ -109,6 +109,19 @@ def test_pca_range(spark):
     assert max(r["x"] for r in got) == pytest.approx(1) and min(r["y"] for r in got) == pytest.approx(-1)
 
 
+def test_force_layout_beyond_2000_rows(spark):
+    draw = np.random.default_rng(3)
+    # Groups of 16, so the 15 neighbours of a row are the rest of its group.
+    df = vectors(spark, np.repeat(draw.normal(size=(132, 8)) * 5, 16, axis=0) + draw.normal(size=(2112, 8)) * 0.01)
+    at = np.array([(r["x"], r["y"]) for r in X.force_layout(df, checkpointed, rounds=6).orderBy("id").collect()])
+    flat = np.array([(r["x"], r["y"]) for r in X.pca_2d(df).orderBy("id").collect()])
+    assert at.shape == (2112, 2) and np.abs(at).max() == pytest.approx(1)
+    near = {(r["id"], r["neighbour"]) for r in X.nearest(df, 15).collect()}
+    a, b = np.array(sorted(near)).T
+    spread = lambda i, j: np.linalg.norm(at[i] - at[j], axis=1).mean()
+    assert spread(a, b) < 0.6 * spread(a, draw.permutation(b)) and not np.allclose(at, flat, atol=0.2)
+
+
 def test_circuit_breaker(spark):
     events = [(0, i, float(i), False) for i in range(5)] + [(0, 5, 10.0, True), (0, 6, 70.0, True), (0, 7, 71.0, True), (0, 8, 72.0, True)]
     df = spark.createDataFrame(events, "op int, seq long, at double, ok boolean")
