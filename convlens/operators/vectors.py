@@ -223,11 +223,10 @@ def evaluate(df: DataFrame, by: str) -> dict[str, float]:
 
 
 def auto_cluster(df: DataFrame, checkpoint, *, ks: Sequence[int], eps: float, least: int = 5) -> tuple[str, DataFrame]:
-    """k-means for each k, density clustering, and Ward where the table is small: the best composite score wins, first of equals."""
+    """k-means for each k, density clustering and Ward for each k: the best composite score wins, first of equals."""
     scaled = checkpoint(standardize(df))
     tried = [(f"kmeans_{k}", kmeans(scaled, k, starts=1)) for k in ks] + [("dbscan", dbscan(scaled, eps, least, checkpoint))]
-    if scaled.count() <= 2000:
-        tried += [(f"ward_{k}", ward(scaled, k)) for k in ks]
+    tried += [(f"ward_{k}", ward(scaled, k)) for k in ks]
     scored = []
     for name, labels in tried:
         kept = checkpoint(labels)
@@ -238,70 +237,85 @@ def auto_cluster(df: DataFrame, checkpoint, *, ks: Sequence[int], eps: float, le
 
 
 def merges(x: np.ndarray) -> list[tuple[int, int, float]]:
-    """Ward's merges by the Lance-Williams formula; rows are clusters 0..n-1, merges are numbered from n."""
+    """Ward's merges by chains of nearest neighbours, least first; rows are clusters 0..n-1, merges are numbered from n.
+
+    Memory is in proportion to the rows, time to their square. Ties go to the smaller row.
+    """
     n = len(x)
-    d = np.array([((x - row) ** 2).sum(1) for row in x]) if n else np.zeros((0, 0))
-    np.fill_diagonal(d, np.inf)
-    size, name, out = np.ones(n), list(range(n)), []
-    alive = np.ones(n, bool)
-    for step in range(n - 1):
-        i, j = divmod(int(np.argmin(d)), n)
-        i, j = min(i, j), max(i, j)
-        out.append((name[i], name[j], float(np.sqrt(d[i, j]))))
-        total = size + size[i] + size[j]
-        row = ((size + size[i]) * d[i] + (size + size[j]) * d[j] - size * d[i, j]) / total
-        row[~alive] = np.inf
-        row[[i, j]] = np.inf
-        d[i], d[:, i] = row, row
-        d[j], d[:, j] = np.inf, np.inf
-        alive[j], size[i], name[i] = False, size[i] + size[j], n + step
+    centre, size, row = np.array(x, float), np.ones(n), np.arange(n)
+    chain, found, live = [], [], n  # chain holds places; places from ``live`` on are free
+    norm = (centre**2).sum(1)
+    while live > 1:
+        chain = chain or [int(np.argmin(row[:live]))]
+        while True:
+            a = chain[-1]
+            c, s, m = centre[:live], size[:live], norm[:live]
+            share = 2 * s * s[a] / (s + s[a])
+            rough = share * np.maximum(m - 2 * (c @ c[a]) + m[a], 0)
+            rough[a] = np.inf
+            # Products only choose the candidates; differences decide, so equal vectors are exactly 0 apart.
+            some = np.flatnonzero(rough <= rough.min() + 1e-9 * share * (m + m[a]))
+            some = some[some != a]
+            d = share[some] * ((c[some] - c[a]) ** 2).sum(1)
+            b = int(some[np.lexsort((row[some], d))[0]])
+            if len(chain) > 1 and chain[-2] in some[d == d.min()]:
+                b = chain[-2]
+                break
+            chain.append(b)
+        chain = chain[:-2]
+        found.append((float(np.sqrt(d.min())), int(row[a]), int(row[b])))
+        into = size[a] + size[b]
+        centre[a] = (size[a] * centre[a] + size[b] * centre[b]) / into
+        size[a], row[a], norm[a] = into, min(row[a], row[b]), (centre[a] ** 2).sum()
+        live -= 1
+        centre[b], size[b], row[b], norm[b] = centre[live], size[live], row[live], norm[live]
+        chain = [b if p == live else p for p in chain]
+    # A merge is found after those below it, so a stable sort by height keeps that order.
+    top, name, out = list(range(n)), list(range(n)), []
+
+    def root(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    for step, (height, i, j) in enumerate(sorted(found, key=lambda f: f[0])):
+        i, j = sorted((root(i), root(j)))
+        out.append((name[i], name[j], height))
+        top[j], name[i] = i, n + step
     return out
 
 
-def ward(df: DataFrame, k: int, most: int = 4000) -> DataFrame:
-    """(id, label) by Ward's criterion. Quadratic, so for cluster-level tables; larger ones use bisecting k-means."""
-    n = df.count()
-    if n > most:
-        from pyspark.ml.clustering import BisectingKMeans
-        from pyspark.ml.functions import array_to_vector
-
-        data = df.select("id", array_to_vector(V.doubles(F.col("v"))).alias("features"))
-        return BisectingKMeans(k=k, seed=42).fit(data).transform(data).select("id", F.col("prediction").cast("int").alias("label"))
+def ward(df: DataFrame, k: int) -> DataFrame:
+    """(id, label) by Ward's criterion, labels by the least id. Quadratic in one task, so meant for cluster-level tables."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        groups = {i: [i] for i in range(len(pdf))}
-        for s, (a, b, _) in enumerate(merges(matrix(pdf["v"]))):
-            if len(groups) <= k:
-                break
-            groups[len(pdf) + s] = groups.pop(a) + groups.pop(b)
-        label = np.zeros(len(pdf), int)
-        for g, rows in enumerate(sorted(groups.values(), key=min)):
-            label[rows] = g
-        return pd.DataFrame({"id": pdf["id"], "label": label})
+        n, tree = len(pdf), merges(matrix(pdf["v"]))
+        group = list(range(2 * n - 1))
+        for s in reversed(range(max(n - k, 0))):
+            for i in tree[s][:2]:
+                group[i] = group[n + s]
+        _, first, label = np.unique(group[:n], return_index=True, return_inverse=True)
+        return pd.DataFrame({"id": pdf["id"], "label": np.argsort(np.argsort(first))[label]})
 
     return df.select("id", "v").groupBy().applyInPandas(run, "id long, label int")
 
 
 def hierarchy(cents: DataFrame, by: str) -> DataFrame:
-    """(node, parent, level, height) of the dendrogram over cluster centroids, a cluster-level table; the root has no parent."""
-    rows = cents.orderBy(by).limit(4000).collect()
-    names = [f"cluster_{r[by]}" for r in rows]
-    tree = merges(np.array([r["centroid"] for r in rows], float)) if rows else []
-    label = lambda i: names[i] if i < len(names) else f"internal_{i - len(names)}"
-    parent, height = {}, dict.fromkeys(range(len(names)), 0.0)
-    for s, (a, b, h) in enumerate(tree):
-        parent[a] = parent[b] = len(names) + s
-        height[len(names) + s] = h
-
-    def level(i: int) -> int:
-        steps = 0
-        while i in parent:
-            i, steps = parent[i], steps + 1
-        return steps
-
-    out = [(label(i), label(parent[i]) if i in parent else None, level(i), height[i]) for i in height]
-    return cents.sparkSession.createDataFrame(out, "node string, parent string, level int, height double")
+    """(node, parent, level, height) of the dendrogram over all cluster centroids; the root has no parent. One task, as ``ward``."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(by)
+        n, tree = len(pdf), merges(matrix(pdf["centroid"]))
+        names = [f"cluster_{c}" for c in pdf[by]] + [f"internal_{s}" for s in range(len(tree))]
+        parent, level = [None] * len(names), [0] * len(names)
+        for s in reversed(range(len(tree))):
+            for i in tree[s][:2]:
+                parent[i], level[i] = names[n + s], level[n + s] + 1
+        return pd.DataFrame({"node": names, "parent": parent, "level": level, "height": [0.0] * n + [h for _, _, h in tree]})
+
+    return cents.select(by, "centroid").groupBy().applyInPandas(run, "node string, parent string, level int, height double")
 
 
 def greedy_merge(cents: DataFrame, by: str, threshold: float) -> DataFrame:

@@ -91,6 +91,36 @@ def test_ward_splits_far_groups(spark):
     assert labels == {0: 0, 2: 0, 1: 1, 3: 1}
 
 
+def test_ward_beyond_4000_rows(spark):
+    # By the halves of bisecting k-means the wide middle group would be cut; labels follow the least id.
+    draw = np.random.default_rng(4)
+    place = np.repeat([[0.0, 0], [6, 0], [13, 0]], [1400, 1400, 1400], axis=0)[draw.permutation(4200)]
+    labels = [r["label"] for r in X.ward(vectors(spark, place + draw.normal(size=(4200, 2)) * 0.1), 3).orderBy("id").collect()]
+    _, first, group = np.unique(place[:, 0], return_index=True, return_inverse=True)
+    assert labels == list(np.argsort(np.argsort(first))[group])
+
+
+@pytest.mark.parametrize("n", [2, 3, 40])
+def test_merges_are_least_ward_steps(n):
+    x = np.random.default_rng(n).normal(size=(n, 3))
+    groups = {i: [i] for i in range(n)}
+    for s, (a, b, height) in enumerate(X.merges(x)):
+        cost = {(i, j): 2 * len(p) * len(q) / (len(p) + len(q)) * ((x[p].mean(0) - x[q].mean(0)) ** 2).sum() for i, p in groups.items() for j, q in groups.items() if i < j}
+        least = min(cost, key=cost.get)
+        assert {a, b} == set(least) and height == pytest.approx(cost[least] ** 0.5)
+        groups[n + s] = groups.pop(a) + groups.pop(b)
+    assert len(groups) == 1
+
+
+def test_hierarchy_keeps_all_clusters(spark):
+    x = np.random.default_rng(5).normal(size=(4100, 2))
+    cents = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "c int, centroid array<double>")
+    got = {r["node"]: r for r in X.hierarchy(cents, "c").collect()}
+    assert len(got) == 2 * 4100 - 1 and all(f"cluster_{i}" in got for i in range(4100))
+    assert [r["node"] for r in got.values() if r["parent"] is None] == ["internal_4098"]
+    assert all(r["parent"] is None and r["level"] == 0 or r["level"] == got[r["parent"]]["level"] + 1 and r["height"] <= got[r["parent"]]["height"] for r in got.values())
+
+
 def test_dbscan_noise_and_borders(spark):
     x = [[0, 0], [0, 0.1], [0.1, 0], [5, 5], [5, 5.1], [5.1, 5], [20, 20]]
     labels = {r["id"]: r["label"] for r in X.dbscan(vectors(spark, x), 0.2, 3, checkpointed).collect()}
