@@ -2,7 +2,7 @@
 
 Base kinds, leftmost and non-overlapping per kind: ``assign`` (a credential word, then : or =, then a value of six or
 more characters), ``access`` (AKIA..., 20 or more) and ``hex`` (24 or more of 0-9a-f). Beyond these, ``guess`` marks the
-value after a wider set of credential words if the cheapest way to guess it costs at least ``least_cost`` (log10 of
+value after these and more credential words, or after an authorization scheme, if the cheapest way to guess it costs at least ``least_cost`` (log10 of
 guesses) and it overlaps no base span. The cost is the minimum over all segmentations into dictionary words (also
 capitalised or with digits for letters), dates, repeats, runs of the alphabet or digits, keyboard walks and
 brute-force stretches: a dynamic programme over (position, number of segments), as a guesser must also try the orders
@@ -30,13 +30,16 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
+#: Short words start a name or follow "_" or "-" in it (DB_PWD); the base words may also stand inside one (dbPassword).
 CONTEXT = re.compile(
-    r"""(?ai:\b(?:pwd|pass|passphrase|passcode|credentials?|authorization|bearer|private_?key|access_?key|secret_?key|client_?secret|session_?key|login|pin))["']?\x20*(?:[:=]|\bis\b)\x20*["']?([^\s"'<>,;]{8,})"""
+    r"""(?:(?ai:(?:(?<![A-Z0-9])(?:pwd|pass|passphrase|passcode|credentials?|authorization|bearer|private[_-]?key|access[_-]?key|secret[_-]?key|client[_-]?secret|session[_-]?key|login|pin)|password|passwd|secret|token|api[_-]?key))["']?\x20*(?:[:=]|(?P<is>\bis\b))\x20*["']?(?ai:(?:bearer|basic|token|digest)\x20+)?["']?|(?P<bearer>(?ai:(?<![A-Z0-9])bearer)\x20+))(?P<value>[^\s"'<>,;]{8,})"""
 )
+#: Words as prose has them; after a bare "bearer" they are no value.
+PROSE = re.compile(r"[A-Z]?[a-z]+(?:[-'./][A-Za-z]?[a-z]+)*[.!?:)]*")
 #: What a text must hold to be looked at more closely; a superset of all kinds.
 MAYBE = (
-    r"AKIA|[0-9a-f]{24}|(?i:(?:passw(?:or)?d|secret|token|api_?key)[\"']?\x20*[:=])"
-    r"|(?i:(?:pwd|pass|passphrase|passcode|credentials?|authorization|bearer|key|login|pin)[\"']?\x20*(?:[:=]|is\b))"
+    r"AKIA|[0-9a-f]{24}|(?i:(?:passw(?:or)?d|secret|token|api_?key)[\"']?\x20*[:=])|(?i:bearer\x20)"
+    r"|(?i:(?:passw(?:or)?d|secret|token|pwd|pass|passphrase|passcode|credentials?|authorization|bearer|key|login|pin)[\"']?\x20*(?:[:=]|is\b))"
 )
 
 #: Frequent words of passwords, most frequent first.
@@ -145,8 +148,10 @@ def find_spans(text: str, least_cost: float) -> list[tuple[str, int, int]]:
     spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text) if len(m[0]) >= 24]
     base = sorted((a, b) for _, a, b in spans)
     for m in CONTEXT.finditer(text):
-        a, b = m.span(1)
-        if not any(x < b and a < y for x, y in base) and guess_cost(m[1]) >= least_cost:
+        a, b = m.span("value")
+        if m["bearer"] and PROSE.fullmatch(m["value"]):
+            continue
+        if not any(x < b and a < y for x, y in base) and guess_cost(m["value"]) >= least_cost:
             spans.append(("guess", a, b))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

@@ -26,6 +26,12 @@ def test_secret_spans(spark):
     assert got == {0: "assign:0:19", 1: "", 2: "access:0:20", 3: "hex:0:24", 4: "assign:2:18", 5: "", 6: "", 7: "guess:5:19", 8: ""}
 
 
+@pytest.mark.parametrize(("before", "value", "after"), [('password: "', "$Tr0ub4dor&3xQ!z9", '"'), ('db_password = "', "a#9X!kQ2@pLm7Zt", '"'), ("token=", "ab!9xKQ2mmP0zzQ1", ""), ('api_key: "', "{9fK2-xLq81-PzzT0}", '"'), ("the password is ", "kX93jd82LqPz71", " now"), ("DB_PWD=", "k3J9xLq2Zp8Rt7", ""), ("Authorization: Bearer ", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiI0In0.k3J9x", ""), ("sent bearer ", "k3J9xLq2Zp8Rt7", " then")])
+def test_guesses_after_base_words_names_and_schemes(spark, before, value, after):
+    got = S.scan(frame(spark, [before + value + after, "A bearer responsibilities"])).select(S.joined(F.col("found")).alias("s")).collect()
+    assert sorted(r["s"] for r in got) == ["", f"guess:{len(before)}:{len(before + value)}"]
+
+
 @pytest.mark.parametrize(("easy", "hard"), [("password", "pqxzvkwj"), ("aaaaaaaa", "akeozpwx"), ("qwertyui", "qjwzepry"), ("19850314", "19857392"), ("abcdefgh", "hbdgface"), ("P4ssw0rd", "P8sxw7rd")])
 def test_guess_cost(easy, hard):
     assert S.guess_cost(easy) < S.guess_cost(hard) <= len(hard) + 1
