@@ -6,7 +6,8 @@ value after these and more credential words, or after an authorization scheme, i
 guesses) and it overlaps no base span. The cost is the minimum over all segmentations into dictionary words (also
 capitalised or with digits for letters), dates, repeats, runs of the alphabet or digits, keyboard walks and
 brute-force stretches: a dynamic programme over (position, number of segments), as a guesser must also try the orders
-of the segments. Brute force is extended by one character at a time, so a value costs time in proportion to its length.
+of the segments. A brute-force character costs log10 of the alphabet that the value draws on (10 to 95; see ``PROSE`` for words
+after "is"). Brute force is extended by one character at a time, so a value costs time in proportion to its length.
 
 Spans are in code points of the whole text, end exclusive, ordered by start, then kind as listed. Null and empty texts
 have none. Repeated rows are scanned alike; an empty table gives an empty result. Only the named columns are read.
@@ -34,7 +35,7 @@ HEX = re.compile(r"[0-9a-f]+")
 CONTEXT = re.compile(
     r"""(?:(?ai:(?:(?<![A-Z0-9])(?:pwd|pass|passphrase|passcode|credentials?|authorization|bearer|private[_-]?key|access[_-]?key|secret[_-]?key|client[_-]?secret|session[_-]?key|login|pin)|password|passwd|secret|token|api[_-]?key))["']?\x20*(?:[:=]|(?P<is>\bis\b))\x20*["']?(?ai:(?:bearer|basic|token|digest)\x20+)?["']?|(?P<bearer>(?ai:(?<![A-Z0-9])bearer)\x20+))(?P<value>[^\s"'<>,;]{8,})"""
 )
-#: Words as prose has them; after a bare "bearer" they are no value.
+#: Words as prose has them; after a bare "bearer" they are no value, after "is" their letters cost less than random ones.
 PROSE = re.compile(r"[A-Z]?[a-z]+(?:[-'./][A-Za-z]?[a-z]+)*[.!?:)]*")
 #: What a text must hold to be looked at more closely; a superset of all kinds.
 MAYBE = (
@@ -121,9 +122,16 @@ def segments(value: str) -> list[tuple[int, int, float]]:
     return out
 
 
+def brute_rate(value: str) -> float:
+    """log10 of the alphabet a guesser must try for each character: the classes that the value has, 95 at most."""
+    small, capital, digit = (any(lo <= c <= hi for c in value) for lo, hi in ("az", "AZ", "09"))
+    other = any(not (c.isascii() and c.isalnum()) for c in value)
+    return math.log10(max(10, 26 * small + 26 * capital + 10 * digit + 33 * other))
+
+
 @lru_cache(20_000)
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation."""
+def guess_cost(value: str, rate: float = 1.0) -> float:
+    """log10 of the guesses for the cheapest segmentation; a brute-force character costs ``rate``."""
     n = len(value)
     if not n:
         return 0.0
@@ -137,7 +145,7 @@ def guess_cost(value: str) -> float:
     best[0][0] = 0.0
     for j in range(1, n + 1):
         for m in range(1, MOST_SEGMENTS + 1):
-            brute[j][m] = min(brute[j - 1][m], best[j - 1][m - 1] if j - 1 == 0 or m > 1 else far) + 1.0
+            brute[j][m] = min(brute[j - 1][m], best[j - 1][m - 1] if j - 1 == 0 or m > 1 else far) + rate
             best[j][m] = min([brute[j][m], *(best[i][m - 1] + c for i, c in ending[j])])
     return min(best[n][m] + math.log10(math.factorial(m)) for m in range(1, MOST_SEGMENTS + 1))
 
@@ -151,7 +159,8 @@ def find_spans(text: str, least_cost: float) -> list[tuple[str, int, int]]:
         a, b = m.span("value")
         if m["bearer"] and PROSE.fullmatch(m["value"]):
             continue
-        if not any(x < b and a < y for x, y in base) and guess_cost(m["value"]) >= least_cost:
+        rate = 1.0 if m["is"] and PROSE.fullmatch(m["value"]) else brute_rate(m["value"])
+        if not any(x < b and a < y for x, y in base) and guess_cost(m["value"], rate) >= least_cost:
             spans.append(("guess", a, b))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

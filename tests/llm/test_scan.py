@@ -32,6 +32,15 @@ def test_guesses_after_base_words_names_and_schemes(spark, before, value, after)
     assert sorted(r["s"] for r in got) == ["", f"guess:{len(before)}:{len(before + value)}"]
 
 
+@pytest.mark.parametrize(("value", "found"), [("x9Kq2vB7Lm", True), ("x9Kq2vB7", True), ("vQ#8z!Lw2", True), ("pqxzvkwj", True), ("83920175", False), ("password1", False), ("Summer2024!", False), ("qwertyui", False)])
+def test_short_random_values_are_guesses(value, found):
+    assert S.find_spans(f"pwd: {value}", 11.0) == ([("guess", 5, 5 + len(value))] if found else [])
+
+
+def test_short_words_of_prose_are_none():
+    assert not S.find_spans("The password is incorrect. The login is necessary, the pass is required.", 11.0)
+
+
 @pytest.mark.parametrize(("easy", "hard"), [("password", "pqxzvkwj"), ("aaaaaaaa", "akeozpwx"), ("qwertyui", "qjwzepry"), ("19850314", "19857392"), ("abcdefgh", "hbdgface"), ("P4ssw0rd", "P8sxw7rd")])
 def test_guess_cost(easy, hard):
     assert S.guess_cost(easy) < S.guess_cost(hard) <= len(hard) + 1
