@@ -3,10 +3,12 @@
 Base kinds, leftmost and non-overlapping per kind: ``email``, ``ip`` (parts at most 255), ``card`` (12 to 19 digits
 that pass the Luhn check) and ``phone`` (9 to 15 digits). A match that fails its check is dropped without a retry.
 Every base value is a protected entity. From the corpus it is estimated how much of an entity's information a term
-near it gives away: log(p(entity | term) / p(entity)) / log(1 / p(entity)), from the documents that hold the entity
-with the term close by, all documents with the term, and all documents. Terms at or above ``disclosure``, seen close
-to the entity in at least ``support`` different contexts (copies of a passage count once), are spans of kind ``term``
-in the documents that hold the entity. ``sanitised`` replaces values and terms: terms are generalised to ``[WORD]``, or
+gives away: log(p(entity | term) / p(entity)) / log(1 / p(entity)), from the documents that hold both, anywhere in the
+text, all documents with the term, and all documents. A term is a run of four letters or more. Terms at or above
+``disclosure`` are spans of kind ``term`` in the documents that hold the entity, if they have support: the entity stands
+in at least ``support`` texts with the term in which its contexts differ (copies, and near copies with the same
+contexts, count once), or the term is close to it in as many different contexts. ``sanitised`` replaces values and
+terms: terms are generalised to ``[WORD]``, or
 removed from ``removal`` on.
 
 Positions come from the match lengths and the lengths of what lies between, both in code points. Spans are end
@@ -144,24 +146,35 @@ def find(
     n = marked.count()
     held = marked.where(F.size("base") > 0).select("doc_id", "hash", F.explode("near").alias("e"))
     held = held.select("doc_id", "hash", "e.entity", "e.context", "e.words")
-    entities = held.select("doc_id", "hash", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("_docs"))
-    close = held.select("doc_id", "hash", "entity", "context", F.explode("words").alias("term"))
+    close = held.select("entity", "hash", "context", F.explode("words").alias("term"))
     contexts = close.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("_contexts")).where(F.col("_contexts") >= support)
-    together = close.select("doc_id", "hash", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("_both"))
-    # A term is in at least as many documents as hold it near some entity; where that alone leaves too little
-    # information, its documents need not be counted: the share asks for df <= both * (n / docs) ** (1 - disclosure).
-    least = close.select("doc_id", "hash", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("_least"))
-    most = F.col("_both") * F.pow(n / F.col("_docs"), F.lit(1 - disclosure)) * (1 + 1e-9)
-    pairs = contexts.join(together, ["entity", "term"]).join(entities, "entity").join(least, "term").where(F.col("_least") <= most)
-    pairs = scratch.put(pairs.drop("_least"), "pairs")
-
-    # Only bucket numbers go out, at most BUCKETS of them; they keep most other words out of the shuffle.
-    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS))
-    wanted = F.broadcast(pairs.select(bucket.alias("_b")).distinct())
-    all_terms = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    in_docs = all_terms.withColumn("_b", bucket).join(wanted, "_b", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    contexts = scratch.put(contexts, "contexts")
+    # Of copies of a text one row; near copies have the same contexts of the entity, so they are seen as one.
+    copies = held.select("doc_id", "hash", "entity").distinct().groupBy("entity", "hash").agg(F.count(F.lit(1)).alias("_copies"))
+    seen = held.groupBy("entity", "hash").agg(F.xxhash64(F.sort_array(F.collect_set("context"))).alias("_seen"))
+    each = scratch.put(copies.join(seen, ["entity", "hash"]), "each")
+    times = F.count_distinct("_seen").alias("_times")
+    entities = each.groupBy("entity").agg(F.sum("_copies").alias("_docs"), times).join(contexts.select("entity", F.lit(1).alias("_close")).distinct(), "entity", "left")
+    entities = entities.where((F.col("_times") >= support) | F.col("_close").isNotNull()).where(F.col("_docs") < n)
+    each = scratch.put(each.join(entities.select("entity", "_docs"), "entity"), "held")
+
+    words_of = lambda text: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))).alias("term")
+    in_docs = scratch.put(texts.select(words_of(F.col("text"))).groupBy("term").agg(F.count(F.lit(1)).alias("_df")), "terms")
+    # Only bucket numbers go out, at most BUCKETS of them; they keep most other texts out of the shuffle. Of the base
+    # values only e-mails have letters; their words do not count as words of the text.
+    bucket = F.pmod("hash", F.lit(BUCKETS))
+    holding = texts.withColumn("_b", bucket).join(F.broadcast(each.select(bucket.alias("_b")).distinct()), "_b", "left_semi")
+    holding = holding.join(each.select("hash").distinct(), "hash", "left_semi").dropDuplicates(["hash"])
+    outside = F.when(F.contains("text", F.lit("@")), F.regexp_replace("text", EMAIL, " ")).otherwise(F.col("text"))
+    # The share asks for df <= both * (n / docs) ** (1 - disclosure), and both is at most docs.
+    most = F.col("_docs") * F.pow(n / F.col("_docs"), F.lit(1 - disclosure)) * (1 + 1e-9)
+    whole = each.join(holding.select("hash", words_of(outside)).join(in_docs, "term"), "hash")
+    whole = whole.unionByName(close.select("entity", "hash", "term").distinct().join(each, ["entity", "hash"]).join(in_docs, "term")).where(F.col("_df") <= most)
+    one = whole.groupBy("entity", "term", "hash").agg(*[F.first(c).alias(c) for c in ("_copies", "_seen", "_docs", "_df")])
+    pairs = one.groupBy("entity", "term").agg(F.sum("_copies").alias("_both"), times, F.first("_docs").alias("_docs"), F.first("_df").alias("_df"))
+    pairs = pairs.join(contexts, ["entity", "term"], "left").where((F.col("_times") >= support) | F.col("_contexts").isNotNull())
     share = F.log(F.col("_both") / F.col("_df") * n / F.col("_docs")) / F.log(n / F.col("_docs"))
-    told = pairs.join(in_docs, "term").where(F.col("_docs") < n).withColumn("share", share).where(F.col("share") >= disclosure)
+    told = pairs.withColumn("share", share).where(F.col("share") >= disclosure)
     told = scratch.put(told.select("entity", "term", "share"), "told")
 
     marks = held.select("doc_id", "hash", "entity").distinct().join(told, "entity").groupBy("doc_id", "hash", "term").agg(F.max("share").alias("share"))

@@ -105,6 +105,19 @@ def test_revealing_terms(spark):
     assert all("boss" not in t and "Quux" not in t and "[EMAIL]" in t for t in clean)
 
 
+def test_revealing_terms_far_from_the_value(spark):
+    common = "ordinary words about things today " * 5
+    kinds = ("taxes", "rivers", "houses", "clouds")
+    told = [f"Quuxfort {common}{w} from boss@corp.example about {w}" for w in kinds]
+    copied = [f"Zyxbury {common} from chief@corp.example about bread"] * 4
+    edited = [f"Vexholm {w} {common} from owner@corp.example about bread" for w in kinds]
+    rest = [f"{common}{w} from about bread" for w in kinds] * 10
+    found = P.find(frame(spark, told + copied + edited + rest)).select("doc_id", F.filter("spans", lambda s: s["kind"] == 4).alias("s")).collect()
+    got = {r["doc_id"]: [(s["start"], s["end"], s["value"]) for s in r["s"]] for r in found}
+    assert all(got[i] == [(0, 8, "Quuxfort")] for i in range(4))
+    assert len(got) == 52 and not any(got[i] for i in range(4, 52))
+
+
 def test_sanitise_empty(spark):
     assert P.find(frame(spark, ["x"]).where("false")).count() == 0
 
