@@ -1,10 +1,9 @@
-"""Join of documents on the Jaccard similarity of their word n-grams, by a MinHash LSH forest and exact verification.
+"""Join of documents on the Jaccard similarity of their word n-grams, by MinHash banding and exact verification.
 
-Documents with equal n-gram sets form a class, stood for by one key. Each class has a signature; every tree of the
-forest sorts the classes by its own part of it, and a prefix of a label is a node of that tree's trie. Labels start at
-full length and matched prefixes are shortened until a pair at the threshold shares a prefix in some tree with the
-target probability. Classes that share a prefix are joined to the least key of that trie node, so a node with m
-classes gives m - 1 rows, never all pairs. Inside each connected candidate group all pairs are then verified exactly:
+Documents with equal n-gram sets form a class, stood for by one key. Each class has a signature of ``trees`` bands; the
+length of a band is the greatest for which a pair at the threshold shares a band with the target probability. It comes
+from the formula before data are read: there are no tries and nothing adapts to the data. Classes that share a band are
+joined to the least key of that bucket, so a bucket with m classes gives m - 1 rows, never all pairs. Inside each connected candidate group all pairs are then verified exactly:
 a large group is cut into blocks, each pair of blocks is one task, and a task counts shared n-grams of whole
 blocks by products of incidence matrices, so pairs are never written as rows. Links are thus counted exactly between
 all candidates; copies are counted through the number of documents of their class.
@@ -33,7 +32,7 @@ BUCKETS = 1 << 18
 
 
 def prefix_length(threshold: float, trees: int, recall: float, longest: int = 8) -> int:
-    """Shortens the matched prefix from ``longest`` until ``trees`` tries find a pair at the threshold often enough."""
+    """The greatest band length up to ``longest`` with which ``trees`` bands find a pair at the threshold often enough."""
     depth = longest
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1

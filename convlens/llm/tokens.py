@@ -286,7 +286,13 @@ def starts_of_packs(store: DataFrame) -> DataFrame:
 
 
 def read_store(store: DataFrame, tokenizer_bytes: int = 2) -> DataFrame:
-    """Rebuilds every document from the files and checks it: (doc_id, start, n_tokens, ids_crc32, n_chunks, n_stored)."""
+    """Rebuilds every document from the files and checks it: (doc_id, start, n_tokens, ids_crc32, n_chunks, n_stored).
+
+    The packs are checked against their manifests first, so a row or a manifest that is missing is an error.
+    """
+    damaged = damaged_packs(store).head(1)
+    if damaged:
+        raise ValueError(f"pack {damaged[0]['pack']} does not match its manifest")
     # Two numbers for each pack: as many rows as the store was written in partitions.
     rows = store.where("not manifest").join(F.broadcast(starts_of_packs(store)), "pack")
     rows = rows.select("doc_id", "uid", (F.col("pack_start") + F.col("offset")).alias("start"), "n_tokens", "digests", "sizes", "stored", "root")
@@ -325,21 +331,24 @@ def rebuild(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
 
 def damaged_packs(store: DataFrame) -> DataFrame:
-    """Packs whose manifest does not match the Merkle roots of their rows; empty for a sound store.
+    """Packs without a manifest or whose manifest does not match the Merkle roots of their rows; empty for a sound store.
 
     A pack is streamed in order, one task for each range of packs, so none is gathered in memory.
     """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack_now, roots, bad = None, RunningMerkle(), []
+        pack_now, roots, bad, open_pack = None, RunningMerkle(), [], False
         for whole in batches:
             for number, last, root in zip(*(whole.column(c).to_pylist() for c in ("pack", "manifest", "root"))):
                 if number != pack_now:
+                    bad += [pack_now] if open_pack else []
                     pack_now, roots = number, RunningMerkle()
+                open_pack = not last
                 if not last:
                     roots.add(root)
                 elif roots.root() != root:
                     bad.append(number)
+        bad += [pack_now] if open_pack else []
         yield pa.RecordBatch.from_arrays([pa.array(bad, pa.int32())], ["pack"])
 
     n = int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -63,6 +63,14 @@ def test_damage_is_found(spark, documents):
         K.read_store(broken).collect()
 
 
+def test_missing_rows_are_found_on_reading(spark, documents):
+    _, df = documents
+    store = K.write_store(df.where("doc_id < 3"), PATH, Scratch(spark, "test-missing"))
+    for lost in (store.where("manifest or doc_id <> 2"), store.where("not manifest")):
+        with pytest.raises(Exception, match="does not match"):
+            K.read_store(lost).collect()
+
+
 def test_empty(spark, documents):
     _, df = documents
     assert K.read_store(K.write_store(df.where("false"), PATH, Scratch(spark, "test-empty"))).count() == 0
