@@ -4,16 +4,20 @@ An item of m characters that occurs with at most k edits shares at least m - q +
 place, on diagonals that differ by at most k. Every text's q-grams are looked up among the items' (a bit table first,
 then exact hashes); hits are counted per item in overlapping bands of diagonals 2 (k + 1) wide, one starting every
 k + 1; bands that reach the bound are aligned with the item by a banded edit distance. A bound the lemma proves loses
-no occurrence within the budget.
-
-Both texts are compared in lower case with runs of white space as one blank. Items of fewer than ``least_chars``
-characters, null items included, are not searched for: they say nothing about a leak. Null and empty texts have no
-hits. Repeated rows and copies are each reported; repeated items by each of their ids. Empty tables give an empty
-result. Only the named columns are read. The items go out in slices of at most ``slice_chars`` characters.
+no occurrence within the budget. q-grams that many items share (a template of prompts) are left out of the count of an
+item that has enough others: its bound falls by as many as it has of them, which the lemma proves just as well.
+
+Both texts are compared in lower case with runs of white space as one blank; ``start`` and ``end`` are positions in that
+form of the text. Items of fewer than ``least_chars`` characters, null items included, are not searched for: they say
+nothing about a leak. Null and empty texts have no hits; very long texts are read whole. Of equally good places of an
+item in a text the first is given. Repeated rows and copies are each reported; repeated items by each of their ids.
+Empty tables give an empty result. Only the named columns are read, so other columns may have any name. The items go
+out in slices of at most ``slice_chars`` characters, and each Python worker indexes a slice once.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,6 +54,7 @@ class Items:
     texts: list[str]
     q: int
     rate: float
+    common: int = 64
 
     def __post_init__(self):
         sizes = np.array([len(t) for t in self.texts])
@@ -60,6 +65,14 @@ class Items:
         item = np.repeat(np.arange(len(self.texts)), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes])
         flat = np.concatenate(hashes)
+        # q-grams of more than ``common`` places are not counted for items that keep a quarter of their bound without them.
+        _, which, times = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = times[which] > self.common
+        n_shared = np.bincount(item[shared], minlength=len(self.texts))
+        without = self.bound - n_shared >= np.maximum(1, self.bound // 4)
+        self.bound = np.where(without, self.bound - n_shared, self.bound)
+        counted = ~(shared & without[item])
+        item, place, flat = item[counted], place[counted], flat[counted]
         order = np.argsort(flat, kind="stable")
         self.grams, first = np.unique(flat[order], return_index=True)
         self.first, self.count = first, np.diff(np.append(first, len(flat)))
@@ -103,7 +116,37 @@ def alignment(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int
     return (int(cost[k]), int(origin[k]), int(ends[k])) if cost[k] <= most else None
 
 
-def search(items: Items, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
+def passing(items: Items, row: np.ndarray, place: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row * items + item, band) of the bands of diagonals that reach their item's bound."""
+    times = items.count[gram]
+    where = ranges(items.first[gram], times)
+    item = items.item[where]
+    # Pairs are numbered anew, so that a pair and a band fit one key whatever the numbers of rows and items.
+    pairs, pair = np.unique(np.repeat(row, times).astype(np.int64) * len(items.texts) + item, return_inverse=True)
+    diagonal = np.repeat(place, times) - items.place[where]
+    step = items.budget[item] + 1
+    keys = []
+    for shift in (0, 1):
+        band = (diagonal // step + shift) // 2 * 2 - shift  # bands two steps wide from even or odd steps
+        key, first, counts = np.unique(pair << np.int64(32) | (band + 1), return_index=True, return_counts=True)
+        keys.append(key[counts >= items.bound[item[first]]])
+    key = np.unique(np.concatenate(keys))
+    return pairs[key >> np.int64(32)], (key & np.int64(0xFFFFFFFF)) - 1
+
+
+_HELD: dict[str, Items] = {}
+
+
+def held(name: str, shared, q: int, rate: float) -> Items:
+    """The index of a slice of items, built once in each Python worker; one slice is held at a time."""
+    if name not in _HELD:
+        _HELD.clear()
+        _, own = shared.value
+        _HELD[name] = Items(np.arange(len(own)), own, q, rate)
+    return _HELD[name]
+
+
+def search(items: Items, texts: pa.Array, most_hits: int = 4_000_000) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item, start, end, edits): the best place of each item in each text."""
     texts = plain(texts)
     lengths = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -119,22 +162,19 @@ def search(items: Items, texts: pa.Array) -> Iterator[tuple[int, int, int, int,
     if not len(at):
         return
     row = np.searchsorted(starts, at, side="right") - 1
-    times = items.count[gram]
-    where = ranges(items.first[gram], times)
-    item, row = items.item[where], np.repeat(row, times)
     longest = max(map(len, items.texts))
-    diagonal = np.repeat(at, times) - starts[row] - items.place[where] + longest
-    step = items.budget[item] + 1
-    pair = row * len(items.texts) + item
-    bands = []
-    for shift in (0, 1):
-        band = (diagonal // step + shift) // 2 * 2 - shift  # bands two steps wide from even or odd steps
-        keys, first, counts = np.unique(pair << np.int64(32) | (band + 1), return_index=True, return_counts=True)
-        keep = counts >= items.bound[item[first]]
-        bands.append(keys[keep])
+    passed = []
+    # Rows whose hits are expanded at once; all hits of a row stay together.
+    work = np.cumsum(items.count[gram])
+    last_of_row = np.flatnonzero(np.append(row[1:] != row[:-1], True))
+    begin = 0
+    while begin < len(at):
+        goal = (work[begin - 1] if begin else 0) + most_hits
+        end = int(last_of_row[max(np.searchsorted(work[last_of_row], goal, "right") - 1, np.searchsorted(last_of_row, begin))]) + 1
+        passed.append(passing(items, row[begin:end], at[begin:end] - starts[row[begin:end]] + longest, gram[begin:end]))
+        begin = end
     best: dict[int, tuple[int, int, int]] = {}
-    for key in np.unique(np.concatenate(bands)):
-        p, band = int(key >> 32), int(key & 0xFFFFFFFF) - 1
+    for p, band in zip(*(np.concatenate(x).tolist() for x in zip(*passed))):
         r, i = divmod(p, len(items.texts))
         k = int(items.budget[i])
         if best.get(p, (k + 1,))[0] == 0:
@@ -181,9 +221,9 @@ def contaminated(
             continue
         shared = spark.sparkContext.broadcast(([i for i, _ in kept], [t for _, t in kept]))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, own = shared.value
-            index = Items(np.arange(len(own)), own, q, edit_rate)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            ids, _ = shared.value
+            index = held(name, shared, q, edit_rate)
             for whole in batches:
                 for start in range(0, whole.num_rows, 16384):
                     for batch in pieces_of(whole.slice(start, 16384), "text"):

@@ -1,14 +1,16 @@
 """Token ids in a content-addressed store.
 
 Texts are encoded and each document's ids, with an end id appended, are cut where a rolling hash of the last ids
-matches a mask, so equal passages give equal chunks. A chunk is stored once, in the row of the first document (by id)
-that has it; every document keeps a recipe (chunk digests in order) and a Merkle root over it. Packs are Parquet files
-in ascending order of document id; each ends with a manifest row: its number of ids and a Merkle root over the roots
-of its documents. Reading rebuilds every document from recipes and chunks, and fails where a digest, root or length
-does not match.
-
-Null text counts as empty (only the end id). Rows that repeat an id are kept apart, in an order fixed by the staged
-row number. An empty table gives an empty store. Only the id and text columns are read. Null ids sort first.
+matches a mask, so equal passages give equal chunks (of 64 ids in the mean, so passages of some 50 words share some). A
+chunk is stored once, in the row of the first document as staged that has it; every document keeps a recipe (chunk
+digests in order, which of them it stores, how often each is used) and a Merkle root over it. Packs are Parquet files
+in ascending order of document id; each ends with a manifest row: its numbers of ids and chunks and a Merkle root over
+the roots of its documents. Reading checks the packs against their manifests, rebuilds every document from recipes and
+chunks, and fails where a digest, root or length does not match.
+
+Null text counts as empty (only the end id). Very long texts are encoded whole; a batch holds few of them. Rows that
+repeat an id are kept apart, in an order fixed by the staged row number. An empty table gives an empty store. Only the
+id and text columns are read, so other columns may have any name. Null ids sort first.
 """
 
 from __future__ import annotations
@@ -30,48 +32,68 @@ from pyspark.sql.window import Window
 
 from convlens.llm.common import Scratch, pieces_of, ranges
 
-#: White space other than one blank or one line feed between other characters, or a special token: encoded as a whole.
+#: White space other than one blank or one line feed between other characters, a special token, or the mark that the
+#: encoder itself puts at the start of a text: encoded as a whole.
 ODD = (
-    r"[ \n\t\r\f\v][ \n\t\r\f\v]|[\t\r\f\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    r"[ \n\t\r\f\v][ \n\t\r\f\v]|[\x02\t\r\f\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
     r"|^[ \n]|[ \n]$|<\|"
 )
 #: ASCII marks but the apostrophe: after letters a run of them is one piece.
 STOPS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-STAGED = "doc_id long, n_tokens long, digests array<binary>, sizes array<int>, chunks array<binary>"
-PACKED = "doc_id long, uid long, manifest boolean, pack int, offset long, n_tokens long, digests array<binary>, sizes array<int>, stored array<binary>, shared array<boolean>, root binary"
+STAGED = "doc_id long, n_tokens long, digests array<binary>, sizes array<int>, blob binary"
+PACKED = (
+    "doc_id long, uid long, manifest boolean, pack int, offset long, n_tokens long, n_chunks long, digests array<binary>, sizes array<int>, "
+    "mine array<boolean>, uses array<int>, blob binary, root binary"
+)
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks int, n_stored int"
 
 
-def merkle(digests: list[bytes]) -> bytes:
+def digest_of(data) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def merkle(digests: list[bytes], fan: int = 32) -> bytes:
+    """Root of a Merkle tree over the digests; ``fan`` of them make a node."""
     level = list(digests) or [b""]
     while len(level) > 1:
-        level = [hashlib.blake2b(b"".join(level[i : i + 2]), digest_size=16).digest() for i in range(0, len(level), 2)]
+        level = [digest_of(b"".join(level[i : i + fan])) for i in range(0, len(level), fan)]
     return level[0]
 
 
 class Encoder:
     """Texts to ids. Byte-level BPE is run word by word, over the distinct words of a batch, with a bounded cache."""
 
-    def __init__(self, path: str, cached: int = 1_000_000):
+    _HELD: dict[str, Encoder] = {}
+
+    @classmethod
+    def held(cls, path: str) -> Encoder:
+        """One encoder for each Python worker, so that tasks share what earlier tasks have encoded."""
+        if path not in cls._HELD:
+            cls._HELD[path] = cls(path)
+        return cls._HELD[path]
+
+    def __init__(self, path: str, cached: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cached, self.cache = Tokenizer.from_file(path), cached, {}
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
+        self.tokenizer, self.cached = Tokenizer.from_file(path), cached
+        pre = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
         byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.by_word = bool(byte_level and spec["model"].get("type") == "BPE" and not spec.get("normalizer") and not spec["model"].get("dropout"))
+        model = self.tokenizer.model
+        self.by_word = bool(byte_level and type(model).__name__ == "BPE" and not self.tokenizer.normalizer and not model.dropout)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         self.spelling = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.blank = self.spelling[32]
+        # Words encoded before, in Arrow's memory: their ids lie one after the other.
+        self.words, self.ids, self.ends = pa.array([], pa.string()), np.zeros(0, self.dtype), np.zeros(1, np.int64)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def letters_of(self, piece: str) -> bytes:
-        """Ids of one piece that the pre-tokenizer would not split."""
-        spelt = piece.encode().decode("latin-1").translate(self.spelling)
+        """Ids of one piece of letters, with a blank before them or not, that the pre-tokenizer would not split."""
+        spelt = piece.replace(" ", self.blank) if piece.isascii() else piece.encode().decode("latin-1").translate(self.spelling)
         return array(self.dtype.char, [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
 
     def stretch(self, stretch: str) -> bytes:
@@ -110,23 +132,32 @@ class Encoder:
         offsets = ends[np.concatenate(([0], np.cumsum(counts))).astype(np.int64)]
         return ids[ranges((np.cumsum(lengths) - lengths)[codes], own)], offsets
 
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each of these distinct words stands among the held ones; new ones are encoded and held."""
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(at))
+        ids, ends = self.joined([self.stretch(t) for t in new.to_pylist()])
+        place = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[place < 0] = len(self.words) + np.arange(len(new))
+        all_ids, all_ends = np.concatenate((self.ids, ids)), np.concatenate((self.ends, self.ends[-1] + ends[1:]))
+        if len(self.words) + len(new) <= self.cached:
+            self.words, self.ids, self.ends = pa.concat_arrays([self.words, new]), all_ids, all_ends
+            return place
+        # Too many: those of this batch stay.
+        sizes = np.diff(all_ends)[place]
+        self.words, self.ids, self.ends = words, all_ids[ranges(all_ends[:-1][place], sizes)], np.concatenate(([0], np.cumsum(sizes)))
+        return np.arange(len(words))
+
     def distinct(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids in a row, number of ids) of distinct stretches: letters from the cache, then stops that follow them."""
         letters = pc.utf8_rtrim(stretches, STOPS)
         split = pc.utf8_is_alpha(pc.utf8_ltrim(letters, "\x02\n"))
         letters = pc.if_else(split, letters, stretches)
         sizes = (pc.utf8_length(stretches).to_numpy(), pc.utf8_length(letters).to_numpy())
-        bases, known = letters.dictionary_encode(), self.cache
-        if len(known) > self.cached:
-            known.clear()
-        own = []
-        for t in bases.dictionary.to_pylist():
-            got = known.get(t)
-            if got is None:
-                got = known[t] = self.stretch(t)
-            own.append(got)
-        base_ids, base_ends = self.joined(own)
-        base = bases.indices.to_numpy(zero_copy_only=False)
+        bases = letters.dictionary_encode()
+        place = self.places(bases.dictionary.cast(pa.string()))
+        base_ids, base_ends = self.ids, self.ends
+        base = place[bases.indices.to_numpy(zero_copy_only=False)]
         n_base = np.diff(base_ends)[base]
         # The stops after letters make one piece, and there are few different ones.
         some = np.flatnonzero(sizes[0] > sizes[1])
@@ -143,62 +174,79 @@ class Encoder:
         return out, lengths
 
 
-def cut_points(ids: np.ndarray, gear: np.ndarray, bits: int) -> np.ndarray:
-    """Ends of the chunks of one document: after positions whose rolling hash over 16 ids has ``bits`` zero low bits.
+def chunk_ends(ids: np.ndarray, offsets: np.ndarray, gear: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ends of all chunks, number of chunks of each document) for documents that lie one after the other.
 
-    Chunks have a quarter to four times the mean length; only the last may be shorter.
+    A chunk ends where a rolling hash over the last 16 ids has ``bits`` zero high bits. Chunks have a quarter (16 at
+    least, so no hash reaches into the document before) to four times the mean length; only the last may be shorter.
     """
-    n, mean = len(ids), 1 << bits
-    least, most = mean // 4, mean * 4
-    if n <= least:
-        return np.array([n])
+    mean = 1 << bits
+    least, most = max(16, mean // 4), mean * 4
     h = gear[ids]
     for k in (1, 2, 4, 8):
-        h[k:] += h[:-k] * np.uint64(3**k)
-    ends, last = [], 0
-    for p in np.flatnonzero((h >> np.uint64(64 - bits)) == 0) + 1:
-        while p - last > most:
-            last += most
-            ends.append(last)
-        if p - last >= least:
-            last = int(p)
-            ends.append(last)
-    while n - last > most:
-        last += most
-        ends.append(last)
-    if last < n:
-        ends.append(n)
-    return np.array(ends)
+        h[k:] += h[:-k] * np.uint32(3**k)
+    marks = np.flatnonzero(h < np.uint32(1 << (32 - bits))) + 1
+    first, last = np.searchsorted(marks, offsets[:-1], "right").tolist(), np.searchsorted(marks, offsets[1:], "left").tolist()
+    places, ends, counts = marks.tolist(), [], []
+    for a, b, i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), first, last):
+        before, at = len(ends), a
+        for p in places[i:j]:
+            while p - at > most:
+                at += most
+                ends.append(at)
+            if p - at >= least:
+                ends.append(p)
+                at = p
+        while b - at > most:
+            at += most
+            ends.append(at)
+        if at < b:
+            ends.append(b)
+        counts.append(len(ends) - before)
+    return np.array(ends, np.int64), np.array(counts, np.int64)
+
+
+def lists_of(counts: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), values)
 
 
 def stage(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, end_id: int, bits: int) -> DataFrame:
-    """One row per document: digests, sizes and compressed ids of its chunks."""
+    """One row per document: digests and sizes of its chunks and its compressed ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
-        gear = np.random.default_rng(7).integers(0, 1 << 63, 1 << (8 * encoder.dtype.itemsize if encoder.dtype.itemsize == 2 else 20), dtype=np.uint64)
-        packer = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True)
-        end = np.array([end_id], encoder.dtype)
+        encoder = Encoder.held(tokenizer)
+        width = encoder.dtype.itemsize
+        gear = np.random.default_rng(7).integers(0, 1 << 32, 1 << (16 if width == 2 else 20), dtype=np.uint32)
+        packer = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True)
         for whole in batches:
-            for batch in pieces_of(whole, "text"):
+            for batch in pieces_of(whole, "text", 4_000_000):
                 ids, offsets = encoder.encode(pc.fill_null(batch.column("text"), ""))
-                counts, digests, sizes, chunks = [], [], [], []
-                for a, b in zip(offsets[:-1], offsets[1:]):
-                    own = np.concatenate((ids[a:b], end))
-                    ends = cut_points(own, gear, bits)
-                    parts = [p.tobytes() for p in np.split(own, ends[:-1])]
-                    counts.append(len(own))
-                    digests.append([hashlib.blake2b(p, digest_size=16).digest() for p in parts])
-                    sizes.append(np.diff(ends, prepend=0).tolist())
-                    chunks.append([packer.compress(p) for p in parts])
+                ids = np.insert(ids, offsets[1:], np.array(end_id, encoder.dtype))
+                offsets = offsets + np.arange(len(offsets))
+                ends, counts = chunk_ends(ids, offsets, gear, bits)
+                sizes = np.diff(ends, prepend=0)
+                raw = memoryview(ids.tobytes())
+                digests = b"".join([digest_of(raw[a:b]) for a, b in zip(((ends - sizes) * width).tolist(), (ends * width).tolist())])
+                at = (offsets * width).tolist()
+                blobs = [packer.compress(raw[a:b]) for a, b in zip(at[:-1], at[1:])]
+                edges = pa.array(np.arange(len(ends) + 1) * 16, pa.int32())
+                flat = pa.Array.from_buffers(pa.binary(), len(ends), [None, edges.buffers()[1], pa.py_buffer(digests)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(chunks, pa.list_(pa.binary()))],
-                    ["doc_id", "n_tokens", "digests", "sizes", "chunks"],
-                )
+                    [
+                        batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), lists_of(counts, flat),
+                        lists_of(counts, pa.array(sizes, pa.int32())), pa.array(blobs, pa.binary()),
+                    ],
+                    ["doc_id", "n_tokens", "digests", "sizes", "blob"],
+                )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, STAGED)
 
 
+def frequent(total: int) -> int:
+    """A chunk used more often than this is common; among ``total`` uses at most 65536 chunks are, at every size."""
+    return max(64, total >> 16)
+
+
 def write_store(
     docs: DataFrame,
     tokenizer: str,
@@ -207,34 +255,43 @@ def write_store(
     id_col: str = "doc_id",
     text_col: str = "text",
     end_id: int = 0,
-    bits: int = 10,
-    packs: int | None = None,
+    bits: int = 6,
+    pack_tokens: int = 1 << 25,
 ) -> DataFrame:
-    """Writes the store into ``scratch`` and returns its rows as read back."""
+    """Writes the store into ``scratch`` and returns its rows as read back. A pack has about ``pack_tokens`` ids at most."""
     spark = docs.sparkSession
     staged = scratch.put(stage(docs, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id, bits=bits).withColumn("uid", F.monotonically_increasing_id()), "staged")
-    where = F.struct("doc_id", "uid", "seq")
+    tokens, total = staged.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum(F.size("sizes")), F.lit(0))).first()
+    several = staged.select("uid", F.explode("digests").alias("digest")).groupBy("digest").agg(F.min("uid").alias("owner"), F.count(F.lit(1)).alias("n"))
+    several = scratch.put(several.where("n > 1"), "several")
     refs = staged.select("doc_id", "uid", F.posexplode("digests").alias("seq", "digest"))
-    several = refs.groupBy("digest").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    marks = refs.join(several, "digest").select("doc_id", "uid", "seq", F.col("first").eqNullSafe(where).alias("owner"))
-    empty = F.lit(None)
-    both = staged.select("doc_id", "uid", F.lit(-1).alias("seq"), empty.cast("boolean").alias("owner"), "n_tokens", "digests", "sizes", "chunks").unionByName(
-        marks.select("doc_id", "uid", "seq", "owner"), allowMissingColumns=True
-    )
+    # At most 65536 common chunks go out (see ``frequent``); each other one has too few uses to be a hot key.
+    common, rare = several.where(F.col("n") > frequent(total)), several.where(F.col("n") <= frequent(total))
+    seen = refs.join(F.broadcast(common), "digest", "left")
+    columns = ["doc_id", "uid", "seq", "owner", "n"]
+    marks = seen.where("n is not null").select(*columns).unionByName(seen.where("n is null").drop("owner", "n").join(rare, "digest").select(*columns))
+    marks = marks.select("doc_id", "uid", "seq", (F.col("owner") == F.col("uid")).alias("own"), F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n"))
+    both = staged.select("doc_id", "uid", F.lit(-1).alias("seq"), "n_tokens", "digests", "sizes", "blob").unionByName(marks, allowMissingColumns=True)
     # A document's row comes after the marks of its chunks, so one pass puts them together.
-    packs = packs or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = both.repartitionByRange(packs, "doc_id").sortWithinPartitions("doc_id", "uid", F.desc("seq"))
-    store = scratch.put(ordered.mapInArrow(pack, PACKED), "store")
+    packs = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // pack_tokens + 1)
+    ordered = both.repartitionByRange(packs, "doc_id", "uid").sortWithinPartitions("doc_id", "uid", F.desc("seq"))
+    width = Encoder.held(tokenizer).dtype.itemsize
+    store = scratch.put(ordered.mapInArrow(lambda b: pack(b, width), PACKED), "store")
     scratch.drop("staged")
+    scratch.drop("several")
     return store
 
 
-def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pack(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    number, offset, owners, roots = TaskContext.get().partitionId(), 0, {}, RunningMerkle()
-    fields = ["doc_id", "uid", "manifest", "pack", "offset", "n_tokens", "digests", "sizes", "stored", "shared", "root"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.bool_()), pa.binary()]
+    packer, unpacker = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True), zstandard.ZstdDecompressor()
+    number, offset, total, marks, roots = TaskContext.get().partitionId(), 0, 0, {}, RunningMerkle()
+    fields = ["doc_id", "uid", "manifest", "pack", "offset", "n_tokens", "n_chunks", "digests", "sizes", "mine", "uses", "blob", "root"]
+    kinds = [
+        pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(),
+        pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(),
+    ]
 
     def emitted(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], fields)
@@ -243,19 +300,32 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start in range(0, whole.num_rows, 2000):
             rows = []
             part = whole.slice(start, 2000).to_pydict()
-            for doc, uid, seq, owner, n, digests, sizes, chunks in zip(*(part[c] for c in ("doc_id", "uid", "seq", "owner", "n_tokens", "digests", "sizes", "chunks"))):
+            for doc, uid, seq, own, uses, n, digests, sizes, blob in zip(*(part[c] for c in ("doc_id", "uid", "seq", "own", "n", "n_tokens", "digests", "sizes", "blob"))):
                 if seq >= 0:
-                    owners[seq] = owner
+                    marks[seq] = (own, uses)
                     continue
+                mine = times = None
+                if marks:
+                    times = [marks[i][1] if i in marks else 1 for i in range(len(digests))]
+                    mine, met = [], set()
+                    for i, d in enumerate(digests):
+                        mine.append(i not in marks or marks[i][0] and d not in met)
+                        met.add(d)
+                    if not all(mine):
+                        raw, kept, at = unpacker.decompress(blob), [], 0
+                        for size, stays in zip(sizes, mine):
+                            if stays:
+                                kept.append(raw[at : at + size * width])
+                            at += size * width
+                        blob = packer.compress(b"".join(kept)) if kept else b""
                 root = merkle(digests)
-                stored = [c if owners.get(i, True) else None for i, c in enumerate(chunks)]
-                rows.append((doc, uid, False, number, offset, n, digests, sizes, stored, [owners.get(i, False) for i in range(len(chunks))], root))
-                owners, offset = {}, offset + n
+                rows.append((doc, uid, False, number, offset, n, len(digests), digests, sizes, mine, times, blob, root))
+                marks, offset, total = {}, offset + n, total + len(digests)
                 roots.add(root)
             if rows:
                 yield emitted(rows)
     if offset:
-        yield emitted([(None, None, True, number, 0, offset, None, None, None, None, roots.root())])
+        yield emitted([(None, None, True, number, 0, offset, total, None, None, None, None, None, roots.root())])
 
 
 class RunningMerkle:
@@ -269,14 +339,14 @@ class RunningMerkle:
             if held is None:
                 self.levels[i] = leaf
                 return
-            leaf, self.levels[i] = hashlib.blake2b(held + leaf, digest_size=16).digest(), None
+            leaf, self.levels[i] = digest_of(held + leaf), None
         self.levels.append(leaf)
 
     def root(self) -> bytes:
         out = b""
         for held in self.levels:
             if held is not None:
-                out = hashlib.blake2b(held + out, digest_size=16).digest() if out else held
+                out = digest_of(held + out) if out else held
         return out
 
 
@@ -285,6 +355,23 @@ def starts_of_packs(store: DataFrame) -> DataFrame:
     return store.where("manifest").select("pack", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("pack_start"))
 
 
+def lending(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(digest, n, chunk) of the chunks that a document stores for others too."""
+    unpacker = zstandard.ZstdDecompressor()
+    for whole in batches:
+        for start in range(0, whole.num_rows, 500):
+            data, out = whole.slice(start, 500).to_pydict(), []
+            for digests, sizes, mine, uses, blob in zip(*(data[c] for c in ("digests", "sizes", "mine", "uses", "blob"))):
+                raw, at = unpacker.decompress(blob) if blob else b"", 0
+                for d, size, own, n in zip(digests, sizes, mine, uses):
+                    if own:
+                        if n > 1:
+                            out.append((d, n, raw[at : at + size * width]))
+                        at += size * width
+            columns = list(zip(*out)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int32(), pa.binary()))], ["digest", "n", "chunk"])
+
+
 def read_store(store: DataFrame, tokenizer_bytes: int = 2) -> DataFrame:
     """Rebuilds every document from the files and checks it: (doc_id, start, n_tokens, ids_crc32, n_chunks, n_stored).
 
@@ -293,15 +380,21 @@ def read_store(store: DataFrame, tokenizer_bytes: int = 2) -> DataFrame:
     damaged = damaged_packs(store).head(1)
     if damaged:
         raise ValueError(f"pack {damaged[0]['pack']} does not match its manifest")
-    # Two numbers for each pack: as many rows as the store was written in partitions.
-    rows = store.where("not manifest").join(F.broadcast(starts_of_packs(store)), "pack")
-    rows = rows.select("doc_id", "uid", (F.col("pack_start") + F.col("offset")).alias("start"), "n_tokens", "digests", "sizes", "stored", "root")
-    lacks = F.exists("stored", lambda c: c.isNull())
-    offered = store.where("not manifest").where(F.exists("shared", lambda s: s)).select(F.explode(F.arrays_zip("digests", "stored", "shared")).alias("c"))
-    offered = offered.where("c.shared").select(F.col("c.digests").alias("digest"), F.col("c.stored").alias("chunk"))
-    wanted = store.where("not manifest").where(lacks).select("uid", F.posexplode(F.arrays_zip("digests", "stored")).alias("seq", "c"))
-    wanted = wanted.where("c.stored is null").select("uid", "seq", F.col("c.digests").alias("digest"))
-    lent = wanted.join(offered, "digest").groupBy("uid").agg(F.collect_list(F.struct("seq", "chunk")).alias("lent"))
+    docs = store.where("not manifest")
+    total = store.where("manifest").agg(F.coalesce(F.sum("n_chunks"), F.lit(0))).first()[0]
+    # Two numbers for each pack.
+    rows = docs.join(F.broadcast(starts_of_packs(store)), "pack")
+    rows = rows.select("doc_id", "uid", (F.col("pack_start") + F.col("offset")).alias("start"), "n_tokens", "digests", "sizes", "mine", "blob", "root")
+    lacks = F.coalesce(F.exists("mine", lambda m: ~m), F.lit(False))
+    lends = F.exists(F.arrays_zip("mine", "uses"), lambda c: c["mine"] & (c["uses"] > 1))
+    offered = docs.where(lends).select("digests", "sizes", "mine", "uses", "blob").mapInArrow(lambda b: lending(b, tokenizer_bytes), "digest binary, n int, chunk binary")
+    wanted = docs.where(lacks).select("uid", F.posexplode(F.arrays_zip("digests", "mine", "uses")).alias("seq", "c")).where("not c.mine")
+    wanted = wanted.select("uid", "seq", F.col("c.digests").alias("digest"), F.col("c.uses").alias("n"))
+    # Common chunks, at most 65536 of them (see ``frequent``), go out; each of the rest has too few uses to be a hot key.
+    common, rare = (F.col("n") > frequent(total), F.col("n") <= frequent(total))
+    lent = wanted.where(common).drop("n").join(F.broadcast(offered.where(common).drop("n")), "digest")
+    lent = lent.unionByName(wanted.where(rare).drop("n").join(offered.where(rare).drop("n"), "digest"))
+    lent = lent.groupBy("uid").agg(F.collect_list(F.struct("seq", "chunk")).alias("lent"))
     alone = rows.where(~lacks).withColumn("lent", F.lit(None).cast("array<struct<seq:int,chunk:binary>>"))
     return alone.unionByName(rows.where(lacks).join(lent, "uid", "left")).mapInArrow(lambda b: rebuild(b, tokenizer_bytes), RESULT)
 
@@ -314,16 +407,23 @@ def rebuild(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             part = whole.slice(begin, 2000)
             data = part.to_pydict()
             crcs, chunks_n, stored_n = [], [], []
-            for doc, n, digests, stored, root, lent in zip(*(data[c] for c in ("doc_id", "n_tokens", "digests", "stored", "root", "lent"))):
-                other = {x["seq"]: x["chunk"] for x in lent or ()}
-                parts = [unpacker.decompress(other[i] if c is None else c) for i, c in enumerate(stored)]
-                found = [hashlib.blake2b(p, digest_size=16).digest() for p in parts]
-                ids = np.frombuffer(b"".join(parts), kind)
-                if found != digests or merkle(found) != root or len(ids) != n:
+            for doc, n, digests, sizes, mine, blob, root, lent in zip(*(data[c] for c in ("doc_id", "n_tokens", "digests", "sizes", "mine", "blob", "root", "lent"))):
+                raw = unpacker.decompress(blob) if blob else b""
+                if mine is not None and not all(mine):
+                    other, parts, at = {x["seq"]: x["chunk"] for x in lent or ()}, [], 0
+                    for i, (size, own) in enumerate(zip(sizes, mine)):
+                        parts.append(raw[at : at + size * width] if own else other.get(i, b""))
+                        at += size * width * own
+                    raw = b"".join(parts)
+                view, at, found = memoryview(raw), 0, []
+                for size in sizes:
+                    found.append(digest_of(view[at : at + size * width]))
+                    at += size * width
+                if found != digests or merkle(found) != root or len(raw) != n * width:
                     raise ValueError(f"document {doc} does not match its recipe")
-                crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                crcs.append(zlib.crc32(np.frombuffer(raw, kind).astype("<u4")))
                 chunks_n.append(len(digests))
-                stored_n.append(sum(c is not None for c in stored))
+                stored_n.append(len(digests) if mine is None else sum(mine))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("start"), part.column("n_tokens"), pa.array(crcs, pa.int64()), pa.array(chunks_n, pa.int32()), pa.array(stored_n, pa.int32())],
                 ["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "n_stored"],

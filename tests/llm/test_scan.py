@@ -163,3 +163,36 @@ def test_decontamination_in_slices(spark):
     docs = frame(spark, [f"x passage number {i} with quite a few words of its own {i * 7919} y" for i in range(12)])
     whole = sorted(map(tuple, D.contaminated(docs, bench).collect()))
     assert whole == sorted(map(tuple, D.contaminated(docs, bench, slice_chars=150).collect())) and {(r[0], r[1]) for r in whole} >= {(i, i) for i in range(12)}
+
+
+def test_decontamination_with_many_rows_and_items():
+    """More pairs of rows and items than 2**31: no hit is lost or given to another item."""
+    letters = np.random.default_rng(3).integers(97, 123, (120_000, 34)).astype(np.uint8)
+    texts = [bytes(row).decode() for row in letters]
+    index = D.Items(np.arange(len(texts)), texts, 10, 0.08)
+    rows = ["x"] * 20_000
+    planted = {19_000 + 13 * k: 119_999 - 37 * k for k in range(70)}
+    for row, item in planted.items():
+        rows[row] = f"so {texts[item]} it was"
+    hits = list(D.search(index, pa.array(rows)))
+    assert {(r, i) for r, i, *_ in hits} == set(planted.items()) and not any(e for *_, e in hits)
+    assert hits == list(D.search(index, pa.array(rows), most_hits=1))
+
+
+def test_decontamination_of_items_with_one_template():
+    draw = np.random.default_rng(4)
+    tail = lambda: "".join(draw.choice(list("abcdefghij klmno"), 92))
+    texts = [" ".join(f"answer in one word: {tail()}".split()) for _ in range(150)]
+    rows = [f"so {t[:60]}q{t[61:]} then" for t in texts[:40]] + ["answer in one word: no item"]
+    bounds = [D.Items(np.arange(150), texts, 10, 0.08, common).bound for common in (64, 1 << 30)]
+    assert (bounds[0] < bounds[1]).all()
+    few, all_ = (list(D.search(D.Items(np.arange(150), texts, 10, 0.08, common), pa.array(rows))) for common in (64, 1 << 30))
+    assert sorted(few) == sorted(all_) and {(r, i) for r, i, *_ in few} == {(i, i) for i in range(40)}
+
+
+def test_decontamination_of_long_text_and_repeats(spark):
+    item = "an item that stands once in a very long text, and twice in the benchmark"
+    docs = spark.createDataFrame([(1, "word " * 300_000 + item + " word" * 1000), (1, "word " * 300_000 + item + " word" * 1000), (None, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item), (5, item), (6, item)], "item_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["item_id"], r["start"], r["edits"]) for r in D.contaminated(docs, bench).collect())
+    assert got == sorted([(d, i, s, 0) for d, s in ((1, 1_500_000), (1, 1_500_000), (0, 0)) for i in (5, 5, 6)])
