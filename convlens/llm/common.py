@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -70,7 +72,14 @@ def pieces_of(batch: pa.RecordBatch, text: str, most: int = 8_000_000) -> Iterat
         start = stop
 
 
-def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def trim() -> None:
+    """Gives freed memory back at the end of a task: Python workers live on beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Whitespace-separated words: code of each word in order, offsets by text, and the words by code."""
     lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.fill_null(texts, "")))
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
@@ -79,15 +88,20 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         flat = flat.combine_chunks()
     coded = flat.dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    words = coded.dictionary.to_pylist()
     offsets = np.concatenate(([0], np.cumsum(lengths)))
-    if "" in words:
-        empty = words.index("")
+    empty = pc.index(coded.dictionary, "").as_py()
+    if empty >= 0:
         keep = codes != empty
         owner = np.repeat(np.arange(len(lengths)), lengths)
         offsets = np.concatenate(([0], np.cumsum(np.bincount(owner[keep], minlength=len(lengths)))))
         codes = codes[keep]
-    return codes, offsets.astype(np.int64), words
+    return codes, offsets.astype(np.int64), coded.dictionary
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """``coded_words`` with the words as a list."""
+    codes, offsets, words = coded_words(texts)
+    return codes, offsets, words.to_pylist()
 
 
 def bytes_of(texts: pa.Array) -> np.ndarray:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from convlens.llm.common import Scratch, pieces_of, ranges
+from convlens.llm.common import Scratch, pieces_of, ranges, trim
 
 #: White space other than one blank or one line feed between other characters, a special token, or the mark that the
 #: encoder itself puts at the start of a text: encoded as a whole.
@@ -40,9 +40,9 @@ ODD = (
 )
 #: ASCII marks but the apostrophe: after letters a run of them is one piece.
 STOPS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-STAGED = "doc_id long, n_tokens long, digests array<binary>, sizes array<int>, blob binary"
+STAGED = "doc_id long, n_tokens long, hi array<long>, lo array<long>, sizes array<int>, blob binary"
 PACKED = (
-    "doc_id long, uid long, manifest boolean, pack int, offset long, n_tokens long, n_chunks long, digests array<binary>, sizes array<int>, "
+    "doc_id long, uid long, manifest boolean, pack int, offset long, n_tokens long, n_chunks long, hi array<long>, lo array<long>, sizes array<int>, "
     "mine array<boolean>, uses array<int>, blob binary, root binary"
 )
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks int, n_stored int"
@@ -52,12 +52,17 @@ def digest_of(data) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def merkle(digests: list[bytes], fan: int = 32) -> bytes:
-    """Root of a Merkle tree over the digests; ``fan`` of them make a node."""
-    level = list(digests) or [b""]
-    while len(level) > 1:
-        level = [digest_of(b"".join(level[i : i + fan])) for i in range(0, len(level), fan)]
-    return level[0]
+def merkle(digests: bytes, fan: int = 32) -> bytes:
+    """Root of a Merkle tree over digests of 16 bytes each, in a row; ``fan`` of them make a node."""
+    level = digests or digest_of(b"")
+    while len(level) > 16:
+        level = b"".join([digest_of(level[i : i + 16 * fan]) for i in range(0, len(level), 16 * fan)])
+    return level
+
+
+def as_bytes(hi: pa.Array, lo: pa.Array) -> bytes:
+    """Digests kept as two numbers each, in a row."""
+    return np.stack([pc.list_flatten(x).to_numpy(zero_copy_only=False) for x in (hi, lo)], 1).astype("<i8").tobytes()
 
 
 class Encoder:
@@ -229,15 +234,15 @@ def stage(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, end_id
                 digests = b"".join([digest_of(raw[a:b]) for a, b in zip(((ends - sizes) * width).tolist(), (ends * width).tolist())])
                 at = (offsets * width).tolist()
                 blobs = [packer.compress(raw[a:b]) for a, b in zip(at[:-1], at[1:])]
-                edges = pa.array(np.arange(len(ends) + 1) * 16, pa.int32())
-                flat = pa.Array.from_buffers(pa.binary(), len(ends), [None, edges.buffers()[1], pa.py_buffer(digests)])
+                hi, lo = np.frombuffer(digests, "<i8").reshape(-1, 2).T
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), lists_of(counts, flat),
+                        batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), lists_of(counts, pa.array(hi)), lists_of(counts, pa.array(lo)),
                         lists_of(counts, pa.array(sizes, pa.int32())), pa.array(blobs, pa.binary()),
                     ],
-                    ["doc_id", "n_tokens", "digests", "sizes", "blob"],
+                    ["doc_id", "n_tokens", "hi", "lo", "sizes", "blob"],
                 )
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, STAGED)
 
@@ -262,16 +267,16 @@ def write_store(
     spark = docs.sparkSession
     staged = scratch.put(stage(docs, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id, bits=bits).withColumn("uid", F.monotonically_increasing_id()), "staged")
     tokens, total = staged.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum(F.size("sizes")), F.lit(0))).first()
-    several = staged.select("uid", F.explode("digests").alias("digest")).groupBy("digest").agg(F.min("uid").alias("owner"), F.count(F.lit(1)).alias("n"))
+    several = staged.select("uid", F.explode(F.arrays_zip("hi", "lo")).alias("d")).groupBy("d.hi", "d.lo").agg(F.min("uid").alias("owner"), F.count(F.lit(1)).alias("n"))
     several = scratch.put(several.where("n > 1"), "several")
-    refs = staged.select("doc_id", "uid", F.posexplode("digests").alias("seq", "digest"))
+    refs = staged.select("doc_id", "uid", F.posexplode(F.arrays_zip("hi", "lo")).alias("seq", "d")).select("doc_id", "uid", "seq", "d.hi", "d.lo")
     # At most 65536 common chunks go out (see ``frequent``); each other one has too few uses to be a hot key.
     common, rare = several.where(F.col("n") > frequent(total)), several.where(F.col("n") <= frequent(total))
-    seen = refs.join(F.broadcast(common), "digest", "left")
+    seen = refs.join(F.broadcast(common), ["hi", "lo"], "left")
     columns = ["doc_id", "uid", "seq", "owner", "n"]
-    marks = seen.where("n is not null").select(*columns).unionByName(seen.where("n is null").drop("owner", "n").join(rare, "digest").select(*columns))
+    marks = seen.where("n is not null").select(*columns).unionByName(seen.where("n is null").drop("owner", "n").join(rare, ["hi", "lo"]).select(*columns))
     marks = marks.select("doc_id", "uid", "seq", (F.col("owner") == F.col("uid")).alias("own"), F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n"))
-    both = staged.select("doc_id", "uid", F.lit(-1).alias("seq"), "n_tokens", "digests", "sizes", "blob").unionByName(marks, allowMissingColumns=True)
+    both = staged.select("doc_id", "uid", F.lit(-1).alias("seq"), "n_tokens", "hi", "lo", "sizes", "blob").unionByName(marks, allowMissingColumns=True)
     # A document's row comes after the marks of its chunks, so one pass puts them together.
     packs = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // pack_tokens + 1)
     ordered = both.repartitionByRange(packs, "doc_id", "uid").sortWithinPartitions("doc_id", "uid", F.desc("seq"))
@@ -285,47 +290,71 @@ def write_store(
 def pack(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    packer, unpacker = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True), zstandard.ZstdDecompressor()
-    number, offset, total, marks, roots = TaskContext.get().partitionId(), 0, 0, {}, RunningMerkle()
-    fields = ["doc_id", "uid", "manifest", "pack", "offset", "n_tokens", "n_chunks", "digests", "sizes", "mine", "uses", "blob", "root"]
+    packer, unpacker = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True), zstandard.ZstdDecompressor()
+    number, offset, total, roots = TaskContext.get().partitionId(), 0, 0, RunningMerkle()
+    fields = ["doc_id", "uid", "manifest", "pack", "offset", "n_tokens", "n_chunks", "hi", "lo", "sizes", "mine", "uses", "blob", "root"]
     kinds = [
-        pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(),
-        pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(),
+        pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()),
+        pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(),
     ]
-
-    def emitted(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], fields)
-
-    for whole in batches:
-        for start in range(0, whole.num_rows, 2000):
-            rows = []
-            part = whole.slice(start, 2000).to_pydict()
-            for doc, uid, seq, own, uses, n, digests, sizes, blob in zip(*(part[c] for c in ("doc_id", "uid", "seq", "own", "n", "n_tokens", "digests", "sizes", "blob"))):
-                if seq >= 0:
-                    marks[seq] = (own, uses)
-                    continue
-                mine = times = None
-                if marks:
-                    times = [marks[i][1] if i in marks else 1 for i in range(len(digests))]
-                    mine, met = [], set()
-                    for i, d in enumerate(digests):
-                        mine.append(i not in marks or marks[i][0] and d not in met)
-                        met.add(d)
-                    if not all(mine):
-                        raw, kept, at = unpacker.decompress(blob), [], 0
-                        for size, stays in zip(sizes, mine):
-                            if stays:
-                                kept.append(raw[at : at + size * width])
-                            at += size * width
-                        blob = packer.compress(b"".join(kept)) if kept else b""
-                root = merkle(digests)
-                rows.append((doc, uid, False, number, offset, n, len(digests), digests, sizes, mine, times, blob, root))
-                marks, offset, total = {}, offset + n, total + len(digests)
-                roots.add(root)
-            if rows:
-                yield emitted(rows)
+    # The marks of the chunks of a document whose own row has not come yet.
+    waiting: tuple[list, ...] = ([], [], [])
+
+    def placed(digests: bytes, sizes: list[int], blob: bytes, marks: tuple[list, ...]) -> tuple[list, list, bytes]:
+        """Which chunks the document stores, how often each is used, and what it stores, compressed."""
+        marked = {seq: (own, uses) for seq, own, uses in zip(*marks)}
+        times = [marked[i][1] if i in marked else 1 for i in range(len(sizes))]
+        mine, met = [], set()
+        for i in range(len(sizes)):
+            d = digests[16 * i : 16 * i + 16]
+            mine.append(i not in marked or marked[i][0] and d not in met)
+            met.add(d)
+        if not all(mine):
+            raw, kept, at = unpacker.decompress(blob), [], 0
+            for size, stays in zip(sizes, mine):
+                if stays:
+                    kept.append(raw[at : at + size * width])
+                at += size * width
+            blob = packer.compress(b"".join(kept)) if kept else b""
+        return mine, times, blob
+
+    for batch in batches:
+        seq = batch.column("seq").to_numpy(zero_copy_only=False)
+        marks = [seq, pc.fill_null(batch.column("own"), False).to_numpy(zero_copy_only=False), pc.fill_null(batch.column("n"), 0).to_numpy(zero_copy_only=False)]
+        at = np.flatnonzero(seq < 0)
+        begins = np.concatenate(([0], at + 1)).tolist()
+        docs = batch.filter(pa.array(seq < 0))
+        hi, lo, held = (docs.column(c) for c in ("hi", "lo", "sizes"))
+        digests, edges = as_bytes(hi, lo), np.concatenate(([0], np.cumsum(pc.list_value_length(held).to_numpy(zero_copy_only=False)))).astype(int).tolist()
+        own_roots, changed = [], {}
+        for j, (a, b, x, y) in enumerate(zip(begins, at.tolist(), edges[:-1], edges[1:])):
+            own = digests[16 * x : 16 * y]
+            own_roots.append(merkle(own))
+            roots.add(own_roots[-1])
+            if b > a or waiting[0]:
+                got = tuple(w + m[a:b].tolist() for w, m in zip(waiting, marks))
+                waiting = ([], [], [])
+                changed[j] = placed(own, held[j].as_py(), docs.column("blob")[j].as_py(), got)
+        waiting = tuple(w + m[begins[-1] :].tolist() for w, m in zip(waiting, marks))
+        if not docs.num_rows:
+            continue
+        counts, n = docs.column("n_tokens").to_numpy(), docs.num_rows
+        blobs = docs.column("blob")
+        if changed:
+            blobs = pa.array([changed[j][2] if j in changed else b for j, b in enumerate(blobs.to_pylist())], pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [
+                docs.column("doc_id"), docs.column("uid"), pa.array([False] * n), pa.array([number] * n, pa.int32()),
+                pa.array(offset + np.cumsum(counts) - counts), docs.column("n_tokens"), pa.array(np.diff(edges), pa.int64()), hi, lo, held,
+                *(pa.array([changed[j][i] if j in changed else None for j in range(n)], k) for i, k in enumerate(kinds[10:12])), blobs, pa.array(own_roots, pa.binary()),
+            ],
+            fields,
+        )
+        offset, total = offset + int(counts.sum()), total + edges[-1]
     if offset:
-        yield emitted([(None, None, True, number, 0, offset, total, None, None, None, None, None, roots.root())])
+        last = (None, None, True, number, 0, offset, total, None, None, None, None, None, None, roots.root())
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(last, kinds)], fields)
+    trim()
 
 
 class RunningMerkle:
@@ -356,20 +385,20 @@ def starts_of_packs(store: DataFrame) -> DataFrame:
 
 
 def lending(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """(digest, n, chunk) of the chunks that a document stores for others too."""
+    """(hi, lo, n, chunk) of the chunks that a document stores for others too."""
     unpacker = zstandard.ZstdDecompressor()
     for whole in batches:
         for start in range(0, whole.num_rows, 500):
             data, out = whole.slice(start, 500).to_pydict(), []
-            for digests, sizes, mine, uses, blob in zip(*(data[c] for c in ("digests", "sizes", "mine", "uses", "blob"))):
+            for hi, lo, sizes, mine, uses, blob in zip(*(data[c] for c in ("hi", "lo", "sizes", "mine", "uses", "blob"))):
                 raw, at = unpacker.decompress(blob) if blob else b"", 0
-                for d, size, own, n in zip(digests, sizes, mine, uses):
+                for h, w, size, own, n in zip(hi, lo, sizes, mine, uses):
                     if own:
                         if n > 1:
-                            out.append((d, n, raw[at : at + size * width]))
+                            out.append((h, w, n, raw[at : at + size * width]))
                         at += size * width
-            columns = list(zip(*out)) if out else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int32(), pa.binary()))], ["digest", "n", "chunk"])
+            columns = list(zip(*out)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["hi", "lo", "n", "chunk"])
 
 
 def read_store(store: DataFrame, tokenizer_bytes: int = 2) -> DataFrame:
@@ -384,16 +413,16 @@ def read_store(store: DataFrame, tokenizer_bytes: int = 2) -> DataFrame:
     total = store.where("manifest").agg(F.coalesce(F.sum("n_chunks"), F.lit(0))).first()[0]
     # Two numbers for each pack.
     rows = docs.join(F.broadcast(starts_of_packs(store)), "pack")
-    rows = rows.select("doc_id", "uid", (F.col("pack_start") + F.col("offset")).alias("start"), "n_tokens", "digests", "sizes", "mine", "blob", "root")
+    rows = rows.select("doc_id", "uid", (F.col("pack_start") + F.col("offset")).alias("start"), "n_tokens", "hi", "lo", "sizes", "mine", "blob", "root")
     lacks = F.coalesce(F.exists("mine", lambda m: ~m), F.lit(False))
     lends = F.exists(F.arrays_zip("mine", "uses"), lambda c: c["mine"] & (c["uses"] > 1))
-    offered = docs.where(lends).select("digests", "sizes", "mine", "uses", "blob").mapInArrow(lambda b: lending(b, tokenizer_bytes), "digest binary, n int, chunk binary")
-    wanted = docs.where(lacks).select("uid", F.posexplode(F.arrays_zip("digests", "mine", "uses")).alias("seq", "c")).where("not c.mine")
-    wanted = wanted.select("uid", "seq", F.col("c.digests").alias("digest"), F.col("c.uses").alias("n"))
+    offered = docs.where(lends).select("hi", "lo", "sizes", "mine", "uses", "blob").mapInArrow(lambda b: lending(b, tokenizer_bytes), "hi long, lo long, n int, chunk binary")
+    wanted = docs.where(lacks).select("uid", F.posexplode(F.arrays_zip("hi", "lo", "mine", "uses")).alias("seq", "c")).where("not c.mine")
+    wanted = wanted.select("uid", "seq", "c.hi", "c.lo", F.col("c.uses").alias("n"))
     # Common chunks, at most 65536 of them (see ``frequent``), go out; each of the rest has too few uses to be a hot key.
     common, rare = (F.col("n") > frequent(total), F.col("n") <= frequent(total))
-    lent = wanted.where(common).drop("n").join(F.broadcast(offered.where(common).drop("n")), "digest")
-    lent = lent.unionByName(wanted.where(rare).drop("n").join(offered.where(rare).drop("n"), "digest"))
+    lent = wanted.where(common).drop("n").join(F.broadcast(offered.where(common).drop("n")), ["hi", "lo"])
+    lent = lent.unionByName(wanted.where(rare).drop("n").join(offered.where(rare).drop("n"), ["hi", "lo"]))
     lent = lent.groupBy("uid").agg(F.collect_list(F.struct("seq", "chunk")).alias("lent"))
     alone = rows.where(~lacks).withColumn("lent", F.lit(None).cast("array<struct<seq:int,chunk:binary>>"))
     return alone.unionByName(rows.where(lacks).join(lent, "uid", "left")).mapInArrow(lambda b: rebuild(b, tokenizer_bytes), RESULT)
@@ -405,9 +434,10 @@ def rebuild(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
     for whole in batches:
         for begin in range(0, whole.num_rows, 2000):
             part = whole.slice(begin, 2000)
-            data = part.to_pydict()
-            crcs, chunks_n, stored_n = [], [], []
-            for doc, n, digests, sizes, mine, blob, root, lent in zip(*(data[c] for c in ("doc_id", "n_tokens", "digests", "sizes", "mine", "blob", "root", "lent"))):
+            digests = as_bytes(part.column("hi"), part.column("lo"))
+            data = part.select(["doc_id", "n_tokens", "sizes", "mine", "blob", "root", "lent"]).to_pydict()
+            crcs, chunks_n, stored_n, first = [], [], [], 0
+            for doc, n, sizes, mine, blob, root, lent in zip(*data.values()):
                 raw = unpacker.decompress(blob) if blob else b""
                 if mine is not None and not all(mine):
                     other, parts, at = {x["seq"]: x["chunk"] for x in lent or ()}, [], 0
@@ -419,11 +449,13 @@ def rebuild(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
                 for size in sizes:
                     found.append(digest_of(view[at : at + size * width]))
                     at += size * width
-                if found != digests or merkle(found) != root or len(raw) != n * width:
+                recipe = digests[16 * first : 16 * (first + len(sizes))]
+                if b"".join(found) != recipe or merkle(recipe) != root or len(raw) != n * width:
                     raise ValueError(f"document {doc} does not match its recipe")
+                first += len(sizes)
                 crcs.append(zlib.crc32(np.frombuffer(raw, kind).astype("<u4")))
-                chunks_n.append(len(digests))
-                stored_n.append(len(digests) if mine is None else sum(mine))
+                chunks_n.append(len(sizes))
+                stored_n.append(len(sizes) if mine is None else sum(mine))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("start"), part.column("n_tokens"), pa.array(crcs, pa.int64()), pa.array(chunks_n, pa.int32()), pa.array(stored_n, pa.int32())],
                 ["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "n_stored"],

@@ -1,218 +1,235 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-case words, their first four and five letters, and marks of words in capitals or with doubled stops. From a bounded sample of labelled rows the terms
-that mark the label are selected by likelihood ratio; document frequencies of these are counted over all documents.
-Examples with a selected term are kept in an inverted index whose postings are cut into blocks of examples, each with
-its largest weight, so blocks whose upper bound is below the k-th best cosine are never opened; the result is that of
-comparing with every example. Votes are weighted by closeness, and an isotonic fit to the examples' own votes, each
-without itself, turns a vote into a calibrated score. The ids of the nearest examples are the evidence.
-
-Null text counts as empty. A text without selected terms has no neighbours; its score is the smoothed share of label 1
-among such examples. With no label-1 examples all scores are the smoothed share. Ties between equally near examples
-go to the smaller example number (order of id). Repeated rows are scored alike; an empty table gives an empty result.
-Only the named columns are read.
+Terms are lower-case runs of letters; every term of a bounded sample of labelled rows counts, none is left out. Document
+frequencies are counted over all documents. A weight is (1 + log count) times the inverse document frequency, times
+how surely the sample shows that the term tells the label (from its likelihood ratio; a term that tells nothing keeps
+``floor``). The examples' unit vectors lie in an inverted index whose postings are cut into blocks of examples, each
+with its largest weight, so blocks whose upper bound is below the k-th best cosine are never opened; the result is
+that of comparing with every example. Votes are weighted by closeness, and an isotonic fit to the examples' own votes,
+each without itself, turns a vote into a calibrated score. The ids of the nearest examples are the evidence.
+
+Null text counts as empty; very long texts are read whole. A text that shares no term with an example has no
+neighbours; its score is the smoothed share of label 1 in the sample. Without a label-1 or a label-0 example all scores
+are that share. Ties between equally near examples go to the smaller id. A document labelled both ways is learnt as
+label 1; of rows that repeat a labelled id the least text is learnt. Repeated rows are scored alike; an empty table
+gives an empty result. Only the named columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convlens.llm.common import Scratch, pieces_of, ranges, split_words
+from convlens.llm.common import Scratch, coded_words, pieces_of, ranges
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = r"[^\p{L}]+"
 
 
-def terms_of(word: str) -> list[str]:
-    out = []
-    for run in LETTERS.findall(word.lower()):
-        out.append(run)
-        if len(run) > 5:
-            out += (run[:4] + "-", run[:5] + "-")
-    if word.isupper() and len(word) > 2:
-        out.append("(capitals)")
-    if word[-2:] in ("!!", "??", "?!", "!?"):
-        out.append(word[-2:])
-    return out
+def terms_of(texts: pa.Array, known: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(ends by text, terms, counts, names): the terms of each text in ascending number, among ``known`` if given."""
+    codes, offsets, words = coded_words(texts)
+    lists = pc.split_pattern_regex(pc.utf8_lower(words), LETTERS)
+    runs, owner = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    if known is None:
+        coded = runs.dictionary_encode()
+        names, number = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        number = np.where(pc.equal(runs, "").to_numpy(zero_copy_only=False), -1, number)
+    else:
+        names, number = known, pc.fill_null(pc.index_in(runs, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner, number = owner[number >= 0], number[number >= 0]
+    size = np.bincount(owner, minlength=len(words)).astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    starts, own = np.cumsum(size) - size, size[codes]
+    text = np.repeat(np.searchsorted(offsets, np.arange(len(codes)), side="right") - 1, own)
+    base = np.int64(max(1, len(names)))
+    keys, counts = np.unique(text * base + number[ranges(starts[codes], own)], return_counts=True)
+    return np.searchsorted(keys // base, np.arange(len(texts) + 1)), keys % base, counts, names
 
 
 def example_terms(examples: DataFrame) -> DataFrame:
-    """Distinct (term, label) of each example."""
+    """(doc_id, label, term, count) of each example."""
+    schema = "doc_id long, label int, term string, count int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces_of(whole, "text", 1_000_000):
-                codes, offsets, words = split_words(batch.column("text"))
-                known = [terms_of(w) for w in words]
-                for i, label in enumerate(batch.column("label").to_pylist()):
-                    found = {t for c in np.unique(codes[offsets[i] : offsets[i + 1]]) for t in known[c]}
-                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([label] * len(found), pa.int32())], ["term", "label"])
-
-    return examples.select("text", F.col("label").cast("int")).mapInArrow(run, "term string, label int")
-
-
-def select_terms(examples: DataFrame, *, most: int, least_rows: int = 4, least_gain: float = 17.0, least_lift: float = 8.0, least_stem_lift: float = 40.0) -> list[str]:
-    """At most ``most`` terms that occur in label 1 ``least_lift`` times as often as elsewhere, by likelihood ratio.
-
-    Stems, which join many words, must do so ``least_stem_lift`` times.
-    """
-    n1, n = examples.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
-    if not n1 or n1 == n:
-        return []
-    by = example_terms(examples).groupBy("term").agg(F.sum("label").alias("a"), F.count(F.lit(1)).alias("m"))
-    part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    a, m = F.col("a").cast("double"), F.col("m").cast("double")
-    cells = [(a, m * n1 / n), (m - a, m * (n - n1) / n), (n1 - a, (n - m) * n1 / n), (n - n1 - m + a, (n - m) * (n - n1) / n)]
-    lift = F.when(F.col("term").endswith("-"), least_stem_lift).otherwise(least_lift)
-    gain = sum((2 * part(x, e) for x, e in cells), F.lit(0.0))
-    rows = by.where((F.col("a") >= least_rows) & (F.col("a") * (n - n1) > lift * (F.col("m") - F.col("a")) * n1)).withColumn("gain", gain)
-    return [r["term"] for r in rows.where(F.col("gain") >= least_gain).orderBy(F.desc("gain"), "term").limit(most).collect()]
-
-
-def term_counts(docs: DataFrame, terms: list[str], *, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, terms, counts) of the selected terms over whole texts."""
-    number = {t: i for i, t in enumerate(terms)}
+            for batch in pieces_of(whole, "text"):
+                ends, terms, counts, names = terms_of(batch.column("text"))
+                row = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(ends)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(row), batch.column("label").take(row), names.take(pa.array(terms)).cast(pa.string()), pa.array(counts, pa.int32())],
+                    ["doc_id", "label", "term", "count"],
+                )
+
+    return examples.select("doc_id", "label", "text").mapInArrow(run, schema)
+
+
+def term_counts(docs: DataFrame, vocabulary: list[str], *, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, terms, counts) of the vocabulary's terms over whole texts."""
+    # The sample's terms, bounded by its rows.
+    shared = docs.sparkSession.sparkContext.broadcast(pa.array(vocabulary, pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces_of(whole, "text"):
-                codes, offsets, words = split_words(batch.column("text"))
-                own = [[number[t] for t in terms_of(w) if t in number] for w in words]
-                size = np.array([len(x) for x in own] or [0], np.int64)
-                flat = np.array([t for x in own for t in x], np.int64)
-                starts = np.cumsum(size) - size
-                hit = np.flatnonzero(size[codes]) if len(codes) else np.zeros(0, np.int64)
-                at = codes[hit]
-                owner = np.repeat(np.searchsorted(offsets, hit, side="right") - 1, size[at] if len(at) else 0)
-                keys, counts = np.unique(owner * np.int64(len(terms) + 1) + flat[ranges(starts[at], size[at])] if len(at) else np.zeros(0, np.int64), return_counts=True)
-                ends = np.searchsorted(keys // (len(terms) + 1), np.arange(batch.num_rows + 1))
+            for batch in pieces_of(whole, "text", 4_000_000):
+                ends, terms, counts, _ = terms_of(batch.column("text"), shared.value)
                 lists = lambda v: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v.astype(np.int32)))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(keys % (len(terms) + 1)), lists(counts)], ["doc_id", "terms", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(terms), lists(counts)], ["doc_id", "terms", "counts"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
 
 
-@dataclass
-class Index:
-    """Inverted index with block maxima over unit vectors; ``search`` is exact."""
+def telling(with_1: np.ndarray, with_any: np.ndarray, n_1: int, n: int, floor: float, least: float = 7.0, half: float = 40.0) -> np.ndarray:
+    """From ``floor`` to 1 + ``floor``: how surely a term tells the label, by the likelihood ratio beyond ``least``."""
+    gain = np.zeros(len(with_any))
+    for seen, rows, share in ((with_1, with_any, n_1), (with_any - with_1, with_any, n - n_1)):
+        for x, total in ((seen, rows), (share - seen, n - rows)):
+            expected = total * share / n
+            ok = x > 0
+            gain[ok] += 2 * x[ok] * np.log(x[ok] / expected[ok])
+    sure = np.maximum(0.0, gain - least)
+    return sure / (sure + half) + floor
+
 
-    n_terms: int
-    vectors: list[tuple[np.ndarray, np.ndarray]]
-    block: int = 64
-    postings: list = field(default_factory=list)
+class Index:
+    """Inverted index with block maxima over unit vectors (offsets, terms, weights); ``search`` is exact."""
 
-    def __post_init__(self):
-        docs = np.repeat(np.arange(len(self.vectors)), [len(t) for t, _ in self.vectors]) if self.vectors else np.zeros(0, int)
-        terms = np.concatenate([t for t, _ in self.vectors]) if self.vectors else np.zeros(0, int)
-        weights = np.concatenate([w for _, w in self.vectors]) if self.vectors else np.zeros(0)
+    def __init__(self, n_terms: int, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, block: int = 64):
+        self.n, self.block = len(ends) - 1, block
+        self.n_blocks = self.n // block + 1
+        docs = np.repeat(np.arange(self.n), np.diff(ends))
         order = np.lexsort((docs, terms))
-        docs, terms, weights = docs[order], terms[order], weights[order]
-        edges = np.searchsorted(terms, np.arange(self.n_terms + 1))
-        for a, b in zip(edges[:-1], edges[1:]):
-            blocks = docs[a:b] // self.block
-            first = np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1]))) if b > a else np.zeros(0, int)
-            largest = np.maximum.reduceat(weights[a:b], first) if b > a else np.zeros(0)
-            self.postings.append((docs[a:b], weights[a:b], blocks[first] if b > a else first, first, np.append(first[1:], b - a).astype(int), largest))
-        self.n_blocks = len(self.vectors) // self.block + 1
+        self.docs, self.weights, terms = docs[order], weights[order], terms[order]
+        key = terms.astype(np.int64) * self.n_blocks + self.docs // block
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.first, self.size = first, np.diff(np.append(first, len(key)))
+        self.largest = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.of_block = key[first] % self.n_blocks
+        edges = np.searchsorted(key[first] // self.n_blocks, np.arange(n_terms + 1))
+        self.begin, self.blocks_of = edges[:-1], np.diff(edges)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine, ties to the smaller number."""
-        bound = np.zeros(self.n_blocks)
-        for t, w in zip(terms, weights):
-            p = self.postings[t]
-            bound[p[2]] += w * p[5]
-        best_ids, best = np.zeros(0, int), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) >= k and bound[b] + 1e-9 < best[k - 1]:
+        held = self.blocks_of[terms]
+        part = ranges(self.begin[terms], held)
+        weight, block = np.repeat(weights, held), self.of_block[part]
+        bound = np.bincount(block, weight * self.largest[part], minlength=self.n_blocks)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        ids, best = np.zeros(0, np.int64), np.zeros(0)
+        opened, at, step = np.zeros(self.n_blocks, bool), 0, 2
+        while at < len(order):
+            # Blocks of falling bounds, ever more of them at once, until none can hold one of the k nearest.
+            some = order[at : at + step]
+            if len(best) >= k:
+                some = some[bound[some] + 1e-9 >= best[k - 1]]
+            if not len(some):
                 break
-            sums = np.zeros(self.block)
-            for t, w in zip(terms, weights):
-                docs, own, blocks, first, last, _ = self.postings[t]
-                i = np.searchsorted(blocks, b)
-                if i < len(blocks) and blocks[i] == b:
-                    sums[docs[first[i] : last[i]] - b * self.block] += w * own[first[i] : last[i]]
-            if without // self.block == b:
-                sums[without - b * self.block] = 0
-            some = np.flatnonzero(sums > 0)
-            ids, cos = np.concatenate((best_ids, some + b * self.block)), np.concatenate((best, np.round(sums[some], 12)))
-            order = np.lexsort((ids, -cos))[:k]
-            best_ids, best = ids[order], cos[order]
-        return best_ids, best
+            opened[some] = True
+            take = opened[block]
+            opened[some] = False
+            sizes = self.size[part[take]]
+            posting = ranges(self.first[part[take]], sizes)
+            sums = np.bincount(self.docs[posting], np.repeat(weight[take], sizes) * self.weights[posting], minlength=self.n)
+            if without >= 0:
+                sums[without] = 0
+            found = np.flatnonzero(sums > 0)
+            ids, best = np.concatenate((ids, found)), np.concatenate((best, np.round(sums[found], 12)))
+            if len(best) > k:
+                near = np.flatnonzero(best >= np.partition(best, len(best) - k)[len(best) - k])
+                near = near[np.lexsort((ids[near], -best[near]))[:k]]
+                ids, best = ids[near], best[near]
+            else:
+                near = np.lexsort((ids, -best))
+                ids, best = ids[near], best[near]
+            at, step = at + step, step * 4
+        return ids, best
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Non-decreasing step fit of y on x: right ends of the steps and their smoothed means."""
+    """Non-decreasing step fit of y on x: the least x of each step and the step's smoothed mean."""
     order = np.argsort(x, kind="stable")
-    ends: list[list[float]] = []
+    steps: list[list[float]] = []
     for v, t in zip(x[order], y[order]):
-        ends.append([v, t, 1.0])
-        while len(ends) > 1 and (ends[-2][0] == ends[-1][0] or ends[-2][1] / ends[-2][2] >= ends[-1][1] / ends[-1][2]):
-            last = ends.pop()
-            ends[-1] = [last[0], ends[-1][1] + last[1], ends[-1][2] + last[2]]
-    return np.array([e[0] for e in ends]), np.array([(e[1] + 0.1) / (e[2] + 0.2) for e in ends])
+        steps.append([v, t, 1.0])
+        while len(steps) > 1 and (steps[-2][0] == steps[-1][0] or steps[-2][1] / steps[-2][2] >= steps[-1][1] / steps[-1][2]):
+            last = steps.pop()
+            steps[-1] = [steps[-1][0], steps[-1][1] + last[1], steps[-1][2] + last[2]]
+    return np.array([e[0] for e in steps]), np.array([(e[1] + 0.1) / (e[2] + 0.2) for e in steps])
+
+
+def calibrated(vote: float, steps: tuple[np.ndarray, np.ndarray]) -> float:
+    """Between the middles of the steps' left ends a score rises in a straight line, so that votes differ in score."""
+    return float(np.interp(vote, *steps))
 
 
 @dataclass
 class Neighbours:
-    terms: list[str]
-    idf: np.ndarray
+    weight: np.ndarray
     share: float
-    without_terms: float
     index: Index | None = None
     labels: np.ndarray | None = None
     ids: np.ndarray | None = None
     steps: tuple[np.ndarray, np.ndarray] | None = None
     k: int = 15
 
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(counts)) * self.idf[terms]
-        return terms, w / np.sqrt((w * w).sum())
+    def vectors(self, ends: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Weights of unit vectors that lie one after the other."""
+        w = (1 + np.log(counts)) * self.weight[terms]
+        norm = np.sqrt(np.bincount(np.repeat(np.arange(len(ends) - 1), np.diff(ends)), w * w, minlength=len(ends) - 1))
+        return w / np.repeat(np.maximum(norm, 1e-300), np.diff(ends))
 
     def vote(self, near: np.ndarray, cos: np.ndarray) -> float:
         w = 1 / (1.05 - np.minimum(cos, 1.0))
         return float((w * self.labels[near]).sum() / w.sum()) if len(near) else 0.0
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
+    def scores(self, ends: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> tuple[list[float], list[list[int]]]:
         if self.index is None:
-            return self.share, []
-        if not len(terms):
-            return self.without_terms, []
-        near, cos = self.index.search(*self.vector(terms, counts), self.k)
-        if not len(near):
-            return self.share, []
-        x, y = self.steps
-        return float(np.interp(self.vote(near, cos), x, y)), self.ids[near[:3]].tolist()
+            return [self.share] * (len(ends) - 1), [[]] * (len(ends) - 1)
+        weights, out, evidence = self.vectors(ends, terms, counts), [], []
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            near, cos = self.index.search(terms[a:b], weights[a:b], self.k)
+            out.append(calibrated(self.vote(near, cos), self.steps) if len(near) else self.share)
+            evidence.append(self.ids[near[:3]].tolist())
+        return out, evidence
 
 
-def fit(docs: DataFrame, labelled: DataFrame, scratch: Scratch, *, examples: int, most_terms: int, k: int, id_col: str, text_col: str) -> tuple[Neighbours, DataFrame]:
+def fit(docs: DataFrame, labelled: DataFrame, scratch: Scratch, *, examples: int, floor: float, k: int, id_col: str, text_col: str) -> tuple[Neighbours, DataFrame]:
     """The model and the term counts of all documents. ``labelled`` has (doc_id, label)."""
-    chosen = scratch.put(labelled.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples), "chosen")
+    chosen = labelled.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
     # At most ``examples`` rows of two numbers.
-    sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = scratch.put(sample, "sample")
-    terms = select_terms(sample, most=most_terms)
-    vectors = scratch.put(term_counts(docs, terms, id_col=id_col, text_col=text_col), "vectors")
+    sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(scratch.put(chosen, "chosen")), "doc_id")
+    sample = scratch.put(sample.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "sample")
+    by_example = scratch.put(example_terms(sample), "examples")
+    stats = by_example.groupBy("term").agg(F.sum("label").alias("ones"), F.count(F.lit(1)).alias("rows")).orderBy("term").toPandas()
+    vocabulary = stats["term"].tolist()
+    vectors = scratch.put(term_counts(docs, vocabulary, id_col=id_col, text_col=text_col), "vectors")
     n = vectors.count()
-    df = {r["t"]: r["n"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
-    idf = np.array([np.log((n + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(terms))])
-    rows = vectors.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    y = np.array([r["label"] for r in rows], float)
+    df = vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    frequency = np.zeros(len(vocabulary))
+    frequency[df["t"].to_numpy(int)] = df["n"].to_numpy(float)
+    known = sample.select("doc_id", "label").orderBy("doc_id").toPandas()
+    ids, y = known["doc_id"].to_numpy(np.int64), known["label"].to_numpy(float)
     share = float((y.sum() + 0.1) / (len(y) + 0.2)) if len(y) else 0.5
-    bare = [r["label"] for r in rows if not r["terms"]]
-    model = Neighbours(terms, idf, share, (sum(bare) + 0.1 * share) / (len(bare) + 0.1), k=k)
-    used = [r for r in rows if r["terms"]]
-    if used:
-        found = [model.vector(np.array(r["terms"]), np.array(r["counts"], float)) for r in used]
-        model.labels, model.ids = np.array([r["label"] for r in used], float), np.array([r["doc_id"] for r in used])
-        model.index = Index(len(terms), found)
-        votes = np.array([model.vote(*model.index.search(*v, k, without=i)) for i, v in enumerate(found)])
-        model.steps = isotonic(votes, model.labels)
+    model = Neighbours(np.zeros(len(vocabulary)), share, k=k)
+    if not vocabulary or not 0 < y.sum() < len(y):
+        return model, vectors
+    sure = telling(stats["ones"].to_numpy(float), stats["rows"].to_numpy(float), int(y.sum()), len(y), floor)
+    model.weight = (np.log((n + 1) / (frequency + 1)) + 1) * sure
+    own = by_example.toPandas()
+    row, term = np.searchsorted(ids, own["doc_id"].to_numpy(np.int64)), np.searchsorted(np.array(vocabulary, object), own["term"].to_numpy(object))
+    order = np.lexsort((term, row))
+    row, term, counts = row[order], term[order], own["count"].to_numpy(float)[order]
+    ends = np.searchsorted(row, np.arange(len(ids) + 1))
+    weights = model.vectors(ends, term, counts)
+    model.labels, model.ids = y, ids
+    model.index = Index(len(vocabulary), ends, term, weights)
+    votes = [model.vote(*model.index.search(term[a:b], weights[a:b], k, without=i)) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:]))]
+    model.steps = isotonic(np.array(votes), y)
     return model, vectors
 
 
@@ -221,8 +238,8 @@ def toxicity_scores(
     labels: DataFrame,
     *,
     learn_from: Column | None = None,
-    examples: int = 20_000,
-    most_terms: int = 4096,
+    examples: int = 4096,
+    floor: float = 0.02,
     k: int = 15,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -232,15 +249,17 @@ def toxicity_scores(
     """(doc_id, score, evidence). At most ``examples`` labelled rows, chosen by a hash of the id, are learnt from."""
     scratch = scratch or Scratch(docs.sparkSession, "toxicity")
     learn = labels.where(learn_from) if learn_from is not None else labels
-    learn = learn.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    model, vectors = fit(docs, learn, scratch, examples=examples, most_terms=most_terms, k=k, id_col=id_col, text_col=text_col)
+    learn = learn.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null")
+    model, vectors = fit(docs, learn, scratch, examples=examples, floor=floor, k=k, id_col=id_col, text_col=text_col)
+    # Bounded by the terms of ``examples`` rows.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scored = [shared.value.score(np.array(t, int), np.array(c, float)) for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([s for s, _ in scored], pa.float64()), pa.array([e for _, e in scored], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"]
-            )
+            lists = batch.column("terms")
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            terms, counts = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("terms", "counts"))
+            scores, evidence = shared.value.scores(ends - ends[0], terms, counts)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
     return vectors.mapInArrow(run, "doc_id long, score double, evidence array<long>")

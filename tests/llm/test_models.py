@@ -2,6 +2,8 @@
 
 import json
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +64,9 @@ def test_index_equals_comparing_with_all():
     dense = np.zeros((500, 40))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
-    index = X.Index(40, vectors, block=16)
-    for i in range(80):
+    ends = np.concatenate(([0], np.cumsum([len(t) for t, _ in vectors])))
+    index = X.Index(40, ends, *(np.concatenate(x) for x in zip(*vectors)), block=16)
+    for i in range(120):
         t, w = vector()
         q = np.zeros(40)
         q[t] = w
@@ -72,7 +75,61 @@ def test_index_equals_comparing_with_all():
         want = np.lexsort((np.arange(500), -cos))[:10]
         want = want[cos[want] > 0]
         ids, best = index.search(t, w, 10, without=i)
-        assert np.allclose(best, cos[want]) and set(ids.tolist()) - set(want.tolist()) == set() or np.allclose(best, cos[ids])
+        assert ids.tolist() == want.tolist() and np.allclose(best, cos[want])
+
+
+def test_scores_equal_brute_force(spark, labelled):
+    """All of it again, densely: counts, frequencies, weights, cosines with every example, votes and the step fit."""
+    docs, labels = labelled
+    docs = docs.unionByName(spark.createDataFrame([(0, "zz " * 5000, 1), (None, "nastyword here", 1), (9003, "never-seen glyphs: ¶¶ 12", 1)], docs.schema))
+    got = X.toxicity_scores(docs, labels, learn_from=F.col("doc_id") % 3 != 1, examples=300).collect()
+    texts = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    bags = [Counter(re.findall(r"[^\W\d_]+", t.lower())) for _, t in texts]
+    hashed = labels.where("doc_id % 3 <> 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(300).collect()
+    label = {r["doc_id"]: r["toxic"] for r in hashed}
+    chosen = {}
+    for (i, t), bag in zip(texts, bags):
+        if i in label and (i not in chosen or t < chosen[i][0]):
+            chosen[i] = (t, bag)
+    ids = sorted(chosen)
+    y = np.array([label[i] for i in ids], float)
+    words = sorted({w for i in ids for w in chosen[i][1]})
+    count = lambda bag: np.array([bag.get(w, 0) for w in words], float)
+    sample = np.array([count(chosen[i][1]) for i in ids])
+    everything = np.array([count(b) for b in bags])
+    a, m, n1, n = (sample[y == 1] > 0).sum(0), (sample > 0).sum(0), y.sum(), len(y)
+    table = np.array([[a, m - a], [n1 - a, n - n1 - m + a]], float)
+    expected = table.sum(0, keepdims=True) * table.sum(1, keepdims=True) / n
+    gain = (2 * np.where(table > 0, table * np.log(np.maximum(table, 1e-9) / expected), 0)).sum((0, 1))
+    sure = np.maximum(0, gain - 7)
+    weight = (np.log((len(texts) + 1) / ((everything > 0).sum(0) + 1)) + 1) * (sure / (sure + 40) + 0.02)
+    unit = lambda x: (v := np.where(x > 0, 1 + np.log(np.maximum(x, 1)), 0) * weight) / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-300)
+
+    def vote(cos):
+        cos = np.round(cos, 12)
+        near = [i for i in np.lexsort((np.arange(n), -cos))[:15] if cos[i] > 0]
+        w = 1 / (1.05 - np.minimum(cos[near], 1))
+        return (w * y[near]).sum() / w.sum() if near else None
+
+    own = unit(sample)
+    votes = []
+    for i in range(n):
+        cos = own @ own[i]
+        cos[i] = 0
+        votes.append(vote(cos) or 0.0)
+    steps = X.isotonic(np.array(votes), y)
+    cos = unit(everything) @ own.T
+    want = {}
+    for (i, t), c in zip(texts, cos):
+        v = vote(c)
+        want.setdefault(i, []).append((y.sum() + 0.1) / (n + 0.2) if v is None else np.interp(v, *steps))
+    found = {}
+    for r in got:
+        found.setdefault(r["doc_id"], []).append(r["score"])
+    assert found.keys() == want.keys()
+    for i in want:
+        assert np.allclose(sorted(found[i]), sorted(want[i]), atol=1e-9), i
+    assert len({round(r["score"], 9) for r in got}) > 2
 
 
 def test_isotonic_is_monotone():
