@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -72,6 +73,12 @@ def pieces_of(batch: pa.RecordBatch, text: str, most: int = 8_000_000) -> Iterat
         start = stop
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Frees the shuffle files of finished jobs: Spark deletes them once nothing in the driver refers to their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def trim() -> None:
     """Gives freed memory back at the end of a task: Python workers live on beside those of later stages."""
     pa.default_memory_pool().release_unused()
@@ -138,22 +145,39 @@ def prefix_sum(df: DataFrame, group: list[str], bucket: str, order: list[str], v
     )
 
 
+def frequent(total: int) -> int:
+    """A key with more of ``total`` rows than this is common; at most 65536 keys are, at every size."""
+    return max(64, total >> 16)
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], total: int, count: str = "_n") -> DataFrame:
+    """Inner join of ``rows`` with one row for each key, where ``count`` says how many rows have it (of ``total``).
+
+    Common keys, 65536 of them at most, go out to all tasks; each other key has too few rows to be a hot one.
+    """
+    common, rare = keyed.where(F.col(count) > frequent(total)).drop(count), keyed.where(F.col(count) <= frequent(total)).drop(count)
+    marked = rows.join(F.broadcast(common.withColumn("_common", F.lit(True))), on, "left")
+    out = [*rows.columns, *[c for c in common.columns if c not in on]]
+    rest = marked.where("_common is null").select(*rows.columns).join(rare, on)
+    return marked.where("_common").select(*out).unionByName(rest.select(*out))
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """Connected components of ``edges(a, b)``: rows (node, root) for every node but the roots; root is the least node.
 
-    Alternates the large-star and small-star steps; each is one aggregation and one equi-join that can be split where
-    a node has very many neighbours. Every round is written to the shared folder.
+    Alternates the large-star and small-star steps; each is one aggregation and one equi-join in which nodes with very
+    many neighbours are no hot keys. Every round is written to the shared folder.
     """
 
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
+    def star(pairs: DataFrame, large: bool, n: int) -> DataFrame:
         if large:
             both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-            out = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+            least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("_n"))
+            out = join_counted(both, least, ["a"], 2 * n).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             down = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-            least = down.groupBy("a").agg(F.min("b").alias("m"))
-            links = down.join(least, "a")
+            least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n"))
+            links = join_counted(down, least, ["a"], n)
             out = links.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         return out.where(F.col("a") != F.col("b")).distinct()
 
@@ -164,6 +188,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
     before, k = None, 0
     while (seen := state(now)) != before and seen[0]:
         before, k = seen, k + 1
-        now = scratch.put(star(star(now, True), False), f"{name}-{k}")
+        now = scratch.put(star(star(now, True, seen[0]), False, seen[0]), f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

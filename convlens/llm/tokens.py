@@ -1,7 +1,7 @@
 """Token ids in a content-addressed store.
 
 Texts are encoded and each document's ids, with an end id appended, are cut where a rolling hash of the last ids
-matches a mask, so equal passages give equal chunks (of 64 ids in the mean, so passages of some 50 words share some). A
+matches a mask, so equal passages give equal chunks (of 96 ids in the mean, some 40 words of the test tables). A
 chunk is stored once, in the row of the first document as staged that has it; every document keeps a recipe (chunk
 digests in order, which of them it stores, how often each is used) and a Merkle root over it. Packs are Parquet files
 in ascending order of document id; each ends with a manifest row: its numbers of ids and chunks and a Merkle root over
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from convlens.llm.common import Scratch, pieces_of, ranges, trim
+from convlens.llm.common import Scratch, collect_garbage, frequent, join_counted, pieces_of, ranges, trim
 
 #: White space other than one blank or one line feed between other characters, a special token, or the mark that the
 #: encoder itself puts at the start of a text: encoded as a whole.
@@ -179,18 +179,17 @@ class Encoder:
         return out, lengths
 
 
-def chunk_ends(ids: np.ndarray, offsets: np.ndarray, gear: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def chunk_ends(ids: np.ndarray, offsets: np.ndarray, gear: np.ndarray, mean: int) -> tuple[np.ndarray, np.ndarray]:
     """(ends of all chunks, number of chunks of each document) for documents that lie one after the other.
 
-    A chunk ends where a rolling hash over the last 16 ids has ``bits`` zero high bits. Chunks have a quarter (16 at
-    least, so no hash reaches into the document before) to four times the mean length; only the last may be shorter.
+    A chunk ends where a rolling hash over the last 16 ids is low enough, once in ``mean`` ids. Chunks have a quarter (16
+    at least, so no hash reaches into the document before) to four times that length; only the last may be shorter.
     """
-    mean = 1 << bits
     least, most = max(16, mean // 4), mean * 4
     h = gear[ids]
     for k in (1, 2, 4, 8):
         h[k:] += h[:-k] * np.uint32(3**k)
-    marks = np.flatnonzero(h < np.uint32(1 << (32 - bits))) + 1
+    marks = np.flatnonzero(h < np.uint32((1 << 32) // mean)) + 1
     first, last = np.searchsorted(marks, offsets[:-1], "right").tolist(), np.searchsorted(marks, offsets[1:], "left").tolist()
     places, ends, counts = marks.tolist(), [], []
     for a, b, i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), first, last):
@@ -215,7 +214,7 @@ def lists_of(counts: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), values)
 
 
-def stage(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, end_id: int, bits: int) -> DataFrame:
+def stage(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, end_id: int, mean: int) -> DataFrame:
     """One row per document: digests and sizes of its chunks and its compressed ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,11 +223,11 @@ def stage(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, end_id
         gear = np.random.default_rng(7).integers(0, 1 << 32, 1 << (16 if width == 2 else 20), dtype=np.uint32)
         packer = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True)
         for whole in batches:
-            for batch in pieces_of(whole, "text", 4_000_000):
+            for batch in pieces_of(whole, "text"):
                 ids, offsets = encoder.encode(pc.fill_null(batch.column("text"), ""))
                 ids = np.insert(ids, offsets[1:], np.array(end_id, encoder.dtype))
                 offsets = offsets + np.arange(len(offsets))
-                ends, counts = chunk_ends(ids, offsets, gear, bits)
+                ends, counts = chunk_ends(ids, offsets, gear, mean)
                 sizes = np.diff(ends, prepend=0)
                 raw = memoryview(ids.tobytes())
                 digests = b"".join([digest_of(raw[a:b]) for a, b in zip(((ends - sizes) * width).tolist(), (ends * width).tolist())])
@@ -247,11 +246,6 @@ def stage(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, end_id
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, STAGED)
 
 
-def frequent(total: int) -> int:
-    """A chunk used more often than this is common; among ``total`` uses at most 65536 chunks are, at every size."""
-    return max(64, total >> 16)
-
-
 def write_store(
     docs: DataFrame,
     tokenizer: str,
@@ -260,21 +254,17 @@ def write_store(
     id_col: str = "doc_id",
     text_col: str = "text",
     end_id: int = 0,
-    bits: int = 6,
+    mean: int = 96,
     pack_tokens: int = 1 << 25,
 ) -> DataFrame:
     """Writes the store into ``scratch`` and returns its rows as read back. A pack has about ``pack_tokens`` ids at most."""
     spark = docs.sparkSession
-    staged = scratch.put(stage(docs, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id, bits=bits).withColumn("uid", F.monotonically_increasing_id()), "staged")
+    staged = scratch.put(stage(docs, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id, mean=mean).withColumn("uid", F.monotonically_increasing_id()), "staged")
     tokens, total = staged.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum(F.size("sizes")), F.lit(0))).first()
     several = staged.select("uid", F.explode(F.arrays_zip("hi", "lo")).alias("d")).groupBy("d.hi", "d.lo").agg(F.min("uid").alias("owner"), F.count(F.lit(1)).alias("n"))
     several = scratch.put(several.where("n > 1"), "several")
     refs = staged.select("doc_id", "uid", F.posexplode(F.arrays_zip("hi", "lo")).alias("seq", "d")).select("doc_id", "uid", "seq", "d.hi", "d.lo")
-    # At most 65536 common chunks go out (see ``frequent``); each other one has too few uses to be a hot key.
-    common, rare = several.where(F.col("n") > frequent(total)), several.where(F.col("n") <= frequent(total))
-    seen = refs.join(F.broadcast(common), ["hi", "lo"], "left")
-    columns = ["doc_id", "uid", "seq", "owner", "n"]
-    marks = seen.where("n is not null").select(*columns).unionByName(seen.where("n is null").drop("owner", "n").join(rare, ["hi", "lo"]).select(*columns))
+    marks = join_counted(refs, several.withColumn("_n", F.col("n")), ["hi", "lo"], total)
     marks = marks.select("doc_id", "uid", "seq", (F.col("owner") == F.col("uid")).alias("own"), F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n"))
     both = staged.select("doc_id", "uid", F.lit(-1).alias("seq"), "n_tokens", "hi", "lo", "sizes", "blob").unionByName(marks, allowMissingColumns=True)
     # A document's row comes after the marks of its chunks, so one pass puts them together.
@@ -284,6 +274,8 @@ def write_store(
     store = scratch.put(ordered.mapInArrow(lambda b: pack(b, width), PACKED), "store")
     scratch.drop("staged")
     scratch.drop("several")
+    del staged, several, refs, marks, both, ordered
+    collect_garbage(spark)
     return store
 
 

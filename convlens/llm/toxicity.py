@@ -52,26 +52,22 @@ def terms_of(texts: pa.Array, known: pa.Array | None = None) -> tuple[np.ndarray
 
 
 def example_terms(examples: DataFrame) -> DataFrame:
-    """(doc_id, label, term, count) of each example."""
-    schema = "doc_id long, label int, term string, count int"
+    """(label, term) of each example."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces_of(whole, "text"):
-                ends, terms, counts, names = terms_of(batch.column("text"))
+                ends, terms, _, names = terms_of(batch.column("text"))
                 row = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(ends)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(row), batch.column("label").take(row), names.take(pa.array(terms)).cast(pa.string()), pa.array(counts, pa.int32())],
-                    ["doc_id", "label", "term", "count"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column("label").take(row), names.take(pa.array(terms)).cast(pa.string())], ["label", "term"])
 
-    return examples.select("doc_id", "label", "text").mapInArrow(run, schema)
+    return examples.select("label", "text").mapInArrow(run, "label int, term string")
 
 
-def term_counts(docs: DataFrame, vocabulary: list[str], *, id_col: str, text_col: str) -> DataFrame:
+def term_counts(docs: DataFrame, vocabulary: pa.Array, *, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, terms, counts) of the vocabulary's terms over whole texts."""
     # The sample's terms, bounded by its rows.
-    shared = docs.sparkSession.sparkContext.broadcast(pa.array(vocabulary, pa.string()))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -204,27 +200,23 @@ def fit(docs: DataFrame, labelled: DataFrame, scratch: Scratch, *, examples: int
     # At most ``examples`` rows of two numbers.
     sample = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(scratch.put(chosen, "chosen")), "doc_id")
     sample = scratch.put(sample.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "sample")
-    by_example = scratch.put(example_terms(sample), "examples")
-    stats = by_example.groupBy("term").agg(F.sum("label").alias("ones"), F.count(F.lit(1)).alias("rows")).orderBy("term").toPandas()
-    vocabulary = stats["term"].tolist()
+    stats = example_terms(sample).groupBy("term").agg(F.sum("label").alias("ones"), F.count(F.lit(1)).alias("rows")).orderBy("term").toArrow().combine_chunks()
+    vocabulary = pa.concat_arrays(stats["term"].chunks) if len(stats) else pa.array([], pa.string())
     vectors = scratch.put(term_counts(docs, vocabulary, id_col=id_col, text_col=text_col), "vectors")
     n = vectors.count()
-    df = vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    df = vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).toArrow()
     frequency = np.zeros(len(vocabulary))
-    frequency[df["t"].to_numpy(int)] = df["n"].to_numpy(float)
-    known = sample.select("doc_id", "label").orderBy("doc_id").toPandas()
-    ids, y = known["doc_id"].to_numpy(np.int64), known["label"].to_numpy(float)
+    frequency[df["t"].to_numpy()] = df["n"].to_numpy()
+    own = term_counts(sample, vocabulary, id_col="doc_id", text_col="text").join(sample.select("doc_id", "label"), "doc_id").orderBy("doc_id").toArrow()
+    ids, y = own["doc_id"].to_numpy(), own["label"].to_numpy().astype(float)
     share = float((y.sum() + 0.1) / (len(y) + 0.2)) if len(y) else 0.5
     model = Neighbours(np.zeros(len(vocabulary)), share, k=k)
-    if not vocabulary or not 0 < y.sum() < len(y):
+    if not len(vocabulary) or not 0 < y.sum() < len(y):
         return model, vectors
-    sure = telling(stats["ones"].to_numpy(float), stats["rows"].to_numpy(float), int(y.sum()), len(y), floor)
+    sure = telling(stats["ones"].to_numpy().astype(float), stats["rows"].to_numpy().astype(float), int(y.sum()), len(y), floor)
     model.weight = (np.log((n + 1) / (frequency + 1)) + 1) * sure
-    own = by_example.toPandas()
-    row, term = np.searchsorted(ids, own["doc_id"].to_numpy(np.int64)), np.searchsorted(np.array(vocabulary, object), own["term"].to_numpy(object))
-    order = np.lexsort((term, row))
-    row, term, counts = row[order], term[order], own["count"].to_numpy(float)[order]
-    ends = np.searchsorted(row, np.arange(len(ids) + 1))
+    term, counts = (pc.list_flatten(own[c]).to_numpy().astype(np.int64) for c in ("terms", "counts"))
+    ends = np.concatenate(([0], np.cumsum(pc.list_value_length(own["terms"]).to_numpy()))).astype(np.int64)
     weights = model.vectors(ends, term, counts)
     model.labels, model.ids = y, ids
     model.index = Index(len(vocabulary), ends, term, weights)

@@ -60,6 +60,37 @@ def test_empty(spark, documents):
 
 
 def test_prefixes_are_shortened_until_the_recall_is_met():
-    assert J.prefix_length(0.8, 32, 0.9999) < J.prefix_length(0.8, 32, 0.9) <= 8
-    d = J.prefix_length(0.8, 32, 0.9999)
-    assert 1 - (1 - 0.8**d) ** 32 >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** 32
+    met = J.met
+    none = J.prefix_length({}, 0.8, 32, 0.9999)
+    assert met(0.8, none, 32) >= 0.9999 > met(0.8, none + 1, 32)
+    # Near copies only: whole labels find them. Pairs close to the threshold: shorter prefixes.
+    assert J.prefix_length({250: 1000}, 0.8, 32, 0.9999) == 8
+    assert J.prefix_length({250: 1000, 206: 400}, 0.8, 32, 0.9999) == none
+    assert J.prefix_length({250: 1000, 206: 400}, 0.8, 32, 0.9) > none
+
+
+def test_chance_meetings(spark):
+    """Texts that meet at a node without being similar, some of them linked past its first class, in small blocks."""
+    draw = np.random.default_rng(11)
+    theme = [f"t{i}" for i in range(300)]
+    rows = []
+    for i in range(60):
+        words = list(theme)
+        for p in draw.choice(300, 30 if i % 3 else 12, replace=False):
+            words[p] = f"x{i}q{p}"
+        rows.append((i, " ".join(words), None))
+        if i % 4 == 0:
+            rows.append((100 + i, " ".join([*words[:299], "end"]), None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in J.similar(df, block=5).collect()) == brute(rows)
+
+
+def test_null_and_repeated_ids(spark):
+    near = [f"w{i}" for i in range(80)]
+    texts = [" ".join(near), " ".join([*near[:79], "z"]), "other words that stand alone here"]
+    rows = [(None, texts[0], 0), (None, texts[0], 1), (None, texts[1], 2), (7, texts[1], 3), (7, texts[2], 4), (7, texts[2], 5), (None, None, 6), (7, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    got = {r["row"]: r for r in J.linked(df, row_col="row").collect()}
+    assert [got[i]["n_links"] for i in range(8)] == [3, 3, 3, 3, 1, 1, 0, 0]
+    assert [got[i]["class_id"] for i in range(8)] == [7, 7, 7, 7, 7, 7, None, 7]
+    assert len({got[i]["group"] for i in range(4)}) == 1 and got[4]["group"] == got[5]["group"] != got[0]["group"] and got[6]["group"] is None

@@ -41,7 +41,7 @@ def test_contractions_and_special_token(encoder):
 def test_store_round_trip(spark, documents, encoder):
     rows, df = documents
     scratch = Scratch(spark, "test-tokens")
-    store = K.write_store(df, PATH, scratch, bits=6)
+    store = K.write_store(df, PATH, scratch, mean=64)
     got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in K.read_store(store).collect())
     want, start = [], 0
     for i, t, _ in sorted(rows, key=lambda r: r[0]):
@@ -96,10 +96,10 @@ def test_common_chunks_and_hot_ids(spark, encoder):
 def test_chunks_cover_and_are_bounded(texts):
     gear = np.random.default_rng(7).integers(0, 1 << 32, 16, dtype=np.uint32)
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    ends, counts = K.chunk_ends(np.concatenate(texts), offsets, gear, 5)
+    ends, counts = K.chunk_ends(np.concatenate(texts), offsets, gear, 32)
     assert counts.sum() == len(ends)
     for t, own in zip(texts, np.split(ends, np.cumsum(counts)[:-1])):
-        alone, _ = K.chunk_ends(np.array(t), np.array([0, len(t)]), gear, 5)
+        alone, _ = K.chunk_ends(np.array(t), np.array([0, len(t)]), gear, 32)
         sizes = np.diff(alone, prepend=0)
         assert alone[-1] == len(t) and (sizes > 0).all() and (sizes <= 128).all() and (sizes[:-1] >= 16).all()
         assert (np.diff(own) == np.diff(alone)).all()
