@@ -1,21 +1,27 @@
 """Near-duplicate vectors by spherical-cap filters from structured random product codes.
 
 A vector is turned and cut into ``parts`` stretches; each stretch has a random code book of unit directions, and a
-filter is one direction from each book. Several such codes, each with its own turn, even out what one book lacks. A vector's score for a filter is the sum of its scores in the books, so all filters that it
-exceeds are listed by decoding from the sorted partial sums without visiting the rest. Vectors that exceed the same
-filter meet there and are verified in double precision. Equal vectors form a class first; the number of directions
-and the cap height follow the number of classes, so a filter holds about as many vectors at every size. A filter
-with many vectors is cut into blocks whose pairs are tasks of their own. A pair is counted at its first common filter
-only, so links are exact counts over the pairs found, and pairs are never written as rows.
-
-Null, zero and non-finite vectors (or null components, or another length than most) link with nothing and are their
-own component. Repeated rows are classes of copies; rows repeating an id are answered each. Empty tables give an empty
-result. Only the named columns are read.
+filter is one direction from each book. Several such codes, each with its own turn, even out what one book lacks. A vector's
+score for a filter is the sum of its scores in the books, so all filters that it
+exceeds are listed by decoding from the sorted partial sums without visiting the rest. Equal vectors form a class
+first; the number of directions and the cap height follow the number of classes, so a filter holds about as many
+vectors at every size.
+
+Only numbers travel to the filters: the class and a sketch of 128 signs. Vectors that meet in a filter and agree in as many signs as
+a pair at the threshold (less six standard deviations) does join a group; a filter with many vectors is cut into
+blocks whose pairs are tasks of their own. Inside each connected group all pairs are then verified in double
+precision, again in blocks, so links are exact counts and pairs are never written as rows. Vectors of different lengths do not link;
+those of fewer than ``LOW`` components, which random directions tell apart badly, all meet in one filter for each
+length.
+
+Null, zero and non-finite vectors (or null components) link with nothing and are their own component. A cosine equal
+to the threshold is a link. Repeated rows are classes of copies; rows repeating an id, or without one, are answered
+each. Very long vectors are compared whole. Empty tables give an empty result. Only the named columns are read, so
+other columns may have any name.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 from statistics import NormalDist
@@ -25,7 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convlens.llm.common import Scratch, components
+from convlens.llm.common import Scratch, join_counted
+from convlens.llm.groups import members_of, resolve
+
+SIGNS = 128
+LOW = 12
 
 
 class Code:
@@ -103,42 +113,64 @@ def clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).withColumn("key", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256))
 
 
-def verify(table: pa.Table, cosine: float) -> pa.Table:
-    """Of one block pair of one filter: weighted links that this filter is the first to find, and local roots."""
-    out: list[tuple] = []
-    rows: dict[int, list[int]] = {}
-    for i, f in enumerate(table.column("filter").to_pylist()):
-        rows.setdefault(f, []).append(i)
-    keys, weights, sides, lone = (table.column(c).to_pylist() for c in ("key", "n", "side", "lone"))
-    lists = table.column("filters").to_pylist()
-    for f, own in rows.items():
-        if len(own) < 2:
-            continue
-        x = np.array([np.frombuffer(table.column("unit")[i].as_py()) for i in own])
-        linked = np.triu(x @ x.T >= cosine, 1)
-        if not lone[own[0]]:
-            side = np.array([sides[i] for i in own])
-            linked &= side[:, None] != side[None]
-        count, root = dict.fromkeys(own, 0), {i: i for i in own}
-
-        def top(i: int, root: dict[int, int] = root) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for a, b in zip(*np.nonzero(linked)):
-            i, j = own[a], own[b]
-            if min(set(lists[i]).intersection(lists[j])) == f:
-                count[i] += weights[j]
-                count[j] += weights[i]
-                low, high = sorted((top(i), top(j)), key=lambda k: keys[k])
-                root[high] = low
-        for i in own:
-            if count[i]:
-                out.append((keys[i], count[i], keys[top(i)]))
-    k, c, r = zip(*out) if out else ((), (), ())
-    return pa.table({"key": pa.array(k, pa.string()), "links": pa.array(c, pa.int64()), "root": pa.array(r, pa.string())})
+def sketch(unit: np.ndarray, dim: int, seed: int) -> np.ndarray:
+    """Two numbers for each vector: its signs along SIGNS random directions."""
+    planes = np.random.default_rng([seed, dim]).standard_normal((dim, SIGNS))
+    return np.packbits(unit @ planes > 0, axis=1).view(np.int64)
+
+
+def meeting(table: pa.Table, most: int) -> pa.Table:
+    """Of one task: for each vector one other that it is connected with by sketches that differ in ``most`` signs at most."""
+    order = pa.compute.sort_indices(table, [("dim", "ascending"), ("filter", "ascending"), ("cid", "ascending")])
+    table = table.take(order)
+    dim, node, cid, side, s0, s1 = (table.column(c).to_numpy() for c in ("dim", "filter", "cid", "side", "s0", "s1"))
+    s0, s1 = s0.view(np.uint64), s1.view(np.uint64)  # of negative numbers the bits of the absolute value would be counted
+    lone = table.column("lone").to_numpy(zero_copy_only=False)
+    new = np.append(True, (node[1:] != node[:-1]) | (dim[1:] != dim[:-1]))
+    last = np.append(np.flatnonzero(new)[1:], len(node))[np.cumsum(new) - 1]
+    left, right = [], []
+    # Each vector with the next, the one after it and so on, for all filters of the task at once.
+    at, step = np.arange(len(node)), 1
+    while len(at := at[at + step < last[at]]):
+        other = at + step
+        apart = np.bitwise_count(s0[at] ^ s0[other]).astype(np.int64) + np.bitwise_count(s1[at] ^ s1[other])
+        near = (apart <= most) & (lone[at] | (side[at] != side[other]))
+        left.append(at[near])
+        right.append(other[near])
+        step += 1
+    root = cid.copy()
+    if left:
+        # Rows of one class in several filters count as one.
+        _, own = np.unique(cid, return_inverse=True)
+        a, b = own[np.concatenate(left)], own[np.concatenate(right)]
+        least = np.unique(cid)
+        while True:
+            before = least.copy()
+            low = np.minimum(least[a], least[b])
+            np.minimum.at(least, a, low)
+            np.minimum.at(least, b, low)
+            if (before == least).all():
+                break
+        root = least[own]
+    edges = np.unique(np.stack([cid, root], 1)[cid != root], axis=0)
+    return pa.table({"a": pa.array(edges[:, 0], pa.int64()), "b": pa.array(edges[:, 1], pa.int64())})
+
+
+def cosines(cosine: float):
+    def run(left: list[bytes], right: list[bytes]) -> np.ndarray:
+        a, b = (np.array([np.frombuffer(x) for x in side]) for side in (left, right))
+        # In one order of summation for both directions and all blocks.
+        return np.einsum("ik,jk->ij", a, b) >= cosine if a.shape[1] == b.shape[1] else np.zeros((len(a), len(b)), bool)
+
+    return run
+
+
+def clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(vec_id, v, key): v in doubles and the hash of its bytes; both null for a vector that cannot link."""
+    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+    bad = v.isNull() | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists(v, lambda x: x != 0)
+    v = F.when(~F.coalesce(bad, F.lit(True)), v)
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).withColumn("key", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256))
 
 
 def near_duplicates(
@@ -159,46 +191,56 @@ def near_duplicates(
     """One row per vector: (vec_id, n_links, component_id)."""
     scratch = scratch or Scratch(vectors.sparkSession, "caps")
     rows = scratch.put(clean(vectors, id_col, vector_col), "rows")
-    # The length of most vectors; others cannot be compared with them.
-    length = rows.where("v is not null").groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    if length is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    usable = F.coalesce(F.size("v") == length["d"], F.lit(False)) & F.col("key").isNotNull()
-    classes = rows.where(usable).groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
-    classes = scratch.put(classes, "classes")
+    usable = rows.where("key is not null")
+    classes = usable.groupBy("key").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n_docs"), F.first("v").alias("v"))
+    classes = scratch.put(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     size, height = plan(classes.count(), cosine, per_filter, wanted, codes, parts)
-    dim = length["d"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Code(dim, codes, parts, size, height, least, seed)
+        known: dict[int, Code] = {}
         for batch in batches:
-            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            x = x / np.abs(x).max(1, keepdims=True)
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            lists = code.filters(unit)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("n"), pa.array([u.tobytes() for u in unit], pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["key", "n", "unit", "filters"]
-            )
-
-    decoded = scratch.put(classes.select("key", "n", "v").mapInArrow(decode, "key string, n long, unit binary, filters array<long>"), "decoded")
-    entries = decoded.withColumn("filter", F.explode("filters"))
-    held = decoded.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.count(F.lit(1)).alias("_held")).where("_held > 1")
-    met = entries.join(held, "filter").withColumn("_blocks", F.ceil(F.col("_held") / block).cast("int"))
-    met = met.withColumn("_own", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+            lengths = pa.compute.list_value_length(batch.column("v")).to_numpy()
+            for dim in np.unique(lengths).tolist():
+                part = batch.filter(pa.array(lengths == dim))
+                x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                x = x / np.abs(x).max(1, keepdims=True)
+                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                if dim < LOW:
+                    lists = [[0]] * len(unit)
+                else:
+                    known[dim] = known.get(dim) or Code(dim, codes, parts, size, height, least, seed)
+                    lists = known[dim].filters(unit)
+                signs = sketch(unit, dim, seed)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("cid"), pa.array([dim] * len(unit), pa.int32()), pa.array([u.tobytes() for u in unit], pa.binary()),
+                        pa.array(signs[:, 0]), pa.array(signs[:, 1]), pa.array(lists, pa.list_(pa.int64())),
+                    ],
+                    ["cid", "dim", "body", "s0", "s1", "filters"],
+                )
+
+    decoded = classes.select("cid", "v").mapInArrow(decode, "cid long, dim int, body binary, s0 long, s1 long, filters array<long>")
+    decoded = scratch.put(decoded, "decoded")
+    held = decoded.select("dim", F.explode("filters").alias("filter")).groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    held = scratch.put(held.withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")), "held")
+    total = held.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    met = join_counted(decoded.select("cid", "dim", "s0", "s1", F.explode("filters").alias("filter")), held, ["dim", "filter"], total)
+    met = met.withColumn("_own", F.pmod(F.xxhash64("cid"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     one = F.col("_blocks") == 1
-    tasks = int(held.agg(F.coalesce(F.sum("_held"), F.lit(0))).first()[0]) // 2048 + 1
     dealt = met.select(
-        "key", "n", "unit", "filters", "filter",
+        "dim", "filter", "cid", "s0", "s1",
         (F.col("_own") > F.col("_other")).cast("int").alias("side"), (F.col("_own") == F.col("_other")).alias("lone"),
-        F.when(one, F.pmod(F.xxhash64("filter"), F.lit(tasks))).otherwise(F.col("filter")).alias("_task"), one.alias("_one"),
+        F.when(one, F.pmod(F.xxhash64("dim", "filter"), F.lit(total // 65536 + 1))).otherwise(F.xxhash64("dim", "filter")).alias("_task"), one.alias("_one"),
         F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"),
     )
-    found = dealt.groupBy("_one", "_task", "_i", "_j").applyInArrow(lambda t: verify(t, cosine), "key string, links long, root string")
-    found = scratch.put(found, "found")
-    joined = components(found.where("key != root").select(F.col("key").alias("a"), F.col("root").alias("b")), scratch)
-    links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    ends = classes.select("key", "vec_id", "n").join(joined.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    ends = ends.join(ends.groupBy("root").agg(F.min("vec_id").alias("component_id")), "root").join(links, "key", "left")
-    answers = ends.select("key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    good = rows.where(usable).join(answers, "key").select("vec_id", "n_links", "component_id")
-    return good.unionByName(rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    turn = math.acos(cosine) / math.pi
+    most = math.ceil(SIGNS * turn + 6 * math.sqrt(SIGNS * turn * (1 - turn)))
+    edges = dealt.groupBy("_one", "_task", "_i", "_j").applyInArrow(lambda t: meeting(t, most), "a long, b long")
+    edges = scratch.put(edges.distinct(), "edges")
+    members = members_of(classes.select("key", "cid", "least", "n_docs"), edges, scratch)
+    bodies = decoded.select("cid", "body").join(members.select("cid", "group"), "cid")
+    answers = resolve(classes, members, bodies, cosines(cosine), scratch, block)
+    n = answers.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    good = join_counted(usable.select("vec_id", "key"), answers.select("key", "class_id", "n_links", "_n"), ["key"], n)
+    good = good.select("vec_id", "n_links", F.col("class_id").alias("component_id"))
+    return good.unionByName(rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))

@@ -150,16 +150,18 @@ def frequent(total: int) -> int:
     return max(64, total >> 16)
 
 
-def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], total: int, count: str = "_n") -> DataFrame:
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], total: int, count: str = "_n", spread: list[str] | None = None, salts: int = 64) -> DataFrame:
     """Inner join of ``rows`` with one row for each key, where ``count`` says how many rows have it (of ``total``).
 
-    Common keys, 65536 of them at most, go out to all tasks; each other key has too few rows to be a hot one.
+    The rows of a common key are dealt to ``salts`` parts by a hash of their ``spread`` columns (all, if not given). Only
+    the common keys go out to all tasks, 65536 of them at most; each other key has too few rows to be a hot one.
     """
-    common, rare = keyed.where(F.col(count) > frequent(total)).drop(count), keyed.where(F.col(count) <= frequent(total)).drop(count)
-    marked = rows.join(F.broadcast(common.withColumn("_common", F.lit(True))), on, "left")
-    out = [*rows.columns, *[c for c in common.columns if c not in on]]
-    rest = marked.where("_common is null").select(*rows.columns).join(rare, on)
-    return marked.where("_common").select(*out).unionByName(rest.select(*out))
+    often = F.col(count) > frequent(total)
+    common = F.broadcast(keyed.where(often).select(*on, F.lit(True).alias("_common")))
+    salt = F.when(F.col("_common"), F.pmod(F.xxhash64(*(spread or rows.columns)), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    dealt = rows.join(common, on, "left").withColumn("_salt", salt).drop("_common")
+    offered = keyed.withColumn("_salt", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop(count)
+    return dealt.join(offered, [*on, "_salt"]).drop("_salt")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
@@ -188,6 +190,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
     before, k = None, 0
     while (seen := state(now)) != before and seen[0]:
         before, k = seen, k + 1
-        now = scratch.put(star(star(now, True, seen[0]), False, seen[0]), f"{name}-{k}")
+        half = scratch.put(star(now, True, seen[0]), f"{name}-{k}-large")
+        now = scratch.put(star(half, False, seen[0]), f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
+        scratch.drop(f"{name}-{k}-large")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convlens.llm.common import Scratch, components, join_counted, pieces_of, split_words
+from convlens.llm.groups import members_of, resolve
 
 BUCKETS = 1 << 18
 #: Values of a label; one byte each in a number of 64 bits.
@@ -189,7 +190,7 @@ def candidate_edges(classes: DataFrame, scratch: Scratch, *, threshold: float, t
         company = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_n"))
         right = labels.select(F.col("cid").alias("b"), F.col("labels").alias("right")).join(company, "b")
         both = pairs.join(labels.select(F.col("cid").alias("a"), F.col("labels").alias("left")), "a")
-        both = join_counted(both, right, ["b"], total).select("a", "b", "left", "right")
+        both = join_counted(both, right, ["b"], total, spread=["a"]).select("a", "b", "left", "right")
         return rows, nodes, scratch.put(both.mapInArrow(agreeing, "a long, b long, agree int"), f"stars-{depth}")
 
     rows, nodes, pairs = stars(LEVELS)
@@ -256,51 +257,16 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def roots_of(linked: np.ndarray) -> np.ndarray:
-    """Least index reachable from each index over a symmetric boolean matrix."""
-    root = np.full(len(linked), -1)
-    for i in range(len(linked)):
-        if root[i] < 0:
-            todo, root[i] = [i], i
-            while todo:
-                new = np.flatnonzero(linked[todo].any(0) & (root < 0))
-                root[new] = i
-                todo = new.tolist()
-    return root
-
-
-def verify(table: pa.Table, threshold: float) -> pa.Table:
-    """Of one task: weighted number of links of each class and one class that all it is connected with in this task share."""
-    by: dict[int, list[int]] = {}
-    for i, g in enumerate(table.column("group").to_pylist()):
-        by.setdefault(g, []).append(i)
-    keys, weights, sides, whole = (table.column(c).to_pylist() for c in ("cid", "n_docs", "side", "lone"))
-    grams = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
-    out: list[tuple] = []
-    for rows in by.values():
-        rows = sorted(rows, key=lambda i: keys[i])
-        left = [i for i in rows if sides[i] == 0]
-        right = left if whole[rows[0]] else [i for i in rows if sides[i] == 1]
-        if not left or not right:
-            continue
-        a, b = [grams[i] for i in left], [grams[i] for i in right]
+def similar_sets(threshold: float):
+    """Which pairs of two lists of n-gram sets are linked."""
+
+    def run(left: list[bytes], right: list[bytes]) -> np.ndarray:
+        a, b = ([np.frombuffer(x, np.uint64) for x in side] for side in (left, right))
         shared = shared_counts(a, b)
         union = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None] - shared
-        linked = shared / union >= threshold
-        wl, wr = np.array([weights[i] for i in left]), np.array([weights[i] for i in right])
-        if right is left:
-            np.fill_diagonal(linked, False)
-            root = roots_of(linked)
-            out += [(keys[i], int(c), keys[left[r]]) for i, c, r in zip(left, linked @ wr, root)]
-        else:
-            m = len(left)
-            full = np.zeros((m + len(right),) * 2, bool)
-            full[:m, m:], full[m:, :m] = linked, linked.T
-            own, root = left + right, roots_of(full)
-            counts = np.concatenate((linked @ wr, wl @ linked))
-            out += [(keys[i], int(c), keys[own[r]]) for i, c, r in zip(own, counts, root)]
-    k, c, r = zip(*out) if out else ((), (), ())
-    return pa.table({"cid": pa.array(k, pa.int64()), "links": pa.array(c, pa.int64()), "root": pa.array(r, pa.int64())})
+        return shared / union >= threshold
+
+    return run
 
 
 def linked(
@@ -331,37 +297,9 @@ def linked(
     classes = scratch.put(classes, "classes")
 
     edges = candidate_edges(classes, scratch, threshold=threshold, trees=trees, recall=recall, block=4 * block)
-    reached = components(edges, scratch, "candidates")
-    groups = scratch.put(reached.select(F.col("node").alias("cid"), F.col("root").alias("group")).union(reached.select("root", "root").distinct()), "groups")
-
-    members = scratch.put(classes.drop("labels").join(groups, "cid"), "members")
+    members = members_of(classes.drop("labels"), edges, scratch)
     sets = candidate_sets(docs, members, n=n, id_col=id_col, text_col=text_col)
-    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("_size"), F.count(F.lit(1)).alias("_n"))
-    few = members.count()
-    sized = join_counted(sets.join(members.select("cid", "n_docs"), "cid"), sizes, ["group"], few)
-    one = F.col("_blocks") == 1
-    cut = sized.withColumn("_blocks", F.ceil(F.col("_size") / block).cast("int"))
-    cut = cut.withColumn("_own", F.pmod(F.xxhash64("cid"), F.col("_blocks")).cast("int"))
-    cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = cut.select(
-        "cid", "group", "grams", "n_docs",
-        (F.col("_own") > F.col("_other")).cast("int").alias("side"),
-        (F.col("_own") == F.col("_other")).alias("lone"),
-        F.when(one, F.pmod(F.xxhash64("group"), F.lit(few // block + 1))).otherwise(F.xxhash64("group")).alias("_task"),
-        F.when(one, 0).otherwise(F.least("_own", "_other")).alias("_i"),
-        F.when(one, 0).otherwise(F.greatest("_own", "_other")).alias("_j"),
-        one.alias("_one"),
-    )
-    found = dealt.groupBy("_one", "_task", "_i", "_j").applyInArrow(lambda t: verify(t, threshold), "cid long, links long, root long")
-    found = scratch.put(found, "found")
-    joined = components(found.where("cid != root").select(F.col("cid").alias("a"), F.col("root").alias("b")), scratch, "links")
-    links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    ends = classes.select("key", "cid", "least", "n_docs").join(joined.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    ends = scratch.put(ends.join(links, "cid", "left"), "ends")
-    least = ends.groupBy("root").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("_n"))
-    answers = join_counted(ends, least, ["root"], ends.count())
-    answers = answers.select("key", F.col("root").alias("group"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"), F.col("n_docs").alias("_n"))
-    answers = scratch.put(answers, "answers")
+    answers = resolve(classes, members, sets.withColumnRenamed("grams", "body"), similar_sets(threshold), scratch, block)
     total = answers.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     out = ["doc_id", "row", "group", "class_id", "n_links"]
     rows = join_counted(worded.select("doc_id", "row", "key"), answers, ["key"], total).select(*out)

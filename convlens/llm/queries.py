@@ -49,12 +49,12 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = toolcalls.from_turns(table(spark, sf_dir, "conversations"))
-    return toolcalls.link(calls, results, toolcalls.REPLY)
+    return toolcalls.link(calls, results, toolcalls.TOOLS)
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 OP5_SQL = r"""
@@ -65,23 +65,34 @@ w AS (SELECT source, source_size, 3.0::DOUBLE * source_size AS cap,
              row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM s),
 l AS (SELECT *, ((SELECT sum(source_size)::DOUBLE FROM s) - coalesce(sum(cap) OVER (ORDER BY cap / wt, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                / sum(wt) OVER (ORDER BY cap / wt, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM w),
-t AS (SELECT source, source_size, least(cap, wt * (SELECT min_by(lev, cap / wt) FROM l WHERE lev <= cap / wt)) AS target FROM l),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS want,
+t AS (SELECT source, sid, source_size, least(cap, wt * (SELECT min_by(lev, cap / wt) FROM l WHERE lev <= cap / wt)) AS target FROM l),
+p AS (SELECT d.doc_id, d.size, t.sid, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS want,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || d.doc_id), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT sid, CAST(round(target) AS BIGINT) AS want, CAST(ceil(round(target) / 1024) AS BIGINT) AS blocks FROM t WHERE round(target) > 0),
+r AS (SELECT *, coalesce(sum(want) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / (SELECT sum(want) FROM k)::DOUBLE AS lo,
+             sum(want) OVER (ORDER BY sid)::DOUBLE / (SELECT sum(want) FROM k)::DOUBLE AS hi FROM k),
+g AS (SELECT i AS slot, ((i::HUGEINT * 2850178567708297085::HUGEINT) % 4611686018427387904::HUGEINT)::DOUBLE / 4611686018427387904.0::DOUBLE AS u
+      FROM range((SELECT CAST(sum(blocks) AS BIGINT) FROM k)) AS x(i)),
+h AS (SELECT slot, sid, blocks, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS block FROM g JOIN r ON u >= lo AND u < hi),
+n AS (SELECT k.sid, blocks, coalesce(have, 0) AS have FROM k LEFT JOIN (SELECT sid, count(*) AS have FROM h GROUP BY sid) USING (sid)),
+m AS (SELECT *, coalesce(sum(blocks - have) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM n WHERE have < blocks),
+s2 AS (SELECT slot, sid, block FROM h WHERE block < blocks
+       UNION ALL SELECT (SELECT sum(blocks) FROM k) + before + b - have AS slot, sid, b AS block FROM (SELECT *, unnest(range(have, blocks)) AS b FROM m))
+SELECT p.doc_id, p.size, p.source_size, p.target,
        CAST(greatest(0, least(a + size, want) - least(a, want))
           + greatest(0, least(a + source_size + size, want) - least(a + source_size, want))
-          + greatest(0, least(a + 2 * source_size + size, want) - least(a + 2 * source_size, want)) AS BIGINT) AS taken
-FROM p
+          + greatest(0, least(a + 2 * source_size + size, want) - least(a + 2 * source_size, want)) AS BIGINT) AS taken,
+       CAST(s2.slot AS BIGINT) AS first_slot
+FROM p LEFT JOIN s2 ON s2.sid = p.sid AND s2.block = p.a // 1024 AND p.size > 0 AND p.a < p.want
 """
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"))
+    found = secrets.scan(table(spark, sf_dir, "documents"), dictionary=tokenizer_path())
     base = F.filter("found", lambda s: s["kind"] != "guess")
     counts = [secrets.counted(F.col("found"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
-    return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("found")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("found")).alias("spans"), secrets.costs(F.col("found")).alias("costs"))
 
 
 def op9_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,10 @@ terms: terms are generalised to ``[WORD]``, or
 removed from ``removal`` on.
 
 Positions come from the match lengths and the lengths of what lies between, both in code points. Spans are end
-exclusive, ordered by start, then kind as listed. Null and empty texts have none. Rows are told apart by id and hash
-of the text; repeated rows are answered alike. An empty table gives an empty result. Only the named columns are read.
+exclusive, ordered by start, then kind as listed. Null and empty texts have none; very long texts are read whole. Every
+row is a document, in all counts alike; rows are answered by id and hash of the text, so repeated rows alike. A share
+equal to the threshold discloses. An empty table gives an empty result. Only the named columns are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){11}(?:[\x20-]?[0-9])*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WORD = r"\p{L}{4,}+"
-NEAR = 100
 BUCKETS = 1 << 20
+#: Stands for a null id.
+NO_ID = -(1 << 63)
 
 
 def let(value: Column, body) -> Column:
@@ -120,37 +123,41 @@ def counted(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def context(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
-    """What stands close before and after, without a word that the cut splits."""
-    left = F.greatest(start - NEAR, F.lit(0))
+def context(text: Column, start: Column, end: Column, near: int) -> tuple[Column, Column]:
+    """What stands within ``near`` characters before and after, without a word that the cut splits."""
+    left = F.greatest(start - near, F.lit(0))
     before = text.substr((left + 1).cast("int"), (start - left).cast("int"))
     before = F.when(left > 0, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
-    after = F.regexp_replace(text.substr((end + 1).cast("int"), F.lit(NEAR)), r"\p{L}+$", "")
+    after = F.regexp_replace(text.substr((end + 1).cast("int"), F.lit(near)), r"\p{L}+$", "")
     return before, after
 
 
 def find(
-    docs: DataFrame, *, disclosure: float = 0.8, support: int = 3, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None
+    docs: DataFrame, *, disclosure: float = 0.8, support: int = 3, near: int = 100, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None
 ) -> DataFrame:
     """(doc_id, hash, spans, terms): all spans as (start, kind, end, value), and the revealing terms with their disclosure."""
     scratch = scratch or Scratch(docs.sparkSession, "sanitise")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
+    # Rows without an id are joined like others.
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), whole_text(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
 
-    def near(s: Column) -> Column:
-        before, after = context(F.col("text"), s["start"], s["end"])
+    def close_to(s: Column) -> Column:
+        before, after = context(F.col("text"), s["start"], s["end"], near)
         words = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", before, after)), F.lit(WORD), F.lit(0)))
         return F.struct(F.lower(s["value"]).alias("entity"), F.xxhash64(before, after).alias("context"), words.alias("words"))
 
-    marked = texts.withColumn("base", base_spans(F.col("text"))).select("doc_id", "hash", "base", F.transform("base", near).alias("near"))
+    marked = texts.withColumn("base", base_spans(F.col("text"))).select("doc_id", "hash", "base", F.transform("base", close_to).alias("near"))
     marked = scratch.put(marked, "base")
     n = marked.count()
-    held = marked.where(F.size("base") > 0).select("doc_id", "hash", F.explode("near").alias("e"))
+    some = marked.where(F.size("base") > 0)
+    held = some.select("doc_id", "hash", F.explode("near").alias("e"))
     held = held.select("doc_id", "hash", "e.entity", "e.context", "e.words")
     close = held.select("entity", "hash", "context", F.explode("words").alias("term"))
     contexts = close.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("_contexts")).where(F.col("_contexts") >= support)
     contexts = scratch.put(contexts, "contexts")
-    # Of copies of a text one row; near copies have the same contexts of the entity, so they are seen as one.
-    copies = held.select("doc_id", "hash", "entity").distinct().groupBy("entity", "hash").agg(F.count(F.lit(1)).alias("_copies"))
+    # Documents are rows: an entity counts once in each, and rows that repeat one count again, as they do for terms and in
+    # all. Near copies have the same contexts of the entity, so they are seen as one.
+    in_rows = some.select("hash", F.explode(F.array_distinct(F.transform("near", lambda e: e["entity"]))).alias("entity"))
+    copies = in_rows.groupBy("entity", "hash").agg(F.count(F.lit(1)).alias("_copies"))
     seen = held.groupBy("entity", "hash").agg(F.xxhash64(F.sort_array(F.collect_set("context"))).alias("_seen"))
     each = scratch.put(copies.join(seen, ["entity", "hash"]), "each")
     times = F.count_distinct("_seen").alias("_times")
@@ -186,7 +193,7 @@ def find(
     extra = read.select("doc_id", "hash", "terms", typed(words, 4).alias("extra")).dropDuplicates(["doc_id", "hash"])
     nothing = F.array().cast(marked.schema["base"].dataType)
     joined = marked.select("doc_id", "hash", "base").join(extra, ["doc_id", "hash"], "left")
-    return joined.select("doc_id", "hash", F.array_sort(F.concat("base", F.coalesce("extra", nothing))).alias("spans"), "terms")
+    return joined.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "hash", F.array_sort(F.concat("base", F.coalesce("extra", nothing))).alias("spans"), "terms")
 
 
 def named(spans: Column) -> Column:

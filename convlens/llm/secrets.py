@@ -1,22 +1,28 @@
-"""Secret scan: fixed patterns, and values in credential contexts that would take many guesses.
+"""Secret scan: fixed patterns, and how many guesses the values in credential contexts would take.
 
 Base kinds, leftmost and non-overlapping per kind: ``assign`` (a credential word, then : or =, then a value of six or
-more characters), ``access`` (AKIA..., 20 or more) and ``hex`` (24 or more of 0-9a-f). Beyond these, ``guess`` marks the
-value after these and more credential words, or after an authorization scheme, if the cheapest way to guess it costs at least ``least_cost`` (log10 of
-guesses) and it overlaps no base span. The cost is the minimum over all segmentations into dictionary words (also
+more characters), ``access`` (AKIA..., 20 or more) and ``hex`` (24 or more of 0-9a-f). Every value in a credential
+context, base ones included, is given its cost: log10 of the guesses that the cheapest segmentation takes. Beyond the base spans, ``guess`` marks the
+value after these and more credential words, or after an authorization scheme, if it costs at least ``least_cost`` and
+overlaps no base span. The cost is the minimum over all segmentations into dictionary words (also
 capitalised or with digits for letters), dates, repeats, runs of the alphabet or digits, keyboard walks and
-brute-force stretches: a dynamic programme over (position, number of segments), as a guesser must also try the orders
-of the segments. A brute-force character costs log10 of the alphabet that the value draws on (10 to 95; see ``PROSE`` for words
-after "is"). Brute force is extended by one character at a time, so a value costs time in proportion to its length.
+brute-force stretches: a dynamic programme over positions, with ``SWITCH`` for each segment after the first. The
+dictionary is the words of passwords below and, if a vocabulary file is given, the words in it by rank.
+A brute-force character costs log10 of the alphabet that the value draws on (10 to 95; see ``PROSE`` for words
+after "is"). Time and memory are in proportion to the length of a value, of any length.
 
 Spans are in code points of the whole text, end exclusive, ordered by start, then kind as listed. Null and empty texts
-have none. Repeated rows are scanned alike; an empty table gives an empty result. Only the named columns are read.
+have none; very long texts are read whole. Repeated rows, and rows that repeat an id or have none, are scanned alike; an
+empty table gives an empty result. Only the named columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -52,24 +58,40 @@ COMMON = (
     "public private token key pass auth company office london paris berlin madrid monday friday january december"
 ).split()
 RANK = {w: i + 1 for i, w in enumerate(COMMON)}
+#: A word is looked up only up to this length.
+LONGEST = 16
 LEET = str.maketrans("430157@$!", "aeoistasi")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 SHIFTED = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./")
 PLACE = {c: (r, k + 0.5 * r) for r, row in enumerate(ROWS) for k, c in enumerate(row)}
 DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)")
-MOST_SEGMENTS = 8
+#: log10 of how many more guesses each further segment takes.
+SWITCH = 1.0
 
 
-def segments(value: str) -> list[tuple[int, int, float]]:
+@lru_cache(4)
+def ranks(path: str | None) -> dict[str, int]:
+    """Words by rank: the common ones, then the whole words of three letters or more of a byte-level vocabulary file."""
+    known = dict(RANK)
+    if path:
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        for token, number in sorted(vocabulary.items(), key=lambda x: x[1]):
+            word = token[1:].lower()
+            if token[0] == "\u0120" and len(word) > 2 and word.isascii() and word.isalpha():
+                known.setdefault(word, len(COMMON) + number)
+    return known
+
+
+def segments(value: str, known: dict[str, int] = RANK) -> list[tuple[int, int, float]]:
     """(start, end, log10 guesses) of every stretch that is cheaper to guess than by brute force."""
     out, n, lower = [], len(value), value.lower()
     plain = lower.translate(LEET)
-    longest = max(map(len, RANK))
     for i in range(n):
-        for j in range(i + 3, min(n, i + longest) + 1):
-            rank = RANK.get(lower[i:j])
+        for j in range(i + 3, min(n, i + LONGEST) + 1):
+            rank = known.get(lower[i:j])
             changed = 0.0 if rank else 0.3 * sum(a != b for a, b in zip(lower[i:j], plain[i:j]))
-            rank = rank or RANK.get(plain[i:j])
+            rank = rank or known.get(plain[i:j])
             if rank:
                 capitals = sum(c.isupper() for c in value[i:j])
                 cased = 0.0 if not capitals else 0.3 if value[i].isupper() and capitals == 1 or capitals == j - i else 0.3 + math.log10(math.comb(j - i, min(capitals, j - i - capitals)) + 1)
@@ -129,47 +151,57 @@ def brute_rate(value: str) -> float:
     return math.log10(max(10, 26 * small + 26 * capital + 10 * digit + 33 * other))
 
 
-@lru_cache(20_000)
-def guess_cost(value: str, rate: float = 1.0) -> float:
+def guess_cost(value: str, rate: float = 1.0, known: dict[str, int] = RANK) -> float:
     """log10 of the guesses for the cheapest segmentation; a brute-force character costs ``rate``."""
-    n = len(value)
-    if not n:
+    if not value:
         return 0.0
-    ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for i, j, cost in segments(value):
-        ending[j].append((i, cost))
-    far = float("inf")
+    found = sorted((j, i, cost) for i, j, cost in segments(value, known))
     # best: a segment ends here; brute: a brute-force stretch, one segment, reaches here.
-    best = [[far] * (MOST_SEGMENTS + 1) for _ in range(n + 1)]
-    brute = [[far] * (MOST_SEGMENTS + 1) for _ in range(n + 1)]
-    best[0][0] = 0.0
-    for j in range(1, n + 1):
-        for m in range(1, MOST_SEGMENTS + 1):
-            brute[j][m] = min(brute[j - 1][m], best[j - 1][m - 1] if j - 1 == 0 or m > 1 else far) + rate
-            best[j][m] = min([brute[j][m], *(best[i][m - 1] + c for i, c in ending[j])])
-    return min(best[n][m] + math.log10(math.factorial(m)) for m in range(1, MOST_SEGMENTS + 1))
-
-
-def find_spans(text: str, least_cost: float) -> list[tuple[str, int, int]]:
-    spans = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    spans += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
-    spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text) if len(m[0]) >= 24]
-    base = sorted((a, b) for _, a, b in spans)
+    best, brute, at = array("d", [0.0]), math.inf, 0
+    for j in range(1, len(value) + 1):
+        brute = min(brute, best[j - 1] + (SWITCH if j > 1 else 0.0)) + rate
+        least = brute
+        while at < len(found) and found[at][0] == j:
+            _, i, cost = found[at]
+            least, at = min(least, best[i] + (SWITCH if i else 0.0) + cost), at + 1
+        best.append(least)
+    return best[-1]
+
+
+def find_spans(text: str, least_cost: float, known: dict[str, int] = RANK) -> list[tuple[str, int, int, float]]:
+    """(kind, start, end, cost of the value) in order."""
+    cost = lambda value: guess_cost(value, brute_rate(value), known)
+    spans = [("assign", m.start(), m.end(), cost(m[2])) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    spans += [("access", m.start(), m.end(), cost(m[0])) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
+    spans += [("hex", m.start(), m.end(), cost(m[0])) for m in HEX.finditer(text) if len(m[0]) >= 24]
+    covered: list[list[int]] = []  # the base spans as disjoint stretches, in order
+    for _, a, b, _ in sorted(spans, key=lambda s: s[1:3]):
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    starts, ends = [a for a, _ in covered], [b for _, b in covered]
     for m in CONTEXT.finditer(text):
         a, b = m.span("value")
-        if m["bearer"] and PROSE.fullmatch(m["value"]):
+        before = bisect_left(starts, b)
+        if before and ends[before - 1] > a or m["bearer"] and PROSE.fullmatch(m["value"]):
             continue
         rate = 1.0 if m["is"] and PROSE.fullmatch(m["value"]) else brute_rate(m["value"])
-        if not any(x < b and a < y for x, y in base) and guess_cost(m["value"], rate) >= least_cost:
-            spans.append(("guess", a, b))
+        guesses = guess_cost(m["value"], rate, known)
+        if guesses >= least_cost:
+            spans.append(("guess", a, b, guesses))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def scan(docs: DataFrame, *, least_cost: float = 11.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, found): the spans of each document as an array of (kind, start, end)."""
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+def scan(docs: DataFrame, *, least_cost: float = 11.0, dictionary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, found): the spans of each document as an array of (kind, start, end, cost).
+
+    ``dictionary`` is the path of a vocabulary file whose words a guesser tries by rank.
+    """
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cost", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = ranks(dictionary)
         for whole in batches:
             for batch in pieces_of(whole, "text"):
                 texts = pc.fill_null(batch.column("text"), "")
@@ -177,14 +209,19 @@ def scan(docs: DataFrame, *, least_cost: float = 11.0, id_col: str = "doc_id", t
                 found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
                 rows = pc.indices_nonzero(maybe)
                 for i, text in zip(rows.to_pylist(), texts.take(rows).to_pylist()):
-                    found[i] = [{"kind": k, "start": a, "end": b} for k, a, b in find_spans(text, least_cost)]
+                    found[i] = [{"kind": k, "start": a, "end": b, "cost": round(c, 6)} for k, a, b, c in find_spans(text, least_cost, known)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], ["doc_id", "found"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, found array<struct<kind:string,start:long,end:long>>"
+        run, "doc_id long, found array<struct<kind:string,start:long,end:long,cost:double>>"
     )
 
 
+def costs(spans: Column) -> Column:
+    """start:cost of every span, joined by commas; the cost in tenths of log10 guesses."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), F.round(s["cost"] * 10).cast("long").cast("string"))), ",")
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

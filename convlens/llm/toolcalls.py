@@ -10,9 +10,11 @@ blanks, the shortest form of numbers.
 Defined results: of calls that share an id the first (by turn, then text) is linked, others have the status
 ``duplicate_call``; of several results for a call the first is linked, others are ``duplicate_result``; a result
 without a call is ``orphan_result``; a call without a result has null output. A dependency on an unknown call is
-reported, not followed; calls in a cycle have the status ``cyclic`` and keep the place of their turn. Null or invalid
+reported, not followed; calls in a cycle have the status ``cyclic`` and keep the place of their turn. Very long arguments and contents
+are read whole. Equal rows count as several: one is first. Null or invalid
 arguments give ``invalid_arguments`` with the reasons. Null ids link with nothing. Empty tables give an empty result.
-Only the named columns are read. No conversation is gathered in one task: places are running totals in two levels.
+Only the named columns are read, so other columns may have any name. No conversation is gathered in one task: places are
+running totals in two levels, first rows are minima, and an id that very many rows name is no hot key.
 """
 
 from __future__ import annotations
@@ -24,9 +26,8 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from convlens.llm.common import Scratch, prefix_sum
+from convlens.llm.common import Scratch, join_counted, prefix_sum
 
 TYPES = {"string": str, "number": (int, float), "integer": int, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
@@ -81,9 +82,11 @@ def faults(value: Any, schema: dict, at: str = "$") -> list[str]:
 def places(calls: DataFrame, scratch: Scratch) -> DataFrame:
     """(conv_id, call_id, place): place is (turn, hops), later than the places of all known dependencies."""
     own = calls.select("conv_id", "call_id", F.struct("turn", F.lit(0).alias("hops")).alias("place"))
-    edges = calls.select("conv_id", "call_id", F.explode("after").alias("needs")).distinct()
-    turns = own.select("conv_id", F.col("call_id").alias("needs"), F.col("place.turn").alias("_needs_turn"))
-    known = edges.join(turns, ["conv_id", "needs"]).join(own.select("conv_id", "call_id", F.col("place.turn").alias("_turn")), ["conv_id", "call_id"])
+    edges = scratch.put(calls.select("conv_id", "call_id", F.explode("after").alias("needs")).distinct(), "needs")
+    asked = edges.groupBy("conv_id", "needs").agg(F.count(F.lit(1)).alias("_n"))
+    n = edges.count()
+    turns = own.select("conv_id", F.col("call_id").alias("needs"), F.col("place.turn").alias("_needs_turn")).join(asked, ["conv_id", "needs"])
+    known = join_counted(edges, turns, ["conv_id", "needs"], n).join(own.select("conv_id", "call_id", F.col("place.turn").alias("_turn")), ["conv_id", "call_id"])
     known = scratch.put(known, "edges")
     now = scratch.put(own, "places-0")
     if not known.where("_needs_turn >= _turn").head(1):
@@ -92,7 +95,7 @@ def places(calls: DataFrame, scratch: Scratch) -> DataFrame:
     k, cyclic = 0, None
     while True:
         k += 1
-        pushed = known.join(now.select("conv_id", F.col("call_id").alias("needs"), "place"), ["conv_id", "needs"])
+        pushed = join_counted(known, now.select("conv_id", F.col("call_id").alias("needs"), "place").join(asked, ["conv_id", "needs"]), ["conv_id", "needs"], n)
         pushed = pushed.groupBy("conv_id", "call_id").agg(F.max(F.struct("place.turn", (F.col("place.hops") + 1).alias("hops"))).alias("_least"))
         new = now.join(pushed, ["conv_id", "call_id"], "left").withColumn("_next", F.greatest("place", F.coalesce("_least", "place")))
         new = new.join(sizes, "conv_id")
@@ -106,6 +109,16 @@ def places(calls: DataFrame, scratch: Scratch) -> DataFrame:
         now = new.drop("_moved", "cyclic")
 
 
+def first_marked(rows: DataFrame, order: list[str], name: str, scratch: Scratch) -> DataFrame:
+    """Rows with ``_first``: whether a row is the first of its conversation and call id; null without these."""
+    rows = scratch.put(rows.withColumn("_uid", F.monotonically_increasing_id()), name)
+    keyed = rows.where("conv_id is not null and call_id is not null")
+    least = keyed.groupBy("conv_id", "call_id").agg(F.min(F.struct(*order, "_uid")).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    marked = join_counted(keyed, least.select("conv_id", "call_id", F.col("_m._uid").alias("_least"), "_n"), ["conv_id", "call_id"], keyed.count())
+    marked = marked.withColumn("_first", F.col("_uid") == F.col("_least")).drop("_least", "_uid")
+    return scratch.put(marked.unionByName(rows.where("conv_id is null or call_id is null").drop("_uid"), allowMissingColumns=True), f"{name}-marked")
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *, scratch: Scratch | None = None) -> DataFrame:
     """One row per call and result: (conv_id, position, turn, call_id, status, problems, json).
 
@@ -115,14 +128,11 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *, scra
     scratch = scratch or Scratch(calls.sparkSession, "toolcalls")
     calls = calls.select("conv_id", F.col("turn").cast("long").alias("turn"), "call_id", "name", "arguments", F.coalesce("after", F.array().cast("array<string>")).alias("after"))
     results = results.select("conv_id", F.col("turn").cast("long").alias("turn"), "call_id", "content")
-    key = Window.partitionBy("conv_id", "call_id")
-    ranked = calls.withColumn("_rank", F.when(F.col("call_id").isNull(), 1).otherwise(F.row_number().over(key.orderBy("turn", "name", "arguments"))))
-    ranked = scratch.put(ranked, "calls")
-    first = ranked.where("_rank = 1")
-    got = results.withColumn("_rank", F.row_number().over(key.orderBy("turn", "content")))
-    got = scratch.put(got, "results")
+    ranked = first_marked(calls, ["turn", "name", "arguments"], "calls", scratch)
+    first = ranked.where("_first is null or _first")
+    got = first_marked(results, ["turn", "content"], "results", scratch)
     placed = places(first.where("call_id is not null and conv_id is not null"), scratch)
-    linked = first.join(got.where("_rank = 1").select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content"), ["conv_id", "call_id"], "left")
+    linked = first.join(got.where("_first").select("conv_id", "call_id", F.col("turn").alias("result_turn"), "content"), ["conv_id", "call_id"], "left")
     linked = linked.join(placed, ["conv_id", "call_id"], "left")
     wanted = first.select("conv_id", F.col("call_id"), F.explode("after").alias("needs")).join(first.select("conv_id", F.col("call_id").alias("needs")).distinct(), ["conv_id", "needs"], "left_anti")
     unknown = wanted.groupBy("conv_id", "call_id").agg(F.array_sort(F.collect_set("needs")).alias("unknown"))
@@ -130,9 +140,13 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *, scra
     columns = ["conv_id", "turn", "call_id", "name", "arguments", "content", "result_turn", "after", "unknown"]
     turn_place = F.struct("turn", F.lit(0).alias("hops"))
     parts = linked.select(*columns, F.coalesce("place", turn_place).alias("place"), F.when(F.col("cyclic"), "cyclic").otherwise("call").alias("status"))
-    more = ranked.where("_rank > 1").select("conv_id", "turn", "call_id", "name", "arguments", "after", turn_place.alias("place"), F.lit("duplicate_call").alias("status"))
-    known = first.select("conv_id", "call_id").distinct().withColumn("_known", F.lit(True))
-    rest = got.join(known, ["conv_id", "call_id"], "left").where("_rank > 1 or _known is null")
+    more = ranked.where("not _first").select("conv_id", "turn", "call_id", "name", "arguments", "after", turn_place.alias("place"), F.lit("duplicate_call").alias("status"))
+    # Results of one id are as many as share it; a call that has very many is no hot key.
+    shared = got.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("_n"))
+    known = first.where("_first").select("conv_id", "call_id").join(shared, ["conv_id", "call_id"])
+    answered = join_counted(got, known.withColumn("_known", F.lit(True)), ["conv_id", "call_id"], got.count())
+    lost = got.join(known, ["conv_id", "call_id"], "left_anti").withColumn("_known", F.lit(None).cast("boolean"))
+    rest = answered.unionByName(lost).where("not _first or _known is null")
     rest = rest.select("conv_id", "turn", "call_id", "content", turn_place.alias("place"), F.when(F.col("_known"), "duplicate_result").otherwise("orphan_result").alias("status"))
     events = parts.unionByName(more, allowMissingColumns=True).unionByName(rest, allowMissingColumns=True)
 
@@ -171,38 +185,47 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], *, scra
     return ordered.select("conv_id", F.col("position").cast("long").alias("position"), "turn", "call_id", "status", "problems", "json")
 
 
-#: What a user may ask of an assistant, for conversations without explicit tools.
-REPLY = {
+#: What turns of plain conversations are read as.
+TOOLS = {
     "reply": {
         "type": "object",
         "required": ["prompt", "words"],
         "additionalProperties": False,
-        "properties": {"prompt": {"type": "string", "minLength": 1}, "words": {"type": "integer", "minimum": 1}},
-    }
+        "properties": {"prompt": {"type": "string", "minLength": 1, "maxLength": 300}, "words": {"type": "integer", "minimum": 1}},
+    },
+    "configure": {"type": "object", "required": ["prompt"], "properties": {"prompt": {"type": "string"}}},
 }
 
 
 def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of plain conversations (conv_id, turn, role, text).
+    """Calls and results of plain conversations (conv_id, turn, role, text), by rules on their content.
 
-    A user turn is a call of ``reply``, an assistant turn the result of the last user turn before it; a call depends
-    on the call before it. Turns of other roles are neither.
+    A user turn is a call of ``reply``, a system turn a call of ``configure``; an assistant turn is the result of the
+    call one turn before it, or of none. A call's id is its role's initial and the first hexadecimal digit of the MD5
+    of its text, so ids of a conversation can clash. With c the CRC-32 of its text, a user's call depends on the call two
+    turns before (c mod 4 = 0), two turns later (1) or four turns before (2), or, where no call stands there, on an unknown id;
+    the number of words is text where c mod 7 = 0 and the arguments are no JSON where c mod 11 = 0. Other roles are neither.
     """
-    name = F.concat_ws(":", F.lit("call"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    asked = F.when(F.col("role") == "user", name)
-    rows = turns.select("conv_id", "turn", "role", "text").withColumn("_run", F.expr("turn div 4096"))
-    # In two levels, so that a long conversation is not one group: the last call of earlier runs, then inside the run.
-    runs = rows.groupBy("conv_id", "_run").agg(F.max_by(asked, F.when(asked.isNotNull(), F.col("turn"))).alias("_end"))
-    before = Window.partitionBy("conv_id").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("conv_id", "_run", F.last("_end", ignorenulls=True).over(before).alias("_earlier"))
-    inside = Window.partitionBy("conv_id", "_run").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
-    seen = rows.withColumn("_inside", F.last(asked, ignorenulls=True).over(inside)).join(runs, ["conv_id", "_run"])
-    seen = seen.withColumn("_last", F.coalesce("_inside", "_earlier"))
-    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""))
-    calls = seen.where("role = 'user'").select(
-        "conv_id", "turn", name.alias("call_id"), F.lit("reply").alias("name"),
-        F.to_json(F.struct(F.col("text").alias("prompt"), words.alias("words"))).alias("arguments"),
-        F.when(F.col("_last").isNotNull(), F.array("_last")).alias("after"),
+    text = F.coalesce("text", F.lit(""))
+    code = F.crc32(text.cast("binary"))
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    asked = rows.where("role in ('user', 'system')").withColumn("call_id", F.concat(F.substring("role", 1, 1), F.lit(":"), F.substring(F.md5(text), 1, 1)))
+    ids = asked.groupBy("conv_id", "turn").agg(F.min("call_id").alias("_id"))
+    step = F.when(code % 4 == 0, -2).when(code % 4 == 1, 2).when(code % 4 == 2, -4)
+    asked = asked.withColumn("_at", F.when(F.col("role") == "user", F.col("turn") + step))
+    there = ids.select("conv_id", F.col("turn").alias("_at"), F.col("_id").alias("_needs"))
+    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    prompt = F.col("text").alias("prompt")
+    arguments = (
+        F.when(F.col("role") == "system", F.to_json(F.struct(prompt)))
+        .when(code % 11 == 0, F.concat(F.lit('{"prompt": '), text))
+        .when(code % 7 == 0, F.to_json(F.struct(prompt, words.cast("string").alias("words"))))
+        .otherwise(F.to_json(F.struct(prompt, words.alias("words"))))
+    )
+    calls = asked.join(there, ["conv_id", "_at"], "left").select(
+        "conv_id", "turn", "call_id", F.when(F.col("role") == "user", "reply").otherwise("configure").alias("name"), arguments.alias("arguments"),
+        F.when(F.col("_at").isNotNull(), F.array(F.coalesce("_needs", F.concat(F.lit("turn:"), F.col("_at").cast("string"))))).alias("after"),
     )
-    results = seen.where("role = 'assistant'").select("conv_id", "turn", F.col("_last").alias("call_id"), F.col("text").alias("content"))
+    before = ids.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("_id").alias("call_id"))
+    results = rows.where("role = 'assistant'").join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", "call_id", F.col("text").alias("content"))
     return calls, results

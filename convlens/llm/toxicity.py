@@ -64,8 +64,8 @@ def example_terms(examples: DataFrame) -> DataFrame:
     return examples.select("label", "text").mapInArrow(run, "label int, term string")
 
 
-def term_counts(docs: DataFrame, vocabulary: pa.Array, *, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, terms, counts) of the vocabulary's terms over whole texts."""
+def term_counts(docs: DataFrame, vocabulary: pa.Array, *, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """(doc_id, row, terms, counts) of the vocabulary's terms over whole texts."""
     # The sample's terms, bounded by its rows.
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -74,9 +74,11 @@ def term_counts(docs: DataFrame, vocabulary: pa.Array, *, id_col: str, text_col:
             for batch in pieces_of(whole, "text", 4_000_000):
                 ends, terms, counts, _ = terms_of(batch.column("text"), shared.value)
                 lists = lambda v: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v.astype(np.int32)))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(terms), lists(counts)], ["doc_id", "terms", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), lists(terms), lists(counts)], ["doc_id", "row", "terms", "counts"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
+    row = (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row, F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row long, terms array<int>, counts array<int>")
 
 
 def telling(with_1: np.ndarray, with_any: np.ndarray, n_1: int, n: int, floor: float, least: float = 7.0, half: float = 40.0) -> np.ndarray:
@@ -92,10 +94,14 @@ def telling(with_1: np.ndarray, with_any: np.ndarray, n_1: int, n: int, floor: f
 
 
 class Index:
-    """Inverted index with block maxima over unit vectors (offsets, terms, weights); ``search`` is exact."""
+    """Inverted index with block maxima over unit vectors (offsets, terms, weights); ``search`` is exact.
 
-    def __init__(self, n_terms: int, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, block: int = 64):
+    ``rank`` settles ties: of equally near examples that of lower rank comes first.
+    """
+
+    def __init__(self, n_terms: int, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray, rank: np.ndarray | None = None, block: int = 64):
         self.n, self.block = len(ends) - 1, block
+        self.rank = np.arange(self.n) if rank is None else rank
         self.n_blocks = self.n // block + 1
         docs = np.repeat(np.arange(self.n), np.diff(ends))
         order = np.lexsort((docs, terms))
@@ -107,6 +113,7 @@ class Index:
         self.of_block = key[first] % self.n_blocks
         edges = np.searchsorted(key[first] // self.n_blocks, np.arange(n_terms + 1))
         self.begin, self.blocks_of = edges[:-1], np.diff(edges)
+        self.edges = np.searchsorted(terms, np.arange(n_terms + 1))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine, ties to the smaller number."""
@@ -116,33 +123,40 @@ class Index:
         bound = np.bincount(block, weight * self.largest[part], minlength=self.n_blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        ids, best = np.zeros(0, np.int64), np.zeros(0)
-        opened, at, step = np.zeros(self.n_blocks, bool), 0, 2
+        ids, best, at = np.zeros(0, np.int64), np.zeros(0), 0
         while at < len(order):
-            # Blocks of falling bounds, ever more of them at once, until none can hold one of the k nearest.
-            some = order[at : at + step]
+            # First the two blocks of the highest bounds, then all that may still hold one of the k nearest.
+            some = order[at : at + 2] if at == 0 else order[at:]
             if len(best) >= k:
                 some = some[bound[some] + 1e-9 >= best[k - 1]]
             if not len(some):
                 break
+            opened = np.zeros(self.n_blocks, bool)
             opened[some] = True
-            take = opened[block]
-            opened[some] = False
-            sizes = self.size[part[take]]
-            posting = ranges(self.first[part[take]], sizes)
-            sums = np.bincount(self.docs[posting], np.repeat(weight[take], sizes) * self.weights[posting], minlength=self.n)
+            if 4 * len(some) > len(order):
+                # Most blocks: whole lists, one after the other, and what was opened before left out.
+                spans = [slice(a, b) for a, b in zip(self.edges[terms].tolist(), self.edges[terms + 1].tolist())]
+                docs, weight_of = np.concatenate([self.docs[x] for x in spans]), np.concatenate([self.weights[x] for x in spans])
+                sums = np.bincount(docs, np.repeat(weights, [x.stop - x.start for x in spans]) * weight_of, minlength=self.n)
+                sums[~np.repeat(opened, self.block)[: self.n]] = 0
+            else:
+                take = opened[block]
+                sizes = self.size[part[take]]
+                posting = ranges(self.first[part[take]], sizes)
+                sums = np.bincount(self.docs[posting], np.repeat(weight[take], sizes) * self.weights[posting], minlength=self.n)
             if without >= 0:
                 sums[without] = 0
-            found = np.flatnonzero(sums > 0)
+            if len(best) >= k:
+                found = np.flatnonzero((sums > 0) & (sums + 1e-9 >= best[k - 1]))
+            else:
+                found = np.flatnonzero(sums > 0)
             ids, best = np.concatenate((ids, found)), np.concatenate((best, np.round(sums[found], 12)))
             if len(best) > k:
                 near = np.flatnonzero(best >= np.partition(best, len(best) - k)[len(best) - k])
-                near = near[np.lexsort((ids[near], -best[near]))[:k]]
-                ids, best = ids[near], best[near]
-            else:
-                near = np.lexsort((ids, -best))
                 ids, best = ids[near], best[near]
-            at, step = at + step, step * 4
+            near = np.lexsort((self.rank[ids], -best))[:k]
+            ids, best = ids[near], best[near]
+            at += 2 if at == 0 else len(order)
         return ids, best
 
 
@@ -194,7 +208,7 @@ class Neighbours:
         return out, evidence
 
 
-def fit(docs: DataFrame, labelled: DataFrame, scratch: Scratch, *, examples: int, floor: float, k: int, id_col: str, text_col: str) -> tuple[Neighbours, DataFrame]:
+def fit(docs: DataFrame, labelled: DataFrame, scratch: Scratch, *, examples: int, floor: float, k: int, id_col: str, text_col: str, row_col: str | None) -> tuple[Neighbours, DataFrame]:
     """The model and the term counts of all documents. ``labelled`` has (doc_id, label)."""
     chosen = labelled.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
     # At most ``examples`` rows of two numbers.
@@ -202,7 +216,7 @@ def fit(docs: DataFrame, labelled: DataFrame, scratch: Scratch, *, examples: int
     sample = scratch.put(sample.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "sample")
     stats = example_terms(sample).groupBy("term").agg(F.sum("label").alias("ones"), F.count(F.lit(1)).alias("rows")).orderBy("term").toArrow().combine_chunks()
     vocabulary = pa.concat_arrays(stats["term"].chunks) if len(stats) else pa.array([], pa.string())
-    vectors = scratch.put(term_counts(docs, vocabulary, id_col=id_col, text_col=text_col), "vectors")
+    vectors = scratch.put(term_counts(docs, vocabulary, id_col=id_col, text_col=text_col, row_col=row_col), "vectors")
     n = vectors.count()
     df = vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).toArrow()
     frequency = np.zeros(len(vocabulary))
@@ -217,9 +231,19 @@ def fit(docs: DataFrame, labelled: DataFrame, scratch: Scratch, *, examples: int
     model.weight = (np.log((n + 1) / (frequency + 1)) + 1) * sure
     term, counts = (pc.list_flatten(own[c]).to_numpy().astype(np.int64) for c in ("terms", "counts"))
     ends = np.concatenate(([0], np.cumsum(pc.list_value_length(own["terms"]).to_numpy()))).astype(np.int64)
+    # Examples that share their most telling term, or their most frequent one, share blocks, so bounds are close.
+    owner = np.repeat(np.arange(len(ids)), np.diff(ends))
+    strongest, usual = np.full(len(ids), -1), np.full(len(ids), -1)
+    by_weight, by_use = np.argsort(sure[term], kind="stable"), np.argsort(frequency[term], kind="stable")
+    strongest[owner[by_weight]] = np.where(sure[term[by_weight]] > 0.3, term[by_weight], -1)
+    usual[owner[by_use]] = term[by_use]
+    order = np.lexsort((ids, usual, strongest))
+    sizes = np.diff(ends)[order]
+    take = ranges(ends[:-1][order], sizes)
+    term, counts, ends, ids, y = term[take], counts[take], np.concatenate(([0], np.cumsum(sizes))), ids[order], y[order]
     weights = model.vectors(ends, term, counts)
     model.labels, model.ids = y, ids
-    model.index = Index(len(vocabulary), ends, term, weights)
+    model.index = Index(len(vocabulary), ends, term, weights, np.argsort(np.argsort(ids, kind="stable")))
     votes = [model.vote(*model.index.search(term[a:b], weights[a:b], k, without=i)) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:]))]
     model.steps = isotonic(np.array(votes), y)
     return model, vectors
@@ -236,13 +260,14 @@ def toxicity_scores(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
+    row_col: str | None = None,
     scratch: Scratch | None = None,
 ) -> DataFrame:
-    """(doc_id, score, evidence). At most ``examples`` labelled rows, chosen by a hash of the id, are learnt from."""
+    """(doc_id, row, score, evidence); ``row`` is the number in ``row_col``. At most ``examples`` labelled rows, chosen by a hash of the id, are learnt from."""
     scratch = scratch or Scratch(docs.sparkSession, "toxicity")
     learn = labels.where(learn_from) if learn_from is not None else labels
     learn = learn.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null")
-    model, vectors = fit(docs, learn, scratch, examples=examples, floor=floor, k=k, id_col=id_col, text_col=text_col)
+    model, vectors = fit(docs, learn, scratch, examples=examples, floor=floor, k=k, id_col=id_col, text_col=text_col, row_col=row_col)
     # Bounded by the terms of ``examples`` rows.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -252,6 +277,8 @@ def toxicity_scores(
             ends = lists.offsets.to_numpy().astype(np.int64)
             terms, counts = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("terms", "counts"))
             scores, evidence = shared.value.scores(ends - ends[0], terms, counts)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("row"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "row", "score", "evidence"]
+            )
 
-    return vectors.mapInArrow(run, "doc_id long, score double, evidence array<long>")
+    return vectors.mapInArrow(run, "doc_id long, row long, score double, evidence array<long>")

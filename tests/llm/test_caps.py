@@ -36,12 +36,26 @@ def test_recall_and_precision(spark):
 def test_copies_bad_vectors_and_blocks(spark):
     draw = np.random.default_rng(5)
     x = np.concatenate([np.repeat(draw.normal(size=(1, 16)), 30, axis=0), draw.normal(size=(1, 16)) + draw.normal(size=(40, 16)) * 0.05])
-    bad = [(100, None, 0), (101, [0.0] * 16, 0), (102, [float("nan")] * 16, 0), (103, [None] * 16, 0), (104, [1.0], 0)]
+    bad = [(100, None, 0), (101, [0.0] * 16, 0), (102, [float("nan")] * 16, 0), (103, [None] * 16, 0), (104, [1.0], 0), (None, None, 0)]
     for block in (8, 512):
         got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in C.near_duplicates(frame(spark, x, bad), block=block, wanted=25.0).collect()}
         assert all(got[i] == (29, 0) for i in range(30))
         assert all(got[i][1] == 30 and got[i][0] == 39 for i in range(30, 70))
-        assert all(got[i] == (0, i) for i in range(100, 105))
+        assert all(got[i] == (0, i) for i in [*range(100, 105), None])
+
+
+def test_lengths_and_ids(spark):
+    """Vectors of rare lengths link with each other, never across lengths; rows without an id or repeating one are answered each."""
+    draw = np.random.default_rng(12)
+    rows = [(i, draw.normal(size=40).tolist(), 0) for i in range(200)]
+    one, other = draw.normal(size=20), draw.normal(size=20) * 0.02
+    rows += [(300, [1.0, 0.01], 0), (301, [1.0, 0.02], 0), (302, [-0.01, 1.0], 0), (303, [0.01, 1.0], 0), (304, [1.0, 0.01, 0.0], 0)]
+    rows += [(310, one.tolist(), 0), (311, (one + other).tolist(), 0), (None, (2 * one).tolist(), 0), (311, (one + other).tolist(), 1)]
+    got = sorted((-1 if r["vec_id"] is None else r["vec_id"], r["n_links"], r["component_id"]) for r in C.near_duplicates(frame(spark, [], rows), wanted=25.0).collect())
+    assert [g for g in got if g[0] < 0 or g[0] >= 300] == [
+        (-1, 3, 310), (300, 1, 300), (301, 1, 300), (302, 1, 302), (303, 1, 302), (304, 0, 304), (310, 3, 310), (311, 3, 310), (311, 3, 310)
+    ]
+    assert all(g[1] == 0 for g in got if 0 <= g[0] < 200)
 
 
 def test_empty(spark):

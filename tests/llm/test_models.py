@@ -1,5 +1,6 @@
 """Toxicity, quality and tool calls."""
 
+import hashlib
 import json
 import random
 import re
@@ -65,14 +66,14 @@ def test_index_equals_comparing_with_all():
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
     ends = np.concatenate(([0], np.cumsum([len(t) for t, _ in vectors])))
-    index = X.Index(40, ends, *(np.concatenate(x) for x in zip(*vectors)), block=16)
+    index = X.Index(40, ends, *(np.concatenate(x) for x in zip(*vectors)), rank=np.arange(500)[::-1], block=16)
     for i in range(120):
         t, w = vector()
         q = np.zeros(40)
         q[t] = w
         cos = np.round(dense @ q, 12)
         cos[i] = 0  # left out below
-        want = np.lexsort((np.arange(500), -cos))[:10]
+        want = np.lexsort((np.arange(500)[::-1], -cos))[:10]
         want = want[cos[want] > 0]
         ids, best = index.search(t, w, 10, without=i)
         assert ids.tolist() == want.tolist() and np.allclose(best, cos[want])
@@ -180,13 +181,95 @@ def test_topological_order(spark):
     assert all(place[d] < place[c[2]] for c in calls for d in c[5])
 
 
+def by_hand(calls, results, schemas):
+    """Links one by one: the rows of ``link`` without their positions, and the places of linked calls."""
+    out, first = [], {}
+    for c in sorted((c for c in calls if c[0] is not None and c[2] is not None), key=lambda c: (c[0], c[2], c[1], c[3], c[4] or "")):
+        first.setdefault((c[0], c[2]), c)
+    answers = {}
+    for r in sorted((r for r in results if r[0] is not None and r[2] is not None), key=lambda r: (r[0], r[2], r[1], r[3] or "")):
+        answers.setdefault((r[0], r[2]), r)
+    needs = {k: {(k[0], d) for d in c[5] or ()} & first.keys() for k, c in first.items()}
+
+    def reach(k):
+        seen, todo = set(), [k]
+        while todo:
+            for d in needs[todo.pop()] - seen:
+                seen.add(d)
+                todo.append(d)
+        return seen
+
+    on_cycle = {k for k in first if k in reach(k)}
+    after_cycle = {k for k in first if reach(k) & on_cycle} | on_cycle
+    place = {}
+
+    def place_of(k):
+        if k not in place:
+            place[k] = max([(first[k][1], 0)] + [(place_of(d)[0], place_of(d)[1] + 1) for d in needs[k]])
+        return place[k]
+
+    for k in first.keys() - after_cycle:
+        place_of(k)
+    for r in results:
+        k = (r[0], r[2])
+        if answers.get(k) is not r or k not in first:
+            out.append((r[0], r[1], r[2], "duplicate_result" if k in first else "orphan_result"))
+    for c in calls:
+        k = (c[0], c[2])
+        if None not in k and first[k] is not c:
+            out.append((c[0], c[1], c[2], "duplicate_call"))
+            continue
+        if k in after_cycle:
+            status = "cyclic"
+        else:
+            try:
+                bad = T.faults(json.loads(c[4]), schemas[c[3]]) if c[3] in schemas else ["unknown"]
+            except (TypeError, ValueError):
+                bad = ["no JSON"]
+            unknown = [d for d in c[5] or () if (c[0], d) not in first]
+            status = "invalid_arguments" if bad or unknown and None not in k else "call"
+        out.append((c[0], c[1], c[2], status))
+    return sorted(out, key=str), place
+
+
+def test_links_against_brute_force(spark):
+    draw = random.Random(21)
+    bodies = ['{"a": 1}', '{"a": 1}', '{"a": -1}', "{", None, '{"a": 2, "b": ["x"]}']
+    calls, results = [], []
+    for conv in [*range(25), None]:
+        names = [f"c{k}" for k in range(draw.randint(1, 7))]
+        for turn in range(draw.randint(1, 9)):
+            after = sorted(set(draw.choices([*names, "gone"], k=draw.choice([0, 0, 1, 2]))))
+            calls.append((conv, turn, draw.choice([*names, *names, None]), draw.choice(["add", "add", "other"]), draw.choice(bodies), after))
+            if draw.random() < 0.6:
+                results.append((conv, turn, draw.choice([*names, "stray", None]), draw.choice(["r", None, "s"])))
+    got = run(spark, calls, results)
+    want, place = by_hand(calls, results, SCHEMAS)
+    known = sorted(((r["conv_id"], r["turn"], r["call_id"], r["status"]) for r in got), key=str)
+    settled = {"cyclic"}  # a call that only follows a cycle may count to it or not
+    pairs = [(g, w) for g, w in zip(known, want)]
+    assert len(known) == len(want)
+    assert all(g == w or settled & {g[3], w[3]} and g[:3] == w[:3] for g, w in pairs)
+    position = {(r["conv_id"], r["call_id"]): r["position"] for r in got if r["status"] in ("call", "invalid_arguments")}
+    for k in place.keys() & position.keys():
+        needed = [(k[0], d) for c in calls if (c[0], c[2]) == k for d in c[5]]
+        first_needs = min((c for c in calls if (c[0], c[2]) == k), key=lambda c: (c[1], c[3], c[4] or ""))[5]
+        assert all(position[k[0], d] < position[k] for d in first_needs if (k[0], d) in place and (k[0], d) in position), (k, needed)
+    assert {r["status"] for r in got} == {"call", "invalid_arguments", "cyclic", "duplicate_call", "duplicate_result", "orphan_result"}
+
+
 def test_plain_turns(spark):
-    m = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "q one"), (1, 2, "assistant", "x"), (1, 3, "user", None), (1, 4, "assistant", "y"), (2, 0, "assistant", "alone")], "conv_id long, turn long, role string, text string")
+    texts = [(1, 0, "system", "s"), (1, 1, "user", "q one"), (1, 2, "assistant", "x"), (1, 3, "user", None), (1, 4, "assistant", "y"), (2, 0, "assistant", "alone"), (3, 0, "other", "z")]
+    texts += [(4 + i // 12, i % 12, "assistant" if i % 2 else "user", f"turn {i} of it") for i in range(96)]
+    m = spark.createDataFrame(texts, "conv_id long, turn long, role string, text string")
     calls, results = T.from_turns(m)
-    got = T.link(calls, results, T.REPLY).orderBy("conv_id", "position").collect()
-    assert [(r["call_id"], r["status"]) for r in got] == [("call:1:1", "call"), ("call:1:3", "invalid_arguments"), (None, "orphan_result")]
-    assert json.loads(got[0]["json"])["result"] == "x"
-    assert T.link(*(x.where("false") for x in (calls, results)), T.REPLY).count() == 0
+    got = T.link(calls, results, T.TOOLS).orderBy("conv_id", "position").collect()
+    assert len(got) == len(texts) - 1 + sum(1 for r in got if r["status"] in ("orphan_result", "duplicate_result")) - sum(1 for t in texts if t[2] == "assistant")
+    assert {r["status"] for r in got} >= {"call", "invalid_arguments", "cyclic", "duplicate_call", "duplicate_result", "orphan_result"}
+    first = [r for r in got if r["conv_id"] == 1]
+    assert first[0]["call_id"] == "s:" + hashlib.md5(b"s").hexdigest()[0]
+    assert [r["status"] for r in got if r["conv_id"] == 2] == ["orphan_result"]
+    assert T.link(*(x.where("false") for x in (calls, results)), T.TOOLS).count() == 0
 
 
 def test_canonical():
