@@ -1,4 +1,12 @@
-"""From raw documents to a token store: each stage works on all that the one before it kept."""
+"""From raw documents to a token store: each stage works on all that the one before it kept.
+
+Stages follow a number that is written beside every row, never the id, so rows that repeat an id, or have none, are
+each judged by their own text. Null and empty texts are kept by the first three stages (nothing in them is toxic,
+alike or leaked) and left out by the mix, which takes words. Of rows that repeat a text, or are linked by similarity, one stays:
+the one with the least id. Very long texts are read whole; ties between rows of one id are settled by their number.
+An empty table goes through every stage and gives an empty result. Other columns of the documents, whatever their
+names, are handed on by all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -14,29 +22,47 @@ from convlens.llm.queries import table, tokenizer_path
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+ROW = "_pipeline_row"
+
+
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents as written with a number beside each row."""
+    return scratch.put(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below 0.7."""
-    scored = toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"), learn_from=crc_mod("doc_id", 3) != 1)
-    rejected = scored.where("score >= 0.7").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Documents whose toxicity score stays below 0.7.
+
+    A null or empty text is scored as the share of such labels; without labels nothing is dropped.
+    """
+    rows = numbered(docs, Scratch(spark, "pipeline-toxicity"))
+    scored = toxicity.toxicity_scores(rows, table(spark, sf_dir, "labels"), learn_from=crc_mod("doc_id", 3) != 1, row_col=ROW)
+    return rows.join(scored.where("score >= 0.7").select(F.col("row").alias(ROW)), ROW, "left_anti").select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word Jaccard similarity of 0.8 or more, the one with the least id."""
-    found = jaccard.similar(docs)
-    kept = found.where("class_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of documents linked by five-word Jaccard similarity of 0.8 or more, one: that with the least id, null ids last.
+
+    Documents without words are all kept.
+    """
+    rows = numbered(docs, Scratch(spark, "pipeline-jaccard"))
+    found = jaccard.linked(rows, row_col=ROW)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    kept = found.where("`group` is not null").groupBy("group").agg(F.min(order).alias("m")).select(F.col("m.row").alias(ROW))
+    kept = kept.unionByName(found.where("`group` is null").select(F.col("row").alias(ROW)))
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    hits = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a passage of the benchmark; null and empty texts have none."""
+    rows = numbered(docs, Scratch(spark, "pipeline-leaks"))
+    hits = decontamination.contaminated(rows, table(spark, sf_dir, "benchmark"), id_col=ROW).select(F.col("doc_id").alias(ROW)).distinct()
+    return rows.join(hits, ROW, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return mixing.mixed_documents(docs, mixing.mix(docs))
+    """Documents as often as the mix of sources takes them, in the order of its slots; those without words are not taken."""
+    return mixing.mixed_documents(docs, row_col=ROW, scratch=Scratch(spark, "pipeline-mix"))
 
 
 def store_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
