@@ -230,7 +230,7 @@ def near_duplicates(
     dealt = met.select(
         "dim", "filter", "cid", "s0", "s1",
         (F.col("_own") > F.col("_other")).cast("int").alias("side"), (F.col("_own") == F.col("_other")).alias("lone"),
-        F.when(one, F.pmod(F.xxhash64("dim", "filter"), F.lit(total // 65536 + 1))).otherwise(F.xxhash64("dim", "filter")).alias("_task"), one.alias("_one"),
+        F.when(one, F.pmod(F.xxhash64("dim", "filter"), F.lit(total // 4096 + 1))).otherwise(F.xxhash64("dim", "filter")).alias("_task"), one.alias("_one"),
         F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"),
     )
     turn = math.acos(cosine) / math.pi

@@ -20,8 +20,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset and
+    all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         app = spark.sparkContext.applicationId
         base = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="convlens-"))
@@ -31,7 +34,20 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Tables written below the shared folder to cut lineage; each survives the loss of an executor."""
 
+    _opened: list[Scratch] = []
+
+    @classmethod
+    def mark(cls) -> int:
+        return len(cls._opened)
+
+    @classmethod
+    def drop_since(cls, mark: int) -> None:
+        """Deletes all tables of the folders opened since; for a caller that has written what was read from them."""
+        while len(cls._opened) > mark:
+            cls._opened.pop().drop()
+
     def __init__(self, spark: SparkSession, what: str):
+        self._opened.append(self)
         self.spark = spark
         self.path = f"{shared_folder(spark)}/convlens/{what}-{uuid.uuid4().hex}"
 

@@ -5,9 +5,10 @@ covariance come from sums over all labelled rows (added up in the cluster; only
 covariances are shrunk towards the pooled one and towards a diagonal, their Cholesky factors are computed once, and a
 score is the logistic of the difference of the two log densities plus the log prior odds.
 
-Null text counts as empty; empty texts have defined statistics and a score. Labelled rows with a null label or
+Null text counts as empty; very long texts are read whole; empty texts have defined statistics and a score. Labelled rows with a null label or
 without a document are not learnt from. With no rows of one class every score is the smoothed share of label 1.
-Repeated rows are scored alike; an empty table gives an empty result. Only the named columns are read.
+A document labelled twice is learnt from twice. Repeated rows are scored alike; an empty table gives an empty result.
+Only the named columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ NAMES = (
 )
 
 
+#: Parts of one in which statistics are added up.
+STEPS = 4096
 #: Short texts are drawn to usual values as if they had so many more usual bytes and words.
 PRIOR_BYTES, PRIOR_WORDS = 200.0, 30.0
 
@@ -126,22 +129,27 @@ class Discriminant:
 
 
 def fit(labelled: DataFrame, *, to_pooled: float = 0.1, to_diagonal: float = 0.05, least_variance: float = 1e-3) -> Discriminant:
-    """From rows (x, label): sums of 1, x and x x' by class, added up in the cluster."""
+    """From rows (x, label): sums of 1, x and x x' by class, added up in the cluster.
+
+    Sums are of whole numbers of 1 / STEPS, so they are the same in any order.
+    """
     k = len(NAMES)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 + k + k * k))
+        total = np.zeros((2, 1 + k + k * k), np.int64)
         for batch in batches:
             y = batch.column("label").to_numpy(zero_copy_only=False)
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
             for c in (0, 1):
-                own = x[y == c]
+                own = np.rint(x[y == c] * STEPS).astype(np.int64)
                 total[c] += np.concatenate(([len(own)], own.sum(0), (own.T @ own).ravel()))
         at = np.arange(total.size)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel())], ["at", "v"])
 
-    got = {r["at"]: r["v"] for r in labelled.select("x", F.col("label").cast("int")).mapInArrow(sums, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()}
-    total = np.array([got.get(i, 0.0) for i in range(2 * (1 + k + k * k))]).reshape(2, -1)
+    got = {r["at"]: r["v"] for r in labelled.select("x", F.col("label").cast("int")).mapInArrow(sums, "at long, v long").groupBy("at").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect()}
+    total = np.array([float(got.get(i, 0)) for i in range(2 * (1 + k + k * k))]).reshape(2, -1)
+    total[:, 1 : k + 1] /= STEPS
+    total[:, k + 1 :] /= STEPS**2
     n = total[:, 0]
     share = float((n[1] + 1) / (n.sum() + 2))
     if n.min() < 2:
