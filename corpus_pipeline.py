@@ -83,8 +83,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage wrote for itself, and its input, go once its result is written."""
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        mark = Scratch.mark()
         docs = scratch.put(stage(spark, docs, sf_dir), name)
+        Scratch.drop_since(mark)
+        if last:
+            scratch.drop(last)
+        last = name
     return docs
