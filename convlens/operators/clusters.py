@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from convlens import lexicon as L
+from convlens.session import checkpointed
 
 
 def top_words(texts: DataFrame, by: Sequence[str], most: int, stop: Sequence[str] = L.STOP_WORDS, text: str = "text") -> DataFrame:
@@ -22,13 +23,22 @@ def top_words(texts: DataFrame, by: Sequence[str], most: int, stop: Sequence[str
 
 
 def tfidf_terms(texts: DataFrame, *, features: int = 10, most: int = 5, stop: Sequence[str] = L.STOP_WORDS, by: str = "cluster", doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per cluster the terms of largest mean TF-IDF: smoothed idf, unit rows, over its most frequent terms."""
-    words = texts.select(by, doc, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))).alias("term")).where(~F.col("term").isin(*stop))
-    tf = words.groupBy(by, doc, "term").agg(F.count(F.lit(1)).alias("tf"))
-    total = tf.groupBy(by, "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    kept = total.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("total"), "term"))).where(F.col("_r") <= features)
+    """Per cluster the terms of largest mean TF-IDF: words and pairs of words that follow each other once stop words are
+    out, smoothed idf, unit rows, over its most frequent terms. These are found first, from counts that are added up
+    before any shuffle; a second reading of the texts then looks for them alone.
+    """
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*stop))
+    # A pair has a blank, which no word has; the last word pairs with nothing.
+    pairs = F.filter(F.zip_with("_w", F.slice("_w", F.lit(2), F.size("_w")), lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isNotNull())
+    terms = texts.select(by, doc, words.alias("_w")).select(by, doc, F.explode(F.concat("_w", pairs)).alias("term"))
+    total = terms.groupBy(by, "term").agg(F.count(F.lit(1)).alias("total"))
+    top = total.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("total"), "term"))).where(F.col("_r") <= features).select(by, "term")
+    top = checkpointed(top)
+    few = top.limit(1_000_001).count() <= 1_000_000  # ``features`` a cluster
+    tf = terms.join(F.broadcast(top) if few else top, [by, "term"]).groupBy(by, doc, "term").agg(F.count(F.lit(1)).alias("tf"))
     n = texts.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    weighted = tf.join(kept.select(by, "term", "df"), [by, "term"]).join(n, by).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    df = tf.groupBy(by, "term").agg(F.count(F.lit(1)).alias("df"))
+    weighted = tf.join(df, [by, "term"]).join(n, by).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     length = weighted.groupBy(by, doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_l"))
     mean = weighted.join(length, [by, doc]).groupBy(by, "term").agg((F.sum(F.col("w") / F.col("_l")) / F.first("n")).alias("score"))
     return mean.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(F.round("score", 9)), "term"))).where(F.col("rank") <= most)

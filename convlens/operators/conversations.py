@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from convlens import lexicon as L
 from convlens.functions import text as T
+from convlens.session import checkpointed
 
 
 def nest(messages: DataFrame) -> DataFrame:
@@ -44,11 +45,12 @@ def categorized(nested: DataFrame) -> DataFrame:
 
 
 def category_clusters(nested: DataFrame, category: Column) -> DataFrame:
-    """Clusters by category, numbered in the order in which categories are first seen."""
+    """Clusters by category, numbered in the order in which categories are first seen, with description and keywords."""
     by = nested.groupBy(category.alias("name")).agg(F.count(F.lit(1)).alias("count"), F.min("conv_id").alias("first_conv"))
     about = F.create_map(*[F.lit(x) for p in L.CATEGORY_TEXT.items() for x in p])
+    keywords = F.create_map(*[x for k, w in L.CATEGORY_KEYWORDS.items() for x in (F.lit(k), F.lit(",".join(w)))])
     numbered = by.withColumn("cluster_id", F.row_number().over(Window.orderBy("first_conv")).cast("long"))
-    return numbered.select("cluster_id", "name", "count", "first_conv", F.coalesce(about[F.col("name")], F.lit("Various conversation topics")).alias("description"))
+    return numbered.select("cluster_id", "name", "count", "first_conv", F.coalesce(about[F.col("name")], F.lit("Various conversation topics")).alias("description"), F.coalesce(keywords[F.col("name")], F.lit("")).alias("keywords"))
 
 
 def corpus_stats(nested: DataFrame) -> DataFrame:
@@ -59,9 +61,8 @@ def corpus_stats(nested: DataFrame) -> DataFrame:
 
 
 def first_by(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """The first row of each key; ties cannot occur as long as ``order`` is an id."""
-    ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    return ranked.where("_n = 1").drop("_n")
+    """The first row of each key by ``order``, an id: least ids from a partial aggregation, then a semi-join on the id."""
+    return df.join(df.groupBy(key.alias("_key")).agg(F.min(order).alias(order)).select(order), order, "left_semi")
 
 
 def duplicate_issues(df: DataFrame, key: Column, order: str) -> DataFrame:
@@ -160,43 +161,115 @@ def batches_fixed(nested: DataFrame, size: int) -> DataFrame:
     return numbered(nested, "conv_id").select("conv_id", F.expr(f"position div {size}").alias("batch"))
 
 
-def numbered(df: DataFrame, order: str, width: int = 65_536) -> DataFrame:
-    """Adds the zero-based ``position`` in the order of a whole-number id, summed over runs of ids of a fixed width."""
-    run = df.withColumn("_run", F.floor(F.col(order) / width))
-    sizes = run.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = run.withColumn("_in", F.row_number().over(Window.partitionBy("_run").orderBy(order)) - 1)
-    return placed.join(sizes.select("_run", before.alias("_before")), "_run").withColumn("position", F.col("_before") + F.col("_in")).drop("_run", "_in", "_before")
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """Adds the zero-based ``position`` in the order of the columns: sorted ranges are written, then their sizes are added up."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = checkpointed(placed).withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = F.broadcast(sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))  # one row a range
+    return placed.join(starts, "_part").withColumn("position", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")
 
 
 def batches_by_language(languages: DataFrame, size: int) -> DataFrame:
-    ranked = languages.withColumn("_n", F.row_number().over(Window.partitionBy("language").orderBy("conv_id")) - 1)
-    return ranked.select("conv_id", "language", F.expr(f"_n div {size}").cast("long").alias("batch"))
+    placed = numbered(languages, "language", "conv_id")
+    first = placed.groupBy("language").agg(F.min("position").alias("_first"))
+    of = F.expr(f"cast((position - _first) div {size} as bigint)").alias("batch")
+    return placed.alias("p").join(first.alias("f"), F.col("p.language").eqNullSafe(F.col("f.language"))).select("conv_id", "p.language", of)
 
 
-def batches_by_budget(counted: DataFrame, budget: int, group: str | None = None) -> DataFrame:
-    """Greedy batches: a new one when the sum would pass the budget; an oversize item is alone.
+def page_ways(sizes: Sequence[int], most: int) -> list[tuple[int, int, int]]:
+    """What greedy paging does to a stretch of items, for every way it can be entered: (room, pages, fill).
 
-    Each step depends on the one before, so a group is one ordered stream through one task, in constant memory.
+    With ``room`` or more left in the open page, up to the next entry's, the items that fit there join it, and the rest
+    makes ``pages`` new pages, the last filled to ``fill``. Ways soon meet, so there are few different ones.
+    """
+    import numpy as np
+
+    n, ends = len(sizes), np.concatenate(([0], np.cumsum(sizes)))
+    after = np.maximum(np.arange(n) + 1, np.searchsorted(ends, ends[:-1] + most, side="right") - 1).tolist()
+    known, out = {n: (0, 0)}, []
+    for j in range(n + 1):
+        if j and ends[j] > most:
+            break
+        if j < n and ends[j + 1] == ends[j]:
+            continue
+        path, at = [], j
+        while at not in known:
+            path.append(at)
+            at = after[at]
+        for i in reversed(path):
+            pages, fill = known[after[i]]
+            known[i] = (pages + 1, fill if pages else int(ends[n] - ends[i]))
+        if not out or out[-1][1:] != known[j]:
+            out.append((int(ends[j]), *known[j]))
+    return out
+
+
+def greedy_pages(rows: DataFrame, order: Sequence[str], size: str, most: int, group: str | None = None) -> DataFrame:
+    """Adds ``page``: greedy pages of at most ``most``, in order; an item that is larger is alone.
+
+    Sorted ranges are paged in parallel for every way they can be entered; the ways are then chained from range to range on the
+    driver, a few numbers each, and a second pass gives every item its page. The answer does not depend on the ranges.
     """
+    import numpy as np
     import pyarrow as pa
 
-    def run(batches):
-        at, total, filled, last = 0, 0, False, None
-        for b in batches:
-            out = []
-            for g, t in zip(b.column("_g").to_pylist(), b.column("tokens").to_pylist()):
-                if g != last:
-                    at, total, filled, last = 0, 0, False, g
-                if filled and total + t > budget:
-                    at, total = at + 1, 0
-                total, filled = total + t, True
-                out.append(at)
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("_g"), pa.array(out, pa.int64())], ["conv_id", "_g", "batch"])
+    spark = rows.sparkSession
+    keyed = rows.withColumn("_g", F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit(""))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = keyed.repartitionByRange(n, "_g", *order).sortWithinPartitions("_g", *order).withColumn("_at", F.monotonically_increasing_id())
+    placed = checkpointed(placed).withColumn("_part", F.shiftright("_at", 33))
+    light = placed.select("_part", "_g", "_at", F.col(size).cast("long").alias("_size"))
+
+    def ways(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("_at", "ascending")])
+        room, pages, fill = zip(*page_ways(t.column("_size").to_numpy(), most))
+        own = [pa.array([t.column(c)[0].as_py()] * len(room), k) for c, k in (("_part", pa.int64()), ("_g", pa.string()), ("_size", pa.int64()))]
+        return pa.table([*own, *(pa.array(x, pa.int64()) for x in (room, pages, fill))], ["_part", "_g", "lead", "room", "pages", "fill"])
+
+    found = light.groupBy("_part", "_g").applyInArrow(ways, "_part long, _g string, lead long, room long, pages long, fill long")
+    begins, key, steps, lead, state = [], None, [], 0, (None, -1, 0)
+
+    def enter(key: tuple[str, int], steps: list[tuple[int, int, int]], lead: int, state: tuple) -> tuple:
+        """Notes how a range is entered; what it leaves behind: (group, last page, fill)."""
+        # A group begins in an empty page, unless its first item is too large for one.
+        group_, page, fill = state if state[0] == key[0] else (key[0], -1, None) if lead > most else (key[0], 0, 0)
+        room = -1 if fill is None else most - fill
+        begins.append((key[1], key[0], room, page))
+        used, pages, last = max((s for s in steps if s[0] <= room), default=steps[0])
+        return group_, page + pages, last if pages else (fill or 0) + used
+
+    for r in found.orderBy("_g", "_part", "room").toLocalIterator():
+        if (r["_g"], r["_part"]) != key:
+            state = enter(key, steps, lead, state) if key else state
+            key, steps, lead = (r["_g"], r["_part"]), [], r["lead"]
+        steps.append((r["room"], r["pages"], r["fill"]))
+    if key:
+        enter(key, steps, lead, state)
+    starts = spark.createDataFrame(begins, "_part long, _g string, _room long, _page long")
+
+    def place(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("_at", "ascending")])
+        sizes, room, page = t.column("_size").to_numpy(), t.column("_room")[0].as_py(), t.column("_page")[0].as_py()
+        ends, out = np.concatenate(([0], np.cumsum(sizes))), np.full(len(sizes), page, np.int64)
+        j = max(0, int(np.searchsorted(ends, room, side="right")) - 1) if room >= 0 else 0
+        while j < len(sizes):
+            after = max(j + 1, int(np.searchsorted(ends, ends[j] + most, side="right")) - 1)
+            page += 1
+            out[j:after] = page
+            j = after
+        return pa.table({"_at": t.column("_at"), "page": pa.array(out)})
+
+    paged = light.join(starts, ["_part", "_g"]).groupBy("_part", "_g").applyInArrow(place, "_at long, page long")
+    return placed.join(paged, "_at").drop("_at", "_part", "_g")
 
-    keyed = counted.select("conv_id", (F.col(group) if group else F.lit("")).cast("string").alias("_g"), "tokens")
-    out = keyed.repartition("_g").sortWithinPartitions("_g", "conv_id").mapInArrow(run, "conv_id long, _g string, batch long")
-    return out.withColumnRenamed("_g", group) if group else out.drop("_g")
+
+def batches_by_budget(counted: DataFrame, budget: int, group: str | None = None) -> DataFrame:
+    """Greedy batches: a new one when the sum would pass the budget; an oversize item is alone."""
+    paged = greedy_pages(counted.select("conv_id", "tokens", *([group] if group else [])), ["conv_id"], "tokens", budget, group)
+    return paged.select("conv_id", *([group] if group else []), F.col("page").alias("batch"))
 
 
 def suggest_batching(languages: int, most_tokens: float, average: float) -> tuple[str, int]:
@@ -236,18 +309,25 @@ def truncate_tail(messages: DataFrame, limit: int) -> DataFrame:
 def near_duplicates(messages: DataFrame, threshold: float = 0.95) -> DataFrame:
     """Pairs (a, b, similarity) of conversations of equal length that agree in enough positions, exact copies left out.
 
-    Conversations meet on a (length, turn, hash of role and text); only pairs that share a message are ever formed,
-    and copies are first reduced to one, so a group of copies gives no pairs.
+    Copies are first reduced to one. Of n positions a pair agrees in n * threshold at least, so it shares one of any
+    n - ceil(n * threshold) + 1; a conversation is looked up only by those of its messages that fewest others have at
+    their place, so a greeting that all share brings nobody together. Pairs that meet are compared in all positions.
     """
     keyed = messages.select("conv_id", "turn", F.xxhash64("role", "text").alias("h"))
-    whole = keyed.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "h"))), lambda s: s["h"].cast("string")), ","), 256).alias("all"))
-    single = whole.groupBy("n", "all").agg(F.min("conv_id").alias("conv_id"))
-    place = Window.partitionBy("conv_id").orderBy("turn")
-    rows = keyed.join(single.select("conv_id", "n"), "conv_id").withColumn("p", F.row_number().over(place))
-    a, b = rows.alias("a"), rows.alias("b")
-    same = a.join(b, (F.col("a.n") == F.col("b.n")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.conv_id") < F.col("b.conv_id")))
-    counted = same.groupBy(F.col("a.conv_id").alias("a"), F.col("b.conv_id").alias("b"), F.col("a.n").alias("n")).agg(F.count(F.lit(1)).alias("same"))
-    return counted.where(F.col("same") / F.col("n") >= threshold).select("a", "b", F.round(F.col("same") / F.col("n"), 6).alias("similarity"))
+    whole = keyed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "h"))).alias("m"))
+    whole = whole.select("conv_id", F.transform("m", lambda x: x["h"]).alias("hs"), F.size("m").alias("n"))
+    single = whole.groupBy(F.xxhash64("hs").alias("_all"), "n").agg(F.min_by("hs", "conv_id").alias("hs"), F.min("conv_id").alias("conv_id")).drop("_all")
+    placed = single.select("conv_id", "n", F.posexplode("hs").alias("p", "h"))
+    often = placed.groupBy("n", "p", "h").agg(F.count(F.lit(1)).alias("_often"))
+    most = F.expr(f"cast(n - ceil(n * {threshold}D - 1e-9) + 1 as int)")
+    rarest = placed.join(often, ["n", "p", "h"]).groupBy("conv_id", "n").agg(F.array_sort(F.collect_list(F.struct("_often", "p", "h"))).alias("r"))
+    looked = rarest.select("conv_id", "n", F.explode(F.slice("r", F.lit(1), most)).alias("r")).where("r._often > 1").select("conv_id", "n", "r.p", "r.h")
+    a, b = looked.alias("a"), looked.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("n", "p", "h")]
+    pairs = a.join(b, [*same, F.col("a.conv_id") < F.col("b.conv_id")]).select(F.col("a.conv_id").alias("a"), F.col("b.conv_id").alias("b")).distinct()
+    sides = pairs.join(single.select(F.col("conv_id").alias("a"), "n", F.col("hs").alias("_x")), "a").join(single.select(F.col("conv_id").alias("b"), F.col("hs").alias("_y")), "b")
+    agreed = F.size(F.filter(F.zip_with("_x", "_y", lambda x, y: x == y), lambda e: e)) / F.col("n")
+    return sides.withColumn("_s", agreed).where(F.col("_s") >= threshold).select("a", "b", F.round("_s", 6).alias("similarity"))
 
 
 def preprocess(messages: DataFrame, *, dedup: bool = True, clean=T.normalize_whitespace, remove_pii: bool = False, limit: int = 4000, least_quality: float = 0.3) -> DataFrame:

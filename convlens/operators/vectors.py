@@ -110,7 +110,7 @@ def silhouette(df: DataFrame, by: str) -> DataFrame:
 
     sums = block_pairs(df.select("id", by, "v")).groupBy("_i", "_j").applyInPandas(run, f"id long, {by} int, other int, total double")
     sizes = df.groupBy(F.col(by).alias("other")).agg(F.count(F.lit(1)).alias("n"))
-    each = sums.groupBy("id", by, "other").agg(F.sum("total").alias("total")).join(F.broadcast(sizes), "other")
+    each = sums.groupBy("id", by, "other").agg(F.sum("total").alias("total")).join(sizes, "other")
     own = F.col("other") == F.col(by)
     two = each.groupBy("id", by).agg(
         F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b")
@@ -166,7 +166,7 @@ def dbscan(df: DataFrame, eps: float, least: int, checkpoint) -> DataFrame:
     links = near.join(core, near["a"] == core["core"], "left_semi").join(core, near["b"] == core["core"], "left_semi")
     roots = connected(links, checkpoint)
     named = roots.select("root").distinct().withColumn("label", F.row_number().over(Window.orderBy("root")) - 1)  # one row a cluster
-    labels = roots.join(F.broadcast(named), "root").select(F.col("node"), "label")
+    labels = roots.join(named, "root").select(F.col("node"), "label")
     reached = near.join(labels, near["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("reach"))
     out = df.select("id").join(labels, F.col("id") == F.col("node"), "left").join(reached, F.col("id") == F.col("a"), "left")
     return out.select("id", F.coalesce("label", "reach", F.lit(-1)).cast("int").alias("label"))
@@ -188,7 +188,7 @@ def kmeans(df: DataFrame, k: int, *, seed: int = 42, starts: int = 10, iteration
     finally:
         data.unpersist()
     order = raw.groupBy("prediction").agg(F.min("id").alias("first")).withColumn("label", F.row_number().over(Window.orderBy("first")) - 1)
-    return raw.join(F.broadcast(order), "prediction").select("id", F.col("label").cast("int").alias("label"))
+    return raw.join(order, "prediction").select("id", F.col("label").cast("int").alias("label"))
 
 
 def choose_k(df: DataFrame, most: int) -> int:
@@ -344,7 +344,7 @@ def level_hierarchy(df: DataFrame, by: str, *, threshold: float = 0.8, levels: i
         out = claimed if out is None else out.unionByName(claimed)
         if claimed.where("cluster <> parent").count() == 0 or claimed.select("parent").distinct().count() <= 1:
             break
-        now = now.join(F.broadcast(claimed.select(F.col("cluster").alias("c"), "parent")), "c").select("id", "v", F.col("parent").alias("c"))
+        now = now.join(claimed.select(F.col("cluster").alias("c"), "parent"), "c").select("id", "v", F.col("parent").alias("c"))
     return out
 
 

@@ -42,12 +42,12 @@ def analyze_private(m: DataFrame, *, eps: float = 0.9, k: int = 2, model: P.Embe
     vectors = checkpointed(P.embed(nested.select(F.col("conv_id").alias("id"), "text"), "text", model or P.StubEmbedding()).select("id", "v"))
     labels = checkpointed(X.dbscan(vectors, eps, max(2, k), checkpointed).where("label >= 0"))
     sizes = labels.groupBy(F.col("label").alias("cluster")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= k)
-    kept = labels.join(F.broadcast(sizes), F.col("label") == F.col("cluster"), "left_semi")  # one row a cluster
+    kept = labels.join(sizes, F.col("label") == F.col("cluster"), "left_semi")
     placed = checkpointed(vectors.join(kept, "id"))
     named = sizes.withColumn("name", F.concat(F.lit("cluster_"), F.col("cluster").cast("string")))
     return {
         "clusters": X.cohesion(placed, "label"), "hierarchy": X.hierarchy(X.centroids(placed, "label"), "label"),
-        "audit": I.size_audit(named, k).crossJoin(I.anonymity_audit(nested, k)),
+        "audit": I.size_audit(named, k).crossJoin(I.anonymity_audit(nested, k).withColumnsRenamed({"compliant": "anonymous_groups", "rate": "anonymous_rate"})),
     }
 
 

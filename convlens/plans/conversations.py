@@ -39,7 +39,7 @@ def conv_process_custom(spark, d):
 @query("category_clusters", f"""WITH {CONV}, k AS (SELECT {S.cascade('lower(text)', L.FREQUENT)} AS name, conv_id FROM c),
 g AS (SELECT name, count(*) AS count, min(conv_id) AS first_conv FROM k GROUP BY name)
 SELECT row_number() OVER (ORDER BY first_conv) AS cluster_id, name, count, first_conv,
-CASE WHEN name = 'General' THEN 'General conversation topics and discussions' ELSE 'Various conversation topics' END AS description FROM g""")
+CASE WHEN name = 'General' THEN 'General conversation topics and discussions' ELSE 'Various conversation topics' END AS description, CASE WHEN name = 'General' THEN 'conversation,discussion,chat' ELSE '' END AS keywords FROM g""")
 def category_clusters(spark, d):
     return C.category_clusters(nested(spark, d), T.category_cascade(F.col("text"), L.FREQUENT))
 
@@ -84,11 +84,12 @@ def role_texts(spark, d):
 SELECT conv_id, CAST(NULL AS BIGINT) AS turn, 'warning' AS severity, 'too_short' AS issue_type, 'Conversation has only ' || n || ' messages' AS message FROM n WHERE n < 4
 UNION ALL SELECT conv_id, NULL, 'warning', 'too_long', 'Conversation has ' || n || ' messages, may be truncated' FROM n WHERE n > 6
 UNION ALL SELECT conv_id, NULL, 'warning', 'missing_role', 'Missing ''' || r || ''' role in conversation' FROM n, (VALUES ('user'), ('assistant'), ('system')) v(r) WHERE NOT list_contains(roles, r)
-UNION ALL SELECT conv_id, turn, 'info', 'invalid_format', 'Consecutive messages from same role: ' || role FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations WHERE turn <> 1) WHERE role = p AND role <> 'system'""")
+UNION ALL SELECT conv_id, turn, 'info', 'invalid_format', 'Consecutive messages from same role: ' || role FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'assistant' ELSE role END AS role FROM conversations)) WHERE role = p AND role <> 'system'""")
 def format_issues(spark, d):
     m = messages(spark, d)
-    # Without second messages, roles repeat, so that the rule has something to find.
-    gaps = C.format_issues(m.where("turn <> 1"), least=0, most=1 << 30, roles=())
+    # With every fifth message given to the assistant, roles repeat, so that the rule has something to find.
+    again = m.withColumn("role", F.when(F.col("turn") % 5 == 4, "assistant").otherwise(F.col("role")))
+    gaps = C.format_issues(again, least=0, most=1 << 30, roles=())
     return C.format_issues(m, least=4, most=6, roles=("user", "assistant", "system")).where("issue_type <> 'invalid_format'").unionByName(gaps)
 
 
@@ -183,11 +184,13 @@ def language_stats(spark, d):
     return C.by_message_language(messages(spark, d), T.indicator_language, least_chars=10, least_confidence=0.3)
 
 
-@query("near_duplicates", """WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
-SELECT a.conv_id AS a, b.conv_id AS b, round(count(*) / max(a.n), 6)::DOUBLE AS similarity FROM p a JOIN p b ON a.n = b.n AND a.p = b.p AND a.role = b.role AND left(a.text, 2) = left(b.text, 2) AND a.conv_id < b.conv_id GROUP BY ALL HAVING count(*) / max(a.n) >= 0.3 AND count(*) < max(a.n)""")
+@query("near_duplicates", """WITH m AS (SELECT doc_id AS conv_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS p, len(string_split(text, chr(10))) AS n FROM documents),
+w AS (SELECT conv_id, any_value(n) AS n, string_agg(text, chr(10) ORDER BY p) AS whole FROM m GROUP BY conv_id), o AS (SELECT min(conv_id) AS conv_id FROM w GROUP BY whole), k AS (SELECT * FROM m WHERE conv_id IN (SELECT conv_id FROM o))
+SELECT a.conv_id AS a, b.conv_id AS b, round(count(*) / max(a.n), 6)::DOUBLE AS similarity FROM k a JOIN k b ON a.n = b.n AND a.p = b.p AND a.text = b.text AND a.conv_id < b.conv_id GROUP BY ALL HAVING count(*) / max(a.n) >= 0.7""")
 def near_duplicates(spark, d):
-    # First words only, since the whole texts of the test data agree nowhere.
-    return C.near_duplicates(messages(spark, d).withColumn("text", F.left("text", F.lit(2))), 0.3)
+    """Documents as conversations of their lines; those of the conversations table agree nowhere."""
+    lines = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("conv_id"), F.posexplode(F.split("text", "\n")).alias("turn", "text"))
+    return C.near_duplicates(lines.withColumn("role", F.lit("user")), 0.7)
 
 
 @query("top_words", f"""WITH w AS (SELECT unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS word FROM conversations)
@@ -221,7 +224,7 @@ def result_json(spark, d):
 
 
 @query("shape_flags", """SELECT conv_id, bool_or(regexp_matches(text, '```|def |class |function')) AS code, bool_or(contains(lower(text), 'and')) AS analytical, bool_or(length(text) > 1000) AS complex,
-bool_or(regexp_matches(text, '[^\\x00-\\x7F]')) AS multilingual, CASE WHEN count(*) <= 3 THEN 'small' WHEN count(*) <= 6 THEN 'medium' ELSE 'large' END AS size FROM conversations WHERE turn < 20 GROUP BY conv_id""")
+bool_or(regexp_matches(text, '[^\\x00-\\x7F]')) AS multilingual, CASE WHEN count(*) <= 3 THEN 'small' WHEN count(*) <= 6 THEN 'medium' ELSE 'large' END AS size FROM conversations GROUP BY conv_id""")
 def shape_flags(spark, d):
     t = F.col("text")
     return messages(spark, d).groupBy("conv_id").agg(
@@ -231,6 +234,12 @@ def shape_flags(spark, d):
     )
 
 
+@query("suggest_batching", "SELECT CASE WHEN languages > 1 THEN 'language' WHEN most > 8000 THEN 'token' ELSE 'fixed' END AS kind, CASE WHEN languages > 1 THEN 50 WHEN most > 8000 THEN CAST(least(100, floor(100000 / greatest(average, 1))) AS INT) ELSE 100 END AS size FROM (SELECT count(DISTINCT lang) AS languages, max(n_chars) AS most, avg(n_chars) AS average FROM documents)")
+def suggest_batching(spark, d):
+    r = spark.read.parquet(f"{d}/documents.parquet").agg(F.countDistinct("lang").alias("l"), F.max("n_chars").alias("m"), F.avg("n_chars").alias("a")).first()
+    return spark.createDataFrame([C.suggest_batching(r["l"], r["m"], r["a"])], "kind string, size int")
+
+
 @query("preprocess")
 def preprocess(spark, d):
     return C.preprocess(messages(spark, d), limit=200, remove_pii=True)

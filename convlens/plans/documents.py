@@ -105,8 +105,8 @@ def lang_heuristic(spark, d):
 
 @query("lang_indicators", f"SELECT doc_id, {S.language('text')[0]} AS language, round({S.language('text')[1]}, 6) AS confidence FROM documents")
 def lang_indicators(spark, d):
-    code, confidence = T.indicator_language(F.col("text"))
-    return documents(spark, d).select("doc_id", code.alias("language"), F.round(confidence, 6).alias("confidence"))
+    found = T.with_indicator_language(documents(spark, d).select("doc_id", "text"))
+    return found.select("doc_id", "language", F.round("confidence", 6).alias("confidence"))
 
 
 @query("language_names", "SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' END AS name FROM documents")
@@ -163,8 +163,9 @@ def display_strings(spark, d):
     return documents(spark, d).select("doc_id", F.left("text", F.lit(50)).alias("t50"), F.left("text", F.lit(200)).alias("t200"))
 
 
-@query("tfidf_top", f"""WITH w AS (SELECT source, doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents),
-f AS (SELECT source, doc_id, term, count(*) AS tf FROM w WHERE term NOT IN {S.listed(L.STOP_WORDS)} GROUP BY ALL), t AS (SELECT source, term, sum(tf) AS total, count(*) AS df FROM f GROUP BY ALL),
+@query("tfidf_top", f"""WITH v AS (SELECT source, doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x NOT IN {S.listed(L.STOP_WORDS)}) AS l FROM documents),
+w AS (SELECT source, doc_id, unnest(list_concat(l, list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1]))) AS term FROM v),
+f AS (SELECT source, doc_id, term, count(*) AS tf FROM w GROUP BY ALL), t AS (SELECT source, term, sum(tf) AS total, count(*) AS df FROM f GROUP BY ALL),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY total DESC, term) AS r FROM t) WHERE r <= 10), n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 g AS (SELECT f.source, doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w, n FROM f JOIN k USING (source, term) JOIN n USING (source)), l AS (SELECT source, doc_id, sqrt(sum(w * w)) AS l FROM g GROUP BY ALL),
 m AS (SELECT source, term, sum(w / l) / min(n) AS score FROM g JOIN l USING (source, doc_id) GROUP BY ALL)
@@ -328,11 +329,35 @@ def cube_source_language(spark, d):
 
 @query("passages_in_documents", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def passages_in_documents(spark, d):
-    """Containment as an equi-join on a hash of each item's first six words, then a check of the whole item."""
+    """Containment as an equi-join on a hash of inner words of each item, then a check of the whole item.
+
+    Only words that stand between others in the item are sure to be whole words of the text: the second to the fifth, or
+    as many as there are. Items of one or two words are compared with every text, so there may be no more than 1000.
+    """
+    words = lambda c: F.transform(F.split(c, r"\s+"), lambda w: F.xxhash64(w))
     items = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.col("text").alias("item"))
-    words = F.split("item", r"\s+")
-    items = items.withColumn("key", F.when(F.size(words) >= 6, F.xxhash64(F.array_join(F.slice(words, 2, 4), " "))))
-    docs = documents(spark, d).select("doc_id", "text").withColumn("w", F.split("text", r"\s+"))
-    grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(4)), " "))))).alias("key"))
-    hits = grams.join(items.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    return hits.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", "item"), "item_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    items = items.withColumn("w", words("item")).withColumn("n", F.least(F.size("w") - 2, F.lit(4)))
+    keyed = items.where("n > 0").select("item_id", "item", F.xxhash64("n", F.slice("w", F.lit(2), F.col("n"))).alias("key"), "n")
+    lengths = sorted(r["n"] for r in keyed.select("n").distinct().collect())  # 1 to 4
+    docs = documents(spark, d).select("doc_id", "text")
+    keys = keyed.select("key").distinct()
+    parts = []
+    for n in lengths:
+        own = docs.withColumn("w", words("text"))
+        at = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.lit(n), F.slice("w", i, F.lit(n))))  # noqa: B023
+        grams = F.when(F.size("w") >= n, F.array_distinct(at))
+        parts.append(own.select("doc_id", "text", F.explode(grams).alias("key")))
+    found = None
+    for p in parts:
+        # Keys of items go out while there are few of them; beyond that the join is left to its plan.
+        side = F.broadcast(keyed) if keys.count() <= 1_000_000 else keyed
+        hits = p.join(side, "key").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+        found = hits if found is None else found.unionByName(hits)
+    short = items.where("n <= 0").select("item_id", "item")
+    few = short.limit(1001).count()
+    if few > 1000:
+        raise ValueError("more than 1000 items of one or two words")
+    if few:
+        hits = docs.join(F.broadcast(short), F.contains("text", F.col("item"))).select("doc_id", "item_id")
+        found = hits if found is None else found.unionByName(hits)
+    return found.distinct() if found is not None else docs.select("doc_id", F.lit(None).cast("long").alias("item_id")).where("false")

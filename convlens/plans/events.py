@@ -169,11 +169,11 @@ def error_classes(spark, d):
     return events(spark, d).select("event_id", error_class(message).alias("class"))
 
 
-@query("durations", "SELECT event_id, CASE WHEN s < 60 THEN format('{:.1f}s', s) WHEN s < 3600 THEN format('{:.1f}m', s / 60.0) ELSE format('{:.1f}h', s / 3600.0) END AS label FROM (SELECT event_id, (event_id * 360)::DOUBLE AS s FROM events WHERE event_id < 500)")
+@query("durations", "SELECT event_id, CASE WHEN s < 60 THEN format('{:.1f}s', s) WHEN s < 3600 THEN format('{:.1f}m', s / 60.0) ELSE format('{:.1f}h', s / 3600.0) END AS label FROM (SELECT event_id, ((event_id % 500) * 360)::DOUBLE AS s FROM events)")
 def durations(spark, d):
     from convlens.functions.text import format_duration
 
-    return events(spark, d).where("event_id < 500").select("event_id", format_duration((F.col("event_id") * 360).cast("double")).alias("label"))
+    return events(spark, d).select("event_id", format_duration((F.col("event_id") % 500 * 360).cast("double")).alias("label"))
 
 
 @query("masked_fields", "SELECT event_id, '[REDACTED]' AS secret, event_type AS plain FROM events")

@@ -32,4 +32,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from convlens.plans import analyses, conversations, documents, events, sources, vectors  # noqa: F401
+    from convlens.plans import analyses, conversations, documents, events, reports, sources, vectors  # noqa: F401

@@ -102,7 +102,9 @@ def partial_results(spark, d):
     return W.partial_results(messages(spark, d).agg(F.countDistinct("conv_id").alias("conversations"), F.count(F.lit(1)).alias("messages")))
 
 
-@query("split_pages")
+@query("split_pages", """WITH RECURSIVE l AS (SELECT conv_id * 1000 + turn AS id, text AS line, strlen(text) + 1 AS n, row_number() OVER (ORDER BY conv_id, turn) AS p FROM conversations),
+r AS (SELECT id, line, p, CAST(0 AS BIGINT) AS page, n AS s FROM l WHERE p = 1 UNION ALL
+SELECT l.id, l.line, l.p, CASE WHEN r.s + l.n > 10000 THEN r.page + 1 ELSE r.page END, CASE WHEN r.s + l.n > 10000 THEN l.n ELSE r.s + l.n END FROM r JOIN l ON l.p = r.p + 1) SELECT id, line, page FROM r""")
 def split_pages(spark, d):
     return W.split_by_bytes(messages(spark, d).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("line")), "id", 10_000)
 
@@ -115,13 +117,13 @@ def store_round_trip(spark, d):
     return C.flatten(back).select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
-_PARSE = "SELECT doc_id, coalesce(CASE WHEN n IS NULL THEN NULL ELSE least(5, greatest(1, n)) END, 3) AS score FROM (SELECT doc_id, TRY_CAST(regexp_extract(left(text, 400), '([0-9]+)', 1) AS INT) AS n FROM documents)"
+_PARSE = "SELECT doc_id, coalesce(CASE WHEN n IS NULL THEN NULL ELSE least(5, greatest(1, n)) END, 3) AS score FROM (SELECT doc_id, TRY_CAST(regexp_extract(text, '([0-9]+)', 1) AS INT) AS n FROM documents)"
 
 
 @query("facet_numbers", _PARSE)
 def facet_numbers(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs.select("doc_id", T.facet_number(F.left("text", F.lit(400)), 1, 5).alias("score"))
+    return docs.select("doc_id", T.facet_number(F.col("text"), 1, 5).alias("score"))
 
 
 @query("facet_texts", "SELECT conv_id, turn, 'Billing' AS value FROM conversations")

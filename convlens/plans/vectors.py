@@ -137,7 +137,7 @@ def force_layout(spark, d):
 def map_points(spark, d):
     v = vectors(spark, d)
     names = spark.createDataFrame([(i, f"Cluster {i}") for i in range(5)], "label int, name string")
-    return v.join(F.broadcast(names), "label", "left").select("id", F.coalesce("name", F.concat(F.lit("cluster_"), F.col("label").cast("string"))).alias("cluster"))
+    return v.join(names, "label", "left").select("id", F.coalesce("name", F.concat(F.lit("cluster_"), F.col("label").cast("string"))).alias("cluster"))
 
 
 @query("outside_sample", "SELECT vec_id AS id FROM embeddings WHERE label <> 3 ORDER BY md5(vec_id || 'outside') LIMIT 10")

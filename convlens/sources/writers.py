@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convlens.operators.conversations import greedy_pages
+
 
 def write_json(df: DataFrame, path: str, most_rows: int = 0) -> None:
     """JSON lines; ``_SUCCESS`` marks a complete result."""
@@ -31,25 +31,11 @@ def cluster_export(assignment: DataFrame, nested: DataFrame, cluster) -> DataFra
 
 def map_export(points: DataFrame, names: DataFrame) -> DataFrame:
     """{id, x, y, cluster} per point with a fallback name."""
-    joined = points.join(F.broadcast(names), "cluster", "left")  # one row a cluster
+    joined = points.join(names, "cluster", "left")
     return joined.select("id", "x", "y", F.coalesce("name", F.concat(F.lit("cluster_"), F.col("cluster").cast("string"))).alias("cluster"))
 
 
 def split_by_bytes(lines: DataFrame, order: str, most: int) -> DataFrame:
-    """Adds ``page``: greedy pages of at most ``most`` bytes inside each input partition, a longer line alone."""
-    import pyarrow as pa
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page, size = 0, 0
-        for b in batches:
-            out = []
-            for t in b.column("line").to_pylist():
-                n = len((t or "").encode()) + 1
-                if size and size + n > most:
-                    page, size = page + 1, 0
-                size += n
-                out.append(page)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "page"])
-
-    ordered = lines.select(order, "line").sortWithinPartitions(order)
-    return ordered.mapInArrow(run, f"{order} {lines.schema[order].dataType.simpleString()}, line string, page long")
+    """Adds ``page``: greedy pages of at most ``most`` bytes with line ends, in order; a longer line is alone."""
+    sized = lines.select(order, "line").withColumn("_bytes", F.coalesce(F.octet_length("line"), F.lit(0)) + 1)
+    return greedy_pages(sized, [order], "_bytes", most).select(order, "line", "page")

@@ -186,3 +186,46 @@ def test_readers_from_files(spark, tmp_path):
     (tmp_path / "b.txt").write_text("User: hi\nBot: ho")
     got = R.read(R.files(spark, str(tmp_path)))
     assert got.count() == 3 and R.with_ids(got).select("conv_id").distinct().count() == 2
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 7])
+def test_greedy_pages_do_not_depend_on_ranges(spark, ranges):
+    import random
+
+    from convlens.operators import conversations as C
+
+    draw = random.Random(ranges)
+    rows = [(i, "ab"[i % 5 == 0], draw.choice([0, 1, 3, 8, 8, 20, 45])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, g string, size long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+        got = {r["id"]: r["page"] for r in C.greedy_pages(df, ["id"], "size", 30, "g").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for g in "ab":
+        page, fill, first = 0, 0, True
+        for i, h, size in rows:
+            if h != g:
+                continue
+            if not first and fill + size > 30:
+                page, fill = page + 1, 0
+            fill, first = fill + size, False
+            assert got[i] == page, (g, i)
+
+
+def test_near_duplicates_by_rarest_messages(spark):
+    """A greeting shared by all brings nobody together; pairs that agree enough are found, exact copies are not."""
+    from convlens.operators import conversations as C
+
+    rows = [(c, t, "user", "hi" if t == 0 else f"c{c % 3 if t < 9 else c} t{t}") for c in range(6) for t in range(10)]
+    got = C.near_duplicates(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), 0.9).collect()
+    assert sorted((r["a"], r["b"], r["similarity"]) for r in got) == [(0, 3, 0.9), (1, 4, 0.9), (2, 5, 0.9)]
+
+
+def test_truncation_marks(spark):
+    from convlens.operators import reports as P
+
+    df = spark.createDataFrame([(1, 0, "it goes on and on..."), (1, 1, "cut here [truncated] then more"), (1, 2, "a whole message it is"), (1, 3, None)], "conv_id long, turn int, text string")
+    got = sorted((r["turn"], r["issue_type"]) for r in P.content_quality_issues(df).collect())
+    assert got == [(0, "truncated"), (1, "truncated"), (3, "low_quality")]
