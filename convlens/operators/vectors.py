@@ -424,21 +424,3 @@ def force_layout(df: DataFrame, checkpoint, *, neighbours: int = 15, rounds: int
         at = checkpoint(both.groupBy("n").agg(moved("x", dx), moved("y", dy)))
     return scaled_2d(at.join(rows, "n").select("id", "x", "y"))
 
-
-def embed_text(texts: DataFrame, dim: int = 64, text: str = "text") -> DataFrame:
-    """Adds ``v``: a hashed bag of words of unit length, the stand-in for a remote embedding model."""
-    import zlib
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for t in pdf[text].fillna(""):
-                v = np.zeros(dim)
-                for w in t.lower().split():
-                    h = zlib.crc32(w.encode())
-                    v[h % dim] += 1 if h & 0x80000000 else -1
-                size = np.linalg.norm(v)
-                out.append((v / size if size else v).tolist())
-            yield pdf.assign(v=out)
-
-    return texts.mapInPandas(run, texts.schema.simpleString()[7:-1] + ",v array<double>")

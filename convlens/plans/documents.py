@@ -71,7 +71,17 @@ def pii_redact(spark, d):
     return documents(spark, d).select("doc_id", F.md5(text.cast("binary")).alias("redacted"), counts["email"].alias("emails"))
 
 
-@query("pii_audit")
+def _audit_sql() -> str:
+    """Each kind is counted in what the kinds before it left."""
+    sql, last = "a0 AS (SELECT text AS whole, text AS x FROM documents)", 0
+    for i, (kind, (pattern, label)) in enumerate(L.REDACT.items(), 1):
+        sql += f", a{i} AS (SELECT * EXCLUDE (x), len(regexp_extract_all(x, {S.quoted(pattern)})) AS {kind}, regexp_replace(x, {S.quoted(pattern)}, {S.quoted(label)}, 'g') AS x FROM a{i - 1})"
+        last = i
+    sums = ", ".join(f"CAST(sum({k}) AS BIGINT) AS {k}" for k in L.REDACT)
+    return f"WITH {sql} SELECT {sums}, count(*) FILTER (x <> whole) AS redacted, round(avg((x <> whole)::INT), 6) AS rate FROM a{last}"
+
+
+@query("pii_audit", _audit_sql())
 def pii_audit(spark, d):
     return I.pii_audit(documents(spark, d))
 

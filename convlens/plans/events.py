@@ -200,18 +200,31 @@ def pivot_types(spark, d):
     return calls(spark, d).join(events(spark, d).select("event_id", "event_type"), "event_id").groupBy("component").pivot("event_type", ["view", "error"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
-@query("moving_average")
+@query("moving_average", """WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events),
+r AS (SELECT user_id, event_id, p, value AS level FROM e WHERE p = 1 UNION ALL SELECT e.user_id, e.event_id, e.p, 0.9::DOUBLE * r.level + (1 - 0.9::DOUBLE) * e.value FROM r JOIN e ON e.user_id = r.user_id AND e.p = r.p + 1)
+SELECT user_id, event_id, round(level, 6) AS level FROM r""")
 def moving_average(spark, d):
-    return M.moving_average(events(spark, d), "user_id", ["event_id"], "value", 0.9)
-
-
-@query("circuit_breaker")
+    return M.moving_average(events(spark, d), "user_id", ["event_id"], "value", 0.9).withColumn("level", F.round("level", 6))
+
+
+@query("circuit_breaker", """WITH RECURSIVE e AS (SELECT user_id % 10 AS op, event_id AS seq, epoch_us(ts) / 1e6 AS tick, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS p FROM events),
+z AS (SELECT op, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS p, 'closed' AS state, 0 AS bad, 0 AS good, 0.0::DOUBLE AS since FROM (SELECT DISTINCT op FROM e)),
+r AS (SELECT * FROM z UNION ALL SELECT op, seq, p,
+  CASE WHEN s = 'closed' THEN CASE WHEN NOT ok AND bad + 1 >= 2 THEN 'open' ELSE 'closed' END WHEN s = 'half_open' THEN CASE WHEN NOT ok THEN 'open' WHEN g + 1 >= 2 THEN 'closed' ELSE 'half_open' END ELSE s END,
+  CASE WHEN s = 'closed' THEN CASE WHEN ok THEN 0 ELSE bad + 1 END WHEN s = 'half_open' AND ok AND g + 1 >= 2 THEN 0 ELSE bad END,
+  CASE WHEN s = 'half_open' THEN CASE WHEN ok THEN g + 1 ELSE 0 END ELSE g END,
+  CASE WHEN NOT ok AND (s = 'half_open' OR s = 'closed' AND bad + 1 >= 2) THEN tick ELSE since END
+  FROM (SELECT e.op, e.seq, e.p, e.tick, e.ok, r.bad, r.since, CASE WHEN r.state = 'open' AND e.tick - r.since >= 60 THEN 'half_open' ELSE r.state END AS s, CASE WHEN r.state = 'open' AND e.tick - r.since >= 60 THEN 0 ELSE r.good END AS g FROM r JOIN e ON e.op = r.op AND e.p = r.p + 1))
+SELECT op, seq, state FROM r WHERE p > 0""")
 def circuit_breaker(spark, d):
     e = events(spark, d).select((F.col("user_id") % 10).alias("op"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("event_type") != "error").alias("ok"))
     return M.circuit_breaker(e, "op", "seq", failures=2)
 
 
-@query("session_states")
+@query("session_states", """WITH RECURSIVE e AS (SELECT user_id AS session_id, CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'pause' WHEN 'click' THEN 'resume' WHEN 'purchase' THEN 'complete' ELSE 'fail' END AS verb, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events),
+r AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS p, 'created' AS status FROM e UNION ALL SELECT e.session_id, e.p, CASE WHEN status = 'created' AND verb = 'start' THEN 'running' WHEN status = 'running' AND verb = 'pause' THEN 'paused' WHEN status = 'paused' AND verb = 'resume' THEN 'running'
+WHEN status = 'running' AND verb = 'complete' THEN 'completed' WHEN status = 'running' AND verb = 'fail' THEN 'failed' ELSE status END FROM r JOIN e ON e.session_id = r.session_id AND e.p = r.p + 1)
+SELECT session_id, max_by(status, p) AS status, least(max(p), 100) AS events FROM r GROUP BY session_id""")
 def session_states(spark, d):
     verb = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "view", "pause").when(F.col("event_type") == "click", "resume").when(F.col("event_type") == "purchase", "complete").otherwise("fail")
     return M.session_states(events(spark, d).select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), verb.alias("event")))
@@ -223,10 +236,11 @@ def cost(spark, d):
     return M.cost(t).select(F.round("embedding", 6).alias("embedding"), F.round("llm", 6).alias("llm"), "conversations", F.round("each", 9).alias("each"))
 
 
-@query("cache_evict")
+@query("cache_evict", """WITH l AS (SELECT event_id AS key, ts FROM events WHERE user_id % 4 = 0 OR ts + to_seconds(user_id % 4 * 86400) > TIMESTAMP '2024-01-03'), n AS (SELECT count(*) AS n FROM l)
+SELECT key FROM (SELECT key, row_number() OVER (ORDER BY ts DESC, key) AS r FROM l), n WHERE n <= 1000 OR r <= n - n // 4""")
 def cache_evict(spark, d):
     c = events(spark, d).select(F.col("event_id").alias("key"), F.col("ts").cast("timestamp").alias("created"), (F.col("user_id") % 4 * 86400).cast("decimal(18,6)").alias("ttl"))
-    return M.evict(c, F.lit("2024-01-03").cast("timestamp"), 1000)
+    return M.evict(c, F.lit("2024-01-03").cast("timestamp"), 1000).select("key")
 
 
 @query("order_size_audit", "SELECT count(*) AS clusters, count(*) FILTER (n < 25) AS small, CAST(coalesce(sum(n) FILTER (n < 25), 0) AS BIGINT) AS small_members, count(*) FILTER (n < 25) = 0 AS compliant FROM (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1)")

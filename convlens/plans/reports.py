@@ -222,3 +222,22 @@ def provider_choice(spark, d):
 @query("value_histogram", "SELECT CASE WHEN value <= 10 THEN '10' WHEN value <= 50 THEN '50' WHEN value <= 100 THEN '100' ELSE 'more' END AS bucket, count(*) AS n FROM events GROUP BY 1")
 def value_histogram(spark, d):
     return P.histogram(events(spark, d), "value", (10, 50, 100))
+
+
+@query("privacy_scores", """SELECT source, n, round(((CASE WHEN p THEN .5 ELSE 1.0 END) + k / n + (CASE WHEN n >= 100 THEN 1.0 ELSE .7 END)) / 3, 6)::DOUBLE AS score, CASE WHEN k <= 5 THEN 'low' WHEN k <= 15 THEN 'medium' WHEN k <= 50 THEN 'high' ELSE 'very high' END AS level
+FROM (SELECT source, count(*) AS n, count(DISTINCT lang) * 5 AS k, bool_or(contains(text, '@')) AS p FROM documents GROUP BY source)""")
+def privacy_scores(spark, d):
+    by = documents(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"), (F.countDistinct("lang") * 5).alias("k"), F.bool_or(F.contains("text", F.lit("@"))).alias("p"))
+    score = I.overall_score(~F.col("p"), F.col("k") / F.col("n"), F.col("n") >= 100)
+    return by.select("source", "n", F.round(score, 6).alias("score"), I.privacy_level(F.col("k")).alias("level"))
+
+
+@query("cross_patterns", "SELECT source AS parent, count(*) AS children FROM (SELECT DISTINCT source, lang FROM documents) GROUP BY source HAVING count(*) > 1")
+def cross_patterns(spark, d):
+    return I.cross_patterns(documents(spark, d).select(F.col("source").alias("parent"), "lang").distinct())
+
+
+@query("composed_cleaning", "SELECT doc_id, md5(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 'the', 'THE', 'g')) AS text FROM documents")
+def composed_cleaning(spark, d):
+    clean = T.compose(T.strip, lambda t: F.replace(t, F.lit("the"), F.lit("THE")))
+    return documents(spark, d).select("doc_id", F.md5(clean(F.col("text")).cast("binary")).alias("text"))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from convlens import providers as P
 from convlens.functions import text as T
 from convlens.operators import conversations as C
 from convlens.plans import sql as S
@@ -170,11 +171,49 @@ def stream_dedup(spark, d):
     return X.to_memory(X.deduplicated(_events(spark, d)), _name("dedup"), "append").select("event_id")
 
 
-@query("stream_sessions")
+@query("stream_sessions", """WITH e AS (SELECT user_id, epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events),
+s AS (SELECT *, sum((gap IS NULL OR gap >= 1800000000)::INT) OVER (PARTITION BY user_id ORDER BY us) AS s FROM e)
+SELECT user_id, min(us) AS start, max(us) + 1800000000 AS "end", count(*) AS n FROM s GROUP BY user_id, s HAVING max(us) + 1800000000 <= (SELECT max(epoch_us(ts)) FROM events) - 600000000""")
 def stream_sessions(spark, d):
-    return X.to_memory(X.sessions(_events(spark, d)), _name("sessions"), "append")
+    out = X.to_memory(X.sessions(_events(spark, d)), _name("sessions"), "append")
+    return out.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
 
 
-@query("stream_mean")
+@query("stream_mean", """WITH RECURSIVE e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS p FROM events),
+r AS (SELECT event_type, p, value AS level FROM e WHERE p = 1 UNION ALL SELECT e.event_type, e.p, 0.5 * r.level + 0.5 * e.value FROM r JOIN e ON e.event_type = r.event_type AND e.p = r.p + 1)
+SELECT event_type, round(max_by(level, p), 6) AS level, max(p) AS n FROM r GROUP BY event_type""")
 def stream_mean(spark, d):
-    return X.to_memory(X.running_mean(_events(spark, d)), _name("mean"), "update")
+    return X.to_memory(X.running_mean(_events(spark, d)), _name("mean"), "update").withColumn("level", F.round("level", 6))
+
+
+@query("files_round_trip", "SELECT doc_id, lang, source FROM documents")
+def files_round_trip(spark, d):
+    """Written as JSON and as CSV, read strictly, and joined."""
+    from convlens.session import shared_folder
+
+    folder = f"{shared_folder(spark)}/convlens/files-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "source")
+    W.write_json(rows.select("doc_id", "lang"), f"{folder}/json")
+    W.write_csv(rows.select("doc_id", "source"), f"{folder}/csv")
+    back = spark.read.schema("doc_id long, lang string").option("mode", "FAILFAST").json(f"{folder}/json")
+    return back.join(R.table_csv(spark, f"{folder}/csv", "doc_id long, source string"), "doc_id")
+
+
+@query("facet_answers", """SELECT doc_id, 'lines' AS kind, lang AS value, 0.25::DOUBLE AS confidence FROM documents UNION ALL SELECT doc_id, 'lists', source, 0.5 FROM documents UNION ALL SELECT doc_id, 'pairs', lang, 0.6 FROM documents""")
+def facet_answers(spark, d):
+    """What a model may answer, in its three forms, read by the parsers."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "source")
+    lines = P.facet_lines(F.concat(F.lit("Name: language\nValue: "), "lang", F.lit("\nConfidence: 0.25")))
+    lists = P.facet_lists(F.concat(F.lit('So: [[{"name": "source", "value": "'), "source", F.lit('", "confidence": 0.5}]] done')), 2)
+    pairs = P.facet_pairs(F.concat(F.lit("Language = "), "lang", F.lit(", mood: fine")))
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), a.alias("a")) for k, a in (("lines", lines), ("lists", lists[0]), ("pairs", pairs))])
+    out = docs.select("doc_id", F.explode(each).alias("e")).select("doc_id", "e.kind", F.explode("e.a").alias("f"))
+    return out.select("doc_id", "kind", "f.value", "f.confidence")
+
+
+@query("model_answers", """SELECT conv_id, turn, 'Name: Conversation: ' || array_to_string(string_split_regex(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+')[1:3], ' ') AS named FROM conversations WHERE role = 'system'""")
+def model_answers(spark, d):
+    """The stub model names a prompt by its first words; each distinct prompt is asked once."""
+    _, question, prefill, *_ = P.MAIN_FACETS[0]
+    asked = messages(spark, d).where("role = 'system'").withColumn("prompt", P.facet_prompt(F.col("text"), question, prefill))
+    return P.complete(asked, "prompt", P.create("stub")).select("conv_id", "turn", F.split("answer", "\n")[0].alias("named"))

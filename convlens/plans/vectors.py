@@ -8,6 +8,7 @@ from convlens.functions import vectors as V
 from convlens.operators import vectors as X
 from convlens.plans.registry import query
 from convlens.session import checkpointed
+from convlens.sources.writers import map_export
 
 E = "e AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
 CENTS = "c AS (SELECT label, list(x ORDER BY p) AS m FROM (SELECT label, p, avg(v[p]) AS x FROM e, generate_series(1, 64) s(p) GROUP BY ALL) GROUP BY label)"
@@ -137,7 +138,8 @@ def force_layout(spark, d):
 def map_points(spark, d):
     v = vectors(spark, d)
     names = spark.createDataFrame([(i, f"Cluster {i}") for i in range(5)], "label int, name string")
-    return v.join(names, "label", "left").select("id", F.coalesce("name", F.concat(F.lit("cluster_"), F.col("label").cast("string"))).alias("cluster"))
+    points = v.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("label").alias("cluster"))
+    return map_export(points, names.withColumnRenamed("label", "cluster")).select("id", "cluster")
 
 
 @query("outside_sample", "SELECT vec_id AS id FROM embeddings WHERE label <> 3 ORDER BY md5(vec_id || 'outside') LIMIT 10")

@@ -229,3 +229,26 @@ def test_truncation_marks(spark):
     df = spark.createDataFrame([(1, 0, "it goes on and on..."), (1, 1, "cut here [truncated] then more"), (1, 2, "a whole message it is"), (1, 3, None)], "conv_id long, turn int, text string")
     got = sorted((r["turn"], r["issue_type"]) for r in P.content_quality_issues(df).collect())
     assert got == [(0, "truncated"), (1, "truncated"), (3, "low_quality")]
+
+
+def test_templates_and_prompts():
+    from convlens import providers as P
+
+    own = [{"id": 1, "text": "a {name}"}]
+    assert P.merge(own, P.dump([{"id": 1, "text": "other"}, {"id": 2, "text": "b"}])) == [own[0], {"id": 2, "text": "b"}]
+    assert P.fill("a {name}", {"name": "x", "more": "y"}) == "a x"
+    with pytest.raises(ValueError, match="missing: name"):
+        P.fill("a {name}", {})
+    with pytest.raises(ValueError, match="unknown provider"):
+        P.create("nowhere")
+
+
+def test_choice_of_k(spark):
+    import random
+
+    from convlens.operators import vectors as X
+
+    draw = random.Random(2)
+    rows = [(i, [10.0 * (i % 3) + draw.random(), 10.0 * (i % 3 == 1) + draw.random()]) for i in range(45)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    assert X.choose_k(df, 5) == 3 and X.choose_k(df.limit(2), 5) == 2
