@@ -7,11 +7,12 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,6 +69,42 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Up to so many rows of a few numbers go out to all tasks; more are joined by a shuffle.
+FEW = 2_000_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """Rows of a written table, marked to be broadcast if they are at most FEW."""
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
+
+
+def written(make: Callable[[], DataFrame], scratch: Scratch) -> DataFrame:
+    """What ``make`` gives, as a table that goes out to all tasks if it is small; all folders opened meanwhile are deleted."""
+    mark = Scratch.mark()
+    table = scratch.put(make(), "ids")
+    Scratch.drop_since(mark)
+    collect_garbage(table.sparkSession)
+    return few(table)
+
+
+def numbered(docs: DataFrame, row_col: str, scratch: Scratch) -> DataFrame:
+    """The rows with a number of their own that every reading gives alike.
+
+    Rows of files are numbered by their file and their place in it; where rows come from elsewhere (or from more files than
+    FEW), a copy is written with the numbers.
+    """
+    try:
+        paths = [r["p"] for r in docs.select(F.col("_metadata.file_path").alias("p")).distinct().limit(FEW + 1).collect()]
+    except AnalysisException:  # no files, or a column of that name
+        paths = [""] * (FEW + 1)
+    if len(paths) > FEW or "_metadata" in docs.columns:
+        return scratch.put(docs.withColumn(row_col, F.monotonically_increasing_id()), "numbered")
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(sorted(paths))), "_file long, _path string")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_place"))
+    number = F.shiftleft("_file", 40).bitwiseOR(F.col("_place"))
+    return placed.join(F.broadcast(numbers), "_path").withColumn(row_col, number).select(*docs.columns, row_col)
+
+
 def whole_text(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

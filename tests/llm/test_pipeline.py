@@ -89,3 +89,28 @@ def test_empty_tables(spark, tables, tmp_path):
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_numbers_of_rows_are_the_same_in_every_reading(spark, tables, tmp_path):
+    from convlens.llm.common import Scratch, numbered
+
+    docs, folder = tables
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = numbered(table, "n", Scratch(spark, "test-numbers"))
+    assert rows.columns == [*table.columns, "n"] and rows.select("n").distinct().count() == table.count()
+    once = sorted(map(str, rows.select("doc_id", "text", "n").collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        assert sorted(map(str, rows.select("n", "doc_id", "text").select("doc_id", "text", "n").collect())) == once
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    clash = docs.withColumn("_metadata", docs["lang"])
+    assert numbered(clash, "n", Scratch(spark, "test-numbers-2")).select("n").distinct().count() == docs.count()
+
+
+def test_stages_on_files(spark, tables):
+    """Stages give the same rows for a written table as for one in memory."""
+    docs, folder = tables
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        assert plain(stage(spark, table, folder)) == plain(stage(spark, docs, folder))
