@@ -1,6 +1,6 @@
 """From raw documents to a token store: each stage works on all that the one before it kept.
 
-Stages follow a number that is written beside every row, never the id, so rows that repeat an id, or have none, are
+Stages follow a number of every row (of its file and its place there), never the id, so rows that repeat an id, or have none, are
 each judged by their own text. Null and empty texts are kept by the first three stages (nothing in them is toxic,
 alike or leaked) and left out by the mix, which takes words. Of rows that repeat a text, or are linked by similarity, one stays:
 the one with the least id. Very long texts are read whole; ties between rows of one id are settled by their number.
@@ -16,28 +16,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlens.llm import decontamination, jaccard, mixing, tokens, toxicity
-from convlens.llm.common import Scratch, crc_mod
+from convlens.llm.common import Scratch, crc_mod, numbered, written
 from convlens.llm.queries import table, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
-
+#: The number of a row while a stage works.
 ROW = "_pipeline_row"
 
 
-def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The documents as written with a number beside each row."""
-    return scratch.put(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below 0.7.
 
     A null or empty text is scored as the share of such labels; without labels nothing is dropped.
     """
-    rows = numbered(docs, Scratch(spark, "pipeline-toxicity"))
-    scored = toxicity.toxicity_scores(rows, table(spark, sf_dir, "labels"), learn_from=crc_mod("doc_id", 3) != 1, row_col=ROW)
-    return rows.join(scored.where("score >= 0.7").select(F.col("row").alias(ROW)), ROW, "left_anti").select(*docs.columns)
+    rows = numbered(docs, ROW, Scratch(spark, "pipeline-toxicity-rows"))
+
+    def rejected() -> DataFrame:
+        scored = toxicity.toxicity_scores(rows, table(spark, sf_dir, "labels"), learn_from=crc_mod("doc_id", 3) != 1, row_col=ROW)
+        return scored.where("score >= 0.7").select(F.col("row").alias(ROW))
+
+    return rows.join(written(rejected, Scratch(spark, "pipeline-toxicity")), ROW, "left_anti").select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,19 +43,22 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Documents without words are all kept.
     """
-    rows = numbered(docs, Scratch(spark, "pipeline-jaccard"))
-    found = jaccard.linked(rows, row_col=ROW)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    kept = found.where("`group` is not null").groupBy("group").agg(F.min(order).alias("m")).select(F.col("m.row").alias(ROW))
-    kept = kept.unionByName(found.where("`group` is null").select(F.col("row").alias(ROW)))
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    rows = numbered(docs, ROW, Scratch(spark, "pipeline-jaccard-rows"))
+
+    def others() -> DataFrame:
+        found = jaccard.linked(rows, row_col=ROW).where("`group` is not null and n_links > 0").select("group", "doc_id", "row")
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+        first = found.groupBy("group").agg(F.min(order).alias("m")).select(F.col("m.row").alias("row"))
+        return found.join(first, "row", "left_anti").select(F.col("row").alias(ROW))
+
+    return rows.join(written(others, Scratch(spark, "pipeline-jaccard")), ROW, "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark; null and empty texts have none."""
-    rows = numbered(docs, Scratch(spark, "pipeline-leaks"))
-    hits = decontamination.contaminated(rows, table(spark, sf_dir, "benchmark"), id_col=ROW).select(F.col("doc_id").alias(ROW)).distinct()
-    return rows.join(hits, ROW, "left_anti").select(*docs.columns)
+    rows = numbered(docs, ROW, Scratch(spark, "pipeline-leaks-rows"))
+    hits = lambda: decontamination.contaminated(rows, table(spark, sf_dir, "benchmark"), id_col=ROW).select(F.col("doc_id").alias(ROW)).distinct()
+    return rows.join(written(hits, Scratch(spark, "pipeline-leaks")), ROW, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
