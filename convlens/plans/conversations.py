@@ -223,13 +223,18 @@ def result_json(spark, d):
     return n.select("conv_id", F.to_json(F.struct("conv_id", "category", "n_messages")).alias("json"))
 
 
-@query("shape_flags", """SELECT conv_id, bool_or(regexp_matches(text, '```|def |class |function')) AS code, bool_or(contains(lower(text), 'and')) AS analytical, bool_or(length(text) > 1000) AS complex,
-bool_or(regexp_matches(text, '[^\\x00-\\x7F]')) AS multilingual, CASE WHEN count(*) <= 3 THEN 'small' WHEN count(*) <= 6 THEN 'medium' ELSE 'large' END AS size FROM conversations GROUP BY conv_id""")
+CASUAL = r"(?i)\b(hey|hi|hello|thanks|okay|sure|yeah|lol|btw|fyi)\b"
+TECHNICAL = r"(?i)\b(analyze|analysis|correlation|regression|hypothesis|methodology|framework|architecture|implementation|optimization|algorithm)\b"
+
+
+@query("shape_flags", f"""SELECT conv_id, bool_or(regexp_matches(text, '```|def |class |function')) AS code, bool_or(contains(lower(text), 'and')) AS analytical, bool_or(length(text) > 1000) AS complex,
+bool_or(regexp_matches(text, '[^\\x00-\\x7F]')) AS multilingual, bool_or(regexp_matches(text, '{CASUAL}')) AS casual, bool_or(regexp_matches(text, '{TECHNICAL}')) AS technical, CASE WHEN count(*) <= 3 THEN 'small' WHEN count(*) <= 6 THEN 'medium' ELSE 'large' END AS size FROM conversations GROUP BY conv_id""")
 def shape_flags(spark, d):
     t = F.col("text")
     return messages(spark, d).groupBy("conv_id").agg(
         F.bool_or(F.rlike(t, F.lit("```|def |class |function"))).alias("code"), F.bool_or(F.contains(F.lower(t), F.lit("and"))).alias("analytical"),
         F.bool_or(F.length(t) > 1000).alias("complex"), F.bool_or(F.rlike(t, F.lit(r"[^\x00-\x7F]"))).alias("multilingual"),
+        F.bool_or(F.rlike(t, F.lit(CASUAL))).alias("casual"), F.bool_or(F.rlike(t, F.lit(TECHNICAL))).alias("technical"),
         F.when(F.count(F.lit(1)) <= 3, "small").when(F.count(F.lit(1)) <= 6, "medium").otherwise("large").alias("size"),
     )
 

@@ -241,3 +241,60 @@ def cross_patterns(spark, d):
 def composed_cleaning(spark, d):
     clean = T.compose(T.strip, lambda t: F.replace(t, F.lit("the"), F.lit("THE")))
     return documents(spark, d).select("doc_id", F.md5(clean(F.col("text")).cast("binary")).alias("text"))
+
+
+@query("vote_names", """WITH w AS (SELECT source AS cluster, doc_id, string_split_regex(regexp_replace(left(text, 500), '^\\s+|\\s+$', '', 'g'), '\\s+') AS w FROM documents WHERE n_chars > 100),
+k AS (SELECT * FROM w WHERE len(w) >= 4), r AS (SELECT cluster, array_to_string(w[1:4], ' ') AS name, row_number() OVER (PARTITION BY cluster, r ORDER BY md5(doc_id || ':' || r)) AS n FROM k, range(3) AS x(r)),
+v AS (SELECT cluster, name, count(*) AS votes FROM r WHERE n = 1 GROUP BY ALL) SELECT cluster, name, votes FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY votes DESC, name DESC) AS n FROM v) WHERE n = 1""")
+def vote_names(spark, d):
+    """Sources named by the stub, which takes the first words of its first example."""
+    from convlens.operators import naming as N
+    from convlens.providers import StubText
+
+    members = documents(spark, d).where("n_chars > 100").select(F.col("source").alias("cluster"), F.col("doc_id").alias("id"), "text")
+    words = F.split(T.strip(F.left("text", F.lit(500))), r"\s+")
+    return N.vote_names(members.where(F.size(words) >= 4), StubText()).select("cluster", "name", "votes")
+
+
+@query("named_hierarchy")
+def named_hierarchy(spark, d):
+    from convlens.operators import naming as N
+    from convlens.operators import vectors as X
+    from convlens.plans.vectors import vectors
+    from convlens.providers import StubText
+
+    fine = vectors(spark, d).withColumn("label", (F.col("label") * 6 + F.col("id") % 6).cast("int"))
+    c = X.centroids(fine, "label").select(F.col("label").alias("cluster"), F.col("centroid").alias("v"), F.concat(F.lit("cluster "), F.col("label").cast("string")).alias("name"))
+    return N.named_hierarchy(c, StubText()).withColumn("top", F.col("parent").isNull()).withColumn("parent", F.coalesce("parent", F.lit(-1)))
+
+
+@query("diverse_examples", "SELECT * FROM (VALUES ('Bug Report', 26::BIGINT), ('Support', 26), ('Feedback', 25), ('Sales', 25)) AS v(category, n)")
+def diverse_examples(spark, d):
+    from convlens.sources import readers as R
+
+    return R.diverse_examples(spark, 102).groupBy("category").agg(F.count_distinct("conv_id").alias("n"))
+
+
+@query("session_copy", "SELECT 'copy' AS session_id, event_id, event_type FROM events WHERE user_id = 3")
+def session_copy(spark, d):
+    from convlens.sources import writers as W
+
+    own = events(spark, d).where("user_id = 3").select(F.col("user_id").cast("string").alias("session_id"), "event_id", "event_type")
+    return W.session_copy(own, "copy")
+
+
+@query("log_lines", """SELECT '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' AS line FROM events""")
+def log_lines(spark, d):
+    from convlens.sources import writers as W
+
+    return W.log_lines(events(spark, d).select("event_id", "event_type"))
+
+
+@query("estimates", """SELECT source, n * CASE WHEN source LIKE '%1' THEN 0.5 WHEN source LIKE '%2' THEN 1.0 ELSE 0.75 END::DOUBLE AS seconds, round(n * CASE WHEN source LIKE '%1' THEN 0.002 ELSE 0.0 END, 6)::DOUBLE AS dollars FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)""")
+def estimates(spark, d):
+    from convlens.providers import estimates
+
+    by = documents(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    provider = F.when(F.col("source").endswith("1"), "openai").when(F.col("source").endswith("2"), "ollama").otherwise("other")
+    seconds, dollars = estimates(provider, F.lit("gpt-4o-mini"), F.col("n"))
+    return by.select("source", seconds.alias("seconds"), F.round(dollars, 6).alias("dollars"))

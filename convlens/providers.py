@@ -155,3 +155,51 @@ def merge(own: list[dict], other: str) -> list[dict]:
     """Templates by id; those already there stay."""
     known = {t["id"] for t in own}
     return own + [t for t in json.loads(other) if t["id"] not in known]
+
+
+class Unavailable(RuntimeError):
+    """A model that cannot answer now."""
+
+
+@dataclass
+class Recovering:
+    """A text model with retries, then the next of its fallbacks; a model that failed ``failures`` times in a row is passed over.
+
+    ``waits`` has the seconds before each retry. Used on executors, so each Python worker counts for itself.
+    """
+
+    models: Sequence[TextModel]
+    waits: Sequence[float] = (0.0, 0.0)
+    failures: int = 5
+
+    def __post_init__(self):
+        self.failed = [0] * len(self.models)
+
+    def complete(self, prompts: Sequence[str]) -> list[str]:
+        import time
+
+        last: Exception | None = None
+        for i, model in enumerate(self.models):
+            if self.failed[i] >= self.failures and i + 1 < len(self.models):
+                continue
+            for wait in (0.0, *self.waits):
+                time.sleep(wait)
+                try:
+                    answers = model.complete(prompts)
+                    self.failed[i] = 0
+                    return answers
+                except Unavailable as e:
+                    last, self.failed[i] = e, self.failed[i] + 1
+        raise Unavailable("no model answered") from last
+
+
+def choose_version(rates: dict[str, float], draw: float, other: str, epsilon: float = 0.1) -> str:
+    """The version of best success rate, or ``other`` for a share ``epsilon`` of draws from 0 to 1; of equals the least name."""
+    return other if draw < epsilon or not rates else min(rates, key=lambda v: (-rates[v], v))
+
+
+def estimates(provider: Column, model: Column, conversations: Column) -> tuple[Column, Column]:
+    """(seconds, dollars) by fixed rates for each conversation."""
+    seconds = F.when(provider == "openai", 0.5).when(provider == "ollama", 1.0).when(provider == "vllm", 0.3).otherwise(0.75)
+    dollars = F.when(model == "gpt-4o", 0.01).when(model == "gpt-4o-mini", 0.002).when(model == "gpt-3.5-turbo", 0.001)
+    return seconds * conversations, F.when(provider == "openai", F.coalesce(dollars, F.lit(0.0))).otherwise(0.0) * conversations

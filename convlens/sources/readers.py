@@ -142,3 +142,30 @@ def examples(spark: SparkSession, n: int, seed: int = 42, categories: Sequence[s
     said = F.create_map(*[F.lit(x) for c in categories for x in (c, openers.get(c, "Hello"))])[F.col("category")]
     text = F.when(F.col("turn") == 0, said).when(role == "user", F.concat(F.lit("And another question, number "), F.col("turn").cast("string"))).otherwise(F.concat(F.lit("Here is what I can tell you about "), F.lower("category")))
     return rows.select(F.col("id").alias("conv_id"), "turn", role.alias("role"), text.alias("text"), "category")
+
+
+def diverse_examples(spark: SparkSession, n: int, seed: int = 42, categories: Sequence[str] = ("Bug Report", "Support", "Feedback", "Sales")) -> DataFrame:
+    """(conv_id, category): n div k of each of k categories, one more of the first n mod k, mixed by a hash and numbered anew."""
+    from convlens.operators.conversations import numbered
+
+    k = len(categories)
+    ids = spark.range(n).withColumn("category", F.element_at(F.array(*map(F.lit, categories)), (F.col("id") % k + 1).cast("int")))
+    mixed = numbered(ids.withColumn("_h", F.xxhash64("id", F.lit(seed))), "_h", "id")
+    return mixed.select(F.col("position").cast("long").alias("conv_id"), "category")
+
+
+def prefix_examples(templates: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """(conv_id, turn, role, text): for each conversation a hashed template's first messages, two at least, and for three
+    of ten a further question and answer. ``templates`` has (template, turn, role, text), as a parameter's size.
+    """
+    spark = templates.sparkSession
+    sizes = templates.groupBy("template").agg(F.count(F.lit(1)).alias("_size"))
+    known = sizes.count()
+    draw = lambda salt: F.shiftrightunsigned(F.xxhash64("conv_id", F.lit(seed), F.lit(salt)), 1)
+    drawn = spark.range(n).select(F.col("id").alias("conv_id")).withColumn("template", draw("template") % known).join(sizes, "template")
+    keep = F.least(F.col("_size"), F.lit(2) + draw("length") % F.greatest(F.col("_size") - 1, F.lit(1)))
+    drawn = drawn.withColumn("_keep", keep).withColumn("_more", draw("more") % 10 < 3)
+    own = drawn.join(templates, "template").where(F.col("turn") < F.col("_keep")).select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    pair = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r).alias("role"), F.lit(t).alias("text")) for i, r, t in ((0, "user", "Can you say more about that?"), (1, "assistant", "Of course, here is some more detail."))])
+    more = drawn.where("_more").select("conv_id", "_keep", F.explode(pair).alias("p"))
+    return own.unionByName(more.select("conv_id", (F.col("_keep") + F.col("p.i")).cast("long").alias("turn"), "p.role", "p.text"))

@@ -39,3 +39,13 @@ def split_by_bytes(lines: DataFrame, order: str, most: int) -> DataFrame:
     """Adds ``page``: greedy pages of at most ``most`` bytes with line ends, in order; a longer line is alone."""
     sized = lines.select(order, "line").withColumn("_bytes", F.coalesce(F.octet_length("line"), F.lit(0)) + 1)
     return greedy_pages(sized, [order], "_bytes", most).select(order, "line", "page")
+
+
+def session_copy(session: DataFrame, new_id: str, column: str = "session_id") -> DataFrame:
+    """A session's rows under a new id, for export and import."""
+    return session.withColumn(column, F.lit(new_id))
+
+
+def log_lines(logs: DataFrame) -> DataFrame:
+    """(line): each row of a log as JSON."""
+    return logs.select(F.to_json(F.struct(*logs.columns)).alias("line"))

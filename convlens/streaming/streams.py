@@ -87,3 +87,30 @@ def to_memory(df: DataFrame, name: str, mode: str, checkpoint: str | None = None
     query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
     query.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def run_some(source: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], most: int) -> int:
+    """As many as ``most`` micro-batches, then a pause: the number run. Another call with the same checkpoint goes on."""
+    done = 0
+
+    def counted(df: DataFrame, batch: int) -> None:
+        nonlocal done
+        if done >= most:
+            raise InterruptedError("paused")
+        handle(df, batch)
+        done += 1
+
+    query = source.writeStream.foreachBatch(counted).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except Exception as e:  # the stream reports the pause as its failure
+        if "paused" not in str(e):
+            raise
+    return done
+
+
+def finalise(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The union of all batches' results; of a key that several batches gave, the row of the latest."""
+    parts = spark.read.parquet(path)
+    rest = [c for c in parts.columns if c not in (key, "batch")]
+    return parts.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(key, "_r.*")

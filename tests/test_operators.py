@@ -252,3 +252,40 @@ def test_choice_of_k(spark):
     rows = [(i, [10.0 * (i % 3) + draw.random(), 10.0 * (i % 3 == 1) + draw.random()]) for i in range(45)]
     df = spark.createDataFrame(rows, "id long, v array<double>")
     assert X.choose_k(df, 5) == 3 and X.choose_k(df.limit(2), 5) == 2
+
+
+def test_recovering_model():
+    from convlens import providers as P
+
+    class Flaky:
+        def __init__(self, bad):
+            self.bad, self.calls = bad, 0
+
+        def complete(self, prompts):
+            self.calls += 1
+            if self.calls <= self.bad:
+                raise P.Unavailable
+            return ["ok"] * len(prompts)
+
+    assert P.Recovering([Flaky(2)]).complete(["a", "b"]) == ["ok", "ok"]
+    never, second = Flaky(10**9), Flaky(0)
+    model = P.Recovering([never, second], waits=(0.0,), failures=4)
+    for _ in range(5):
+        assert model.complete(["a"]) == ["ok"]
+    assert never.calls == 4 and second.calls == 5
+    with pytest.raises(P.Unavailable):
+        P.Recovering([Flaky(9)], waits=()).complete(["a"])
+    assert P.choose_version({"v1": 0.5, "v2": 0.9}, 0.5, "v1") == "v2" and P.choose_version({"v1": 0.5, "v2": 0.9}, 0.05, "v1") == "v1"
+
+
+def test_prefix_examples(spark):
+    from convlens.sources import readers as R
+
+    templates = spark.createDataFrame([(t, i, "user" if i % 2 == 0 else "assistant", f"t{t} {i}") for t in range(3) for i in range(6)], "template long, turn int, role string, text string")
+    got = R.prefix_examples(templates, 200).collect()
+    turns = {}
+    for r in got:
+        turns.setdefault(r["conv_id"], []).append(r["turn"])
+    assert len(turns) == 200 and all(sorted(t) == list(range(len(t))) and len(t) >= 2 for t in turns.values())
+    assert 30 < sum("say more" in r["text"] for r in got) < 90
+    assert sorted(map(str, got)) == sorted(map(str, R.prefix_examples(templates.repartition(3), 200).collect()))

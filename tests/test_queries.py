@@ -58,7 +58,7 @@ def test_shape_flags_read_all_turns(spark, tmp_path):
     rows = [(1, t, "user", "é ```and" + "x" * 1000 if t == 20 else "hi") for t in range(21)] + [(2, t, "user", "hi") for t in range(20, 24)]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["conv_id"]: tuple(r)[1:] for r in registry.queries()["shape_flags"](spark, str(tmp_path)).collect()}
-    assert got == {1: (True, True, True, True, "large"), 2: (False, False, False, False, "medium")}
+    assert got == {1: (True, True, True, True, True, False, "large"), 2: (False, False, False, False, True, False, "medium")}
 
 
 def test_entry(spark):

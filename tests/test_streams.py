@@ -40,3 +40,18 @@ def test_late_rows_are_dropped(spark, tmp_path):
     df.limit(1).withColumn("ts", F.timestamp_seconds(F.lit(1_600_000_000))).withColumn("event_id", F.lit(999).cast("long")).coalesce(1).write.mode("append").parquet(path)
     got = X.to_memory(X.deduplicated(X.stream(spark, path, df.schema)), "t_late", "append")
     assert got.count() in (90, 91)
+
+
+def test_pause_and_go_on(spark, tmp_path):
+    from convlens.streaming import streams as X
+
+    for i in range(4):
+        spark.createDataFrame([(k, i) for k in range(3)], "id long, value int").write.parquet(f"{tmp_path}/in/part={i}")
+    paths = f"{tmp_path}/in/*"
+    source = lambda: X.stream(spark, paths, "id long, value int")
+    handle = X.append_batch(f"{tmp_path}/out")
+    assert X.run_some(source(), f"{tmp_path}/check", handle, 2) == 2
+    assert len(list((tmp_path / "out").iterdir())) == 2
+    assert X.run_some(source(), f"{tmp_path}/check", handle, 9) == 2
+    got = X.finalise(spark, f"{tmp_path}/out", "id").collect()
+    assert len(got) == 3 and spark.read.parquet(f"{tmp_path}/out").count() == 12
