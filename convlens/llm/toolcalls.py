@@ -80,33 +80,42 @@ def faults(value: Any, schema: dict, at: str = "$") -> list[str]:
 
 
 def places(calls: DataFrame, scratch: Scratch) -> DataFrame:
-    """(conv_id, call_id, place): place is (turn, hops), later than the places of all known dependencies."""
-    own = calls.select("conv_id", "call_id", F.struct("turn", F.lit(0).alias("hops")).alias("place"))
+    """(conv_id, call_id, place, cyclic): place is (turn, hops), later than the places of all known dependencies.
+
+    A call stands at its own turn until something it depends on stands later; only calls that moved in a round are looked
+    at in the next. A path of more hops than calls that ever moved in its conversation goes round a cycle.
+    """
+    own = calls.select("conv_id", "call_id", F.struct("turn", F.lit(0).alias("hops")).alias("own"))
     edges = scratch.put(calls.select("conv_id", "call_id", F.explode("after").alias("needs")).distinct(), "needs")
     asked = edges.groupBy("conv_id", "needs").agg(F.count(F.lit(1)).alias("_n"))
     n = edges.count()
-    turns = own.select("conv_id", F.col("call_id").alias("needs"), F.col("place.turn").alias("_needs_turn")).join(asked, ["conv_id", "needs"])
-    known = join_counted(edges, turns, ["conv_id", "needs"], n).join(own.select("conv_id", "call_id", F.col("place.turn").alias("_turn")), ["conv_id", "call_id"])
+    turns = own.select("conv_id", F.col("call_id").alias("needs"), F.col("own.turn").alias("_needs_turn")).join(asked, ["conv_id", "needs"])
+    known = join_counted(edges, turns, ["conv_id", "needs"], n).join(own.select("conv_id", "call_id", F.col("own.turn").alias("_turn")), ["conv_id", "call_id"])
     known = scratch.put(known, "edges")
-    now = scratch.put(own, "places-0")
-    if not known.where("_needs_turn >= _turn").head(1):
-        return now.withColumn("cyclic", F.lit(False))
-    sizes = own.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_calls"))
-    k, cyclic = 0, None
-    while True:
+    at_turn = F.struct(F.col("_turn").alias("turn"), F.lit(0).alias("hops"))
+    first = known.groupBy("conv_id", "call_id").agg(F.max(F.struct(F.col("_needs_turn").alias("turn"), F.lit(1).alias("hops"))).alias("place"), F.first("_turn").alias("_turn"))
+    first = first.where(F.col("place") > at_turn).select("conv_id", "call_id", "place", F.lit(False).alias("cyclic"), F.lit(True).alias("new"))
+    moved, k = scratch.put(first, "moved-0"), 0
+    while moved.where("new").head(1):
         k += 1
-        pushed = join_counted(known, now.select("conv_id", F.col("call_id").alias("needs"), "place").join(asked, ["conv_id", "needs"]), ["conv_id", "needs"], n)
-        pushed = pushed.groupBy("conv_id", "call_id").agg(F.max(F.struct("place.turn", (F.col("place.hops") + 1).alias("hops"))).alias("_least"))
-        new = now.join(pushed, ["conv_id", "call_id"], "left").withColumn("_next", F.greatest("place", F.coalesce("_least", "place")))
-        new = new.join(sizes, "conv_id")
-        # More hops than there are calls: only a cycle gives that.
-        new = new.select("conv_id", "call_id", F.when(F.col("_next.hops") > F.col("_calls"), F.col("place")).otherwise(F.col("_next")).alias("place"),
-                         (F.col("_next.hops") > F.col("_calls")).alias("cyclic"), (F.col("_next") != F.col("place")).alias("_moved"))
-        new = scratch.put(new, f"places-{k}")
-        scratch.drop(f"places-{k - 1}")
-        if not new.where("_moved and not cyclic").head(1):
-            return new.drop("_moved")
-        now = new.drop("_moved", "cyclic")
+        frontier = moved.where("new").select("conv_id", F.col("call_id").alias("needs"), "place", "cyclic").join(asked, ["conv_id", "needs"])
+        pushed = join_counted(known, frontier, ["conv_id", "needs"], n).groupBy("conv_id", "call_id").agg(
+            F.max(F.struct("place.turn", (F.col("place.hops") + 1).alias("hops"))).alias("_to"), F.bool_or("cyclic").alias("_c"), F.first("_turn").alias("_turn")
+        )
+        both = moved.drop("new").join(pushed, ["conv_id", "call_id"], "full_outer")
+        was, now = F.coalesce("cyclic", F.lit(False)), F.coalesce("place", at_turn)
+        up = F.coalesce(F.col("_to") > now, F.lit(False)) & ~was
+        both = both.select("conv_id", "call_id", F.when(up, F.col("_to")).otherwise(now).alias("place"), was.alias("_was"), up.alias("_up"), F.coalesce("_c", F.lit(False)).alias("_c"), F.col("place").isNotNull().alias("_had"))
+        both = scratch.put(both.where("_had or _up or _c"), f"both-{k}")
+        counts = both.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_n"), F.count(F.lit(1)).alias("_moved"))
+        rows = join_counted(both, counts, ["conv_id"], both.count())
+        cyclic = F.col("_was") | F.col("_c") | (F.col("place.hops") > F.col("_moved"))
+        moved = scratch.put(rows.select("conv_id", "call_id", "place", cyclic.alias("cyclic"), (~F.col("_was") & (cyclic | F.col("_up"))).alias("new")), f"moved-{k}")
+        scratch.drop(f"both-{k}")
+        scratch.drop(f"moved-{k - 1}")
+    cyclic = F.coalesce("cyclic", F.lit(False))
+    out = own.join(moved.select("conv_id", "call_id", "place", "cyclic"), ["conv_id", "call_id"], "left")
+    return out.select("conv_id", "call_id", F.when(cyclic, F.col("own")).otherwise(F.coalesce("place", "own")).alias("place"), cyclic.alias("cyclic"))
 
 
 def first_marked(rows: DataFrame, order: list[str], name: str, scratch: Scratch) -> DataFrame:
