@@ -87,6 +87,14 @@ def written(make: Callable[[], DataFrame], scratch: Scratch) -> DataFrame:
     return few(table)
 
 
+def free_name(docs: DataFrame, base: str) -> str:
+    """A column name that the table does not have, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    while any(c.startswith(base.lower()) for c in taken):
+        base += "_"
+    return base
+
+
 def numbered(docs: DataFrame, row_col: str, scratch: Scratch) -> DataFrame:
     """The rows with a number of their own that every reading gives alike.
 
@@ -99,10 +107,10 @@ def numbered(docs: DataFrame, row_col: str, scratch: Scratch) -> DataFrame:
         paths = [""] * (FEW + 1)
     if len(paths) > FEW or "_metadata" in docs.columns:
         return scratch.put(docs.withColumn(row_col, F.monotonically_increasing_id()), "numbered")
-    numbers = docs.sparkSession.createDataFrame(list(enumerate(sorted(paths))), "_file long, _path string")
-    placed = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_place"))
-    number = F.shiftleft("_file", 40).bitwiseOR(F.col("_place"))
-    return placed.join(F.broadcast(numbers), "_path").withColumn(row_col, number).select(*docs.columns, row_col)
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(sorted(paths))), f"{row_col}file long, {row_col}path string")
+    placed = docs.select("*", F.col("_metadata.file_path").alias(f"{row_col}path"), F.col("_metadata.row_index").alias(f"{row_col}place"))
+    number = F.shiftleft(f"{row_col}file", 40).bitwiseOR(F.col(f"{row_col}place"))
+    return placed.join(F.broadcast(numbers), f"{row_col}path").withColumn(row_col, number).select(*docs.columns, row_col)
 
 
 def whole_text(column: str) -> Column:

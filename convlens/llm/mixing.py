@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from convlens.llm.common import Scratch, numbered, prefix_sum, written
+from convlens.llm.common import Scratch, free_name, numbered, prefix_sum, written
 
 #: Fractional part of the golden ratio as a multiple of 2**-62: points are exact integers.
 GOLDEN = 2850178567708297085
@@ -149,19 +149,20 @@ def schedule(targets: DataFrame, block_words: int) -> DataFrame:
     return taken.unionByName(tail)
 
 
-def mixed_documents(docs: DataFrame, *, row_col: str = "_row", scratch: Scratch | None = None, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, scratch: Scratch | None = None, **options) -> DataFrame:
     """The documents in the order of the mix's slots, once for each pass that takes at least half of their words.
 
     Each row is followed by a number of its own, so rows that repeat an id or have none are told apart.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mixed")
+    row_col, copy = free_name(docs, "_row"), free_name(docs, "_copy")
     rows = numbered(docs, row_col, scratch)
 
     def copies() -> DataFrame:
         taken = mix(rows, row_col=row_col, **options).where("taken > 0")
         kept = taken.select("row", F.explode(F.filter("copies", lambda c: c["words"] * 2 >= F.col("size"))).alias("_copy"))
-        return kept.select(F.col("row").alias(row_col), F.struct("_copy.slot", "_copy.place").alias("_copy"))
+        return kept.select(F.col("row").alias(row_col), F.struct("_copy.slot", "_copy.place").alias(copy))
 
     joined = rows.join(written(copies, scratch), row_col)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return joined.repartitionByRange(n, "_copy").sortWithinPartitions("_copy").select(*docs.columns)
+    return joined.repartitionByRange(n, copy).sortWithinPartitions(copy).select(*docs.columns)

@@ -10,7 +10,7 @@ pipeline = pytest.importorskip("corpus_pipeline")
 
 from .conftest import prose  # noqa: E402
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, score double, row long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, score double, row long, _row string"
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +21,7 @@ def tables(spark, tmp_path_factory):
     base, words = prose(1, 90), prose(1, 90).split()
     texts = [base, base, " ".join([*words[:88], "x"]), None, "", "  ", f"so {item} indeed", prose(77, 6000)]
     texts += [prose(200 + i, 30 + i) + (" nastyword grimslur vileterm nastyword" if i % 5 == 0 else "") for i in range(80)]
-    rows = [(None if i in (3, 9) else 6 if i == 7 else i, t, "en", ["a", "b", None][i % 3], 1, 0.9, 5) for i, t in enumerate(texts)]
+    rows = [(None if i in (3, 9) else 6 if i == 7 else i, t, "en", ["a", "b", None][i % 3], 1, 0.9, 5, "x") for i, t in enumerate(texts)]
     rows += rows[20:22]
     docs = spark.createDataFrame(rows, SCHEMA)
     docs.write.parquet(f"{folder}/documents.parquet")
@@ -96,12 +96,12 @@ def test_numbers_of_rows_are_the_same_in_every_reading(spark, tables, tmp_path):
 
     docs, folder = tables
     table = spark.read.parquet(f"{folder}/documents.parquet")
-    rows = numbered(table, "n", Scratch(spark, "test-numbers"))
-    assert rows.columns == [*table.columns, "n"] and rows.select("n").distinct().count() == table.count()
-    once = sorted(map(str, rows.select("doc_id", "text", "n").collect()))
+    rows = numbered(table, "_n", Scratch(spark, "test-numbers"))
+    assert rows.columns == [*table.columns, "_n"] and rows.select("_n").distinct().count() == table.count()
+    once = sorted(map(str, rows.select("doc_id", "text", "_n").collect()))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
     try:
-        assert sorted(map(str, rows.select("n", "doc_id", "text").select("doc_id", "text", "n").collect())) == once
+        assert sorted(map(str, rows.select("_n", "doc_id", "text").select("doc_id", "text", "_n").collect())) == once
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     clash = docs.withColumn("_metadata", docs["lang"])
