@@ -16,12 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlens.llm import decontamination, jaccard, mixing, tokens, toxicity
-from convlens.llm.common import Scratch, crc_mod, numbered, written
+from convlens.llm.common import Scratch, crc_mod, free_name, numbered, written
 from convlens.llm.queries import table, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: The number of a row while a stage works.
-ROW = "_pipeline_row"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +27,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is scored as the share of such labels; without labels nothing is dropped.
     """
-    rows = numbered(docs, ROW, Scratch(spark, "pipeline-toxicity-rows"))
+    row = free_name(docs, "_row")
+    rows = numbered(docs, row, Scratch(spark, "pipeline-toxicity-rows"))
 
     def rejected() -> DataFrame:
-        scored = toxicity.toxicity_scores(rows, table(spark, sf_dir, "labels"), learn_from=crc_mod("doc_id", 3) != 1, row_col=ROW)
-        return scored.where("score >= 0.7").select(F.col("row").alias(ROW))
+        scored = toxicity.toxicity_scores(rows, table(spark, sf_dir, "labels"), learn_from=crc_mod("doc_id", 3) != 1, row_col=row)
+        return scored.where("score >= 0.7").select(F.col("row").alias(row))
 
-    return rows.join(written(rejected, Scratch(spark, "pipeline-toxicity")), ROW, "left_anti").select(*docs.columns)
+    return rows.join(written(rejected, Scratch(spark, "pipeline-toxicity")), row, "left_anti").select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,27 +42,29 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Documents without words are all kept.
     """
-    rows = numbered(docs, ROW, Scratch(spark, "pipeline-jaccard-rows"))
+    row = free_name(docs, "_row")
+    rows = numbered(docs, row, Scratch(spark, "pipeline-jaccard-rows"))
 
     def others() -> DataFrame:
-        found = jaccard.linked(rows, row_col=ROW).where("`group` is not null and n_links > 0").select("group", "doc_id", "row")
+        found = jaccard.linked(rows, row_col=row).where("`group` is not null and n_links > 0").select("group", "doc_id", "row")
         order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
         first = found.groupBy("group").agg(F.min(order).alias("m")).select(F.col("m.row").alias("row"))
-        return found.join(first, "row", "left_anti").select(F.col("row").alias(ROW))
+        return found.join(first, "row", "left_anti").select(F.col("row").alias(row))
 
-    return rows.join(written(others, Scratch(spark, "pipeline-jaccard")), ROW, "left_anti").select(*docs.columns)
+    return rows.join(written(others, Scratch(spark, "pipeline-jaccard")), row, "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark; null and empty texts have none."""
-    rows = numbered(docs, ROW, Scratch(spark, "pipeline-leaks-rows"))
-    hits = lambda: decontamination.contaminated(rows, table(spark, sf_dir, "benchmark"), id_col=ROW).select(F.col("doc_id").alias(ROW)).distinct()
-    return rows.join(written(hits, Scratch(spark, "pipeline-leaks")), ROW, "left_anti").select(*docs.columns)
+    row = free_name(docs, "_row")
+    rows = numbered(docs, row, Scratch(spark, "pipeline-leaks-rows"))
+    hits = lambda: decontamination.contaminated(rows, table(spark, sf_dir, "benchmark"), id_col=row).select(F.col("doc_id").alias(row)).distinct()
+    return rows.join(written(hits, Scratch(spark, "pipeline-leaks")), row, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them, in the order of its slots; those without words are not taken."""
-    return mixing.mixed_documents(docs, row_col=ROW, scratch=Scratch(spark, "pipeline-mix"))
+    return mixing.mixed_documents(docs, scratch=Scratch(spark, "pipeline-mix"))
 
 
 def store_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
