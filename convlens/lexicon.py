@@ -61,8 +61,9 @@ CATEGORY_KEYWORDS = {
     "Documentation": ("documentation", "api", "guide", "tutorial", "reference"),
     "General": ("conversation", "discussion", "chat"),
 }
-STOP_WORDS = tuple(
-    "the is at which on a an and or but in with to for of as by that this it from they we say her she he has had".split()
+STOP_WORDS = (
+    "the", "is", "at", "which", "on", "a", "an", "and", "or", "but", "in", "with", "to", "for", "of", "as", "by",
+    "that", "this", "it", "from", "they", "we", "say", "her", "she", "he", "has", "had",
 )
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"

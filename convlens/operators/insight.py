@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from convlens.functions import text as T
+from convlens.session import broadcast_if_few
 
 
 def facet_distribution(facets: DataFrame) -> DataFrame:
@@ -136,7 +137,7 @@ def recommendations(clusters: DataFrame, limit: int) -> DataFrame:
 def cluster_similarity(clusters: DataFrame, least: float = 0.3) -> DataFrame:
     """(a, b, similarity) over a cluster-level table: mean of size ratio and share of common name words."""
     a = clusters.select(F.col("cluster").alias("a"), F.col("name").alias("na"), F.col("size").alias("sa"))
-    b = F.broadcast(clusters.select(F.col("cluster").alias("b"), F.col("name").alias("nb"), F.col("size").alias("sb")))
+    b = broadcast_if_few(clusters.select(F.col("cluster").alias("b"), F.col("name").alias("nb"), F.col("size").alias("sb")))
     wa, wb = F.split("na", r"\s+"), F.split("nb", r"\s+")
     words = F.size(F.filter(wa, lambda w: F.contains(F.col("nb"), w))) / F.greatest(F.size(wa), F.size(wb))
     score = (F.least("sa", "sb") / F.greatest("sa", "sb") + F.when(F.col("na") == F.col("nb"), 1.0).otherwise(words)) / 2
@@ -145,7 +146,7 @@ def cluster_similarity(clusters: DataFrame, least: float = 0.3) -> DataFrame:
 
 def name_correlation(clusters: DataFrame, least: float = 0.3) -> DataFrame:
     a = clusters.select(F.col("cluster").alias("a"), F.length("name").alias("la"))
-    b = F.broadcast(clusters.select(F.col("cluster").alias("b"), F.length("name").alias("lb")))
+    b = broadcast_if_few(clusters.select(F.col("cluster").alias("b"), F.length("name").alias("lb")))
     return a.join(b, F.col("a") != F.col("b")).select("a", "b", F.round(F.least("la", "lb") / F.greatest("la", "lb"), 6).alias("ratio")).where(F.col("ratio") > least)
 
 

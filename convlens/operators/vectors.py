@@ -38,23 +38,57 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.array([((b - row) ** 2).sum(1) for row in a])) if len(a) else np.zeros((0, len(b)))
 
 
+def half_pairs(df: DataFrame) -> DataFrame:
+    """Rows dealt to tasks (i, j), i <= j, each pair of blocks once: side 0 has block i, side 1 block j, both in one if they are equal."""
+    blocked = blocks(df)
+    n = int(blocked.agg(F.coalesce(F.max("_b"), F.lit(0))).first()[0]) + 1
+    dealt = blocked.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return dealt.select("*", (F.col("_b") > F.col("_o")).cast("int").alias("_side"), F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+
+
+def sides(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, vectors, other ids, other vectors) for both directions of a task of ``half_pairs``, ids ascending."""
+    parts = [p.sort_values("id") for _, p in pdf.groupby("_side")]
+    own = [(p["id"].to_numpy(), matrix(p["v"])) for p in parts]
+    if pdf["_i"].iloc[0] == pdf["_j"].iloc[0]:
+        return [(*own[0], *own[0])]
+    return [(*own[0], *own[1]), (*own[1], *own[0])] if len(own) == 2 else []
+
+
+def close_pairs(a: np.ndarray, b: np.ndarray, most: np.ndarray | float, k: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance) of pairs that may be within ``most``, or among the k nearest of a row.
+
+    Products of matrices sort out the rest, with room for their rounding; the distances given are exact.
+    """
+    square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T)
+    room = 1e-9 * (1 + (a * a).sum(1).max(initial=0) + (b * b).sum(1).max(initial=0))
+    bound = np.partition(square, k - 1, axis=1)[:, k - 1][:, None] if 0 < k < len(b) else np.full((1, 1), np.inf) if k else np.square(most)
+    i, j = np.nonzero(square <= bound + room)
+    out = np.empty(len(i))
+    for start in range(0, len(i), 65_536):
+        part = slice(start, start + 65_536)
+        out[part] = np.sqrt(((b[j[part]] - a[i[part]]) ** 2).sum(1))
+    return i, j, out
+
+
 def nearest(df: DataFrame, k: int, with_self: bool = False) -> DataFrame:
     """(id, neighbour, distance, rank): the k nearest by Euclid, ties to the smaller id; exact, each task keeps k."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1].sort_values("id")
         out = []
-        if len(a) and len(b):
-            ids, near = b["id"].to_numpy(), matrix(b["v"])
-            for i, v in zip(a["id"], matrix(a["v"])):
-                d = np.sqrt(((near - v) ** 2).sum(1))
-                if not with_self:
-                    d = np.where(ids == i, np.inf, d)
-                order = np.argsort(d, kind="stable")[:k]
-                out += [(i, ids[x], d[x]) for x in order if np.isfinite(d[x])]
-        return pd.DataFrame(out, columns=["id", "neighbour", "distance"])
-
-    found = block_pairs(df.select("id", "v")).groupBy("_i", "_j").applyInPandas(run, "id long, neighbour long, distance double")
+        for ids, a, others, b in sides(pdf):
+            i, j, d = close_pairs(a, b, np.inf, min(k + (not with_self), len(b)))
+            if not with_self:
+                keep = ids[i] != others[j]
+                i, j, d = i[keep], j[keep], d[keep]
+            order = np.lexsort((others[j], d, i))
+            i, j, d = i[order], j[order], d[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            keep = rank < k
+            out.append(pd.DataFrame({"id": ids[i[keep]], "neighbour": others[j[keep]], "distance": d[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "neighbour": [], "distance": []})
+
+    found = half_pairs(df.select("id", "v")).groupBy("_i", "_j").applyInPandas(run, "id long, neighbour long, distance double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour")))
     return ranked.where(F.col("rank") <= k)
 
@@ -63,15 +97,13 @@ def pairs_within(df: DataFrame, eps: float) -> DataFrame:
     """(a, b) for all a, b within ``eps``, each with itself."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
         out = []
-        if len(a) and len(b):
-            ids, near = b["id"].to_numpy(), matrix(b["v"])
-            for i, v in zip(a["id"], matrix(a["v"])):
-                out += [(i, x) for x in ids[np.sqrt(((near - v) ** 2).sum(1)) <= eps]]
-        return pd.DataFrame(out, columns=["a", "b"])
+        for ids, a, others, b in sides(pdf):
+            i, j, d = close_pairs(a, b, eps)
+            out.append(pd.DataFrame({"a": ids[i[d <= eps]], "b": others[j[d <= eps]]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
 
-    return block_pairs(df.select("id", "v")).groupBy("_i", "_j").applyInPandas(run, "a long, b long")
+    return half_pairs(df.select("id", "v")).groupBy("_i", "_j").applyInPandas(run, "a long, b long")
 
 
 def centroids(df: DataFrame, by: str) -> DataFrame:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -45,3 +46,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/convlens/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """Marked to be sent to all tasks if it has at most ``most`` rows; otherwise left to the plan."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
