@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convlens.llm.common import Scratch, join_counted
+from convlens.llm.common import Scratch, claim, join_counted
 from convlens.llm.groups import members_of, resolve
 
 SIGNS = 128
@@ -197,6 +197,7 @@ def near_duplicates(
     size, height = plan(classes.count(), cosine, per_filter, wanted, codes, parts)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("caps")
         known: dict[int, Code] = {}
         for batch in batches:
             lengths = pa.compute.list_value_length(batch.column("v")).to_numpy()

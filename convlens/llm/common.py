@@ -140,6 +140,20 @@ def collect_garbage(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: What operators keep in a Python worker between tasks, and for whom it is kept.
+KEPT: list[dict] = []
+_OWNER: list[str] = [""]
+
+
+def claim(owner: str) -> None:
+    """At the start of a task: what other operators have kept in this Python worker goes."""
+    if _OWNER[0] != owner:
+        _OWNER[0] = owner
+        for kept in KEPT:
+            kept.clear()
+        trim()
+
+
 def trim() -> None:
     """Gives freed memory back at the end of a task: Python workers live on beside those of later stages."""
     pa.default_memory_pool().release_unused()

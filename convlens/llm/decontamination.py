@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convlens.llm.common import pieces_of, ranges
+from convlens.llm.common import KEPT, claim, pieces_of, ranges
 
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 RESULT = "doc_id long, item_id long, start long, end long, edits int"
@@ -135,6 +135,7 @@ def passing(items: Items, row: np.ndarray, place: np.ndarray, gram: np.ndarray)
 
 
 _HELD: dict[str, Items] = {}
+KEPT.append(_HELD)
 
 
 def held(name: str, shared, q: int, rate: float) -> Items:
@@ -222,6 +223,7 @@ def contaminated(
         shared = spark.sparkContext.broadcast(([i for i, _ in kept], [t for _, t in kept]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            claim("decontamination")
             ids, _ = shared.value
             index = held(name, shared, q, edit_rate)
             for whole in batches:

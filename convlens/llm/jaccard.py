@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convlens.llm.common import Scratch, components, join_counted, pieces_of, split_words
+from convlens.llm.common import Scratch, claim, components, join_counted, pieces_of, split_words
 from convlens.llm.groups import members_of, resolve
 
 BUCKETS = 1 << 18
@@ -118,6 +118,7 @@ def signatures(docs: DataFrame, *, n: int, trees: int, seed: int, id_col: str, t
         return out.view(np.int64).T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard")
         for whole in batches:
             for batch in pieces_of(whole, "text"):
                 sets = shingle_sets(batch.column("text"), n)
@@ -225,6 +226,7 @@ def candidate_sets(docs: DataFrame, members: DataFrame, *, n: int, id_col: str,
     texts = texts.join(members.select("doc_id", "hash", "cid", "key", "group"), (texts["hash"] == members["hash"]) & texts["_id"].eqNullSafe(members["doc_id"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("jaccard")
         for whole in batches:
             for batch in pieces_of(whole, "text"):
                 sets = shingle_sets(batch.column("text"), n)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convlens.llm.common import Scratch, bytes_of, pieces_of, split_words
+from convlens.llm.common import Scratch, bytes_of, claim, pieces_of, split_words
 
 NAMES = (
     "words", "word_length", "symbols", "digits", "capitals", "blank_share", "stops", "no_letter_words", "same_as_last",
@@ -101,6 +101,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
 
 def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for whole in batches:
             for batch in pieces_of(whole, "text"):
                 x = statistics(batch.column("text"))
@@ -171,6 +172,7 @@ def score(vectors: DataFrame, model: Discriminant) -> DataFrame:
     k = len(NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for batch in batches:
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"])

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from convlens.llm.common import Scratch, collect_garbage, frequent, join_counted, pieces_of, ranges, trim
+from convlens.llm.common import KEPT, Scratch, claim, collect_garbage, frequent, join_counted, pieces_of, ranges, trim
 
 #: White space other than one blank or one line feed between other characters, a special token, or the mark that the
 #: encoder itself puts at the start of a text: encoded as a whole.
@@ -179,6 +179,9 @@ class Encoder:
         return out, lengths
 
 
+KEPT.append(Encoder._HELD)
+
+
 def chunk_ends(ids: np.ndarray, offsets: np.ndarray, gear: np.ndarray, mean: int) -> tuple[np.ndarray, np.ndarray]:
     """(ends of all chunks, number of chunks of each document) for documents that lie one after the other.
 
@@ -218,6 +221,7 @@ def stage(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, end_id
     """One row per document: digests and sizes of its chunks and its compressed ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("tokens")
         encoder = Encoder.held(tokenizer)
         width = encoder.dtype.itemsize
         gear = np.random.default_rng(7).integers(0, 1 << 32, 1 << (16 if width == 2 else 20), dtype=np.uint32)
@@ -282,6 +286,7 @@ def write_store(
 def pack(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
+    claim("packs")
     packer, unpacker = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True), zstandard.ZstdDecompressor()
     number, offset, total, roots = TaskContext.get().partitionId(), 0, 0, RunningMerkle()
     fields = ["doc_id", "uid", "manifest", "pack", "offset", "n_tokens", "n_chunks", "hi", "lo", "sizes", "mine", "uses", "blob", "root"]
@@ -378,6 +383,7 @@ def starts_of_packs(store: DataFrame) -> DataFrame:
 
 def lending(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """(hi, lo, n, chunk) of the chunks that a document stores for others too."""
+    claim("packs")
     unpacker = zstandard.ZstdDecompressor()
     for whole in batches:
         for start in range(0, whole.num_rows, 500):
@@ -421,6 +427,7 @@ def read_store(store: DataFrame, tokenizer_bytes: int = 2) -> DataFrame:
 
 
 def rebuild(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    claim("packs")
     unpacker = zstandard.ZstdDecompressor()
     kind = np.dtype(f"<u{width}")
     for whole in batches:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convlens.llm.common import Scratch, coded_words, pieces_of, ranges
+from convlens.llm.common import Scratch, claim, coded_words, pieces_of, ranges, trim
 
 LETTERS = r"[^\p{L}]+"
 
@@ -55,8 +55,9 @@ def example_terms(examples: DataFrame) -> DataFrame:
     """(label, term) of each example."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         for whole in batches:
-            for batch in pieces_of(whole, "text"):
+            for batch in pieces_of(whole, "text", 2_000_000):
                 ends, terms, _, names = terms_of(batch.column("text"))
                 row = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(ends)))
                 yield pa.RecordBatch.from_arrays([batch.column("label").take(row), names.take(pa.array(terms)).cast(pa.string())], ["label", "term"])
@@ -70,11 +71,13 @@ def term_counts(docs: DataFrame, vocabulary: pa.Array, *, id_col: str, text_col:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         for whole in batches:
-            for batch in pieces_of(whole, "text", 4_000_000):
+            for batch in pieces_of(whole, "text", 2_000_000):
                 ends, terms, counts, _ = terms_of(batch.column("text"), shared.value)
                 lists = lambda v: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v.astype(np.int32)))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), lists(terms), lists(counts)], ["doc_id", "row", "terms", "counts"])
+        trim()
 
     row = (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row, F.col(text_col).alias("text"))
@@ -272,11 +275,12 @@ def toxicity_scores(
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        claim("toxicity")
+        for batch in (whole.slice(start, 2000) for whole in batches for start in range(0, whole.num_rows, 2000)):
             lists = batch.column("terms")
-            ends = lists.offsets.to_numpy().astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))).astype(np.int64)
             terms, counts = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("terms", "counts"))
-            scores, evidence = shared.value.scores(ends - ends[0], terms, counts)
+            scores, evidence = shared.value.scores(ends, terms, counts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "row", "score", "evidence"]
             )
