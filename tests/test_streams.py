@@ -46,7 +46,7 @@ def test_pause_and_go_on(spark, tmp_path):
     from convlens.streaming import streams as X
 
     for i in range(4):
-        spark.createDataFrame([(k, i) for k in range(3)], "id long, value int").write.parquet(f"{tmp_path}/in/part={i}")
+        spark.createDataFrame([(k, i) for k in range(3)], "id long, value int").coalesce(1).write.parquet(f"{tmp_path}/in/part={i}")
     paths = f"{tmp_path}/in/*"
     source = lambda: X.stream(spark, paths, "id long, value int")
     handle = X.append_batch(f"{tmp_path}/out")
