@@ -265,8 +265,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
     before, k = None, 0
     while (seen := state(now)) != before and seen[0]:
         before, k = seen, k + 1
-        half = scratch.put(star(now, True, seen[0]), f"{name}-{k}-large")
-        now = scratch.put(star(half, False, seen[0]), f"{name}-{k}")
+        # Few rows make few files.
+        parts = 2 * seen[0] // 500_000 + 1
+        half = scratch.put(star(now, True, seen[0]).coalesce(parts), f"{name}-{k}-large")
+        now = scratch.put(star(half, False, seen[0]).coalesce(parts), f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
         scratch.drop(f"{name}-{k}-large")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

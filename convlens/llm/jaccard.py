@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convlens.llm.common import Scratch, claim, components, join_counted, pieces_of, split_words
+from convlens.llm.common import Scratch, claim, components, join_counted, pieces_of, split_words, trim
 from convlens.llm.groups import members_of, resolve
 
 BUCKETS = 1 << 18
@@ -120,7 +120,7 @@ def signatures(docs: DataFrame, *, n: int, trees: int, seed: int, id_col: str, t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("jaccard")
         for whole in batches:
-            for batch in pieces_of(whole, "text"):
+            for batch in pieces_of(whole, "text", 2_000_000):
                 sets = shingle_sets(batch.column("text"), n)
                 some = np.array([len(s) > 0 for s in sets], bool)
                 found = labels([s for s in sets if len(s)]) if some.any() else np.zeros((0, trees), np.int64)
@@ -130,6 +130,7 @@ def signatures(docs: DataFrame, *, n: int, trees: int, seed: int, id_col: str, t
                     [*(batch.column(c) for c in ("doc_id", "hash", "row")), pa.array([set_key(s) for s in sets], pa.binary()), lists],
                     ["doc_id", "hash", "row", "key", "labels"],
                 )
+        trim()
 
     row = F.col(row_col) if row_col else F.lit(None)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("hash"), row.cast("long").alias("row"), F.col(text_col).alias("text"))
@@ -186,7 +187,7 @@ def candidate_edges(classes: DataFrame, scratch: Scratch, *, threshold: float, t
         nodes = rows.groupBy("tree", "prefix").agg(F.min("cid").alias("root"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
         nodes = scratch.put(nodes, f"nodes-{depth}")
         total = nodes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-        rows = scratch.put(join_counted(rows, nodes, ["tree", "prefix"], total), f"meeting-{depth}")
+        rows = join_counted(rows, nodes, ["tree", "prefix"], total)
         pairs = rows.where("cid != root").select(F.col("cid").alias("a"), F.col("root").alias("b")).distinct()
         company = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_n"))
         right = labels.select(F.col("cid").alias("b"), F.col("labels").alias("right")).join(company, "b")
@@ -228,13 +229,14 @@ def candidate_sets(docs: DataFrame, members: DataFrame, *, n: int, id_col: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("jaccard")
         for whole in batches:
-            for batch in pieces_of(whole, "text"):
+            for batch in pieces_of(whole, "text", 2_000_000):
                 sets = shingle_sets(batch.column("text"), n)
                 right = [k == set_key(s) for k, s in zip(batch.column("key").to_pylist(), sets)]
                 out = pa.RecordBatch.from_arrays(
                     [batch.column("cid"), batch.column("group"), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "group", "grams"]
                 )
                 yield out.filter(pa.array(right, pa.bool_()))
+        trim()
 
     return texts.select("cid", "key", "group", "text").mapInArrow(run, "cid long, group long, grams binary").dropDuplicates(["cid"])
 
