@@ -122,7 +122,7 @@ def crc_mod(id_column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def pieces_of(batch: pa.RecordBatch, text: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def pieces_of(batch: pa.RecordBatch, text: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose text holds about ``most`` bytes at most, so memory does not follow the batch size."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)

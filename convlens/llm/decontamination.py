@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convlens.llm.common import KEPT, claim, pieces_of, ranges
+from convlens.llm.common import KEPT, claim, pieces_of, ranges, trim
 
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 RESULT = "doc_id long, item_id long, start long, end long, edits int"
@@ -238,6 +238,7 @@ def contaminated(
                             ],
                             ["doc_id", "item_id", "start", "end", "edits"],
                         )
+            trim()
 
         part = inputs.mapInArrow(run, RESULT)
         out = part if out is None else out.unionByName(part)

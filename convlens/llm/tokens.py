@@ -227,7 +227,7 @@ def stage(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, end_id
         gear = np.random.default_rng(7).integers(0, 1 << 32, 1 << (16 if width == 2 else 20), dtype=np.uint32)
         packer = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True)
         for whole in batches:
-            for batch in pieces_of(whole, "text"):
+            for batch in pieces_of(whole, "text", 8_000_000):
                 ids, offsets = encoder.encode(pc.fill_null(batch.column("text"), ""))
                 ids = np.insert(ids, offsets[1:], np.array(end_id, encoder.dtype))
                 offsets = offsets + np.arange(len(offsets))
