@@ -8,11 +8,12 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.errors import AnalysisException
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,23 +33,44 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-class Scratch:
-    """Tables written below the shared folder to cut lineage; each survives the loss of an executor."""
+#: How to let go of what this thread has opened inside ``owned``; None outside of it.
+_OPENED: ContextVar[list[Callable[[], None]] | None] = ContextVar("opened", default=None)
+
+
+def _own(let_go: Callable[[], None]) -> None:
+    if (opened := _OPENED.get()) is not None:
+        opened.append(let_go)
 
-    _opened: list[Scratch] = []
 
-    @classmethod
-    def mark(cls) -> int:
-        return len(cls._opened)
+@contextlib.contextmanager
+def owned(spark: SparkSession) -> Iterator[None]:
+    """Folders and broadcasts that this thread opens inside go at the end, those of an inner ``owned`` at its end.
+
+    For a caller that has written by then what it needs of them. What other threads, or callers further out, have opened stays.
+    """
+    mine: list[Callable[[], None]] = []
+    token = _OPENED.set(mine)
+    try:
+        yield
+    finally:
+        _OPENED.reset(token)
+        for let_go in reversed(mine):
+            let_go()
+        collect_garbage(spark)
+
 
-    @classmethod
-    def drop_since(cls, mark: int) -> None:
-        """Deletes all tables of the folders opened since; for a caller that has written what was read from them."""
-        while len(cls._opened) > mark:
-            cls._opened.pop().drop()
+def shared(spark: SparkSession, value) -> Broadcast:
+    """A broadcast value; inside ``owned`` it goes with the rest."""
+    sent = spark.sparkContext.broadcast(value)
+    _own(sent.destroy)
+    return sent
+
+
+class Scratch:
+    """Tables written below the shared folder to cut lineage; each survives the loss of an executor."""
 
     def __init__(self, spark: SparkSession, what: str):
-        self._opened.append(self)
+        _own(self.drop)
         self.spark = spark
         self.path = f"{shared_folder(spark)}/convlens/{what}-{uuid.uuid4().hex}"
 
@@ -79,11 +101,9 @@ def few(rows: DataFrame) -> DataFrame:
 
 
 def written(make: Callable[[], DataFrame], scratch: Scratch) -> DataFrame:
-    """What ``make`` gives, as a table that goes out to all tasks if it is small; all folders opened meanwhile are deleted."""
-    mark = Scratch.mark()
-    table = scratch.put(make(), "ids")
-    Scratch.drop_since(mark)
-    collect_garbage(table.sparkSession)
+    """What ``make`` gives, as a table that goes out to all tasks if it is small; what was opened for it is let go."""
+    with owned(scratch.spark):
+        table = scratch.put(make(), "ids")
     return few(table)
 
 
@@ -95,22 +115,32 @@ def free_name(docs: DataFrame, base: str) -> str:
     return base
 
 
+def _bare_scan(docs: DataFrame) -> bool:
+    """Whether each row stands for one row of the files of one folder: a scan with filters and projections at most."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    if node.nodeName() != "LogicalRelation":
+        return False
+    relation = node.relation()
+    return relation.getClass().getSimpleName() == "HadoopFsRelation" and relation.location().rootPaths().size() == 1
+
+
 def numbered(docs: DataFrame, row_col: str, scratch: Scratch) -> DataFrame:
     """The rows with a number of their own that every reading gives alike.
 
-    Rows of files are numbered by their file and their place in it; where rows come from elsewhere (or from more files than
-    FEW), a copy is written with the numbers.
+    Rows of a scan of files are numbered by their file and their place in it. All else may repeat or reorder rows of files (explode, join,
+    union), so there a copy is written with the numbers.
     """
-    try:
-        paths = [r["p"] for r in docs.select(F.col("_metadata.file_path").alias("p")).distinct().limit(FEW + 1).collect()]
-    except AnalysisException:  # no files, or a column of that name
-        paths = [""] * (FEW + 1)
-    if len(paths) > FEW or "_metadata" in docs.columns:
+    if "_metadata" in docs.columns or not _bare_scan(docs):
         return scratch.put(docs.withColumn(row_col, F.monotonically_increasing_id()), "numbered")
-    numbers = docs.sparkSession.createDataFrame(list(enumerate(sorted(paths))), f"{row_col}file long, {row_col}path string")
-    placed = docs.select("*", F.col("_metadata.file_path").alias(f"{row_col}path"), F.col("_metadata.row_index").alias(f"{row_col}place"))
-    number = F.shiftleft(f"{row_col}file", 40).bitwiseOR(F.col(f"{row_col}place"))
-    return placed.join(F.broadcast(numbers), f"{row_col}path").withColumn(row_col, number).select(*docs.columns, row_col)
+    path, place = f"{row_col}path", f"{row_col}place"
+    found = scratch.put(docs.select(F.col("_metadata.file_path").alias(path)).distinct().withColumn(row_col, F.monotonically_increasing_id()), "files")
+    parts = found.agg(F.max(F.shiftright(row_col, 33))).first()[0] or 0
+    files = found.select(path, (F.shiftright(row_col, 33) + (parts + 1) * F.col(row_col).bitwiseAND(F.lit((1 << 33) - 1))).alias(row_col))
+    placed = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(place))
+    number = F.shiftleft(row_col, 36).bitwiseOR(F.col(place))
+    return placed.join(few(files), path).withColumn(row_col, number).select(*docs.columns, row_col)
 
 
 def whole_text(column: str) -> Column:
@@ -137,6 +167,7 @@ def pieces_of(batch: pa.RecordBatch, text: str, most: int = 2_000_000) -> Iterat
 def collect_garbage(spark: SparkSession) -> None:
     """Frees the shuffle files of finished jobs: Spark deletes them once nothing in the driver refers to their plans."""
     gc.collect()
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convlens.llm.common import KEPT, claim, pieces_of, ranges, trim
+from convlens.llm.common import KEPT, claim, pieces_of, ranges, shared, trim
 
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 RESULT = "doc_id long, item_id long, start long, end long, edits int"
@@ -67,11 +67,11 @@ class Items:
         flat = np.concatenate(hashes)
         # q-grams of more than ``common`` places are not counted for items that keep a quarter of their bound without them.
         _, which, times = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = times[which] > self.common
-        n_shared = np.bincount(item[shared], minlength=len(self.texts))
+        both = times[which] > self.common
+        n_shared = np.bincount(item[both], minlength=len(self.texts))
         without = self.bound - n_shared >= np.maximum(1, self.bound // 4)
         self.bound = np.where(without, self.bound - n_shared, self.bound)
-        counted = ~(shared & without[item])
+        counted = ~(both & without[item])
         item, place, flat = item[counted], place[counted], flat[counted]
         order = np.argsort(flat, kind="stable")
         self.grams, first = np.unique(flat[order], return_index=True)
@@ -138,11 +138,11 @@ _HELD: dict[str, Items] = {}
 KEPT.append(_HELD)
 
 
-def held(name: str, shared, q: int, rate: float) -> Items:
+def held(name: str, sent, q: int, rate: float) -> Items:
     """The index of a slice of items, built once in each Python worker; one slice is held at a time."""
     if name not in _HELD:
         _HELD.clear()
-        _, own = shared.value
+        _, own = sent.value
         _HELD[name] = Items(np.arange(len(own)), own, q, rate)
     return _HELD[name]
 
@@ -220,12 +220,12 @@ def contaminated(
         kept = [(r["item_id"], t) for r, t in zip(rows, texts) if len(t) >= max(least_chars, q)]
         if not kept:
             continue
-        shared = spark.sparkContext.broadcast(([i for i, _ in kept], [t for _, t in kept]))
+        sent = shared(spark, ([i for i, _ in kept], [t for _, t in kept]))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
             claim("decontamination")
-            ids, _ = shared.value
-            index = held(name, shared, q, edit_rate)
+            ids, _ = sent.value
+            index = held(name, sent, q, edit_rate)
             for whole in batches:
                 for start in range(0, whole.num_rows, 16384):
                     for batch in pieces_of(whole.slice(start, 16384), "text"):

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convlens.llm.common import Scratch, claim, coded_words, pieces_of, ranges, trim
+from convlens.llm.common import Scratch, claim, coded_words, pieces_of, ranges, shared, trim
 
 LETTERS = r"[^\p{L}]+"
 
@@ -68,13 +68,13 @@ def example_terms(examples: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame, vocabulary: pa.Array, *, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
     """(doc_id, row, terms, counts) of the vocabulary's terms over whole texts."""
     # The sample's terms, bounded by its rows.
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = shared(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity")
         for whole in batches:
             for batch in pieces_of(whole, "text", 2_000_000):
-                ends, terms, counts, _ = terms_of(batch.column("text"), shared.value)
+                ends, terms, counts, _ = terms_of(batch.column("text"), sent.value)
                 lists = lambda v: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v.astype(np.int32)))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), lists(terms), lists(counts)], ["doc_id", "row", "terms", "counts"])
         trim()
@@ -272,7 +272,7 @@ def toxicity_scores(
     learn = learn.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null")
     model, vectors = fit(docs, learn, scratch, examples=examples, floor=floor, k=k, id_col=id_col, text_col=text_col, row_col=row_col)
     # Bounded by the terms of ``examples`` rows.
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("toxicity")
@@ -280,7 +280,7 @@ def toxicity_scores(
             lists = batch.column("terms")
             ends = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))).astype(np.int64)
             terms, counts = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("terms", "counts"))
-            scores, evidence = shared.value.scores(ends, terms, counts)
+            scores, evidence = sent.value.scores(ends, terms, counts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "row", "score", "evidence"]
             )

@@ -1,6 +1,6 @@
 """From raw documents to a token store: each stage works on all that the one before it kept.
 
-Stages follow a number of every row (of its file and its place there), never the id, so rows that repeat an id, or have none, are
+Stages follow a number of every row (of its file and place, or written with it), never the id, so rows that repeat an id, or have none, are
 each judged by their own text. Null and empty texts are kept by the first three stages (nothing in them is toxic,
 alike or leaked) and left out by the mix, which takes words. Of rows that repeat a text, or are linked by similarity, one stays:
 the one with the least id. Very long texts are read whole; ties between rows of one id are settled by their number.
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlens.llm import decontamination, jaccard, mixing, tokens, toxicity
-from convlens.llm.common import Scratch, crc_mod, free_name, numbered, written
+from convlens.llm.common import Scratch, crc_mod, free_name, numbered, owned, written
 from convlens.llm.queries import table, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -89,9 +89,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        mark = Scratch.mark()
-        docs = scratch.put(stage(spark, docs, sf_dir), name)
-        Scratch.drop_since(mark)
+        with owned(spark):
+            docs = scratch.put(stage(spark, docs, sf_dir), name)
         if last:
             scratch.drop(last)
         last = name

@@ -114,3 +114,53 @@ def test_stages_on_files(spark, tables):
     table = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in pipeline.STAGES[:-1]:
         assert plain(stage(spark, table, folder)) == plain(stage(spark, docs, folder))
+
+
+def test_rows_made_from_rows_have_numbers_of_their_own(spark, tables):
+    """Exploded, joined and united frames repeat places in files; no row is taken for another."""
+    from convlens.llm.common import Scratch, numbered
+    from pyspark.sql import functions as F
+
+    docs, folder = tables
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").where("item_id = 1").first()["text"]
+    twice = F.explode(F.array(F.lit("first part"), F.lit("second part"), F.lit(item)))
+    exploded = table.limit(2).select(*[twice.alias("text") if c == "text" else c for c in table.columns])
+    from_files = table.where("doc_id < 2").select(*[twice.alias("text") if c == "text" else c for c in table.columns])
+    joined = table.join(table.select(F.col("doc_id").alias("other")).where("other < 3"), F.col("doc_id") < F.col("other") + 5)
+    for rows in (exploded, from_files, joined, table.union(table)):
+        made = numbered(rows, "_n", Scratch(spark, "test-derived"))
+        assert made.select("_n").distinct().count() == made.count() == rows.count()
+    left = plain(pipeline.drop_leaks(spark, from_files, folder))
+    assert [r[1] for r in left] == [r[1] for r in plain(from_files) if r[1] != item] and len(left) == 4
+
+
+def test_two_callers_leave_each_other_alone(spark, tables):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from convlens.llm.common import Scratch, owned
+
+    docs, folder = tables
+    mine = Scratch(spark, "test-mine").put(docs, "rows")
+    with owned(spark):
+        inner = Scratch(spark, "test-inner")
+        inner.put(docs, "rows")
+        with ThreadPoolExecutor(1) as other:
+            theirs = other.submit(lambda: Scratch(spark, "test-theirs").put(docs, "rows")).result()
+    assert mine.count() == theirs.count() == docs.count()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        spark.read.parquet(f"{inner.path}/rows").count()
+    with ThreadPoolExecutor(2) as both:
+        runs = [both.submit(lambda: plain(pipeline.drop_leaks(spark, docs, folder))) for _ in range(2)]
+        assert runs[0].result() == runs[1].result() == [r for r in plain(docs) if "seven rivers" not in (r[1] or "")]
+
+
+def test_broadcasts_go_with_their_owner(spark):
+    from convlens.llm import common
+
+    with common.owned(spark):
+        sent = common.shared(spark, list(range(1000)))
+        assert sent.value[-1] == 999
+    with pytest.raises(Exception, match="destroyed"):
+        spark.sparkContext.parallelize([1]).map(lambda x: sent.value[x]).collect()
+    assert common._OPENED.get() is None
