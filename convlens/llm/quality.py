@@ -2,8 +2,10 @@
 
 Each document gives a vector of statistics of its whole text, each transformed towards symmetry. Per class, mean and
 covariance come from sums over all labelled rows (added up in the cluster; only the sums reach the driver). The
-covariances are shrunk towards the pooled one and towards a diagonal, their Cholesky factors are computed once, and a
-score is the logistic of the difference of the two log densities plus the log prior odds.
+covariances are shrunk towards the pooled one and towards a diagonal, their Cholesky factors are computed once. The
+difference of the two log densities plus the log prior odds is divided by a temperature before the logistic: words of one text are
+not independent, so the densities alone are far too sure. The temperature is the one of a fixed grid with the least log loss on labelled rows,
+each scored by a model of the other half (halves by a hash of the statistics), towards targets smoothed by the numbers of rows.
 
 Null text counts as empty; very long texts are read whole; empty texts have defined statistics and a score. Labelled rows with a null label or
 without a document are not learnt from. With no rows of one class every score is the smoothed share of label 1.
@@ -14,7 +16,7 @@ Only the named columns are read, so other columns may have any name.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -114,43 +116,55 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 @dataclass(frozen=True)
 class Discriminant:
-    """Means and inverse Cholesky factors by class; ``share`` alone where a class has no rows."""
+    """Means and inverse Cholesky factors by class, and the temperature; ``share`` alone where a class has no rows."""
 
     share: float
     means: np.ndarray | None = None
     whiten: np.ndarray | None = None
     constant: float = 0.0
+    temperature: float = 1.0
+
+    def odds(self, x: np.ndarray) -> np.ndarray:
+        """Logarithms, before the temperature."""
+        q = [((x - m) @ w.T) for m, w in zip(self.means, self.whiten)]
+        return self.constant + 0.5 * ((q[0] ** 2).sum(1) - (q[1] ** 2).sum(1))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.means is None:
             return np.full(len(x), self.share)
-        q = [((x - m) @ w.T) for m, w in zip(self.means, self.whiten)]
-        odds = self.constant + 0.5 * ((q[0] ** 2).sum(1) - (q[1] ** 2).sum(1))
-        return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+        odds = self.odds(x) / self.temperature
+        small = np.exp(-np.abs(odds))
+        return np.where(odds >= 0, 1.0, small) / (1 + small)
 
 
-def fit(labelled: DataFrame, *, to_pooled: float = 0.1, to_diagonal: float = 0.05, least_variance: float = 1e-3) -> Discriminant:
-    """From rows (x, label): sums of 1, x and x x' by class, added up in the cluster.
+def sums_of(labelled: DataFrame) -> dict[int, np.ndarray]:
+    """Of rows (x, label, half): by half, the sums of 1, x and x x' of each class, added up in the cluster.
 
     Sums are of whole numbers of 1 / STEPS, so they are the same in any order.
     """
     k = len(NAMES)
+    width = 1 + k + k * k
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 + k + k * k), np.int64)
+        total = np.zeros((2, 2, width), np.int64)
         for batch in batches:
-            y = batch.column("label").to_numpy(zero_copy_only=False)
+            y, half = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "half"))
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-            for c in (0, 1):
-                own = np.rint(x[y == c] * STEPS).astype(np.int64)
-                total[c] += np.concatenate(([len(own)], own.sum(0), (own.T @ own).ravel()))
-        at = np.arange(total.size)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel())], ["at", "v"])
-
-    got = {r["at"]: r["v"] for r in labelled.select("x", F.col("label").cast("int")).mapInArrow(sums, "at long, v long").groupBy("at").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect()}
-    total = np.array([float(got.get(i, 0)) for i in range(2 * (1 + k + k * k))]).reshape(2, -1)
-    total[:, 1 : k + 1] /= STEPS
-    total[:, k + 1 :] /= STEPS**2
+            for h in (0, 1):
+                for c in (0, 1):
+                    own = np.rint(x[(half == h) & (y == c)] * STEPS).astype(np.int64)
+                    total[h, c] += np.concatenate(([len(own)], own.sum(0), (own.T @ own).ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "v"])
+
+    got = {r["at"]: r["v"] for r in labelled.mapInArrow(sums, "at long, v long").groupBy("at").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect()}
+    total = np.array([float(got.get(i, 0)) for i in range(4 * width)]).reshape(2, 2, width)
+    total[:, :, 1 : k + 1] /= STEPS
+    total[:, :, k + 1 :] /= STEPS**2
+    return {0: total[0], 1: total[1]}
+
+
+def discriminant(total: np.ndarray, to_pooled: float, to_diagonal: float, least_variance: float) -> Discriminant:
+    k = len(NAMES)
     n = total[:, 0]
     share = float((n[1] + 1) / (n.sum() + 2))
     if n.min() < 2:
@@ -168,6 +182,43 @@ def fit(labelled: DataFrame, *, to_pooled: float = 0.1, to_diagonal: float = 0.0
     return Discriminant(share, means, np.array(whiten), float(np.log(n[1] / n[0]) + logdet[0] - logdet[1]))
 
 
+#: Temperatures that are tried, from 1 to 1000.
+TEMPERATURES = 10 ** np.linspace(0, 3, 61)
+
+
+def temperature(labelled: DataFrame, halves: dict[int, Discriminant], n: np.ndarray) -> float:
+    """Of TEMPERATURES that with the least log loss; the targets are those of n + 2 rows, one of each other class."""
+    targets = np.array([1 / (n[0] + 2), (n[1] + 1) / (n[1] + 2)])
+    k = len(NAMES)
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(TEMPERATURES), np.int64)
+        for batch in batches:
+            y, half = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("label", "half"))
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            for h in (0, 1):
+                own = half == h
+                odds = halves[1 - h].odds(x[own])[:, None] / TEMPERATURES
+                loss = np.logaddexp(0, odds) - targets[y[own]][:, None] * odds
+                total += np.rint(loss * STEPS).astype(np.int64).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total)], ["at", "v"])
+
+    got = labelled.mapInArrow(losses, "at long, v long").groupBy("at").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect()
+    return float(TEMPERATURES[min(got, key=lambda r: (r["v"], r["at"]))["at"]])
+
+
+def fit(labelled: DataFrame, *, to_pooled: float = 0.1, to_diagonal: float = 0.05, least_variance: float = 1e-3) -> Discriminant:
+    """From rows (x, label)."""
+    rows = labelled.select("x", F.col("label").cast("int").alias("label"), F.pmod(F.xxhash64("x"), F.lit(2)).cast("int").alias("half"))
+    by_half = sums_of(rows)
+    shrunk = (to_pooled, to_diagonal, least_variance)
+    total = by_half[0] + by_half[1]
+    model, halves = discriminant(total, *shrunk), {h: discriminant(by_half[h], *shrunk) for h in (0, 1)}
+    if model.means is None or any(m.means is None for m in halves.values()):
+        return model
+    return replace(model, temperature=temperature(rows, halves, total[:, 0]))
+
+
 def score(vectors: DataFrame, model: Discriminant) -> DataFrame:
     k = len(NAMES)
 

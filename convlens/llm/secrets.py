@@ -9,7 +9,9 @@ capitalised or with digits for letters), dates, repeats, runs of the alphabet or
 brute-force stretches: a dynamic programme over positions, with ``SWITCH`` for each segment after the first. The
 dictionary is the words of passwords below and, if a vocabulary file is given, the words in it by rank.
 A brute-force character costs log10 of the alphabet that the value draws on (10 to 95; see ``PROSE`` for words
-after "is"). Time and memory are in proportion to the length of a value, of any length.
+after "is"). A block again and again, of any width, costs what the block costs and log10 of how often; of a stretch that repeats, as many
+whole blocks as it has are taken from its start or up to its end. Memory is in proportion to the length n of a value, of any
+length, and time to n log n.
 
 Spans are in code points of the whole text, end exclusive, ordered by start, then kind as listed. Null and empty texts
 have none; very long texts are read whole. Repeated rows, and rows that repeat an id or have none, are scanned alike; an
@@ -26,6 +28,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -57,9 +60,17 @@ COMMON = (
     "diamond computer internet server database system root user guest test demo example sample default changeme temp "
     "public private token key pass auth company office london paris berlin madrid monday friday january december"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-#: A word is looked up only up to this length.
-LONGEST = 16
+
+
+class Ranks(dict):
+    """Ranks by word, and the length of the longest word."""
+
+    def __init__(self, words: dict[str, int]):
+        super().__init__(words)
+        self.longest = max(map(len, words), default=0)
+
+
+RANK = Ranks({w: i + 1 for i, w in enumerate(COMMON)})
 LEET = str.maketrans("430157@$!", "aeoistasi")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 SHIFTED = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./")
@@ -70,7 +81,7 @@ SWITCH = 1.0
 
 
 @lru_cache(4)
-def ranks(path: str | None) -> dict[str, int]:
+def ranks(path: str | None) -> Ranks:
     """Words by rank: the common ones, then the whole words of three letters or more of a byte-level vocabulary file."""
     known = dict(RANK)
     if path:
@@ -80,15 +91,45 @@ def ranks(path: str | None) -> dict[str, int]:
             word = token[1:].lower()
             if token[0] == "\u0120" and len(word) > 2 and word.isascii() and word.isalpha():
                 known.setdefault(word, len(COMMON) + number)
-    return known
+    return Ranks(known)
+
+
+def runs(value: str) -> list[tuple[int, int, int]]:
+    """(start, end, width) of every stretch that repeats with that width, at least twice, and cannot be longer; width is its least.
+
+    For each width only places that are its multiples are compared with the next one: a stretch of two widths holds one.
+    """
+    n, found = len(value), []
+    points = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside: dict[int, list[tuple[int, int]]] = {}  # by width, stretches that repeat with a part of it
+    for width in range(1, n // 2 + 1):
+        anchors = np.arange(0, n - width, width)
+        known, done = inside.pop(width, ()), 0
+        for a in anchors[points[anchors] == points[anchors + width]].tolist():
+            if a < done:
+                continue
+            if over := [e for s, e in known if s <= a and a + width < e]:
+                done = over[0] - width
+                continue
+            start, done = a, a
+            while start and value[start - 1] == value[start - 1 + width]:
+                start -= 1
+            while done + width < n and value[done] == value[done + width]:
+                done += 1
+            if done - start >= width:
+                end = done + width
+                for more in range(2 * width, (end - start) // 2 + 1, width):
+                    inside.setdefault(more, []).append((start, end))
+                found.append((start, end, width))
+    return found
 
 
-def segments(value: str, known: dict[str, int] = RANK) -> list[tuple[int, int, float]]:
-    """(start, end, log10 guesses) of every stretch that is cheaper to guess than by brute force."""
+def segments(value: str, known: Ranks = RANK) -> list[tuple[int, int, float]]:
+    """(start, end, log10 guesses) of every stretch that is cheaper to guess than by brute force; repeated blocks are in ``repeats``."""
     out, n, lower = [], len(value), value.lower()
     plain = lower.translate(LEET)
     for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
+        for j in range(i + 3, min(n, i + known.longest) + 1):
             rank = known.get(lower[i:j])
             changed = 0.0 if rank else 0.3 * sum(a != b for a, b in zip(lower[i:j], plain[i:j]))
             rank = rank or known.get(plain[i:j])
@@ -101,25 +142,6 @@ def segments(value: str, known: dict[str, int] = RANK) -> list[tuple[int, int, f
             year = int(re.search(r"(?:19|20)\d\d", found[0])[0])
             days = 1 if len(found[0]) == 4 else 365
             out.append((i, found.end(), math.log10(max(abs(year - 2000), 20) * days) + (0.6 if found[1] or found[2] else 0)))
-    i = 0
-    while i < n:  # one character again and again, and a short block again and again
-        j = i + 1
-        while j < n and value[j] == value[i]:
-            j += 1
-        if j - i >= 3:
-            out.append((i, j, math.log10(12 * (j - i))))
-        i = j
-    for width in range(2, 9):
-        i = 0
-        while i + 2 * width <= n:
-            j = i
-            while j + width < n and value[j] == value[j + width]:
-                j += 1
-            times = (j - i) // width + 1
-            if times >= 2:
-                out.append((i, i + times * width, width + math.log10(times)))
-                i += (times - 1) * width
-            i = max(i + 1, j - width + 1)
     for step in (1, -1):  # abc, 321
         i = 0
         while i < n:
@@ -151,11 +173,29 @@ def brute_rate(value: str) -> float:
     return math.log10(max(10, 26 * small + 26 * capital + 10 * digit + 33 * other))
 
 
-def guess_cost(value: str, rate: float = 1.0, known: dict[str, int] = RANK) -> float:
-    """log10 of the guesses for the cheapest segmentation; a brute-force character costs ``rate``."""
+def repeats(value: str) -> list[tuple[int, int, int]]:
+    """(start, end, width): of each run as many whole blocks as it has, from its start and up to its end."""
+    out = set()
+    for start, end, width in runs(value):
+        whole = (end - start) // width * width
+        out |= {(start, start + whole, width), (end - whole, end, width)}
+    return sorted(out)
+
+
+def guess_cost(value: str, rate: float = 1.0, known: Ranks = RANK, costs: dict[str, float] | None = None) -> float:
+    """log10 of the guesses for the cheapest segmentation; a brute-force character costs ``rate``.
+
+    A block again and again costs what the block costs, and log10 of how often; ``costs`` has the blocks already seen.
+    """
     if not value:
         return 0.0
-    found = sorted((j, i, cost) for i, j, cost in segments(value, known))
+    costs = {} if costs is None else costs
+    if value in costs:
+        return costs[value]
+    found = segments(value, known)
+    for i, j, width in repeats(value):
+        found.append((i, j, guess_cost(value[i : i + width], rate, known, costs) + math.log10((j - i) // width)))
+    found = sorted((j, i, cost) for i, j, cost in found)
     # best: a segment ends here; brute: a brute-force stretch, one segment, reaches here.
     best, brute, at = array("d", [0.0]), math.inf, 0
     for j in range(1, len(value) + 1):
@@ -165,10 +205,11 @@ def guess_cost(value: str, rate: float = 1.0, known: dict[str, int] = RANK) -> f
             _, i, cost = found[at]
             least, at = min(least, best[i] + (SWITCH if i else 0.0) + cost), at + 1
         best.append(least)
+    costs[value] = best[-1]
     return best[-1]
 
 
-def find_spans(text: str, least_cost: float, known: dict[str, int] = RANK) -> list[tuple[str, int, int, float]]:
+def find_spans(text: str, least_cost: float, known: Ranks = RANK) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, cost of the value) in order."""
     cost = lambda value: guess_cost(value, brute_rate(value), known)
     spans = [("assign", m.start(), m.end(), cost(m[2])) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]

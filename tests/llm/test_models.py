@@ -154,9 +154,27 @@ def test_quality_equals_a_direct_discriminant(spark, labelled):
         gap = v - learn[c].mean(0)
         return np.log(n[c]) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * gap @ np.linalg.solve(s, gap)
 
+    # The temperature: rows of one half are scored by what the other half gives.
+    half = {r["doc_id"]: r["h"] for r in Q.features(docs).select("doc_id", F.pmod(F.xxhash64("x"), F.lit(2)).alias("h")).collect()}
+    rounded = {i: np.rint(x[i] * 4096) / 4096 for i in label}
+    every, odds = learn, {}
+    for h in (0, 1):
+        learn = {c: np.array([rounded[i] for i, v in label.items() if v == c and half[i] != h]) for c in (0, 1)}
+        n = {c: len(v) for c, v in learn.items()}
+        cov = {c: np.cov(v.T, bias=True) for c, v in learn.items()}
+        pooled = (n[0] * cov[0] + n[1] * cov[1]) / (n[0] + n[1])
+        odds |= {i: density(x[i], 1) - density(x[i], 0) for i in label if half[i] == h}
+    learn = every
+    n = {c: len(v) for c, v in learn.items()}
+    cov = {c: np.cov(v.T, bias=True) for c, v in learn.items()}
+    pooled = (n[0] * cov[0] + n[1] * cov[1]) / (n[0] + n[1])
+    target = {0: 1 / (n[0] + 2), 1: (n[1] + 1) / (n[1] + 2)}
+    loss = {t: sum(np.logaddexp(0, odds[i] / t) - target[v] * odds[i] / t for i, v in label.items()) for t in 10 ** np.linspace(0, 3, 61)}
+    t = min(loss, key=loss.get)
     for i, v in x.items():
-        want = 1 / (1 + np.exp(-np.clip(density(v, 1) - density(v, 0), -40, 40)))
+        want = 1 / (1 + np.exp(-(density(v, 1) - density(v, 0)) / t))
         assert got[i] == pytest.approx(want, abs=1e-6), i
+    assert len(set(got.values())) > 590 and 0 < min(got.values()) and max(got.values()) < 1
     again = {r["doc_id"]: r["score"] for r in Q.quality_scores(docs.repartition(7), extra.repartition(3)).dropDuplicates(["doc_id"]).collect()}
     assert again == got
 
@@ -169,7 +187,7 @@ def test_isotonic_is_monotone():
 def test_statistics_of_odd_texts():
     x = Q.statistics(pa.array([None, "", "word", "same same same same", "$$$ %%% ###", "é ü 你 😀"]))
     assert x.shape == (6, len(Q.NAMES)) and np.isfinite(x).all()
-    long = "a b " * 200_000
+    long = "a b " * 400_000 + "ü" * 400_000
     assert np.isfinite(Q.statistics(pa.array([long]))).all()
 
 
