@@ -99,6 +99,18 @@ def content_issues(messages: DataFrame, *, least: int = 10, most: int = 50_000,
     return messages.select("conv_id", F.col("turn").cast("long").alias("turn"), F.explode(F.array_compact(F.array(*found))).alias("i")).select("conv_id", "turn", F.col("i.t").alias("issue_type"), F.col("i.m").alias("message"))
 
 
+def encoding_issues(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, issue_type, message): an error for each message whose bytes, read as a string, are not UTF-8."""
+    bad = messages.where("text is not null and not is_valid_utf8(text)")
+    told = F.format_string("Message content is not valid UTF-8 (%d bytes)", F.octet_length("text"))
+    return bad.select("conv_id", F.col("turn").cast("long").alias("turn"), F.lit("encoding_issue").alias("issue_type"), told.alias("message"))
+
+
+def decoded(messages: DataFrame, raw: str) -> DataFrame:
+    """Messages with the bytes of a column as their text, faults kept for ``encoding_issues``."""
+    return messages.withColumn("text", F.col(raw).cast("string")).drop(*([raw] if raw != "text" else []))
+
+
 def content_score(messages: DataFrame, issues: DataFrame) -> DataFrame:
     """Quality of a set of conversations: 1 less issues over three times their number, within 0 and 1."""
     n = messages.agg(F.countDistinct("conv_id").alias("n"))

@@ -174,13 +174,27 @@ def circuit_breaker(events: DataFrame, by: str, order: str, *, failures: int = 5
     return sent.repartition(by).sortWithinPartitions(by, "_o").mapInArrow(run, f"{by} {kind}, {order} long, state string")
 
 
+def value_sketches(rows: DataFrame, value: str, by: list[str], k: int = 400) -> DataFrame:
+    """(by, n, least, most, total, sketch): timers of each group with a mergeable KLL sketch of their values; nulls are left out."""
+    x = F.col(value).cast("double")
+    return rows.where(x.isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.sum(x).alias("total"), F.kll_sketch_agg_double(x, k).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: list[str], at: Sequence[float] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """(by, n, least, most, mean, p50, ...): percentiles of wider groups from the sketches alone; their rank is within 1 % of the asked one."""
+    up = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("total").alias("_t"), F.kll_merge_agg_double("sketch").alias("_s"))
+    return up.select(*by, "n", "least", "most", (F.col("_t") / F.col("n")).alias("mean"), *[F.kll_sketch_get_quantile_double("_s", F.lit(float(q))).alias(f"p{round(100 * q)}") for q in at])
+
+
+MOVES = {
+    ("created", "start"): "running", ("running", "pause"): "paused", ("paused", "resume"): "running", ("running", "complete"): "completed",
+    ("running", "fail"): "failed", ("created", "cancel"): "cancelled", ("running", "cancel"): "cancelled", ("paused", "cancel"): "cancelled",
+}
+
+
 def session_states(events: DataFrame) -> DataFrame:
     """(session_id, status, events): the machine created, running, paused, completed, failed, cancelled; ends stay ends."""
-    moves = {
-        ("created", "start"): "running", ("running", "pause"): "paused", ("paused", "resume"): "running", ("running", "complete"): "completed",
-        ("running", "fail"): "failed", ("created", "cancel"): "cancelled", ("running", "cancel"): "cancelled", ("paused", "cancel"): "cancelled",
-    }
-    step = F.create_map(*[F.lit(x) for (s, e), t in moves.items() for x in (f"{s}:{e}", t)])
+    step = F.create_map(*[F.lit(x) for (s, e), t in MOVES.items() for x in (f"{s}:{e}", t)])
     ordered = F.array_sort(F.collect_list(F.struct("seq", "event")))
     grouped = events.groupBy("session_id").agg(ordered.alias("_e"))
     status = F.aggregate("_e", F.lit("created"), lambda s, e: F.coalesce(step[F.concat_ws(":", s, e["event"])], s))

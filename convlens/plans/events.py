@@ -195,6 +195,20 @@ def counters(spark, d):
     return events(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("counter"), F.max_by("value", "event_id").alias("gauge"), F.median("value").alias("median"))
 
 
+@query("timers", "SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean, unnest([50, 90, 99]) AS percentile, true AS within FROM events GROUP BY event_type")
+def timers(spark, d):
+    """Percentiles by type, merged from sketches of each type and hour; ``within``: the exact rank is within 1 % of the asked one."""
+    e = events(spark, d)
+    hourly = M.value_sketches(e.withColumn("hour", F.date_trunc("hour", "ts")), "value", ["event_type", "hour"])
+    merged = M.merged_sketches(hourly, ["event_type"])
+    asked = F.explode(F.array(*[F.struct(F.lit(p).alias("percentile"), F.col(f"p{p}").alias("at")) for p in (50, 90, 99)]))
+    told = merged.select("event_type", "n", "least", "most", F.round("mean", 6).alias("mean"), asked.alias("q")).select("*", "q.*").drop("q")
+    ranks = e.join(F.broadcast(told), "event_type").groupBy("event_type", "percentile").agg(F.count_if(F.col("value") <= F.col("at")).alias("upto"), F.count_if(F.col("value") < F.col("at")).alias("below"))
+    goal = F.col("percentile") / 100
+    within = (F.col("below") / F.col("n") <= goal + 0.01) & (F.col("upto") / F.col("n") >= goal - 0.01)
+    return told.join(ranks, ["event_type", "percentile"]).select("event_type", "n", "least", "most", "mean", "percentile", within.alias("within"))
+
+
 @query("pivot_types", "SELECT user_id % 10 AS component, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'error') AS error FROM events GROUP BY 1")
 def pivot_types(spark, d):
     return calls(spark, d).join(events(spark, d).select("event_id", "event_type"), "event_id").groupBy("component").pivot("event_type", ["view", "error"]).agg(F.count(F.lit(1))).na.fill(0)
@@ -221,10 +235,13 @@ def circuit_breaker(spark, d):
     return M.circuit_breaker(e, "op", "seq", failures=2)
 
 
-@query("session_states", """WITH RECURSIVE e AS (SELECT user_id AS session_id, CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'pause' WHEN 'click' THEN 'resume' WHEN 'purchase' THEN 'complete' ELSE 'fail' END AS verb, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events),
+SESSION_STATES = """WITH RECURSIVE e AS (SELECT user_id AS session_id, CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'pause' WHEN 'click' THEN 'resume' WHEN 'purchase' THEN 'complete' ELSE 'fail' END AS verb, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events),
 r AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS p, 'created' AS status FROM e UNION ALL SELECT e.session_id, e.p, CASE WHEN status = 'created' AND verb = 'start' THEN 'running' WHEN status = 'running' AND verb = 'pause' THEN 'paused' WHEN status = 'paused' AND verb = 'resume' THEN 'running'
 WHEN status = 'running' AND verb = 'complete' THEN 'completed' WHEN status = 'running' AND verb = 'fail' THEN 'failed' ELSE status END FROM r JOIN e ON e.session_id = r.session_id AND e.p = r.p + 1)
-SELECT session_id, max_by(status, p) AS status, least(max(p), 100) AS events FROM r GROUP BY session_id""")
+SELECT session_id, max_by(status, p) AS status, least(max(p), 100) AS events FROM r GROUP BY session_id"""
+
+
+@query("session_states", SESSION_STATES)
 def session_states(spark, d):
     verb = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "view", "pause").when(F.col("event_type") == "click", "resume").when(F.col("event_type") == "purchase", "complete").otherwise("fail")
     return M.session_states(events(spark, d).select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), verb.alias("event")))

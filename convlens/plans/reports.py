@@ -57,7 +57,28 @@ _OPTIONS = dict(least_messages=4, most_messages=6, least=60, most=1500, roles=("
 
 @query("validate", f"WITH {_VALID} SELECT conversations, issues, errors, auto_fixable, round(quality, 6) AS quality, list_aggregate(list_sort(string_split(advice, '; ')), 'string_agg', '; ') AS advice FROM v")
 def validate(spark, d):
-    return P.validate(messages(spark, d), **_OPTIONS).withColumns({"quality": F.round("quality", 6), "advice": F.array_join(F.array_sort("advice"), "; ")})
+    return P.validate(messages(spark, d), **_OPTIONS).drop("invalid").withColumns({"quality": F.round("quality", 6), "advice": F.array_join(F.array_sort("advice"), "; ")})
+
+
+def damaged(spark, d):
+    """Every fifth conversation as bytes in Latin-1, which are not UTF-8 where a letter has an accent; the others as they are."""
+    m = messages(spark, d)
+    return C.decoded(m.withColumn("raw", F.when(F.col("conv_id") % 5 == 0, F.encode(F.regexp_replace("text", "[^\\x00-\\xff]", "?"), "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))), "raw")
+
+
+_FAULT = r"f AS (SELECT conv_id, turn FROM conversations WHERE conv_id % 5 = 0 AND regexp_matches(text, '[\x{80}-\x{ff}]'))"
+
+
+@query("encoding_issues", f"WITH {_FAULT} SELECT conv_id, CAST(turn AS BIGINT) AS turn, 'encoding_issue' AS issue_type FROM f")
+def encoding_issues(spark, d):
+    return C.encoding_issues(damaged(spark, d)).drop("message")
+
+
+@query("validate_bytes", f"WITH {_FAULT} SELECT (SELECT count(DISTINCT conv_id) FROM conversations) AS conversations, count(*) AS errors, count(DISTINCT conv_id) AS invalid, 1 - round(count(DISTINCT conv_id) / (SELECT count(DISTINCT conv_id) FROM conversations), 6) AS valid_ratio FROM f")
+def validate_bytes(spark, d):
+    """Validation of messages read as bytes."""
+    v = P.validate(damaged(spark, d), **_OPTIONS)
+    return v.select("conversations", "errors", "invalid", (1 - F.round(F.col("invalid") / F.col("conversations"), 6)).alias("valid_ratio"))
 
 
 _LANG = f"""lm AS (SELECT conv_id, {S.language('text')[0]} AS language, {S.language('text')[1]} AS c FROM conversations WHERE length(text) > 10),

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from convlens import providers as P
 from convlens.functions import text as T
 from convlens.operators import conversations as C
+from convlens.operators import metrics as M
 from convlens.plans import sql as S
 from convlens.plans.conversations import messages, nested
+from convlens.plans.events import SESSION_STATES
 from convlens.plans.registry import query
 from convlens.sources import readers as R
 from convlens.sources import writers as W
@@ -186,6 +188,37 @@ def stream_mean(spark, d):
     return X.to_memory(X.running_mean(_events(spark, d)), _name("mean"), "update").withColumn("level", F.round("level", 6))
 
 
+@query("stream_session_states", SESSION_STATES)
+def stream_session_states(spark, d):
+    """The rows of ``session_states``, from the machine that keeps its state between micro-batches."""
+    verb = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "view", "pause").when(F.col("event_type") == "click", "resume").when(F.col("event_type") == "purchase", "complete").otherwise("fail")
+    given = _events(spark, d).select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), verb.alias("event"), "ts")
+    told = X.to_memory(X.session_stream(given, M.MOVES), _name("machine"), "update")
+    return told.groupBy("session_id").agg(F.max_by(F.struct("status", "events"), F.struct("last", "events")).alias("m")).select("session_id", "m.status", "m.events")
+
+
+@query("stream_insights", "SELECT 'event' AS facet, event_type AS value, count(*) AS n, count(*) = (SELECT max(n) FROM (SELECT count(*) AS n FROM events GROUP BY event_type)) AS pattern FROM events GROUP BY event_type")
+def stream_insights(spark, d):
+    """Counts that micro-batches added up, and the pattern that the last one told."""
+    from convlens.session import shared_folder
+
+    folder = f"{shared_folder(spark)}/convlens/insights-{uuid.uuid4().hex}"
+    facets = _events(spark, d).select(F.col("event_id").alias("conv_id"), F.lit("event").alias("facet"), F.col("event_type").alias("value"))
+    X.run_batches(facets, f"{folder}/check", X.batch_insights(folder)).awaitTermination()
+    told = X.latest(spark, f"{folder}/insights").where("kind = 'pattern'").select("facet", "value", F.lit(True).alias("pattern"))
+    return X.latest(spark, f"{folder}/counts").join(told, ["facet", "value"], "left").select("facet", "value", "n", F.coalesce("pattern", F.lit(False)).alias("pattern"))
+
+
+@query("stream_users", "SELECT event_type, count(*) AS n, true AS within FROM events GROUP BY event_type")
+def stream_users(spark, d):
+    """Distinct users by type from the sketches of hours; ``within``: the exact number is within 3 %."""
+    live = X.to_memory(X.live_users(_events(spark, d)), _name("users"), "update")
+    last = live.groupBy("event_type", "start").agg(F.max_by(F.struct("n", "sketch"), "n").alias("m")).select("event_type", "m.*")
+    exact = spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.countDistinct("user_id").alias("exact"))
+    told = X.merged_users(last, "event_type").join(exact, "event_type")
+    return told.select("event_type", "n", (F.abs(F.col("users") - F.col("exact")) <= 0.03 * F.col("exact")).alias("within"))
+
+
 @query("files_round_trip", "SELECT doc_id, lang, source FROM documents")
 def files_round_trip(spark, d):
     """Written as JSON and as CSV, read strictly, and joined."""

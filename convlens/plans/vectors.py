@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convlens.functions import vectors as V
+from convlens.operators import graphs as G
 from convlens.operators import vectors as X
 from convlens.plans.registry import query
 from convlens.session import checkpointed
@@ -134,6 +135,40 @@ def force_layout(spark, d):
     return X.force_layout(vectors(spark, d), checkpointed, rounds=30)
 
 
+@query("neighbour_graph")
+def neighbour_graph(spark, d):
+    """Links of the approximate graph of 15 neighbours."""
+    graph, _ = G.neighbour_graph(vectors(spark, d), 15, checkpointed)
+    return graph.select("id", "neighbour", "distance", "rank")
+
+
+@query("neighbour_recall")
+def neighbour_recall(spark, d):
+    """How many of the 15 nearest the graph has, for every fiftieth vector against all."""
+    v = vectors(spark, d)
+    return G.neighbour_recall(v, G.neighbour_graph(v, 15, checkpointed)[0], 15)
+
+
+@query("umap_layout")
+def umap_layout(spark, d):
+    return G.umap(vectors(spark, d).select("id", "v"), checkpointed).select("id", F.col("x0").alias("x"), F.col("x1").alias("y"))
+
+
+TRUST = f"""WITH {E}, q AS (SELECT * FROM e WHERE id % 50 = 0),
+l AS (SELECT q.id, e.id AS other, row_number() OVER (PARTITION BY q.id ORDER BY sqrt((q.v[1] - e.v[1]) * (q.v[1] - e.v[1]) + (q.v[2] - e.v[2]) * (q.v[2] - e.v[2])), e.id) AS place FROM q, e WHERE e.id <> q.id),
+h AS (SELECT q.id, e.id AS other, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, e.v), e.id) AS rank FROM q, e WHERE e.id <> q.id),
+p AS (SELECT CAST(coalesce(sum(greatest(rank - 5, 0)), 0) AS BIGINT) AS penalty FROM l JOIN h USING (id, other) WHERE place <= 5)
+SELECT (SELECT count(*) FROM e) AS n, (SELECT count(*) FROM q) AS asked, penalty,
+       round(1 - 2.0::DOUBLE * penalty / ((SELECT count(*) FROM q) * 5 * (2 * (SELECT count(*) FROM e) - 16)), 9) AS trustworthiness FROM p"""
+
+
+@query("trustworthiness", TRUST)
+def trustworthiness(spark, d):
+    """Of the layout by the first two components, for every fiftieth vector against all."""
+    v = vectors(spark, d).select("id", V.doubles(F.col("v")).alias("v"))
+    return G.trustworthiness(v, v.select("id", F.slice("v", 1, 2).alias("v")), 5, 50).withColumn("trustworthiness", F.round("trustworthiness", 9))
+
+
 @query("map_points", "SELECT vec_id AS id, coalesce('Cluster ' || CASE WHEN label < 5 THEN label END, 'cluster_' || label) AS cluster FROM embeddings")
 def map_points(spark, d):
     v = vectors(spark, d)

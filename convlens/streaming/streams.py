@@ -1,4 +1,4 @@
-"""Structured Streaming: running aggregates, windows with watermarks, insights per micro-batch, resumable runs."""
+"""Structured Streaming: running aggregates, windows with watermarks, sketches, insights per micro-batch, resumable runs."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from convlens.operators import insight as I
@@ -57,6 +57,17 @@ def running_mean(events: DataFrame, keep: float = 0.5) -> DataFrame:
     return events.groupBy("event_type").applyInPandasWithState(step, "event_type string, level double, n long", "level double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
+def live_users(events: DataFrame, length: str = "1 hour", late: str = "10 minutes", lg: int = 14) -> DataFrame:
+    """(start, event_type, n, sketch): a mergeable HLL sketch of the users of each window, for append mode."""
+    agg = events.withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("user_id", lg).alias("sketch"))
+    return agg.select(F.col("w.start").alias("start"), "event_type", "n", "sketch")
+
+
+def merged_users(sketches: DataFrame, *by: str) -> DataFrame:
+    """(by, n, users): distinct users over all windows of a group, from the sketches alone."""
+    return sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("users"))
+
+
 def insights(facets: DataFrame) -> DataFrame:
     """Common values and trends of what has come so far."""
     common = I.common_value(facets).select(F.lit("pattern").alias("kind"), "value", F.col("n").cast("long").alias("n"))
@@ -64,6 +75,124 @@ def insights(facets: DataFrame) -> DataFrame:
     return common.unionByName(rising)
 
 
+def add_counts(path: str, by: list[str]) -> Callable[[DataFrame, int], None]:
+    """Adds each batch's counts by value to a table of versions, one a batch; a batch that is repeated starts from the one before it.
+
+    The table below ``path`` has (by, n, first, last) under ``version=<batch>``: first and last batch in which the value came.
+    """
+
+    def handle(df: DataFrame, batch: int) -> None:
+        new = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).select(*by, "n", F.lit(batch).alias("first"), F.lit(batch).alias("last"))
+        if batch and (older := latest(df.sparkSession, path, batch)) is not None:
+            new = older.unionByName(new).groupBy(*by).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+        new.write.mode("overwrite").parquet(f"{path}/version={batch}")
+
+    return handle
+
+
+def latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The table's last version (before that of a batch); None if there is none. A version counts once it is written as a whole."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return None
+    there = [s.getPath() for s in system.listStatus(folder) if s.getPath().getName().startswith("version=")]
+    whole = [int(p.getName().split("=")[1]) for p in there if system.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    versions = [v for v in whole if before is None or v < before]
+    return spark.read.parquet(f"{path}/version={max(versions)}") if versions else None
+
+
+def batch_insights(path: str, min_rate: float = 0.1) -> Callable[[DataFrame, int], None]:
+    """Per micro-batch of facets (conv_id, facet, value): counts added to those before, and what they say now under ``insights/version=<batch>``.
+
+    (kind, facet, value, n): ``pattern`` is the most frequent value of a facet, ``trend`` each value that came in the newest batch
+    with more than ``min_rate`` of all its occurrences.
+    """
+    add = add_counts(f"{path}/counts", ["facet", "value"])
+
+    def handle(df: DataFrame, batch: int) -> None:
+        df = df.where("facet is not null and value is not null")
+        add(df, batch)
+        spark = df.sparkSession
+        now = latest(spark, f"{path}/counts")
+        common = now.groupBy("facet").agg(F.max(F.struct("n", F.col("value"))).alias("m")).select(F.lit("pattern").alias("kind"), "facet", "m.value", "m.n")
+        newest = df.groupBy("facet", "value").agg(F.count(F.lit(1)).alias("new")).join(now, ["facet", "value"])
+        rising = newest.where((F.col("new") > min_rate * F.col("n")) & (F.col("first") < batch)).select(F.lit("trend").alias("kind"), "facet", "value", F.col("new").alias("n"))
+        common.unionByName(rising).write.mode("overwrite").parquet(f"{path}/insights/version={batch}")
+
+    return handle
+
+
+class Progress(StreamingQueryListener):
+    """What a run reports, as rows by kind for subscribers: ``subscribe`` gets each as it comes."""
+
+    def __init__(self, subscribe: Callable[[str, dict], None] | None = None):
+        self.seen: list[tuple[str, dict]] = []
+        self.subscribe = subscribe
+
+    def _note(self, kind: str, **told) -> None:
+        self.seen.append((kind, told))
+        if self.subscribe:
+            self.subscribe(kind, told)
+
+    def onQueryStarted(self, event) -> None:
+        self._note("started", id=str(event.id), name=event.name)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self._note("batch_completed" if p.numInputRows else "idle", id=str(p.id), batch=p.batchId, rows=p.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        self._note("idle", id=str(event.id))
+
+    def onQueryTerminated(self, event) -> None:
+        self._note("failed" if event.exception else "completed", id=str(event.id), error=event.exception)
+
+    def counts(self) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for kind, _ in self.seen:
+            out[kind] = out.get(kind, 0) + 1
+        return out
+
+
+ENDS = ("completed", "failed", "cancelled")
+
+
+def session_stream(events: DataFrame, moves: dict[tuple[str, str], str], *, late: str = "10 minutes", expire_ms: int = 0) -> DataFrame:
+    """(session_id, status, events, last) after each micro-batch with events of a session, from (session_id, seq, event, ts); for update mode.
+
+    Keyed state holds a session's status, number of events (100 at most are told) and time of its last event. With ``expire_ms``, a session
+    without events for so long in event time, as the watermark has it, is told as ``expired`` and forgotten unless it has ended; rows
+    later than the watermark are dropped. Rows with a null session are left out; the events of one micro-batch go by seq, those of a later
+    one come after.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, n, last = state.get if state.exists else ("created", 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            if status not in ENDS:
+                yield pd.DataFrame({"session_id": [key[0]], "status": ["expired"], "events": [min(n, 100)], "last": [last]})
+            return
+        rows = pd.concat(list(parts)).sort_values(["seq", "event"])
+        if expire_ms:
+            rows = rows[rows["at_ms"] >= state.getCurrentWatermarkMs()]
+        for event in rows["event"]:
+            status = moves.get((status, event), status)
+        if len(rows):
+            n, last = n + len(rows), max(last, int(rows["at_ms"].max()))
+            yield pd.DataFrame({"session_id": [key[0]], "status": [status], "events": [min(n, 100)], "last": [last]})
+        if n:
+            state.update((status, n, last))
+            if expire_ms:
+                state.setTimeoutTimestamp(max(last + expire_ms, state.getCurrentWatermarkMs() + 1))
+
+    given = events.where("session_id is not null").withWatermark("ts", late).withColumn("at_ms", F.unix_millis("ts"))
+    timeout = GroupStateTimeout.EventTimeTimeout if expire_ms else GroupStateTimeout.NoTimeout
+    return given.groupBy("session_id").applyInPandasWithState(step, "session_id long, status string, events long, last long", "status string, events long, last long", "update", timeout)
+
+
 def run_batches(source: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """All that is there, micro-batch by micro-batch; a stopped or failed run goes on after its last complete batch.
 
