@@ -7,8 +7,8 @@ first and last parts (for the cuts) and its words; and as a phrase inside a long
 a word longer and has that count too, the parents of a level are all that has to be looked at for subsumption.
 
 Texts are held in blocks of some megabytes, one language each, cut where pieces end: words are numbers within a block, level k has
-(place, name) of what is still frequent. Only names that may make up a longer phrase stay. Names get to the blocks by a join on what a
-block holds at least once; frequent names go out to all tasks if they are few (checked), else the join shuffles. Counts are summed in
+the places and names of what is still frequent. Only names that may make up a longer phrase stay. Frequent names go out to all tasks if they
+are few (checked: ``MOST``); else blocks get them by a join on what each holds at least once, which shuffles. Counts are summed in
 the tasks before they are dealt, and a block is the most that any task must hold at once. Scores are exact decimal numbers.
 
 A null language is ``und``; null and empty texts have no words. Very long texts are cut between pieces; a piece without an end is
@@ -18,16 +18,17 @@ rows count each time. An empty table gives an empty result. Only the named colum
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from convlens.llm.common import Scratch, bytes_of, claim, few, pieces_of, ranges, trim
+from convlens.llm.common import Scratch, bytes_of, claim, collect_garbage, few, pieces_of, ranges, shared, trim
 
 #: What ends a piece, and what parts words in it.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -92,33 +93,31 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trim()
 
 
-_BODY = "block long, lang string, places binary, names binary"
+_BODY = "block long, lang string, gaps binary, own binary, codes binary"
 
 
 def _body(block: int, lang: str, places: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
     """Only names with a neighbour can make up a longer phrase."""
     next_to = np.diff(places) == 1
     stays = np.append(next_to, False) | np.insert(next_to, 0, False) if len(places) else np.zeros(0, bool)
-    return pa.record_batch({"block": pa.array([block], pa.int64()), "lang": [lang], "places": pa.array([places[stays].astype(np.int32).tobytes()], pa.binary()), "names": pa.array([names[stays].astype(np.int64).tobytes()], pa.binary())})
+    own, code = np.unique(names[stays], return_inverse=True)
+    packed = (np.diff(places[stays], prepend=0).astype(np.int32), own.astype(np.int64), code.astype(np.int32))
+    return pa.record_batch({"block": pa.array([block], pa.int64()), "lang": [lang]} | {c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(("gaps", "own", "codes"), packed)})
 
 
-def _named_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with the names of their words (code and name side by side): what is frequent, by place."""
-    for batch in batches:
-        for block, lang, codes, at, name in zip(*(batch.column(c) for c in ("block", "lang", "codes", "at", "name"))):
-            code = np.frombuffer(codes.as_py(), np.int32)
-            own = np.asarray(at.values)
-            table = np.full(max(int(code.max(initial=0)), int(own.max(initial=0))) + 1, -1, np.int64)
-            table[own] = np.asarray(name.values)
-            found = np.where(code >= 0, table[np.maximum(code, 0)], -1)
-            places = np.flatnonzero(found >= 0)
-            yield _body(block.as_py(), lang.as_py(), places, found[places])
+def _words_named(block: int, lang: str, codes: bytes, at: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+    """The block by the names of its words, given as word number and name side by side."""
+    code = np.frombuffer(codes, np.int32)
+    table = np.full(max(int(code.max(initial=0)), int(at.max(initial=0))) + 1, -1, np.int64)
+    table[at] = name
+    found = np.where(code >= 0, table[np.maximum(code, 0)], -1)
+    places = np.flatnonzero(found >= 0)
+    return _body(block, lang, places, found[places])
 
 
-def pairs_of(places: bytes, names: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pairs_of(gaps: bytes, own: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a block: (left, right, count) of its distinct pairs, and (place, pair number) of each."""
-    at, name = np.frombuffer(places, np.int32), np.frombuffer(names, np.int64)
-    own, code = np.unique(name, return_inverse=True)
+    at, own, code = np.cumsum(np.frombuffer(gaps, np.int32), dtype=np.int64), np.frombuffer(own, np.int64), np.frombuffer(codes, np.int32).astype(np.int64)
     i = np.flatnonzero(np.diff(at) == 1)
     pair, number, count = np.unique(code[i] * len(own) + code[i + 1], return_inverse=True, return_counts=True)
     return own[pair // max(1, len(own))], own[pair % max(1, len(own))], count, at[i], number
@@ -127,29 +126,117 @@ def pairs_of(places: bytes, names: bytes) -> tuple[np.ndarray, np.ndarray, np.nd
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     claim("phrases")
     for batch in batches:
-        for block, lang, places, names in zip(*(batch.column(c) for c in ("block", "lang", "places", "names"))):
-            left, right, count, _, _ = pairs_of(places.as_py(), names.as_py())
+        for block, gaps, own, codes in zip(*(batch.column(c) for c in ("block", "gaps", "own", "codes"))):
+            left, right, count, _, _ = pairs_of(gaps.as_py(), own.as_py(), codes.as_py())
             for k in range(0, len(left), 100_000):
                 part = slice(k, k + 100_000)
                 m = len(left[part])
-                yield pa.record_batch({"block": pa.array(np.full(m, block.as_py())), "lang": pa.DictionaryArray.from_arrays(pa.array(np.zeros(m, np.int32)), pa.array([lang.as_py()])).cast(pa.string()), "left": pa.array(left[part]), "right": pa.array(right[part]), "pair": pa.array(np.arange(k, k + m, dtype=np.int32)), "count": pa.array(count[part].astype(np.int64))})
+                yield pa.record_batch({"block": pa.array(np.full(m, block.as_py())), "left": pa.array(left[part]), "right": pa.array(right[part]), "pair": pa.array(np.arange(k, k + m, dtype=np.int32)), "count": pa.array(count[part].astype(np.int64))})
     trim()
 
 
-def _named_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block, lang, places, names, at, name in zip(*(batch.column(c) for c in ("block", "lang", "places", "names", "at", "name"))):
-            left, _, _, place, number = pairs_of(places.as_py(), names.as_py())
-            table = np.full(len(left), -1, np.int64)
-            table[np.asarray(at.values)] = np.asarray(name.values)
-            found = table[number]
-            keep = found >= 0
-            yield _body(block.as_py(), lang.as_py(), place[keep], found[keep])
+def _pairs_named(block: int, lang: str, place: np.ndarray, number: np.ndarray, pairs: int, at: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+    table = np.full(pairs, -1, np.int64)
+    table[at] = name
+    found = table[number]
+    keep = found >= 0
+    return _body(block, lang, place[keep], found[keep])
+
+
+class WordNames:
+    """Names by language and word."""
+
+    def __init__(self, names: pa.Table):
+        self.by = {lang: names.filter(pc.equal(names.column("lang"), lang)) for lang in names.column("lang").unique().to_pylist()}
+        self.by = {lang: (t.column("phrase").combine_chunks(), t.column("name").to_numpy()) for lang, t in self.by.items()}
+
+    def of(self, lang: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``words``, name) of those that have a name."""
+        if lang not in self.by:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        known, name = self.by[lang]
+        found = pc.index_in(words, known).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(found == found)
+        return at, name[found[at].astype(np.int64)]
+
+
+class PairNames:
+    """Names by pair; a name belongs to one language, so pairs do too."""
+
+    def __init__(self, names: pa.Table):
+        left, right, name = (names.column(c).to_numpy() for c in ("left", "right", "name"))
+        self.left, self.right = np.unique(left), np.unique(right)
+        key = np.searchsorted(self.left, left) * len(self.right) + np.searchsorted(self.right, right)
+        order = np.argsort(key)
+        self.key, self.name = key[order], name[order]
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = (np.minimum(np.searchsorted(own, x), len(own) - 1) for own, x in ((self.left, left), (self.right, right)))
+        key = a * len(self.right) + b
+        i = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        at = np.flatnonzero((self.key[i] == key) & (self.left[a] == left) & (self.right[b] == right))
+        return at, self.name[i[at]]
+
+
+#: Names go out to all tasks up to so many; beyond, blocks get theirs by joins.
+MOST = 1_000_000
+
+
+def _sent(names: DataFrame, columns: list[str], kind: type) -> Broadcast | None:
+    if names.limit(MOST + 1).count() > MOST:
+        return None
+    return shared(names.sparkSession, kind(names.select(*columns).toArrow()))
+
+
+def _with_names(rows: DataFrame, name_of: Callable[..., pa.RecordBatch]) -> DataFrame:
+    """Blocks, one row each, by what ``name_of`` makes of a row's values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("phrases")
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield name_of(**{c: batch.column(c)[row] for c in batch.schema.names})
+        trim()
+
+    return rows.mapInArrow(run, _BODY)
+
+
+def name_words(blocks: DataFrame, names: DataFrame, words: DataFrame) -> DataFrame:
+    sent = _sent(names, ["lang", "phrase", "name"], WordNames)
+    if sent is not None:
+        return _with_names(blocks.select("block", "lang", "words", "codes"), lambda block, lang, words, codes: _words_named(block.as_py(), lang.as_py(), codes.as_py(), *sent.value.of(lang.as_py(), words.values)))
+    held = words.join(names.select("lang", "phrase", "name"), ["lang", "phrase"])
+    own = held.groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("name").alias("name"))
+    return _with_names(blocks.select("block", "lang", "codes").join(own, "block"), lambda block, lang, codes, at, name: _words_named(block.as_py(), lang.as_py(), codes.as_py(), np.asarray(at.values), np.asarray(name.values)))
+
+
+def name_pairs(bodies: DataFrame, names: DataFrame, pairs: DataFrame) -> DataFrame:
+    sent = _sent(names, ["left", "right", "name"], PairNames)
+
+    def looked_up(block, lang, gaps, own, codes):
+        left, right, _, place, number = pairs_of(gaps.as_py(), own.as_py(), codes.as_py())
+        return _pairs_named(block.as_py(), lang.as_py(), place, number, len(left), *sent.value.of(left, right))
+
+    def joined(block, lang, gaps, own, codes, at, name):
+        left, _, _, place, number = pairs_of(gaps.as_py(), own.as_py(), codes.as_py())
+        return _pairs_named(block.as_py(), lang.as_py(), place, number, len(left), np.asarray(at.values), np.asarray(name.values))
+
+    if sent is not None:
+        return _with_names(bodies, looked_up)
+    held = pairs.join(names.select("left", "right", "name"), ["left", "right"])
+    at = held.groupBy("block").agg(F.collect_list("pair").alias("at"), F.collect_list("name").alias("name"))
+    return _with_names(bodies.join(at, "block"), joined)
 
 
 def _frequent(counts: DataFrame, keys: list[str], least: int) -> DataFrame:
-    found = counts.groupBy("lang", *keys).agg(F.sum("count").alias("f")).where(F.col("f") >= least)
-    return found.select(F.monotonically_increasing_id().alias("name"), "lang", *keys, "f")
+    found = counts.groupBy(*keys).agg(F.sum("count").alias("f")).where(F.col("f") >= least)
+    return found.select(F.monotonically_increasing_id().alias("name"), *keys, "f")
+
+
+def _dense(names: DataFrame) -> DataFrame:
+    """The written names as small numbers: place in a part by part, instead of part by place."""
+    parts = (names.agg(F.max(F.shiftright("name", 33))).first()[0] or 0) + 1
+    return names.withColumn("name", F.shiftright("name", 33) + parts * F.col("name").bitwiseAND(F.lit((1 << 33) - 1)))
 
 
 def levels(docs: DataFrame, scratch: Scratch, longest: int, least: int, text_col: str, lang_col: str) -> tuple[DataFrame, list[DataFrame]]:
@@ -159,27 +246,26 @@ def levels(docs: DataFrame, scratch: Scratch, longest: int, least: int, text_col
     """
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blocks = scratch.put(rows.mapInArrow(_blocks, _BLOCK), "blocks")
-    totals = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = scratch.put(blocks.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("block", "lang", "at", F.col("w.words").alias("phrase"), F.col("w.counts").alias("count"))
-    names = scratch.put(_frequent(words, ["phrase"], least), "names-1")
+    names = _dense(scratch.put(_frequent(words, ["lang", "phrase"], least), "names-1"))
     none = F.array().cast("array<long>")
     out = [names.select("*", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), F.col("phrase").alias("last"), none.alias("firsts"), none.alias("lasts"))]
-    held = words.join(few(names.select("lang", "phrase", "name")), ["lang", "phrase"])
-    own = held.groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("name").alias("name"))
-    bodies = scratch.put(blocks.select("block", "lang", "codes").join(own, "block").mapInArrow(_named_words, _BODY), "bodies-1")
+    bodies = scratch.put(name_words(blocks, names, words), "bodies-1")
+    scratch.drop("blocks")
+    collect_garbage(docs.sparkSession)
     for k in range(2, longest + 1):
-        pairs = bodies.mapInArrow(_counted, "block long, lang string, left long, right long, pair int, count long")
-        found = scratch.put(_frequent(pairs, ["left", "right"], least), f"pairs-{k}")
+        pairs = bodies.mapInArrow(_counted, "block long, left long, right long, pair int, count long")
+        found = _dense(scratch.put(_frequent(pairs, ["left", "right"], least), f"pairs-{k}"))  # a name belongs to one language, so its pairs do
+        collect_garbage(docs.sparkSession)
         parent = out[-1]
-        a = parent.select(F.col("name").alias("left"), F.col("phrase").alias("head"), F.col("f").alias("fa"), F.col("firsts").alias("fs"))
+        a = parent.select("lang", F.col("name").alias("left"), F.col("phrase").alias("head"), F.col("f").alias("fa"), F.col("firsts").alias("fs"))
         b = parent.select(F.col("name").alias("right"), F.col("last"), F.col("f").alias("fb"), F.col("lasts").alias("ls"))
         full = found.join(few(a), "left").join(few(b), "right")
         out.append(scratch.put(full.select("name", "lang", "f", "left", "right", F.concat_ws(" ", "head", "last").alias("phrase"), "last", F.concat("fs", F.array("fa")).alias("firsts"), F.concat("ls", F.array("fb")).alias("lasts")), f"names-{k}"))
         if k == longest or found.isEmpty():
             break
-        held = pairs.join(few(found.select("lang", "left", "right", "name")), ["lang", "left", "right"])
-        own = held.groupBy("block").agg(F.collect_list("pair").alias("at"), F.collect_list("name").alias("name"))
-        bodies = scratch.put(bodies.join(own, "block").mapInArrow(_named_pairs, _BODY), f"bodies-{k}")
+        bodies = scratch.put(name_pairs(bodies, found, pairs), f"bodies-{k}")
         scratch.drop(f"bodies-{k - 1}")
     return totals, out
 

@@ -60,6 +60,7 @@ def test_many_texts_and_shuffled_joins(spark, tmp_path, monkeypatch):
     words = [f"w{i}" for i in range(12)]
     rows = [(" ".join(draw.choice(words, 40)) + ". " + " ".join(draw.choice(words[:3], 30)), ["en", "xx"][i % 2]) for i in range(60)]
     monkeypatch.setattr(phrases, "few", lambda t: t)
+    monkeypatch.setattr(phrases, "MOST", -1)
     assert made(spark, rows, tmp_path, least=20) == counted(rows, 5, 20, 2000)
 
 
