@@ -11,6 +11,7 @@ from convlens.operators import conversations as C
 from convlens.operators import insight as I
 from convlens.plans import sql as S
 from convlens.plans.registry import query
+from convlens.session import checkpointed
 
 
 def documents(spark, d):
@@ -371,3 +372,21 @@ def passages_in_documents(spark, d):
         hits = docs.join(F.broadcast(short), F.contains("text", F.col("item"))).select("doc_id", "item_id")
         found = hits if found is None else found.unionByName(hits)
     return found.distinct() if found is not None else docs.select("doc_id", F.lit(None).cast("long").alias("item_id")).where("false")
+
+
+_GRAMS = """w AS (SELECT doc_id, lang, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}]+')) AS w FROM documents),
+g AS (SELECT doc_id, lang, substring(' ' || w || ' ', CAST(i AS BIGINT), 3) AS gram FROM (SELECT doc_id, lang, w, unnest(range(1, length(w) + 1)) AS i FROM w WHERE w <> '')),
+c AS (SELECT lang, gram, count(*) AS n FROM g WHERE doc_id % 5 <> 0 AND lang IS NOT NULL GROUP BY ALL), t AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang),
+k AS (SELECT DISTINCT gram FROM (SELECT gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM c) WHERE r <= 300),
+p AS (SELECT k.gram, t.lang, CAST(round(ln((coalesce(n, 0) + 1.0::DOUBLE) / (total::DOUBLE + 1000)) * 1000) AS BIGINT) AS weight FROM k CROSS JOIN t LEFT JOIN c ON c.lang = t.lang AND c.gram = k.gram),
+s AS (SELECT doc_id, p.lang, sum(weight) AS s, count(*) AS n FROM g JOIN p USING (gram) GROUP BY ALL),
+b AS (SELECT doc_id, lang, n, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS r FROM s)"""
+
+
+@query("language_profile", f"WITH {_GRAMS} SELECT d.doc_id, coalesce(b.lang, 'unknown') AS language, CAST(coalesce(n, 0) AS BIGINT) AS grams FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id AND r = 1")
+def language_profile(spark, d):
+    """Languages by trigrams learnt from four fifths of the labelled documents."""
+    from convlens.operators import languages as N
+
+    docs = documents(spark, d).select("doc_id", F.col("lang").alias("language"), "text")
+    return N.by_profile(docs, checkpointed(N.profiles(docs.where("doc_id % 5 <> 0"))), "doc_id").drop("confidence")
