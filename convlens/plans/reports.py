@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from convlens.functions import text as T
 from convlens.operators import conversations as C
@@ -13,6 +14,7 @@ from convlens.plans.conversations import messages
 from convlens.plans.documents import CLUSTERS, clusters, documents
 from convlens.plans.events import events
 from convlens.plans.registry import query
+from convlens.session import checkpointed
 
 _CUT = "(ends_with(text, '...') OR ends_with(text, '\u2026') OR contains(text, '[truncated]') OR contains(text, '[cut off]'))"
 _MSG = "m AS (SELECT conv_id, turn, CASE WHEN turn = 1 THEN text || '...' ELSE text END AS text FROM conversations)"
@@ -289,6 +291,23 @@ def named_hierarchy(spark, d):
     return N.named_hierarchy(c, StubText()).withColumn("top", F.col("parent").isNull()).withColumn("parent", F.coalesce("parent", F.lit(-1)))
 
 
+@query("facet_hierarchy", """WITH c AS (SELECT lang AS facet, source AS name, row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM (SELECT DISTINCT lang, source FROM documents)),
+k AS (SELECT *, i % greatest(n // 3, 1) AS k FROM c), p AS (SELECT facet, k, count(*) AS size FROM k GROUP BY ALL)
+SELECT 0 AS level, k.facet, k.name, f.name || ' (' || least(size, 10) || ')' AS parent FROM k JOIN p ON p.facet = k.facet AND p.k = k.k JOIN c AS f ON f.facet = k.facet AND f.i = k.k
+UNION ALL SELECT 1, p.facet, f.name || ' (' || least(size, 10) || ')', NULL FROM p JOIN c AS f ON f.facet = p.facet AND f.i = p.k""")
+def facet_hierarchy(spark, d):
+    """Sources as clusters of each language's facet, one level up by the stub's names, assignments and renamings."""
+    from convlens.operators import naming as N
+    from convlens.providers import StubOrganiser
+
+    by = documents(spark, d).groupBy(F.col("lang").alias("facet"), F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.avg("n_chars").alias("size"))
+    number = F.dense_rank().over(Window.orderBy("facet", "name")).cast("long")  # one row for each language and source
+    c = by.select(number.alias("cluster"), "facet", "name", F.col("n").cast("string").alias("summary"), F.array(F.col("n").cast("double"), "size").alias("v"))
+    found = checkpointed(N.facet_hierarchy(c, StubOrganiser(), average=1000, most_levels=1, least_top=0))
+    names = found.select((F.col("level") - 1).alias("level"), F.col("cluster").alias("parent"), F.col("name").alias("above"))
+    return found.join(names, ["level", "parent"], "left").select("level", "facet", "name", F.col("above").alias("parent"))
+
+
 @query("diverse_examples", "SELECT * FROM (VALUES ('Bug Report', 26::BIGINT), ('Support', 26), ('Feedback', 25), ('Sales', 25)) AS v(category, n)")
 def diverse_examples(spark, d):
     from convlens.sources import readers as R

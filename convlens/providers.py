@@ -36,6 +36,26 @@ class StubText:
         return [f"Name: {' '.join(p.split()[:4])}\nDescription: {' '.join(p.split()[:12])}" for p in prompts]
 
 
+@dataclass
+class StubOrganiser:
+    """Answers the prompts of ``naming.facet_hierarchy``: the first clusters name the categories, which take clusters in turn."""
+
+    def complete(self, prompts: Sequence[str]) -> list[str]:
+        return [self._answer(p) for p in prompts]
+
+    @staticmethod
+    def _answer(prompt: str) -> str:
+        task, _, rest = prompt.partition("\n")
+        listed = [line.partition(": ")[2].partition(" - ") for line in rest.partition("\n\n")[0].splitlines()]
+        if task.startswith("Name"):
+            return "\n".join(f"Name: {n}\nDescription: {d}" for n, _, d in listed[: int(task.split()[1])])
+        if task.startswith("Assign"):
+            categories = len(rest.partition("\n\n")[2].splitlines())
+            return "\n".join(f"{i + 1} -> {chr(65 + i % categories)}" for i in range(len(listed)))
+        name = task.partition(": ")[2]
+        return f"Name: {name} ({len(listed)})\nDescription: {name} and others"
+
+
 @dataclass
 class StubEmbedding:
     """A hashed bag of words of unit length."""
