@@ -390,3 +390,13 @@ def language_profile(spark, d):
 
     docs = documents(spark, d).select("doc_id", F.col("lang").alias("language"), "text")
     return N.by_profile(docs, checkpointed(N.profiles(docs.where("doc_id % 5 <> 0"))), "doc_id").drop("confidence")
+
+
+@query("bpe_counts")
+def bpe_counts(spark, d):
+    """Tokens of each document by the merges of a vocabulary file."""
+    import public_tokenizers
+
+    from convlens.operators import bpe
+
+    return bpe.counts(documents(spark, d), "doc_id", public_tokenizers.path("byte_bpe_50k.json"))
