@@ -321,8 +321,11 @@ def spectral_start(links: DataFrame, start: DataFrame, dims: int, checkpoint: Ch
     return now.select("id", *[(F.col(x) / F.col("t")).alias(x) for x in xs])
 
 
-def _descend(links: pa.Table, places: pa.Table, far: np.ndarray, a: float, b: float, rates: list[float], dims: int, draw: int) -> pa.Table:
-    """Some epochs of one block: its own points move, those of other blocks stay where the round found them."""
+def _descend(links: pa.Table, places: pa.Table, far: np.ndarray, a: float, b: float, rates: list[float], dims: int, draw: int, everyone: int) -> pa.Table:
+    """Some epochs of one block: its own points move, those of other blocks stay where the round found them.
+
+    Points are pushed off by five others each epoch: by own ones as often as these are among all, by far ones else.
+    """
     ids = places.column("id").to_numpy()
     order = np.argsort(ids)
     ids, own = ids[order], places.column("own").to_numpy(zero_copy_only=False)[order]
@@ -341,8 +344,10 @@ def _descend(links: pa.Table, places: pa.Table, far: np.ndarray, a: float, b: fl
         pull = -2 * a * b * square ** (b - 1) / (1 + a * square**b)
         step = np.stack([np.bincount(i, w * np.clip(pull * gap[:, c], -4, 4), len(mine)) for c in range(dims)], 1) / total
         if len(far):
-            for picked in random.integers(0, len(far), (5, len(mine))):
-                gap = here - far[picked]
+            for _ in range(5):
+                near = random.random(len(mine)) < len(mine) / everyone
+                other = np.where(near[:, None], here[random.integers(0, len(mine), len(mine))], far[random.integers(0, len(far), len(mine))])
+                gap = here - other
                 square = (gap * gap).sum(1)
                 push = 2 * b / ((0.001 + square) * (1 + a * square**b))
                 step += np.clip(push[:, None] * gap, -4, 4) * (square > 0)[:, None]
@@ -354,7 +359,7 @@ def _step(*given) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return lambda links, places: _descend(links, places, *given)
 
 
-def umap(df: DataFrame, checkpoint: Checkpoint, *, dims: int = 2, neighbours: int = 15, min_dist: float = 0.1, rounds: int = 8, epochs: int = 20, seed: int = 27) -> DataFrame:
+def umap(df: DataFrame, checkpoint: Checkpoint, *, dims: int = 2, neighbours: int = 15, min_dist: float = 0.1, rounds: int = 12, epochs: int = 12, seed: int = 27) -> DataFrame:
     """(id, x0, x1, ...): a layout in which near vectors by cosine are near, from the fuzzy union of their neighbourhoods.
 
     Neighbours come from ``neighbour_graph`` over unit vectors, the start from the graph's spectrum (smoothed principal components).
@@ -390,6 +395,6 @@ def umap(df: DataFrame, checkpoint: Checkpoint, *, dims: int = 2, neighbours: in
         rates = [0.7 * (1 - (r * epochs + e) / (rounds * epochs)) for e in range(epochs)]
         drawn = at.where(F.pmod(F.xxhash64("id", F.lit(seed), F.lit(r)), F.lit(max(1, total // 512))) == 0).orderBy("id").limit(4096).collect()
         far = np.array([[p[x] for x in xs] for p in drawn]).reshape(-1, dims)
-        moved = ends.groupBy("block").cogroup(seen.join(at, "id").groupBy("block")).applyInArrow(_step(far, a, b, rates, dims, seed + r), schema)
+        moved = ends.groupBy("block").cogroup(seen.join(at, "id").groupBy("block")).applyInArrow(_step(far, a, b, rates, dims, seed + r, total), schema)
         at = checkpoint(moved)
     return at
