@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convlens.llm.common import Scratch, claim, coded_words, pieces_of, ranges, shared, trim
+from convlens.llm.common import Scratch, claim, coded_words, collect_garbage, pieces_of, ranges, shared, trim
 
 LETTERS = r"[^\p{L}]+"
 
@@ -224,6 +224,8 @@ def fit(docs: DataFrame, labelled: DataFrame, scratch: Scratch, *, examples: int
     df = vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).toArrow()
     frequency = np.zeros(len(vocabulary))
     frequency[df["t"].to_numpy()] = df["n"].to_numpy()
+    # The driver's JVM lets go of what it no longer needs before the driver's own arrays are made.
+    collect_garbage(docs.sparkSession)
     own = term_counts(sample, vocabulary, id_col="doc_id", text_col="text").join(sample.select("doc_id", "label"), "doc_id").orderBy("doc_id").toArrow()
     ids, y = own["doc_id"].to_numpy(), own["label"].to_numpy().astype(float)
     share = float((y.sum() + 0.1) / (len(y) + 0.2)) if len(y) else 0.5
@@ -232,8 +234,9 @@ def fit(docs: DataFrame, labelled: DataFrame, scratch: Scratch, *, examples: int
         return model, vectors
     sure = telling(stats["ones"].to_numpy().astype(float), stats["rows"].to_numpy().astype(float), int(y.sum()), len(y), floor)
     model.weight = (np.log((n + 1) / (frequency + 1)) + 1) * sure
-    term, counts = (pc.list_flatten(own[c]).to_numpy().astype(np.int64) for c in ("terms", "counts"))
+    term, counts = (pc.list_flatten(own[c]).to_numpy() for c in ("terms", "counts"))  # 32 bits each
     ends = np.concatenate(([0], np.cumsum(pc.list_value_length(own["terms"]).to_numpy()))).astype(np.int64)
+    del own, stats, df
     # Examples that share their most telling term, or their most frequent one, share blocks, so bounds are close.
     owner = np.repeat(np.arange(len(ids)), np.diff(ends))
     strongest, usual = np.full(len(ids), -1), np.full(len(ids), -1)
@@ -243,10 +246,13 @@ def fit(docs: DataFrame, labelled: DataFrame, scratch: Scratch, *, examples: int
     order = np.lexsort((ids, usual, strongest))
     sizes = np.diff(ends)[order]
     take = ranges(ends[:-1][order], sizes)
-    term, counts, ends, ids, y = term[take], counts[take], np.concatenate(([0], np.cumsum(sizes))), ids[order], y[order]
+    term, counts, ends, ids, y = term[take].astype(np.int64), counts[take].astype(np.int64), np.concatenate(([0], np.cumsum(sizes))), ids[order], y[order]
+    del take, owner, by_weight, by_use
     weights = model.vectors(ends, term, counts)
     model.labels, model.ids = y, ids
     model.index = Index(len(vocabulary), ends, term, weights, np.argsort(np.argsort(ids, kind="stable")))
+    del counts
+    collect_garbage(docs.sparkSession)
     votes = [model.vote(*model.index.search(term[a:b], weights[a:b], k, without=i)) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:]))]
     model.steps = isotonic(np.array(votes), y)
     return model, vectors
