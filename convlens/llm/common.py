@@ -74,9 +74,10 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_folder(spark)}/convlens/{what}-{uuid.uuid4().hex}"
 
-    def put(self, df: DataFrame, name: str, partitioned_by: list[str] | None = None) -> DataFrame:
+    def put(self, df: DataFrame, name: str, partitioned_by: list[str] | None = None, rows_per_file: int = 0) -> DataFrame:
+        """``rows_per_file`` is for rows of megabytes: writers hold a hundred rows at least before they look at their bytes, readers all of a file's up to 4096."""
         path = f"{self.path}/{name}"
-        writer = df.write.mode("overwrite").option("compression", "zstd")
+        writer = df.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file)
         if partitioned_by:
             writer = writer.partitionBy(*partitioned_by)
         writer.parquet(path)

@@ -9,7 +9,7 @@ a word longer and has that count too, the parents of a level are all that has to
 Texts are held in blocks of some megabytes, one language each, cut where pieces end: words are numbers within a block, level k has
 the places and names of what is still frequent. Only names that may make up a longer phrase stay. Frequent names go out to all tasks if they
 are few (checked: ``MOST``); else blocks get them by a join on what each holds at least once, which shuffles. Counts are summed in
-the tasks before they are dealt, and a block is the most that any task must hold at once. Scores are exact decimal numbers.
+the tasks before they are dealt, and a few blocks (``TOGETHER``) are the most that any task holds at once, since files hold no more. Scores are exact decimal numbers.
 
 A null language is ``und``; null and empty texts have no words. Very long texts are cut between pieces; a piece without an end is
 kept whole. Of cuts with one score the shortest first part counts; phrases with equal score and count go by their bytes. Repeated
@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from convlens.llm.common import Scratch, bytes_of, claim, collect_garbage, few, pieces_of, ranges, shared, trim
+from convlens.llm.common import Scratch, bytes_of, claim, collect_garbage, pieces_of, ranges, shared, trim
+from convlens.session import broadcast_if_few as few
 
 #: What ends a piece, and what parts words in it.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -37,6 +38,8 @@ _KIND[list(BLANKS)], _KIND[list(ENDS)] = 1, 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 BLOCK = 6_000_000
+#: Blocks in a file: a task has so many at once when it reads or writes, whatever its share of the input.
+TOGETHER = 4
 _BLOCK = "block long, lang string, n long, words array<string>, counts array<long>, codes binary"
 
 
@@ -245,13 +248,13 @@ def levels(docs: DataFrame, scratch: Scratch, longest: int, least: int, text_col
     ``firsts`` and ``lasts``: counts of the parts of 1, 2, ... words at the phrase's start and end.
     """
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blocks = scratch.put(rows.mapInArrow(_blocks, _BLOCK), "blocks")
+    blocks = scratch.put(rows.mapInArrow(_blocks, _BLOCK), "blocks", rows_per_file=TOGETHER)
     totals = scratch.put(blocks.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     words = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("block", "lang", "at", F.col("w.words").alias("phrase"), F.col("w.counts").alias("count"))
     names = _dense(scratch.put(_frequent(words, ["lang", "phrase"], least), "names-1"))
     none = F.array().cast("array<long>")
     out = [names.select("*", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), F.col("phrase").alias("last"), none.alias("firsts"), none.alias("lasts"))]
-    bodies = scratch.put(name_words(blocks, names, words), "bodies-1")
+    bodies = scratch.put(name_words(blocks, names, words), "bodies-1", rows_per_file=TOGETHER)
     scratch.drop("blocks")
     collect_garbage(docs.sparkSession)
     for k in range(2, longest + 1):
@@ -265,7 +268,7 @@ def levels(docs: DataFrame, scratch: Scratch, longest: int, least: int, text_col
         out.append(scratch.put(full.select("name", "lang", "f", "left", "right", F.concat_ws(" ", "head", "last").alias("phrase"), "last", F.concat("fs", F.array("fa")).alias("firsts"), F.concat("ls", F.array("fb")).alias("lasts")), f"names-{k}"))
         if k == longest or found.isEmpty():
             break
-        bodies = scratch.put(name_pairs(bodies, found, pairs), f"bodies-{k}")
+        bodies = scratch.put(name_pairs(bodies, found, pairs), f"bodies-{k}", rows_per_file=TOGETHER)
         scratch.drop(f"bodies-{k - 1}")
     return totals, out
 

@@ -81,3 +81,14 @@ def test_scores_past_64_bits(spark):
 def test_empty_table(spark):
     assert made(spark, [], None) == []
     assert made(spark, [(None, None)], None, least=1) == []
+
+
+def test_files_hold_few_blocks(spark, monkeypatch):
+    """A task has a file's blocks at once, so a file has few of them however many a task makes."""
+    monkeypatch.setattr(Scratch, "drop", lambda self, name="": None)
+    scratch = Scratch(spark, "test-phrases")
+    df = spark.createDataFrame([("a b c d. a b c d. " * 4, f"l{i}") for i in range(12)], "text string, lang string").coalesce(1)
+    phrases.levels(df, scratch, 3, 2, "text", "lang")
+    for name in ("blocks", "bodies-1", "bodies-2"):
+        sizes = [r["count"] for r in spark.read.parquet(f"{scratch.path}/{name}").groupBy("_metadata.file_path").count().collect()]
+        assert sum(sizes) > 9 and max(sizes) <= phrases.TOGETHER
