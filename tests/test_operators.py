@@ -289,3 +289,36 @@ def test_prefix_examples(spark):
     assert len(turns) == 200 and all(sorted(t) == list(range(len(t))) and len(t) >= 2 for t in turns.values())
     assert 30 < sum("say more" in r["text"] for r in got) < 90
     assert sorted(map(str, got)) == sorted(map(str, R.prefix_examples(templates.repartition(3), 200).collect()))
+
+
+def test_dense_clusters_write_no_pairs(spark):
+    """All of 600 vectors (200 with copies) are near each other: the tables between hold vectors, not their pairs."""
+    draw = np.random.default_rng(4)
+    x = np.concatenate([draw.normal(size=(200, 3)) * 0.01] * 3 + [[[9.0, 9, 9]], [[0.62, 0, 0]]])
+    written = []
+
+    def kept(df):
+        out = checkpointed(df)
+        written.append(out.count())
+        return out
+
+    got = {r["id"]: r["label"] for r in X.dbscan(vectors(spark, x.tolist()), 0.6, 20, kept).collect()}
+    assert len(got) == 602 and {got[i] for i in range(600)} == {0} and got[600] == -1
+    reach = np.sqrt(((x[601] - x) ** 2).sum(1)) <= 0.6
+    assert got[601] == (0 if reach.sum() > 1 else -1)
+    assert max(written) <= 2 * 602
+
+
+def test_density_clusters_over_many_blocks(spark, monkeypatch):
+    """As brute force has them, with blocks of a few vectors."""
+    monkeypatch.setattr(X, "LEAST", 8)
+    draw = np.random.default_rng(7)
+    x = np.round(draw.normal(size=(160, 2)) * 3, 1)
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 0.7
+    core = near.sum(1) >= 4
+    root = np.where(core, np.arange(160), 160)
+    for _ in range(160):
+        root = np.where(core, np.where(near & core[None], root[None], 160).min(1), 160)
+    number = {r: i for i, r in enumerate(sorted(set(root[core])))}
+    want = [number[root[i]] if core[i] else min((number[root[j]] for j in np.flatnonzero(near[i] & core)), default=-1) for i in range(160)]
+    assert [r["label"] for r in X.dbscan(vectors(spark, x.tolist()), 0.7, 4, checkpointed).orderBy("id").collect()] == want
