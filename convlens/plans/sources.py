@@ -151,33 +151,37 @@ def assignments(spark, d):
 
 def _events(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    return X.stream(spark, f"{d}/event[s].parquet", schema)  # a pattern, so that one file will do as well
+    return X.stream(spark, f"{d}/event[s].parquet", schema, bytes_per_trigger=256_000_000)  # a pattern, so that one file will do as well
 
 
-def _name(kind: str) -> str:
-    return f"{kind}_{uuid.uuid4().hex[:8]}"
+def _told(df, mode: str):
+    """What a stream tells, in files of the shared folder."""
+    from convlens.session import shared_folder
+
+    return X.to_files(df, f"{shared_folder(df.sparkSession)}/convlens/stream-{uuid.uuid4().hex}", mode)
 
 
 @query("stream_totals", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def stream_totals(spark, d):
-    return X.to_memory(X.running_totals(_events(spark, d)), _name("totals"), "complete").select("event_type", "n", F.round("mean", 6).alias("mean"))
+    return _told(X.running_totals(_events(spark, d)), "complete").select("event_type", "n", F.round("mean", 6).alias("mean"))
 
 
 @query("stream_tumbling", "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_tumbling(spark, d):
-    return X.to_memory(X.tumbling(_events(spark, d)), _name("tumbling"), "update").select(F.unix_micros("start").alias("start"), "event_type", "n")
+    told = _told(X.tumbling(_events(spark, d)), "update").groupBy("start", "event_type").agg(F.max("n").alias("n"))  # the last of each window
+    return told.select(F.unix_micros("start").alias("start"), "event_type", "n")
 
 
 @query("stream_dedup", "SELECT event_id FROM events")
 def stream_dedup(spark, d):
-    return X.to_memory(X.deduplicated(_events(spark, d)), _name("dedup"), "append").select("event_id")
+    return _told(X.deduplicated(_events(spark, d)), "append").select("event_id")
 
 
 @query("stream_sessions", """WITH e AS (SELECT user_id, epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events),
 s AS (SELECT *, sum((gap IS NULL OR gap >= 1800000000)::INT) OVER (PARTITION BY user_id ORDER BY us) AS s FROM e)
 SELECT user_id, min(us) AS start, max(us) + 1800000000 AS "end", count(*) AS n FROM s GROUP BY user_id, s HAVING max(us) + 1800000000 <= (SELECT max(epoch_us(ts)) FROM events) - 600000000""")
 def stream_sessions(spark, d):
-    out = X.to_memory(X.sessions(_events(spark, d)), _name("sessions"), "append")
+    out = _told(X.sessions(_events(spark, d)), "append")
     return out.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
 
 
@@ -185,7 +189,8 @@ def stream_sessions(spark, d):
 r AS (SELECT event_type, p, value AS level FROM e WHERE p = 1 UNION ALL SELECT e.event_type, e.p, 0.5 * r.level + 0.5 * e.value FROM r JOIN e ON e.event_type = r.event_type AND e.p = r.p + 1)
 SELECT event_type, round(max_by(level, p), 6) AS level, max(p) AS n FROM r GROUP BY event_type""")
 def stream_mean(spark, d):
-    return X.to_memory(X.running_mean(_events(spark, d)), _name("mean"), "update").withColumn("level", F.round("level", 6))
+    told = _told(X.running_mean(_events(spark, d)), "update").groupBy("event_type").agg(F.max_by("level", "n").alias("level"), F.max("n").alias("n"))
+    return told.withColumn("level", F.round("level", 6))
 
 
 @query("stream_session_states", SESSION_STATES)
@@ -193,7 +198,7 @@ def stream_session_states(spark, d):
     """The rows of ``session_states``, from the machine that keeps its state between micro-batches."""
     verb = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "view", "pause").when(F.col("event_type") == "click", "resume").when(F.col("event_type") == "purchase", "complete").otherwise("fail")
     given = _events(spark, d).select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), verb.alias("event"), "ts")
-    told = X.to_memory(X.session_stream(given, M.MOVES), _name("machine"), "update")
+    told = _told(X.session_stream(given, M.MOVES), "update")
     return told.groupBy("session_id").agg(F.max_by(F.struct("status", "events"), F.struct("last", "events")).alias("m")).select("session_id", "m.status", "m.events")
 
 
@@ -212,7 +217,7 @@ def stream_insights(spark, d):
 @query("stream_users", "SELECT event_type, count(*) AS n, true AS within FROM events GROUP BY event_type")
 def stream_users(spark, d):
     """Distinct users by type from the sketches of hours; ``within``: the exact number is within 3 %."""
-    live = X.to_memory(X.live_users(_events(spark, d)), _name("users"), "update")
+    live = _told(X.live_users(_events(spark, d)), "update")
     last = live.groupBy("event_type", "start").agg(F.max_by(F.struct("n", "sketch"), "n").alias("m")).select("event_type", "m.*")
     exact = spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.countDistinct("user_id").alias("exact"))
     told = X.merged_users(last, "event_type").join(exact, "event_type")

@@ -55,3 +55,19 @@ def test_pause_and_go_on(spark, tmp_path):
     assert X.run_some(source(), f"{tmp_path}/check", handle, 9) == 2
     got = X.finalise(spark, f"{tmp_path}/out", "id").collect()
     assert len(got) == 3 and spark.read.parquet(f"{tmp_path}/out").count() == 12
+
+
+def test_files_are_taken_by_bytes_and_told_in_files(spark, tmp_path):
+    """Three files make one micro-batch, and what the stream tells is read from files, not from the driver's memory."""
+    path, df = folder(spark, tmp_path)
+    taken = X.stream(spark, path, df.schema, bytes_per_trigger=1_000_000)
+    got = X.to_files(X.running_mean(taken), str(tmp_path / "mean"), "update")
+    level = {"a": None, "b": None}
+    for i in range(90):
+        level["ab"[i % 2]] = float(i) if level["ab"[i % 2]] is None else 0.5 * level["ab"[i % 2]] + 0.5 * i
+    assert {r["event_type"]: (r["level"], r["n"]) for r in got.collect()} == {k: (v, 45) for k, v in level.items()}
+    assert got.inputFiles() and got.count() == 2
+    told = X.to_files(X.deduplicated(X.stream(spark, path, df.schema, bytes_per_trigger=1_000_000)), str(tmp_path / "dedup"), "append")
+    assert sorted(r["event_id"] for r in told.collect()) == list(range(90))
+    totals = X.to_files(X.running_totals(X.stream(spark, path, df.schema)), str(tmp_path / "totals"), "complete")
+    assert sorted((r["event_type"], r["n"]) for r in totals.collect()) == [("a", 45), ("b", 45)]
