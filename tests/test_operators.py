@@ -322,3 +322,22 @@ def test_density_clusters_over_many_blocks(spark, monkeypatch):
     number = {r: i for i, r in enumerate(sorted(set(root[core])))}
     want = [number[root[i]] if core[i] else min((number[root[j]] for j in np.flatnonzero(near[i] & core)), default=-1) for i in range(160)]
     assert [r["label"] for r in X.dbscan(vectors(spark, x.tolist()), 0.7, 4, checkpointed).orderBy("id").collect()] == want
+
+
+def test_silhouette_over_many_blocks_and_copies(spark, monkeypatch):
+    """As by definition, and no vector goes to more tasks than there are strips."""
+    monkeypatch.setattr(X, "LEAST", 8)
+    draw = np.random.default_rng(3)
+    x = np.concatenate([np.round(draw.normal(size=(90, 3)), 1)] * 2 + [np.full((30, 3), 5.0)])
+    label = np.concatenate([np.arange(180) % 4, np.full(29, 4), [5]])
+    df = spark.createDataFrame([(i, int(c), v) for i, (c, v) in enumerate(zip(label, x.tolist()))], "id long, label int, v array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = []
+    for i in range(len(x)):
+        mean = [d[i, label == c].sum() / max(1, (label == c).sum() - (c == label[i])) for c in range(6)]
+        a, b = mean[label[i]], min(m for c, m in enumerate(mean) if c != label[i])
+        want.append(0.0 if (label == label[i]).sum() == 1 or max(a, b) == 0 else (b - a) / max(a, b))
+    got = [r["silhouette"] for r in X.silhouette(df, "label").orderBy("id").collect()]
+    assert [0.0 if g is None or g != g else g for g in got] == pytest.approx(want, abs=1e-9)
+    monkeypatch.setattr(X, "LEAST", 1)
+    assert X.half_pairs(spark.range(5000)).groupBy("id").count().agg(F.max("count")).first()[0] <= X.STRIPS + 1
