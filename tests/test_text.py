@@ -81,3 +81,28 @@ def test_script_language(spark, text, code):
 
 def test_retry_delay_is_capped(spark):
     assert one(spark, T.retry_delay(F.lit(10), 0.5, 2.0, 30.0), t="") == 30.0
+
+
+def test_normalisation_takes_few_texts_at_once(spark):
+    """Texts stay in Arrow but for a few, so memory is not that of a batch as Python's strings."""
+    import pyarrow as pa
+
+    from convlens.functions import text as T
+
+    seen = []
+
+    class Texts:
+        def __init__(self, x):
+            self.x = x
+
+        def __len__(self):
+            return len(self.x)
+
+        def slice(self, k, n):
+            seen.append(len(self.x.slice(k, n)))
+            return self.x.slice(k, n)
+
+    given = ["é", None, ""] * 67
+    assert T.normalize_unicode("NFC").func(Texts(pa.array(given))).to_pylist() == ["é", None, ""] * 67
+    assert max(seen) == 64 and sum(seen) == 201
+    assert T.normalize_unicode("NFC").func(pa.array([], pa.string())).to_pylist() == []
