@@ -341,3 +341,32 @@ def test_silhouette_over_many_blocks_and_copies(spark, monkeypatch):
     assert [0.0 if g is None or g != g else g for g in got] == pytest.approx(want, abs=1e-9)
     monkeypatch.setattr(X, "LEAST", 1)
     assert X.half_pairs(spark.range(5000)).groupBy("id").count().agg(F.max("count")).first()[0] <= X.STRIPS + 1
+
+
+def test_tfidf_counts_only_pairs_of_frequent_words(spark, monkeypatch):
+    """Against counting of all terms, by lists and by joins, with ties and a cluster of rare words; rows of pairs stay few."""
+    from collections import Counter
+
+    from convlens.operators import clusters as K
+
+    texts = [(1, i, "red fox runs red fox " + " ".join(f"w{i}x{j}" for j in range(30))) for i in range(20)] + [(2, 50, "one two three"), (2, 51, "two three one two"), (2, 52, None), (None, 53, "red fox")]
+    df = spark.createDataFrame(texts, "cluster int, doc_id int, text string")
+    want = {}
+    for c in (1, 2):
+        tf = {d: Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])]) for k, d, t in texts if k == c for w in [(t or "").split()]}
+        total = sum(tf.values(), Counter())
+        top = sorted(total, key=lambda t: (-total[t], t))[:3]
+        idf = {t: np.log((1 + len(tf)) / (1 + sum(t in x for x in tf.values()))) + 1 for t in top}
+        score = dict.fromkeys(top, 0.0)
+        for x in tf.values():
+            length = np.sqrt(sum((x[t] * idf[t]) ** 2 for t in top))
+            for t in top:
+                score[t] += x[t] * idf[t] / length / len(tf) if length else 0
+        want |= {(c, t): round(score[t], 9) for t in top}
+    made = []
+    monkeypatch.setattr(K, "checkpointed", lambda df: made.append(df.count()) or df)
+    for lists in (True, False):
+        monkeypatch.setattr(K, "_short_lists", lambda *a, lists=lists: lists)
+        got = K.tfidf_terms(df, features=3, most=3, stop=("the",))
+        assert {(r["cluster"], r["term"]): round(r["score"], 9) for r in got.collect()} == want
+    assert len(made) == 6 and max(made) < 400
