@@ -32,3 +32,16 @@ def test_against_counting(spark):
     assert [told[i][0] for i in (1, 2, 3, 7)] == ["en", "de", "fr", "en"]
     assert N.by_profile(df, profile.where("false"), "id").where("language <> 'unknown'").count() == 0
     assert N.by_profile(df.where("false"), profile, "id").count() == 0
+
+
+def test_trigrams_are_never_rows(spark, monkeypatch):
+    """Neither for the profile nor for a text; stretches of few characters and a profile too large to go out give the same."""
+    df = spark.createDataFrame([(i, t, lang) for i, t, lang in ROWS if i != 8] + [(9, "𝒳𝒴 der İ hund\u0000ß", None)], "id long, text string, language string")
+    profile = N.profiles(df, most=10)
+    told = N.by_profile(df, profile, "id")
+    assert "Generate" not in told._jdf.queryExecution().executedPlan().toString()
+    want = sorted(map(tuple, told.collect()))
+    monkeypatch.setattr(N, "STRETCH", 3)
+    assert sorted(map(tuple, N.by_profile(df, N.profiles(df, most=10), "id").collect())) == want
+    monkeypatch.setattr(N, "WEIGHTS", 1)
+    assert sorted(map(tuple, N.by_profile(df, profile, "id").collect())) == want
