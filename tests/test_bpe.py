@@ -40,3 +40,13 @@ def test_all_documents_and_conversations(spark, encode):
     held = B.tokens(messages, path)
     assert {r["conv_id"]: r["tokens"] for r in held.collect()} == want
     assert C.token_stats(held, 100).first()["total"] == sum(want.values())
+
+
+def test_no_piece_is_shuffled_and_few_are_kept(spark, encode, monkeypatch):
+    path, size = encode
+    texts = [f"word{i} " * 3 + "déjà vu " + "aaab" * i for i in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    monkeypatch.setattr(B, "CACHED", 5)
+    got = B.counts(df, "id", path)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["tokens"] for r in got.collect()} == {i: size(t) for i, t in enumerate(texts)}
