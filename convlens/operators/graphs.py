@@ -19,8 +19,15 @@ from convlens.functions import vectors as V
 from convlens.operators import vectors as O
 
 Checkpoint = Callable[[DataFrame], DataFrame]
-#: Vectors that a task has at once, as far as they can be told apart, and those compared with each other in a leaf.
-CELL, LEAF = 4096, 128
+#: Vectors that a task has at once, as far as they can be told apart: at least, and so many that there are about STRIPS tasks, MOST at most.
+CELL, STRIPS, MOST = 4096, 24, 32_768
+#: Vectors compared with each other in a leaf.
+LEAF = 128
+
+
+def cell_of(total: int) -> int:
+    """A vector travels to each cell that refers to it, so their number does not follow the rows until cells have MOST."""
+    return max(CELL, min(MOST, total // STRIPS))
 
 
 def rows_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -36,11 +43,12 @@ def mean_of(df: DataFrame) -> np.ndarray:
 
 
 def cells(df: DataFrame, total: int, trees: int, seed: int, checkpoint: Checkpoint) -> DataFrame:
-    """(id, v, tree, cell): for each tree, cells of vectors on the same side of random planes through the mean, CELL of them at most.
+    """(id, v, tree, cell): for each tree, cells of vectors on the same side of random planes through the mean, ``cell_of(total)`` of them at most.
 
     A cell has as few planes as keep it small. What no plane parts, such as equal vectors, is dealt to parts by hash.
     """
-    bits = max(1, math.ceil(math.log2(max(1, total / CELL)))) + 10
+    most = cell_of(total)
+    bits = max(1, math.ceil(math.log2(max(1, total / most)))) + 10
     mean = mean_of(df)
     planes = np.random.default_rng(seed).standard_normal((len(mean), trees * bits))
     power = 1 << np.arange(bits, dtype=np.int64)[::-1]
@@ -57,10 +65,10 @@ def cells(df: DataFrame, total: int, trees: int, seed: int, checkpoint: Checkpoi
     codes = placed.groupBy("tree", "code").agg(F.count(F.lit(1)).alias("n"))
     prefix = F.expr(f"shiftright(code, {bits} - depth)")
     sized = codes.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(bits)))).groupBy("tree", "depth", prefix.alias("prefix")).agg(F.sum("n").alias("n"))
-    small = sized.where((F.col("n") <= CELL) | (F.col("depth") == bits))
+    small = sized.where((F.col("n") <= most) | (F.col("depth") == bits))
     every = codes.select("tree", "code", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth")).withColumn("prefix", prefix)
     chosen = every.join(small, ["tree", "depth", "prefix"]).groupBy("tree", "code").agg(F.min(F.struct("depth", "prefix", "n")).alias("c"))
-    part = F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("c.n") / CELL))
+    part = F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("c.n") / most))
     return placed.join(chosen, ["tree", "code"]).select("id", "v", "tree", F.xxhash64("tree", "c.depth", "c.prefix", part).alias("cell"))
 
 
@@ -79,7 +87,7 @@ def halves(x: np.ndarray, draw: np.random.Generator) -> list[np.ndarray]:
 
 def best_of(graph: DataFrame, k: int) -> DataFrame:
     """(id, neighbour, distance, fresh, rank): the k least, ties to the smaller id; fresh if no row of the pair is old."""
-    pairs = graph.groupBy("id", "neighbour").agg(F.min("distance").alias("distance"), F.min("fresh").alias("fresh"))
+    pairs = graph.repartition("id").groupBy("id", "neighbour").agg(F.min("distance").alias("distance"), F.min("fresh").alias("fresh"))
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))).where(F.col("rank") <= k)
 
 
@@ -118,13 +126,14 @@ def neighbour_graph(df: DataFrame, k: int, checkpoint: Checkpoint, *, trees: int
     first = dealt.groupBy("tree", "cell").applyInArrow(leaves, "id long, neighbour long, distance double")
     graph = checkpoint(best_of(first.withColumn("fresh", F.lit(True)), k))
     for _ in range(rounds if total > k + 1 else 1):
-        back = graph.select(F.col("neighbour").alias("id"), F.col("id").alias("neighbour"))
-        turn = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("id", "neighbour"), "neighbour"))
-        back = back.withColumn("turn", turn).where(F.col("turn") <= k).drop("turn")
-        lists = graph.select("id", "neighbour").union(back).distinct().join(vectors.select("id", "block"), "id")
+        # Dealt out by id once: of the rows whose neighbour it is k by hash, then the blocks, then what is distinct.
+        both = graph.select("id", "neighbour", F.lit(False).alias("back")).union(graph.select("neighbour", "id", F.lit(True)))
+        turn = F.row_number().over(Window.partitionBy("id", "back").orderBy(F.xxhash64("id", "neighbour"), "neighbour"))
+        listed = both.repartition("id").withColumn("turn", turn).where(F.col("turn") <= k)
+        lists = listed.join(vectors.select("id", "block"), "id").select("id", "neighbour", "block").distinct()
         reach = graph.groupBy("id").agg(F.max("distance").alias("reach"), F.count(F.lit(1)).alias("have"))
         known = vectors.join(reach, "id", "left").select("id", "v", F.when(F.col("have") >= k, F.col("reach")).otherwise(F.lit(math.inf)).alias("reach"))
-        members = lists.select(F.col("block").alias("at"), F.col("neighbour").alias("id")).union(vectors.select("block", "id")).distinct().join(known, "id")
+        members = lists.select(F.col("block").alias("at"), F.col("neighbour").alias("id")).union(vectors.select("block", "id")).repartition("id").distinct().join(known, "id")
         found = lists.groupBy("block").cogroup(members.groupBy("at")).applyInArrow(lambda a, b: _meet(a, b, k), "id long, neighbour long, distance double")
         graph = checkpoint(best_of(graph.select("id", "neighbour", "distance", F.lit(False).alias("fresh")).unionByName(found.withColumn("fresh", F.lit(True))), k))
         if graph.where("fresh").count() <= settled * k * total:

@@ -92,3 +92,17 @@ def test_scales_and_union(spark):
     graph = spark.createDataFrame([(1, 2, 1.0, 1), (1, 3, 2.0, 2), (2, 1, 1.0, 1), (2, 3, 1.5, 2)], "id long, neighbour long, distance double, rank int")
     got = {(r["a"], r["b"]): r["w"] for r in G.fuzzy_graph(graph).collect()}
     assert set(got) == {(1, 2), (1, 3), (2, 3)} and got[1, 2] == pytest.approx(1.0) and 0 < got[1, 3] < 1
+
+
+def test_vectors_go_to_a_bounded_number_of_cells(spark, monkeypatch):
+    """As rows grow cells do, up to MOST."""
+    assert [G.cell_of(n) for n in (0, 50_000, 240_000, 10**9)] == [4096, 4096, 10_000, 32_768]
+    for name, n in (("CELL", 4), ("STRIPS", 4), ("LEAF", 8)):
+        monkeypatch.setattr(G, name, n)
+    x = np.random.default_rng(3).standard_normal((160, 4))
+    graph, vectors = G.neighbour_graph(frame(spark, x), 5, checkpointed)
+    sizes = [r["count"] for r in vectors.groupBy("block").count().collect()]
+    assert max(sizes) <= 40 and len(sizes) <= 16
+    true = np.argsort(gaps(x), 1)[:, :5]
+    got = {(r["id"], r["neighbour"]) for r in graph.collect()}
+    assert np.mean([(i, j) in got for i in range(160) for j in true[i]]) >= 0.95
