@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convlens.llm.common import Scratch, claim, components, join_counted, pieces_of, split_words, trim
+from convlens.llm.common import Scratch, claim, collect_garbage, components, join_counted, pieces_of, split_words, trim
 from convlens.llm.groups import members_of, resolve
 
 BUCKETS = 1 << 18
@@ -301,6 +301,7 @@ def linked(
     classes = scratch.put(classes, "classes")
 
     edges = candidate_edges(classes, scratch, threshold=threshold, trees=trees, recall=recall, block=4 * block)
+    collect_garbage(docs.sparkSession)
     members = members_of(classes.drop("labels"), edges, scratch)
     sets = candidate_sets(docs, members, n=n, id_col=id_col, text_col=text_col)
     answers = resolve(classes, members, sets.withColumnRenamed("grams", "body"), similar_sets(threshold), scratch, block)
