@@ -112,6 +112,30 @@ def test_merges_are_least_ward_steps(n):
     assert len(groups) == 1
 
 
+@pytest.mark.parametrize("kind", ["copies", "far", "near", "bits"])
+def test_merges_of_copies_and_near_copies(kind):
+    draw = np.random.default_rng(8)
+    x = {
+        "copies": np.repeat(draw.normal(size=(5, 3)), 8, axis=0), "far": draw.normal(size=(40, 3)) * 1e-6 + 1e6 * (np.arange(40)[:, None] % 2),
+        "near": np.repeat(draw.normal(size=(5, 3)), 8, axis=0) + 1e-5 * draw.normal(size=(40, 3)), "bits": draw.integers(0, 2, size=(40, 6)) * 1.0,
+    }[kind]
+    groups = {i: [i] for i in range(len(x))}
+    for s, (a, b, height) in enumerate(X.merges(x)):
+        cost = {(i, j): 2 * len(p) * len(q) / (len(p) + len(q)) * ((x[p].mean(0) - x[q].mean(0)) ** 2).sum() for i, p in groups.items() for j, q in groups.items() if i < j}
+        room = 1e-18 * (1 + np.abs(x).max() ** 2)
+        assert cost[min(a, b), max(a, b)] <= min(cost.values()) * (1 + 1e-6) + room and height**2 == pytest.approx(cost[min(a, b), max(a, b)], rel=1e-4, abs=room)
+        groups[len(x) + s] = groups.pop(a) + groups.pop(b)
+    assert len(groups) == 1
+
+
+def test_merges_search_few_times(monkeypatch):
+    # One search for each cluster and merge, many at once: products of matrices, not a pass over all rows for each step.
+    calls, product = [], np.matmul
+    monkeypatch.setattr(X.np, "matmul", lambda a, b, **how: calls.append(len(a)) or product(a, b, **how))
+    tree = X.merges(np.random.default_rng(9).normal(size=(3000, 16)))
+    assert len(tree) == 2999 and 0 < len(calls) < 600 and sum(calls) < 4 * 3000
+
+
 def test_hierarchy_keeps_all_clusters(spark):
     x = np.random.default_rng(5).normal(size=(4100, 2))
     cents = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "c int, centroid array<double>")
