@@ -65,6 +65,15 @@ def as_bytes(hi: pa.Array, lo: pa.Array) -> bytes:
     return np.stack([pc.list_flatten(x).to_numpy(zero_copy_only=False) for x in (hi, lo)], 1).astype("<i8").tobytes()
 
 
+def gathered(ids: np.ndarray, lengths: np.ndarray, places: pa.Array, total: int) -> np.ndarray:
+    """Of stretches of these lengths that lie in a row, those at ``places``, ``total`` ids, one after the other."""
+    if not total:
+        return np.zeros(0, ids.dtype)
+    ends = np.concatenate(([0], np.cumsum(lengths))) * ids.dtype.itemsize
+    rows = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids))])
+    return np.frombuffer(rows.take(places).buffers()[2], ids.dtype, total)
+
+
 class Encoder:
     """Texts to ids. Byte-level BPE is run word by word, over the distinct words of a batch, with a bounded cache."""
 
@@ -90,6 +99,7 @@ class Encoder:
         rest = [b for b in range(256) if b not in set(plain)]
         self.spelling = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.blank = self.spelling[32]
+        self.line = self.whole("\n")
         # Words encoded before, in Arrow's memory: their ids lie one after the other.
         self.words, self.ids, self.ends = pa.array([], pa.string()), np.zeros(0, self.dtype), np.zeros(1, np.int64)
 
@@ -105,9 +115,20 @@ class Encoder:
         """Ids of a stretch between blanks; \\x02 stands for no blank before it, a line feed for itself."""
         if stretch[:1] not in ("\x02", "\n"):
             return self.letters_of(" " + stretch) if stretch.isalpha() else self.whole(" " + stretch)
-        lead, body = self.whole(stretch[0]) if stretch[0] == "\n" else b"", stretch[1:]
+        lead, body = self.line if stretch[0] == "\n" else b"", stretch[1:]
         return lead + (self.letters_of(body) if body.isalpha() else self.whole(body) if body else b"")
 
+    def stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of stretches in a row, offsets); most are letters after a blank, so these make no arrays of their own."""
+        ids, ends, blank, tokenize = [], [0], self.blank, self.tokenizer.model.tokenize
+        for t in texts:
+            if t.isascii() and t.isalpha():
+                ids += [x.id for x in tokenize(blank + t)]
+            else:
+                ids += array(self.dtype.char, self.stretch(t))
+            ends.append(len(ids))
+        return np.array(ids, self.dtype), np.array(ends, np.int64)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets by text)."""
         if not self.by_word:
@@ -135,13 +156,13 @@ class Encoder:
         own = lengths[codes]
         ends = np.concatenate(([0], np.cumsum(own)))
         offsets = ends[np.concatenate(([0], np.cumsum(counts))).astype(np.int64)]
-        return ids[ranges((np.cumsum(lengths) - lengths)[codes], own)], offsets
+        return gathered(ids, lengths, coded.indices, int(ends[-1])), offsets
 
     def places(self, words: pa.Array) -> np.ndarray:
         """Where each of these distinct words stands among the held ones; new ones are encoded and held."""
         at = pc.index_in(words, value_set=self.words)
         new = words.filter(pc.is_null(at))
-        ids, ends = self.joined([self.stretch(t) for t in new.to_pylist()])
+        ids, ends = self.stretches(new.to_pylist())
         place = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
         place[place < 0] = len(self.words) + np.arange(len(new))
         all_ids, all_ends = np.concatenate((self.ids, ids)), np.concatenate((self.ends, self.ends[-1] + ends[1:]))

@@ -38,6 +38,22 @@ def test_contractions_and_special_token(encoder):
         assert ids[offsets[i] : offsets[i + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_new_words_are_encoded_without_arrays_of_their_own(monkeypatch):
+    encoder, alone = K.Encoder(PATH), []
+    monkeypatch.setattr(encoder, "letters_of", lambda piece, f=encoder.letters_of: alone.append(piece) or f(piece))
+    monkeypatch.setattr(encoder, "whole", lambda text, f=encoder.whole: alone.append(text) or f(text))
+    texts = ["So many plain words of letters and of more letters", "", "one\ntwo\nthree, four", "caf\u00e9 au lait"] * 3
+    ids, offsets = encoder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert "\n" not in alone and " many" not in alone
+
+
+def test_gathered():
+    ids, lengths, places = np.arange(6, dtype=np.uint16), np.array([2, 0, 3, 1]), np.array([2, 1, 0, 2], np.int32)
+    assert K.gathered(ids, lengths, pa.array(places), 8).tolist() == [2, 3, 4, 0, 1, 2, 3, 4]
+    assert K.gathered(ids[:0], lengths[:0], pa.array(places[:0]), 0).tolist() == []
+
+
 def test_store_round_trip(spark, documents, encoder):
     rows, df = documents
     scratch = Scratch(spark, "test-tokens")
