@@ -136,6 +136,18 @@ def test_merges_search_few_times(monkeypatch):
     assert len(tree) == 2999 and 0 < len(calls) < 600 and sum(calls) < 4 * 3000
 
 
+def test_force_layout_sends_places_once(spark):
+    plans = []
+
+    def keep(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpointed(df)
+
+    X.force_layout(keep(vectors(spark, np.random.default_rng(3).normal(size=(30, 3)).tolist())), keep, neighbours=3, rounds=1)
+    assert "ReusedExchange" in plans[-1].partition("== Initial Plan ==")[0]
+
+
 def test_hierarchy_keeps_all_clusters(spark):
     x = np.random.default_rng(5).normal(size=(4100, 2))
     cents = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "c int, centroid array<double>")
